@@ -1,0 +1 @@
+"""Text built from profile relations: reports, summaries and context blocks."""
