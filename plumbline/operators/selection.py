@@ -30,7 +30,9 @@ def select_columns(df: DataFrame, names: Sequence[str] | str) -> DataFrame:
     return df.select(*[col(n) for n in wanted])
 
 
-def sample_rows(df: DataFrame, n: int, key: str | Sequence[str], seed: int = 42) -> DataFrame:
+def sample_rows(
+    df: DataFrame, n: int, key: str | Sequence[str], seed: int = 42, small: int = SMALL_SAMPLE
+) -> DataFrame:
     """At most n rows, picked at random but repeatably: those with the smallest md5 of seed and unique key.
 
     Small samples are a top-n. Large ones would funnel through one task, so the
@@ -39,7 +41,7 @@ def sample_rows(df: DataFrame, n: int, key: str | Sequence[str], seed: int = 42)
     """
     keys = [col(k) for k in ([key] if isinstance(key, str) else key)]
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))
-    if n <= SMALL_SAMPLE:
+    if n <= small:
         return df.orderBy(h, *keys).limit(n)
     return _sample_by_prefix(df, n, h, keys)
 
