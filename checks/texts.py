@@ -150,7 +150,7 @@ HEAD = "concat('# Quality', chr(10), chr(10), '*Generated on 06 May 2024 at 07:0
 def assembled_sql(merged: str = "merged") -> str:
     rows = ", ".join(f"({i}, '{s}', '{t}')" for i, (s, t) in enumerate(X.SECTION_ORDER))
     part = f"CASE WHEN starts_with({strip('content')}, '#') THEN content ELSE concat('## ', title, chr(10), chr(10), content) END"
-    text = f"concat({HEAD}, coalesce(string_agg(chr(10) || chr(10) || {part}, '' ORDER BY i), ''))"
+    text = f"concat({HEAD}, coalesce(string_agg(chr(10) || chr(10) || {part}, '' ORDER BY i) FILTER (title IS NOT NULL), ''))"
     return (
         f"SELECT m.report_id, {clean_sql(text)} AS report FROM {merged} m LEFT JOIN (VALUES {rows}) o(i, section, title) ON o.section = m.section GROUP BY 1"
     )
@@ -489,7 +489,7 @@ def claims_sql(texts: str) -> str:
         parts.append(
             f"SELECT doc_id, {j} AS pat, '{kind}' AS type, m, body, {'NULL' if ranged else value(1)} AS value,"
             f" {value(1) if ranged else 'NULL'} AS min_value, {value(2) if ranged else 'NULL'} AS max_value,"
-            " list_sum(list_transform(gs[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0) AS start FROM"
+            " CAST(list_sum(list_transform(gs[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM"
             f" (SELECT doc_id, body, ms, gs, unnest(ms) AS m, generate_subscripts(ms, 1) AS k FROM (SELECT doc_id, text AS body, regexp_extract_all(text, '{rx}') AS ms, string_split_regex(text, '{rx}') AS gs FROM ct))"
         )
     context = "substr(body, greatest(start - 50, 0) + 1, start - greatest(start - 50, 0)) || '**' || m || '**' || substr(body, start + length(m) + 1, 50)"

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 WHITESPACE = r"(?U:[\s\x{1C}-\x{1F}])"
 # The same without the line feed, for patterns that stay inside one line.
 INLINE_SPACE = r"(?U:[\s\x{1C}-\x{1F}&&[^\n]])"
+# A run of anything else. For short texts: splitting compiles its pattern for every call.
+WORD = r"(?U:[^\s\x{1C}-\x{1F}])+"
 # Fixed value: the same characters one by one.
 SPACES = "".join(
     map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))

@@ -12,6 +12,9 @@ from ..functions.values import WHITESPACE, col, fixed, percent
 
 CONTEXT_CHARS = 50
 
+# Stands between the pieces of a text; texts that hold it are cut the slow way.
+MARK = "\u0001"
+
 _NUMBER, _COUNT, _SPACE = r"(\d+(?:\.\d+)?)", r"(\d+(?:,\d+)*)", WHITESPACE + "*"
 
 # What counts as a claim, by kind and in order of extraction.
@@ -38,47 +41,81 @@ CLAIM = (
 )
 
 
-def _matches(t: Column, kind: str, pattern: str) -> Column:
-    """Claims of one pattern. No built-in gives match positions, but the pieces between matches do."""
+# Some word of these stands in every match: texts without it are spared the pattern.
+HINTS = {
+    "percentage": ("%",),
+    "range": ("range",),
+    "min_value": ("min",),
+    "max_value": ("max",),
+    "mean_value": ("mean", "average"),
+    "row_count": ("row", "record"),
+    "column_count": ("column",),
+    "unique_count": ("unique", "distinct"),
+    "outlier_count": ("outlier",),
+    "memory_mb": ("mb", "megabyte"),
+    "days_count": ("day",),
+}
+
+
+def _cut(t: Column, rx: str) -> Column:
+    """The text cut at each match: gap, match, gap, ..., gap.
+
+    One pass sets marks around the matches, a plain split cuts there. A text that
+    holds the mark itself is cut by the pattern instead.
+    """
+    marked = F.split(F.regexp_replace(t, rx, f"{MARK}$0{MARK}"), MARK, -1)
+    gaps = F.split(t, rx, -1)
+    found = F.concat(F.regexp_extract_all(t, F.lit(rx), 0), F.array(F.lit("")))
+    slow = F.slice(F.flatten(F.transform(gaps, lambda g, i: F.array(g, at(found, i)))), F.lit(1), F.size(gaps) * 2 - 1)
+    return F.when(F.contains(t, F.lit(MARK)), slow).otherwise(marked)
+
+
+def _matches(t: Column, low: Column, kind: str, pattern: str) -> Column:
+    """Claims of one pattern. No built-in gives match positions, but the pieces around matches do."""
     rx = "(?i)" + pattern
     number = lambda m, g: F.replace(F.regexp_extract(m, rx, g), F.lit(","), F.lit("")).try_cast("double")
     none = F.lit(None).cast("double")
 
-    def claim(ms: Column, gaps: Column, m: Column, k: Column) -> Column:
-        start = F.aggregate(F.slice(gaps, F.lit(1), k + 1), F.lit(0), lambda s, n: s + n) + F.aggregate(
-            F.slice(ms, F.lit(1), k), F.lit(0), lambda s, x: s + F.length(x)
+    def claim(m: Column, p: Column) -> Column:
+        n = F.length(m)
+        lo = F.greatest(p - CONTEXT_CHARS, F.lit(0))
+        before = F.substring(t, lo + 1, p - lo)
+        after = F.substring(t, p + n + 1, F.lit(CONTEXT_CHARS))
+        return F.struct(
+            F.lit(kind).alias("type"),
+            m.alias("text"),
+            p.alias("start"),
+            (p + n).alias("end"),
+            F.concat(before, F.lit("**"), m, F.lit("**"), after).alias("context"),
+            (none if kind == "range" else number(m, 1)).alias("value"),
+            (number(m, 1) if kind == "range" else none).alias("min_value"),
+            (number(m, 2) if kind == "range" else none).alias("max_value"),
         )
 
-        def row(p: Column) -> Column:
-            n = F.length(m)
-            lo = F.greatest(p - CONTEXT_CHARS, F.lit(0))
-            before = F.substring(t, lo + 1, p - lo)
-            after = F.substring(t, p + n + 1, F.lit(CONTEXT_CHARS))
-            return F.struct(
-                F.lit(kind).alias("type"),
-                m.alias("text"),
-                p.alias("start"),
-                (p + n).alias("end"),
-                F.concat(before, F.lit("**"), m, F.lit("**"), after).alias("context"),
-                (none if kind == "range" else number(m, 1)).alias("value"),
-                (number(m, 1) if kind == "range" else none).alias("min_value"),
-                (number(m, 2) if kind == "range" else none).alias("max_value"),
-            )
+    def found(pieces: Column) -> Column:
+        # Every second piece is a match; it starts where the pieces before it end.
+        lengths = F.transform(pieces, F.length)
 
-        return let(start, row)
+        def one(ls: Column) -> Column:
+            start = lambda i: F.aggregate(F.slice(ls, F.lit(1), i), F.lit(0), lambda s, n: s + n)
+            every = F.transform(pieces, lambda m, i: F.when(i % 2 == 1, let(start(i), lambda p: claim(m, p))))
+            return F.filter(every, lambda c: c.isNotNull())
 
-    def found(ms: Column) -> Column:
-        gaps = F.transform(F.split(t, rx, -1), F.length)
-        return F.when(F.size(ms) > 0, let(gaps, lambda gs: F.transform(ms, lambda m, k: claim(ms, gs, m, k))))
+        return F.when(F.size(pieces) > 1, let(lengths, one))
 
-    empty = F.array().cast(CLAIM)
-    return F.coalesce(let(F.regexp_extract_all(t, F.lit(rx), 0), found), empty)
+    hinted = F.lit(False)
+    for word in HINTS[kind]:
+        hinted = hinted | F.contains(low, F.lit(word))
+    return F.coalesce(F.when(hinted, let(_cut(t, rx), found)), F.array().cast(CLAIM))
 
 
 def claims(text: Column) -> Column:
     """All claims of a text as one array, by pattern and position. Texts without a digit are passed over."""
-    every = let(text, lambda t: F.flatten(F.array(*(_matches(t, kind, p) for kind, p in PATTERNS))))
-    return F.when(text.rlike("[0-9]"), every)
+
+    def every(t: Column) -> Column:
+        return let(F.lower(t), lambda low: F.flatten(F.array(*(_matches(t, low, kind, p) for kind, p in PATTERNS))))
+
+    return F.when(text.rlike("[0-9]"), let(text, every))
 
 
 def extract_claims(df: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:

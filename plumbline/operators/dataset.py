@@ -238,12 +238,10 @@ def profile(df: DataFrame, dataset: str = "data", by: Sequence[str] = ()) -> Pro
     checks read it many times.
     """
     label = F.concat_ws("/", *[F.coalesce(col(k).cast("string"), F.lit("null")) for k in by]) if by else F.lit(dataset)
-    cols = profile_columns(df, by)
-    dup = duplicate_rows(df, by)
-    shape = dataset_row(cols, dup, by)
-    place = cols.withColumn("dataset", label).drop(*by)
-    row = shape.withColumn("dataset", label).drop(*by)
-    return Profile(settle(row), settle(place), None if by else semantic_correlations(df))
+    columns = settle(profile_columns(df, by))
+    row = settle(dataset_row(columns, duplicate_rows(df, by), by))
+    name = lambda t: t.withColumn("dataset", label).drop(*by)
+    return Profile(name(row), name(columns), None if by else semantic_correlations(df))
 
 
 def dataset_profile(df: DataFrame, dataset: str = "data") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import at, let
 from ..functions.markdown import SHORTEST_TEXT
-from ..functions.values import col, lines, strip, words
+from ..functions.values import WORD, col, lines, strip, words
 
 # Phrases that report a failed generation.
 FAILURE_PHRASES = (
@@ -77,7 +77,7 @@ def mostly_headers(text: Column) -> Column:
 def sentence_lengths(text: Column) -> Column:
     """Words per sentence; sentences end at full stops, blank ones do not count."""
     parts = F.filter(F.split(text, r"\.", -1), lambda s: strip(s) != "")
-    return F.transform(parts, lambda s: F.size(words(s)))
+    return F.transform(parts, lambda s: F.size(F.regexp_extract_all(s, F.lit(WORD), 0)))
 
 
 def low_quality_flags(text: Column) -> dict[str, Column]:
