@@ -171,7 +171,12 @@ class Profile:
 
     dataset: DataFrame
     columns: DataFrame
-    correlations: DataFrame | None = None
+    source: DataFrame | None = None
+
+    @property
+    def correlations(self) -> DataFrame | None:
+        """Pairs over the semantically numeric columns; only a whole table has them."""
+        return None if self.source is None else semantic_correlations(self.source)
 
     @property
     def missing(self) -> DataFrame:
@@ -204,7 +209,7 @@ class Profile:
 
     @property
     def high_correlations(self) -> DataFrame | None:
-        return None if self.correlations is None else high_correlations(self.correlations)
+        return None if self.source is None else high_correlations(self.correlations)
 
 
 def quality_insights(columns: DataFrame) -> DataFrame:
@@ -241,7 +246,7 @@ def profile(df: DataFrame, dataset: str = "data", by: Sequence[str] = ()) -> Pro
     columns = settle(profile_columns(df, by))
     row = settle(dataset_row(columns, duplicate_rows(df, by), by))
     name = lambda t: t.withColumn("dataset", label).drop(*by)
-    return Profile(name(row), name(columns), None if by else semantic_correlations(df))
+    return Profile(name(row), name(columns), None if by else df)
 
 
 def dataset_profile(df: DataFrame, dataset: str = "data") -> DataFrame:
