@@ -22,7 +22,7 @@ from .frequency import (
     value_digest,
 )
 from .ranking import DISTINCT_IN_ONE_TASK, QUARTILES, quantiles_by_slice
-from .schema import Field, fields, normalise, number_fields
+from .schema import Field, balance, fields, normalise, number_fields
 from .types import Facts, look, physical_type, string_type
 
 OUTLIER_REACH = 1.5
@@ -448,8 +448,8 @@ def profile_columns(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     table, whose shuffle all other statistics share. Fields that do not apply to a
     column's type are NULL. An empty table has no rows.
     """
-    df = normalise(df)
-    facts = look(df, by)
+    df, total = balance(normalise(df))
+    facts = look(df, by, rows=total)
     keys = [col(k) for k in by]
     first = _pass_one(df, facts, by).where("n_rows > 0")
     freq = frequencies(df, facts, by)
@@ -463,7 +463,7 @@ def profile_columns(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             on = on & col(k).eqNullSafe(col(f"_{k}"))
         counted, n_rows = freq.join(sizes, on).drop(*[f"_{k}" for k in by]), F.col("_n")
     else:
-        counted, n_rows = freq, df.agg(F.count(F.lit(1)).alias("n")).scalar()
+        counted, n_rows = freq, F.lit(total)
     spread = _quartiles(
         counted,
         facts,

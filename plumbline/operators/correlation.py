@@ -8,40 +8,90 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .aggregate import EXPRESSIONS_PER_PASS
+from .aggregate import EXPRESSIONS_PER_PASS, one_row
 from .schema import Field, fields, normalise, number_fields
 
 PAIRS = "ordinal1 int, column1 string, ordinal2 int, column2 string, correlation double"
 
 
-def _pearson(x: Column, y: Column) -> Column:
-    """Pearson's r over the rows where both are present; NULL for a constant, where corr() fails under ANSI."""
-    return F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x)) * F.sqrt(F.regr_syy(y, x)))
+# Below this share of the squares, what is left around the mean is rounding noise.
+FLAT = 1e-13
 
 
 def _pairs(df: DataFrame, columns: list[tuple[Field, Column]]) -> DataFrame:
-    """(ordinal1, column1, ordinal2, column2, correlation) for every pair in table order.
+    """(ordinal1, column1, ordinal2, column2, correlation) for every pair in table order; NULL beside a constant.
 
-    Each pass is one scan over the columns of its own pairs.
+    A first scan finds means and gaps. Values are then summed relative to their
+    mean, which keeps plain sums accurate. Columns without gaps share their sums
+    among all pairs, so such a pair costs one expression; only pairs with gaps
+    need sums of their own over the rows where both are present. Each pass is one
+    scan over the columns of its own pairs.
     """
     pairs = list(combinations(columns, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], PAIRS)
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for f, x in columns:
+        aggs += [e.alias(f"{f.ordinal}_{n}") for n, e in (("n", F.count(x)), ("m", F.avg(x)), ("lo", F.min(x)), ("hi", F.max(x)))]
+    got = one_row(df, aggs)
+    whole = {f.ordinal: got[f"{f.ordinal}_n"] == got["rows"] for f, _ in columns}
+    value = {}
+    for f, x in columns:
+        # A constant is shifted by itself: its mean may be off in the last digit.
+        flat = got[f"{f.ordinal}_lo"] == got[f"{f.ordinal}_hi"]
+        value[f.ordinal] = x - F.lit(float(got[f"{f.ordinal}_lo" if flat else f"{f.ordinal}_m"] or 0.0))
+
+    def sums(i: int, j: int) -> dict[str, Column]:
+        x, y = value[i], value[j]
+        out = {f"xy_{i}_{j}": F.sum(x * y)}
+        if whole[i] and whole[j]:
+            for k, v in ((i, x), (j, y)):
+                out |= {f"s_{k}": F.sum(v), f"ss_{k}": F.sum(v * v)}
+            return out | {"n": F.count(F.lit(1))}
+        both = lambda e: F.when(x.isNotNull() & y.isNotNull(), e)
+        out[f"n_{i}_{j}"] = F.count(both(F.lit(1)))
+        for k, v in ((i, x), (j, y)):
+            out |= {f"s_{i}_{j}_{k}": F.sum(both(v)), f"ss_{i}_{j}_{k}": F.sum(both(v * v))}
+        return out
+
+    def r(i: int, j: int) -> Column:
+        shared = whole[i] and whole[j]
+        tag = "" if shared else f"_{i}_{j}"
+        n = F.col(f"n{tag}").cast("double")
+        s = lambda k: F.col(f"s{tag}_{k}")
+        ss = lambda k: F.col(f"ss{tag}_{k}")
+        around = lambda k: F.when(n > 0, ss(k) - F.try_divide(s(k) * s(k), n))
+        spread = lambda k: F.when(around(k) > ss(k) * FLAT, around(k))
+        together = F.col(f"xy_{i}_{j}") - F.try_divide(s(i) * s(j), n)
+        exact = F.try_divide(together, F.sqrt(spread(i)) * F.sqrt(spread(j)))
+        return F.when(exact > 1, 1.0).when(exact < -1, -1.0).otherwise(exact)
+
     parts = []
-    for start in range(0, len(pairs), EXPRESSIONS_PER_PASS):
-        group = pairs[start : start + EXPRESSIONS_PER_PASS]
-        aggs = [_pearson(x, y).alias(f"r{i}") for i, ((_, x), (_, y)) in enumerate(group)]
+    batch: list[tuple[Field, Field]] = []
+    needed: dict[str, Column] = {}
+
+    def flush() -> None:
         rows = [
             F.struct(
                 F.lit(a.ordinal).alias("ordinal1"),
                 F.lit(a.name).alias("column1"),
                 F.lit(b.ordinal).alias("ordinal2"),
                 F.lit(b.name).alias("column2"),
-                F.col(f"r{i}").alias("correlation"),
+                r(a.ordinal, b.ordinal).alias("correlation"),
             )
-            for i, ((a, _), (b, _)) in enumerate(group)
+            for a, b in batch
         ]
-        parts.append(df.agg(*aggs).select(F.inline(F.array(*rows))))
+        parts.append(df.agg(*(e.alias(k) for k, e in needed.items())).select(F.inline(F.array(*rows))))
+        batch.clear()
+        needed.clear()
+
+    for (a, _), (b, _) in pairs:
+        more = sums(a.ordinal, b.ordinal)
+        if batch and len(needed | more) > EXPRESSIONS_PER_PASS:
+            flush()
+        batch.append((a, b))
+        needed |= more
+    flush()
     return reduce(DataFrame.unionByName, parts)
 
 

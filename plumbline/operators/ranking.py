@@ -77,16 +77,18 @@ def quantiles_by_slice(
         F.size("targets") > 0
     )
     # At most two slices per probability and group.
-    small = targets if by else F.broadcast(targets)
-    on = parts["slice"] == small["slice"]
-    for k in [*by, "ordinal"]:
-        on = on & parts[k].eqNullSafe(small[k])
+    names = [*by, "ordinal", "slice"]
+    small = targets.select(*[col(k).alias(f"_{k}") for k in names], "before", "targets")
+    on = F.lit(True)
+    for k in names:
+        on = on & col(k).eqNullSafe(col(f"_{k}"))
     inner = W.partitionBy(*keys, "slice").orderBy("v")
+    upto, cnt = F.col("upto"), F.col("cnt")
+    reached = F.filter("targets", lambda t: (t["k"] < upto) & (t["k"] >= upto - cnt))
     hit = (
-        parts.join(small, on, "inner")
-        .select(*(parts[k] for k in [*by, "ordinal"]), parts["slice"], "v", "cnt", "before", "targets")
-        .withColumn("upto", F.sum("cnt").over(inner) + F.col("before"))
-        .withColumn("t", F.explode(F.filter("targets", lambda t: (t["k"] < F.col("upto")) & (t["k"] >= F.col("upto") - F.col("cnt")))))
+        parts.join(small if by else F.broadcast(small), on)
+        .select(*keys, "v", "cnt", "targets", (F.sum("cnt").over(inner) + F.col("before")).alias("upto"))
+        .withColumn("t", F.explode(reached))
     )
     ends = hit.groupBy(*keys, F.col("t.p").alias("p"), F.col("t.spot").alias("spot")).agg(
         F.min("v").alias("lo"), F.max("v").alias("hi")

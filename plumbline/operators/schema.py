@@ -13,6 +13,9 @@ from ..functions.values import col
 
 NUMBER_KINDS = ("integral", "float", "decimal")
 
+# Column metadata: the text stands for a nested or binary value.
+NESTED = "plumbline.nested"
+
 
 @dataclass(frozen=True)
 class Field:
@@ -54,14 +57,15 @@ def kind_of(dt: T.DataType) -> str:
         return "bool"
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return "time"
-    if isinstance(dt, (T.StringType, T.CharType, T.VarcharType)):
+    if isinstance(dt, (T.StringType, T.CharType, T.VarcharType, T.NullType)):
         return "string"
     return "nested"
 
 
 def fields(df: DataFrame) -> list[Field]:
     return [
-        Field(i, f.name, f.dataType.simpleString(), kind_of(f.dataType)) for i, f in enumerate(df.schema.fields)
+        Field(i, f.name, f.dataType.simpleString(), "nested" if f.metadata.get(NESTED) else kind_of(f.dataType))
+        for i, f in enumerate(df.schema.fields)
     ]
 
 
@@ -77,10 +81,30 @@ def normalise(df: DataFrame) -> DataFrame:
         if kind_of(f.dataType) == "float":
             c = nan_to_null(c).alias(f.name)
         elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
-            c = F.to_json(c).alias(f.name)
+            c = F.to_json(c).alias(f.name, metadata={NESTED: True})
         elif isinstance(f.dataType, T.BinaryType):
-            c = F.hex(c).alias(f.name)
+            c = F.hex(c).alias(f.name, metadata={NESTED: True})
         elif kind_of(f.dataType) == "nested":
+            c = c.cast("string").alias(f.name, metadata={NESTED: True})
+        elif isinstance(f.dataType, T.NullType):
             c = c.cast("string").alias(f.name)
         out.append(c)
     return df.select(*out)
+
+
+# Tables of this many rows are worth spreading, and cheap enough to.
+SPREAD_ROWS = (50_000, 1_000_000)
+
+
+def balance(df: DataFrame) -> tuple[DataFrame, int]:
+    """The table and its row count; a small table that few tasks read is spread over the cores.
+
+    A file of one row group is one task, however many cores wait. Large tables
+    come in enough pieces and are never moved.
+    """
+    task = df.select(F.spark_partition_id().alias("task"))
+    s = task.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("task").alias("tasks")).first()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if SPREAD_ROWS[0] < s["n"] <= SPREAD_ROWS[1] and s["tasks"] * 2 <= cores:
+        return df.repartition(cores), s["n"]
+    return df, s["n"]

@@ -44,7 +44,7 @@ class Facts:
         return to_numeric(self.field.value) if self.may_be_numeric else None
 
 
-def look(df: DataFrame, by: Sequence[str] = (), distinct: bool = True) -> list[Facts]:
+def look(df: DataFrame, by: Sequence[str] = (), distinct: bool = True, rows: int | None = None) -> list[Facts]:
     """Fetch one row of facts on a normalised table: parse counts, lengths, rough distinct counts.
 
     Over a whole table a string column is a number (date) candidate only if all
@@ -53,7 +53,7 @@ def look(df: DataFrame, by: Sequence[str] = (), distinct: bool = True) -> list[F
     """
     cols = [f for f in fields(df) if f.name not in by]
     # No column has more distinct values than the table has rows, so small tables need no sketch.
-    distinct = distinct and df.count() > SKETCH_ROWS
+    distinct = distinct and (df.count() if rows is None else rows) > SKETCH_ROWS
     aggs: list[Column] = []
     for f in cols:
         i = f.ordinal
