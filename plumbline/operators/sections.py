@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let
 from ..functions.markdown import clean_markdown, format_profiles, ranked_blocks, sections
 from ..functions.values import col, lines, strip
 from .textquality import is_low
@@ -63,21 +62,14 @@ def merge_sections(parts: DataFrame, key: str = "doc_id") -> DataFrame:
         .groupBy(k, "section")
         .agg(F.array_join(F.transform(ordered(F.struct("chunk", "content")), lambda p: p["content"]), "\n\n").alias("content"))
     )
-    # One entry per distinct line of a chunk, with all its places in that chunk.
-    placed = let(
-        lines(F.col("content")),
-        lambda ls: F.transform(
-            F.array_distinct(ls),
-            lambda s: F.struct(
-                s.alias("line"), F.filter(F.transform(ls, lambda x, i: F.when(x == s, i)), lambda i: i.isNotNull()).alias("at")
-            ),
-        ),
-    )
+    # Repeats of a line within a chunk become one row with their places, then the first chunk is kept.
     seen = (
         parts.where(by_line)
-        .select(k, "section", "chunk", F.inline(placed))
+        .select(k, "section", "chunk", F.posexplode(lines(F.col("content"))).alias("pos", "line"))
+        .groupBy(k, "section", "line", "chunk")
+        .agg(F.collect_list("pos").alias("at"))
         .groupBy(k, "section", "line")
-        .agg(F.min(F.struct("chunk", "at")).alias("f"))
+        .agg(F.min_by(F.struct("chunk", "at"), "chunk").alias("f"))
     )
     heads = parts.where(by_line).groupBy(k, "section").agg(F.min_by(F.struct("chunk", "content"), "chunk").alias("head"))
     later = seen.where(strip(F.col("line")) != "").select(
@@ -132,8 +124,10 @@ def assemble_chunks(chunks: DataFrame, title: str, at: Column, key: str = "doc_i
     """
     good = chunks.where(~is_low(F.col("text"))).select(col(key), "chunk", clean_markdown(F.col("text")).alias("text"))
     merged = merge_sections(extract_sections(good, (key, "chunk")), key)
+    filled = F.filter(sections(F.col("text")), lambda p: strip(p["content"]) != "")
     raw = (
-        good.join(merged.select(key).distinct(), key, "left_anti")
+        good.where(F.size(filled) == 0)
+        .join(merged.select(key).distinct(), key, "left_anti")
         .groupBy(col(key))
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda c: c["text"]), "\n\n").alias("content"))
         .withColumn("section", F.lit(RAW))

@@ -86,6 +86,17 @@ def test_merge_rules(spark):
     }
 
 
+def test_chunks_without_sections_go_in_whole(spark):
+    body = "The first part is long enough to read. The second says something else entirely. A third one closes the text well."
+    rows = [(1, 0, body), (1, 1, body + "\n# Key Findings\n"), (2, 0, body), (2, 1, "# Key Findings\n" + body), (3, 0, "short")]
+    chunks = spark.createDataFrame(rows, "doc_id int, chunk bigint, text string")
+    plain = spark.createDataFrame([(1, "s1"), (2, "s2"), (3, "s3")], "doc_id int, report string")
+    got = {r.doc_id: r for r in X.choose_report(chunks, plain, "T", F.lit("2024-01-02 03:04:00").cast("timestamp")).collect()}
+    assert got[1].report.endswith(f"---\n\n## AI Analysis\n\n{body}\n\n{body}\n# Key Findings")
+    assert got[2].report.endswith(f"---\n\n## Key Findings\n\n{body}")
+    assert (got[3].report, got[3].generated) == ("s3", False)
+
+
 def test_profile_blocks(spark):
     text = "lead\n### a\nfine\n### b\nmissing outlier. x\n### c\nrare"
     r = texts(spark, [text, "no blocks", "  "]).select(format_profiles(F.col("text")).alias("x")).collect()
