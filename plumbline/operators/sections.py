@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.markdown import clean_markdown, format_profiles, ranked_blocks, sections
 from ..functions.values import col, lines, strip
+from ..session import settle
 from .textquality import is_low
 
 # Section keys and titles in report order.
@@ -120,13 +121,16 @@ def assemble(merged: DataFrame, title: str, at: Column, key: str = "doc_id") ->
 def assemble_chunks(chunks: DataFrame, title: str, at: Column, key: str = "doc_id") -> DataFrame:
     """(key, report) from (key, chunk, text): low-quality chunks dropped, the rest cleaned, cut, merged and ordered.
 
-    A text without any section goes in whole as the analysis section.
+    A text without any section goes in whole as the analysis section. The good
+    chunks are checkpointed once, in ``spark.checkpoint.dir``.
     """
-    good = chunks.where(~is_low(F.col("text"))).select(col(key), "chunk", clean_markdown(F.col("text")).alias("text"))
-    merged = merge_sections(extract_sections(good, (key, "chunk")), key)
+    cleaned = chunks.where(~is_low(F.col("text"))).select(col(key), "chunk", clean_markdown(F.col("text")).alias("text"))
     filled = F.filter(sections(F.col("text")), lambda p: strip(p["content"]) != "")
+    # The merge reads its input several times; filtering and cutting the texts is the costly part.
+    good = settle(cleaned.withColumn("sections", filled))
+    merged = merge_sections(good.select(col(key), "chunk", F.inline("sections")), key)
     raw = (
-        good.where(F.size(filled) == 0)
+        good.where(F.size("sections") == 0)
         .join(merged.select(key).distinct(), key, "left_anti")
         .groupBy(col(key))
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda c: c["text"]), "\n\n").alias("content"))
