@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import decontaminate, mixing, sharding, simhash, toxicity
+from plumbline.llm import backoff, decontaminate, html, language, mixing, quality, sharding, simhash, toxicity
 from plumbline.llm.registry import register, table
 
 
@@ -110,3 +110,30 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@register("op1_composite_text_density")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html.extract(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@register("op3_string_kernel_language")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(table(spark, sf_dir, "documents"))
+
+
+@register("op4_line_first_cleaning")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.clean(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_failed_lines", "lost_chars",
+    )
+
+
+@register("op6_stupid_backoff")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = backoff.scored(table(spark, sf_dir, "documents"))
+    per_word = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
+    return rows.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round(per_word, 4).alias("per_word"))
