@@ -31,6 +31,8 @@ MARKS = frozenset(
 )
 #: Elements that hold whole pages or articles, whatever their classes say.
 HOLDERS = frozenset("html body main article".split())
+#: Beside the core, text with less than this share of its density sum is a notice.
+NOTICE = 0.05
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag of the key ends an open element of the value, up to the nearest holder or table.
 ENDS = {
@@ -181,9 +183,10 @@ def weigh(body: Node) -> list[Node]:
 def article_nodes(root: Node) -> list[Node]:
     """The subtrees that hold the article.
 
-    Its core is the node of the highest density sum. If that lies in an article or main element, the page says
-    itself how far the article reaches. If not, the lowest density on the way from the body to the core is the
-    threshold: beside that way, what is as dense and mostly no links belongs to the article too, and so does a heading before it.
+    Its core is the node of the highest density sum. If that lies in an article or main element, or around one,
+    the page says itself how far the article reaches. If not, the lowest density on the way from the body to the core is the
+    threshold: beside that way, what is as dense, mostly no links and no mere notice (by its density sum) belongs
+    to the article too, and so does a heading before it.
     """
     body = next((c for c in root.children if isinstance(c, Node) and c.tag == "body"), root)
     nodes = weigh(body)
@@ -197,6 +200,9 @@ def article_nodes(root: Node) -> list[Node]:
         for node in path:
             if node.tag == holder:
                 return [node]
+        inside = [x for x in nodes if x.tag == holder and x.chars]
+        if inside and core in outer(inside[0]):
+            return [max(inside, key=lambda x: x.density_sum)]
     threshold = min(x.density for x in path)
     kept = [core]
     for inner, node in zip(path, path[1:], strict=False):
@@ -205,11 +211,20 @@ def article_nodes(root: Node) -> list[Node]:
             if c is inner:
                 before = False
             elif isinstance(c, Node) and not c.hidden and c.chars and 3 * c.link_chars < c.chars:
-                if c.density >= threshold or before and c.tag in HEADINGS:
+                dense = c.density >= threshold and c.density_sum >= NOTICE * core.density_sum
+                if dense or before and c.tag in HEADINGS:
                     kept.append(c)
     return kept
 
 
+def outer(node: Node) -> list[Node]:
+    out = []
+    while node.parent is not None:
+        node = node.parent
+        out.append(node)
+    return out
+
+
 def blocks(root: Node, kept: set[int]) -> list[str]:
     """Text blocks of the kept subtrees in page order: white space as one space, trimmed, none empty."""
     out: list[str] = []

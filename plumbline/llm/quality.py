@@ -10,36 +10,40 @@ from plumbline.llm.common import words
 
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
-#: A line fails if it has more symbols than this share of its words, ...
-SYMBOL_SHARE = 0.1
-#: ... more words in capitals (of lines with five words or more), ...
-CAPITAL_SHARE = 0.5
-#: ... more words parted by bars, arrows or bullets, ...
-MENU_SHARE = 0.3
-#: ... or is one of these fixed sentences of sites, licences and scripts.
+#: A line fails if it has more symbols, in percent of its words, ...
+SYMBOL_PCT = 10
+#: ... or, with five words or more, as many marks of shouting or trailing off, ...
+SHOUTED = "!!|\\?\\?|[.]{4}"
+#: ... more words in capitals, ...
+CAPITAL_PCT = 50
+#: ... with four words or more, more separators of menus, ...
+MENU_PCT = 30
+SEPARATOR = "^[|»›•·>/]$"
+#: ... or if it has one of these fixed phrases of sites, licences and scripts.
 BOILERPLATE = (
     "(?i)(all rights reserved|copyright \\(c\\)|released under the |licensed under the |permission is hereby granted"
     "|terms of (use|service)|privacy policy|cookie policy|accept (all )?cookies|click here to|sign up for our|subscribe to our"
     "|enable javascript|lorem ipsum)"
 )
-#: A document is rejected if its lines that fail hold more than this share of its word characters.
-MAX_LOST = 0.3
+#: A document is rejected if it loses more than this of its word characters, in percent.
+MAX_LOST_PCT = 30
 
 
 def scored_lines(lines: Column) -> Column:
     """Per line: the line, its word characters, and why it fails (null: it stays)."""
 
     def reason(line: Column) -> Column:
-        n = F.size(words(line))
+        w = words(line)
+        n = F.size(w)
         symbols = F.regexp_count(line, F.lit(SYMBOLS))
-        capitals = F.regexp_count(line, F.lit("(?<![\\p{L}])\\p{Lu}{2,}(?![\\p{Ll}])"))
-        menu = F.regexp_count(line, F.lit("(?<=^|\\s)[|»›•·>](?=\\s|$)"))
-        shouted = F.regexp_count(line, F.lit("!!|\\?\\?|\\.{4,}"))
+        shouted = F.regexp_count(line, F.lit(SHOUTED))
+        capitals = F.size(F.filter(w, lambda x: x.rlike("\\p{Lu}.*\\p{Lu}") & ~x.rlike("\\p{Ll}")))
+        menu = F.size(F.filter(w, lambda x: x.rlike(SEPARATOR)))
         return (
-            F.when(symbols > SYMBOL_SHARE * n, "symbols")
-            .when((n >= 5) & (shouted > SYMBOL_SHARE * n), "punctuation")
-            .when((n >= 5) & (capitals > CAPITAL_SHARE * n), "capitals")
-            .when((n >= 4) & (menu > MENU_SHARE * n), "navigation")
+            F.when(100 * symbols > SYMBOL_PCT * n, "symbols")
+            .when((n >= 5) & (100 * shouted > SYMBOL_PCT * n), "punctuation")
+            .when((n >= 5) & (100 * capitals > CAPITAL_PCT * n), "capitals")
+            .when((n >= 4) & (100 * menu > MENU_PCT * n), "navigation")
             .when(line.rlike(BOILERPLATE), "boilerplate")
         )
 
@@ -47,14 +51,14 @@ def scored_lines(lines: Column) -> Column:
 
 
 def clean(
-    df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, max_lost: float = MAX_LOST
+    df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, max_lost_pct: int = MAX_LOST_PCT
 ) -> DataFrame:
     """One row per row of ``df``: key, measures of the text, its cleaned text and whether it is kept.
 
     Every line is tested by itself: symbols, shouting punctuation, capitals, navigation and boilerplate. Lines that
     fail, and those equal to an earlier line, are removed; what is left, joined by line feeds, is ``cleaned``. A
     document is kept unless the base rules fail it (fewer than ``min_words`` words, or more than half of them in
-    windows of three words that repeat) or it loses more than ``max_lost`` of its word characters.
+    windows of three words that repeat) or it loses more than ``max_lost_pct`` percent of its word characters.
 
     Null and empty texts have no words, so the base rules reject them; ``cleaned`` is empty then. Very long texts are
     handled whole, in the row. Repeated rows give the same result each. Other columns are not read.
@@ -113,5 +117,5 @@ def clean(
         (F.col("word_chars") - left).cast("long").alias("lost_chars"),
         F.array_join("good", "\n").alias("cleaned"),
     )
-    kept = ~F.col("base_failed") & (F.col("lost_chars") <= max_lost * F.col("word_chars"))
+    kept = ~F.col("base_failed") & (100 * F.col("lost_chars") <= max_lost_pct * F.col("word_chars"))
     return w.withColumn("kept", kept).withColumnRenamed("key", key)

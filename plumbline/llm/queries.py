@@ -123,7 +123,36 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"))
 
 
-@register("op4_line_first_cleaning")
+OP4_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
+win AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win
+    FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p
+    FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS c FROM win) WHERE c > 1) GROUP BY rid),
+line AS (SELECT rid, x FROM (SELECT rid, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]')),
+dup AS (SELECT rid, count(*) - count(DISTINCT x) AS n FROM line GROUP BY rid),
+parted AS (SELECT rid, x, regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+') AS w FROM (SELECT DISTINCT rid, x FROM line)),
+judged AS (SELECT rid, x, 100 * len(regexp_extract_all(x, '[#*$%&|<>]')) > 10 * len(w)
+    OR len(w) >= 5 AND 100 * len(regexp_extract_all(x, '!!|\\?\\?|[.]{4}')) > 10 * len(w)
+    OR len(w) >= 5 AND 100 * len(list_filter(w, lambda y: regexp_matches(y, '\\p{Lu}.*\\p{Lu}') AND NOT regexp_matches(y, '\\p{Ll}'))) > 50 * len(w)
+    OR len(w) >= 4 AND 100 * len(list_filter(w, lambda y: regexp_matches(y, '^[|»›•·>/]$'))) > 30 * len(w)
+    OR regexp_matches(x, '{boilerplate}') AS failed FROM parted),
+good AS (SELECT rid, coalesce(sum(length(regexp_replace(x, '[\\x20\\x09-\\x0D]+', '', 'g'))) FILTER (WHERE NOT failed), 0) AS chars,
+    count(*) FILTER (WHERE failed) AS failed FROM judged GROUP BY rid),
+m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+    coalesce(good.failed, 0) AS n_failed_lines, length(array_to_string(w, '')) - coalesce(good.chars, 0) AS lost_chars
+    FROM w LEFT JOIN rep USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN good USING (rid)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+    n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+    NOT base_failed AND 100 * lost_chars <= 30 * word_chars AS kept,
+    n_failed_lines::BIGINT AS n_failed_lines, lost_chars::BIGINT AS lost_chars FROM f
+""".replace("{boilerplate}", quality.BOILERPLATE)
+
+
+@register("op4_line_first_cleaning", OP4_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.clean(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -132,7 +161,23 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("op6_stupid_backoff")
+OP6_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+tok AS (SELECT rid, w[i] AS x, CASE WHEN i > 1 THEN w[i - 1] END AS p FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+uni AS (SELECT x, count(*) AS c FROM tok GROUP BY x),
+bi AS (SELECT p, x, count(*) AS c FROM tok WHERE p IS NOT NULL GROUP BY p, x),
+every AS (SELECT count(*) AS n FROM tok),
+each AS (SELECT rid, CASE WHEN bi.c >= 2 THEN ln(bi.c / ctx.c::DOUBLE)
+    WHEN t.p IS NOT NULL THEN ln(uni.c / every.n::DOUBLE) + ln(0.4::DOUBLE) ELSE ln(uni.c / every.n::DOUBLE) END AS s
+    FROM tok t JOIN uni ON t.x = uni.x CROSS JOIN every
+    LEFT JOIN bi ON bi.p = t.p AND bi.x = t.x LEFT JOIN uni ctx ON ctx.x = t.p),
+total AS (SELECT rid, count(*) AS n_words, sum(s) AS s FROM each GROUP BY rid)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, round(coalesce(s, 0.0), 3) AS log_score,
+    round(s / n_words, 4) AS per_word FROM d LEFT JOIN total USING (rid)
+"""
+
+
+@register("op6_stupid_backoff", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = backoff.scored(table(spark, sf_dir, "documents"))
     per_word = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))

@@ -10,7 +10,7 @@ from plumbline.llm.common import row_key
 
 SHARDS = 8
 SEED = 11
-#: Text bytes that a bucket holds on average; one task holds one bucket at a time.
+#: Text bytes that a bucket holds on average; a task holds one bucket, or the few that fall into its partition.
 BUCKET_BYTES = 8 << 20
 
 
