@@ -289,11 +289,11 @@ def first_names(where: str) -> str:
 
 @register(
     "r3_report_actions",
-    f"{with_columns('labelled')}, a AS (SELECT 1 AS o, 'Remove ' || {fixed('pct', 1)} || '% duplicate rows to improve data quality' AS action"
+    f"{with_columns('labelled')}, a AS (SELECT 1 AS o, 'Drop repeated rows (' || {fixed('pct', 1)} || '% of all)' AS action"
     f" FROM (SELECT {DUPLICATE_PCT} AS pct FROM src) WHERE pct > 5"
-    f" UNION ALL SELECT 2, 'Address missing values in critical columns: ' || {first_names('non_null_pct < 90')}"
-    f" UNION ALL SELECT 3, 'Investigate outliers in: ' || {first_names('outliers_count > 0')}),"
-    " b AS (SELECT * FROM a WHERE action IS NOT NULL UNION ALL SELECT 4, 'Data quality is good - proceed with analysis'"
+    f" UNION ALL SELECT 2, 'Fill or explain the gaps in: ' || {first_names('non_null_pct < 90')}"
+    f" UNION ALL SELECT 3, 'Look into unusual values in: ' || {first_names('outliers_count > 0')}),"
+    " b AS (SELECT * FROM a WHERE action IS NOT NULL UNION ALL SELECT 4, 'Nothing stands out; the table can be used as it is'"
     " WHERE NOT EXISTS (SELECT 1 FROM a WHERE action IS NOT NULL))"
     " SELECT 'labelled' AS dataset, row_number() OVER (ORDER BY o) AS action_no, action FROM b",
 )
@@ -434,15 +434,15 @@ PAIR_TEXT = f"column1 || '-' || column2 || ' (' || {fixed('r', 2)} || ')'"
     "r11_exploration_digest",
     recommendations_sql("measured")
     + f""", hc AS (SELECT *, row_number() OVER (ORDER BY ordinal1, ordinal2) AS k, count(*) OVER () AS m FROM pairs WHERE abs(r) > 0.7),
-    x AS (SELECT 1 AS o, '• 5 numerical columns with distributions analyzed' AS line
-    UNION ALL SELECT 2, '• Highly skewed distributions: ' || string_agg(name, ', ' ORDER BY ordinal) FROM cp WHERE abs(skewness) > 1
-    UNION ALL SELECT 3, '• 3 categorical columns analyzed'
-    UNION ALL SELECT 4, '• High cardinality categoricals: ' || string_agg(name, ', ' ORDER BY ordinal) FROM cp WHERE name IN ('text', 'lang', 'source') AND n_unique > 50
-    UNION ALL SELECT 5, '• Strong correlations detected: ' || string_agg({PAIR_TEXT}, ', ' ORDER BY k) FILTER (k <= 3) || CASE WHEN any_value(m) > 3 THEN ' and ' || CAST(any_value(m) - 3 AS VARCHAR) || ' more' ELSE '' END FROM hc
-    UNION ALL SELECT 6, '• ' || CAST(sum(outliers_count) AS VARCHAR) || ' outliers detected across ' || CAST(count(*) AS VARCHAR) || ' columns' FROM cp WHERE outliers_count > 0
-    UNION ALL SELECT 7, '• ' || CAST(sum(n_rows - non_null) AS VARCHAR) || ' missing values across ' || CAST(count(*) AS VARCHAR) || ' columns' FROM cp WHERE n_rows > non_null
-    UNION ALL SELECT 8, '• ' || CAST(count(*) AS VARCHAR) || ' data quality recommendations identified' FROM rec)
-    SELECT chr(10) || '## Data Science Exploration Insights:' || chr(10) || string_agg(chr(10) || line, '' ORDER BY o) AS digest FROM x WHERE line IS NOT NULL""",
+    x AS (SELECT 1 AS o, '• Number columns: 5' AS line
+    UNION ALL SELECT 2, '• Skewed: ' || string_agg(name, ', ' ORDER BY ordinal) FROM cp WHERE abs(skewness) > 1
+    UNION ALL SELECT 3, '• Text columns: 3'
+    UNION ALL SELECT 4, '• Many distinct values: ' || string_agg(name, ', ' ORDER BY ordinal) FROM cp WHERE name IN ('text', 'lang', 'source') AND n_unique > 50
+    UNION ALL SELECT 5, '• Correlated: ' || string_agg({PAIR_TEXT}, ', ' ORDER BY k) FILTER (k <= 3) || CASE WHEN any_value(m) > 3 THEN ' and ' || CAST(any_value(m) - 3 AS VARCHAR) || ' more' ELSE '' END FROM hc
+    UNION ALL SELECT 6, '• Outliers: ' || CAST(sum(outliers_count) AS VARCHAR) || ' in ' || CAST(count(*) AS VARCHAR) || ' columns' FROM cp WHERE outliers_count > 0
+    UNION ALL SELECT 7, '• Missing values: ' || CAST(sum(n_rows - non_null) AS VARCHAR) || ' in ' || CAST(count(*) AS VARCHAR) || ' columns' FROM cp WHERE n_rows > non_null
+    UNION ALL SELECT 8, '• Recommendations: ' || CAST(count(*) AS VARCHAR) FROM rec)
+    SELECT chr(10) || '## Exploration' || chr(10) || string_agg(chr(10) || line, '' ORDER BY o) AS digest FROM x WHERE line IS NOT NULL""",
 )
 def r11_exploration_digest(spark, sf_dir):
     return R.exploration_digest(source(spark, sf_dir, "measured"))
@@ -462,6 +462,7 @@ def r12_report_header(spark, sf_dir):
 # -- V: claims -----------------------------------------------------------------
 
 _NUM, _CNT, _SP = r"(\d+(?:\.\d+)?)", r"(\d+(?:,\d+)*)", SPACE + "*"
+# What counts as a claim.
 CLAIM_PATTERNS = (
     ("percentage", rf"{_NUM}{_SP}%{_SP}(missing|null|empty|complete|non-null)"),
     ("percentage", rf"{_NUM}{_SP}%{_SP}(duplicate|duplicated)"),

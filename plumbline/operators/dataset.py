@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,33 +108,27 @@ def outlier_table(df: DataFrame) -> DataFrame:
     return out.select("name", "outliers_count", share.alias("outliers_pct")).orderBy(F.desc("outliers_count"), "name")
 
 
-def recommendations(df: DataFrame) -> DataFrame:
-    """(rule, columns): rules that fire and the columns that make them, by physical type."""
-    from .columns import iqr_outliers
-    from .frequency import n_unique
+def recommendations(df: DataFrame, columns: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """(rule, columns): rules that fire and the columns that make them, by physical type.
 
+    Drawn from the column profile and the correlations, which may be given.
+    """
     df = normalise(df)
     strings = [f.name for f in fields(df) if f.kind == "string"]
     numbers = [f.name for f in number_fields(df)]
-
-    def rule(name: str, found: DataFrame) -> DataFrame:
-        names = F.array_sort(F.collect_set("name"))  # column names: bounded by the schema
-        return found.agg(names.alias("columns")).select(F.lit(name).alias("rule"), "columns").where(F.size("columns") > 0)
-
-    out = rule("high_missing", missing_by_column(df).where("missing_pct > 30"))
-    if len(numbers) > 1:
-        high = high_correlations(correlations(df), 0.8)
-        out = out.unionByName(
-            rule("high_correlation", high.select(F.explode(F.array("column1", "column2")).alias("name")))
-        )
-    if numbers:
-        out = out.unionByName(rule("outliers", iqr_outliers(df).where(F.col("outliers_count") > F.col("n_rows") * 0.05)))
-    if strings:
-        n_rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-        out = out.unionByName(
-            rule("high_cardinality", n_unique(df, names=strings).where(F.col("n_unique") > n_rows * 0.5))
-        )
-    return out
+    columns = settle(profile_columns(df)) if columns is None else columns
+    pairs = correlations(df) if pairs is None else pairs
+    n = F.col("n_rows")
+    ends = high_correlations(pairs, 0.8).select(F.explode(F.array("column1", "column2")).alias("name"))
+    found = {
+        "high_missing": columns.where(percent(n - F.col("non_null"), n) > 30),
+        "high_correlation": ends,
+        "outliers": columns.where(F.col("name").isin(numbers) & (F.col("outliers_count") > n * 0.05)),
+        "high_cardinality": columns.where(F.col("name").isin(strings) & (F.col("n_unique") > n * 0.5)),
+    }
+    # One row per column name and rule: bounded by the schema.
+    named = reduce(DataFrame.unionByName, (t.select(F.lit(r).alias("rule"), "name") for r, t in found.items()))
+    return named.groupBy("rule").agg(F.array_sort(F.collect_set("name")).alias("columns"))
 
 
 # -- relations over the column profile -----------------------------------------
