@@ -53,5 +53,6 @@ def running_total(df: DataFrame, group: str, cell: str, order: list[Column], val
     )
     inside = Window.partitionBy(group, cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = df.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    joined = local.join(offsets, (F.col(group) == F.col("g_")) & (F.col(cell) == F.col("c_")))
+    # Both sides are dealt by group and cell already.
+    joined = local.join(offsets.hint("merge"), (F.col(group) == F.col("g_")) & (F.col(cell) == F.col("c_")))
     return joined.withColumn(out, F.col(out) + F.col("offset_")).drop("g_", "c_", "offset_")

@@ -133,7 +133,8 @@ def mix(
     cut = cut.select(
         "place", "block", "at", "key", "epoch", (first - F.col("from_")).alias("start"), (last - first).alias("n_words")
     )
-    pieces = cut.join(ranked, ["place", "block"]).select(
+    # Exploded rows are more than the planner expects: no side of these joins may be broadcast on its word.
+    pieces = cut.join(ranked.hint("merge"), ["place", "block"]).select(
         "slot", "place", "block", "at", "key", "epoch", "start", "n_words"
     )
     return Mix(members, sources.select("place", "source_size", "target", "take"), pieces)
@@ -145,7 +146,7 @@ def taken(mixed: Mix) -> DataFrame:
     used = mixed.pieces.groupBy("place", "at").agg(F.sum("n_words").alias("used_"))
     m = mixed.members.withColumn("at_", F.when(F.col("size") > 0, F.col("at")))
     used = used.select(F.col("place").alias("p_"), F.col("at").alias("a_"), "used_")
-    m = m.join(used, (F.col("place") == F.col("p_")) & (F.col("at_") == F.col("a_")), "left")
+    m = m.join(used.hint("merge"), (F.col("place") == F.col("p_")) & (F.col("at_") == F.col("a_")), "left")
     m = m.join(mixed.sources, "place")
     return m.select(
         "key", "size", "source", "source_size", "target", F.coalesce("used_", F.lit(0)).cast("long").alias("taken"), "k1", "k2"
