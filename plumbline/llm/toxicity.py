@@ -22,10 +22,14 @@ THRESHOLD = 0.3
 DECAY = 0.8
 #: Places of the second and third character of a subsequence after its first: up to two gaps.
 OFFSETS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
-#: A longer token is scored in overlapping pieces.
+#: The same for subsequences of four characters, with one gap at most; they are numbered by remainder.
+OFFSETS_4 = ((1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4))
+REMAINDERS = 524_287
+#: A longer token is scored in overlapping pieces, short enough that a word in it stands out.
 PIECE = 28
-STEP = 14
+PART, STEP = 9, 2
 SYMBOLS = 64
+NUMBERS = SYMBOLS**3 + REMAINDERS
 CACHE = 400_000
 
 NO_LETTER = re.compile(r"[\W_]+")
@@ -53,11 +57,11 @@ def bare(token: str) -> str:
 
 
 def pieces(token: str) -> list[str]:
-    return [token] if len(token) <= PIECE else [token[k : k + PIECE] for k in range(0, len(token) - STEP, STEP)]
+    return [token] if len(token) <= PIECE else [token[k : k + PART] for k in range(0, len(token) - PART + STEP, STEP)]
 
 
 def features(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Per string the numbers of its gapped subsequences of three characters, and their weights (0: none).
+    """Per string the numbers of its gapped subsequences of three and four characters, and their weights (0: none).
 
     A weight is the decay to the power of the gaps; rows have length 1, counting each place by itself.
     """
@@ -72,26 +76,40 @@ def features(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         b, c = text[:, i : i + width], text[:, j : j + width]
         codes.append((a * SYMBOLS + b) * SYMBOLS + c)
         weights.append(np.where(c > 0, DECAY ** (j - 2), 0.0))
+    for i, j, k in OFFSETS_4:
+        b, c, d = text[:, i : i + width], text[:, j : j + width], text[:, k : k + width]
+        codes.append(SYMBOLS**3 + (((a * SYMBOLS + b) * SYMBOLS + c) * SYMBOLS + d) % REMAINDERS)
+        weights.append(np.where(d > 0, DECAY ** (k - 3), 0.0))
     code, weight = np.concatenate(codes, 1), np.concatenate(weights, 1)
     norm = np.sqrt((weight**2).sum(1, keepdims=True))
     return code, weight / np.maximum(norm, 1e-9)
 
 
-def expanded(strings: list[str]) -> np.ndarray:
-    """Landmark strings as columns over all subsequence numbers."""
-    code, weight = features(strings)
-    out = np.zeros((len(strings), SYMBOLS**3))
-    for k in range(len(strings)):
-        np.add.at(out[k], code[k], weight[k])
-    return out.T.copy()
+class Landmarks:
+    """Landmark strings as columns over the subsequences that one of them has."""
 
+    def __init__(self, strings: list[str]):
+        self.strings = strings
+        code, weight = features(strings)
+        self.codes = np.unique(code[weight > 0])
+        self.row = np.full(NUMBERS, len(self.codes), np.int32)
+        self.row[self.codes] = np.arange(len(self.codes), dtype=np.int32)
+        self.grid = np.zeros((len(self.codes) + 1, len(strings)), np.float32)  # the last row is for all others
+        for k in range(len(strings)):
+            there = weight[k] > 0
+            np.add.at(self.grid[:, k], self.row[code[k][there]], weight[k][there])
+
+    def kernel(self, strings: list[str]) -> np.ndarray:
+        out = np.empty((len(strings), self.grid.shape[1]))
+        for k in range(0, len(strings), 128):
+            code, weight = features(strings[k : k + 128])
+            out[k : k + 128] = np.einsum("np,npm->nm", weight.astype(np.float32), self.grid[self.row[code]])
+        return out
 
-def kernel(strings: list[str], landmarks: np.ndarray) -> np.ndarray:
-    out = np.empty((len(strings), landmarks.shape[1]))
-    for k in range(0, len(strings), 256):
-        code, weight = features(strings[k : k + 256])
-        out[k : k + 256] = np.einsum("np,npm->nm", weight, landmarks[code])
-    return out
+    def slopes(self, coefficients: np.ndarray) -> np.ndarray:
+        out = np.zeros(NUMBERS, np.float32)
+        out[self.codes] = self.grid[:-1] @ coefficients
+        return out
 
 
 def support_vectors(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -129,7 +147,7 @@ class Model:
 
 NOTHING = -1.5
 #: Weight of a clean token that scored among the highest.
-HARD = 5.0
+HARD = 1.5
 
 
 class Scorer:
@@ -139,8 +157,6 @@ class Scorer:
         self.model, self.cache = model, {}
 
     def learn(self, new: list[str]) -> None:
-        if len(self.cache) + len(new) > CACHE:
-            self.cache = {}
         strings, owner = [], []
         for t in new:
             for p in pieces(bare(t)):
@@ -158,14 +174,12 @@ class Scorer:
         for k, text in enumerate(texts):
             if not text:
                 continue
+            if len(self.cache) > CACHE:
+                self.cache = {}
             found = tokens(text)
             new = [t for t in found if t not in self.cache]
             if new:
                 self.learn(new)
-                # The bound may have emptied what was known before.
-                missing = [t for t in found if t not in self.cache]
-                if missing:
-                    self.learn(missing)
             out[k] = max(map(self.cache.get, found), default=NOTHING)
         return out
 
@@ -175,21 +189,25 @@ def stems(token: str) -> list[str]:
     return [token[:k] for k in range(min(4, len(token)), len(token) + 1)]
 
 
-def witnesses(positive: list[set[str]], clean: list[set[str]], limit: int = 400) -> list[str]:
-    """Tokens of the positive texts that share a telling stem, most frequent first.
+def witnesses(positive: list[set[str]], clean: list[set[str]], limit: int = 400) -> list[tuple[str, int]]:
+    """Tokens of the positive texts that share a telling stem, and in how many they are, most frequent first.
 
     Telling stems are those in 2 % of the positive texts, and a greedy cover: a rarer stem counts only
     for texts that none before it explains, so copies of a text add nothing of their own. A stem must be
     at least 20 times as frequent in positive texts as in clean ones, and explain more texts than chance
     would for some stem.
     """
+    # Counted by hash first: most stems are too rare to be kept as text.
+    seen = [np.fromiter({hash(s) for t in found for s in stems(t)}, np.int64) for found in positive]
+    values, counts = np.unique(np.concatenate(seen), return_counts=True)
+    rate = len(positive) / (len(positive) + len(clean))
+    least = max(3, math.ceil(0.6 * math.log(max(2, len(values))) / -math.log(rate)))
+    frequent = set(values[counts >= least].tolist())
     at: dict[str, set[int]] = {}
     for k, found in enumerate(positive):
         for s in {s for t in found for s in stems(t)}:
-            at.setdefault(s, set()).add(k)
-    rate = len(positive) / (len(positive) + len(clean))
-    least = max(3, math.ceil(0.6 * math.log(max(2, len(at))) / -math.log(rate)))
-    at = {s: k for s, k in at.items() if len(k) >= least}
+            if hash(s) in frequent:
+                at.setdefault(s, set()).add(k)
     negative = Counter(s for found in clean for s in {s for t in found for s in stems(t)} if s in at)
     pure = {s: k for s, k in at.items() if negative[s] * len(positive) <= 0.05 * len(k) * len(clean)}
     order = sorted(pure, key=lambda s: (-len(pure[s]), -len(s), s))
@@ -203,7 +221,7 @@ def witnesses(positive: list[set[str]], clean: list[set[str]], limit: int = 400)
         order = [s for s in order if len(pure[s] & open_) >= least]
     chosen += [s for s, k in pure.items() if len(k) >= max(2 * least, 0.02 * len(positive))]
     tokens_ = Counter(t for found in positive for t in found if t.startswith(tuple(chosen))) if chosen else Counter()
-    return [t for t, _ in sorted(tokens_.items(), key=lambda x: (-x[1], x[0]))[:limit]]
+    return sorted(tokens_.items(), key=lambda x: (-x[1], x[0]))[:limit]
 
 
 def sentences(text: str) -> list[str]:
@@ -234,29 +252,36 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, seed: in
     if not positive or not clean:
         return None
     negative = Counter(t for b in clean for t in b)
-    telling = [t for t in witnesses(positive, clean) if len(t) > 2]
-    if not telling:
+    found = [(t, n) for t, n in witnesses(positive, clean) if len(t) > 2]
+    if not found:
         return None
+    telling = [t for t, _ in found]
+    often = np.sqrt([n for _, n in found])
     rng = np.random.default_rng(seed)
     others = sorted(negative)
     other = [others[k] for k in rng.choice(len(others), min(len(others), 4000), replace=False)]
-    chosen = [*telling[: landmarks // 2], *other[: landmarks - min(len(telling), landmarks // 2)]]
-    grid = expanded(chosen)
-    root = np.linalg.eigh(kernel(chosen, grid))
-    good = root[0] > 1e-6 * root[0].max()
-    to_z = root[1][:, good] / np.sqrt(root[0][good])
     yes = telling + with_gaps(telling, rng)
-    model, strict = None, set()
+    model, strict = None, []
     for _ in range(3):
+        # A third each: telling tokens, clean tokens that were taken for such, and any.
+        third = landmarks // 3
+        chosen = [*telling[:third], *strict[:third]]
+        chosen += other[: landmarks - len(chosen)]
+        marks = Landmarks(list(dict.fromkeys(chosen)))
+        root = np.linalg.eigh(marks.kernel(marks.strings))
+        good = root[0] > 1e-6 * root[0].max()
+        to_z = root[1][:, good] / np.sqrt(root[0][good])
         strings = yes + other
         y = np.r_[np.ones(len(yes)), -np.ones(len(other))]
-        balance = np.r_[np.full(len(yes), len(other) / len(yes)), np.array([HARD if t in strict else 1.0 for t in other])]
-        w = support_vectors(kernel(strings, grid) @ to_z, y, balance)
-        model = Model((grid @ (to_z @ w[:-1])).astype(np.float32), float(w[-1]), 1.0, 0.0)
+        balance = np.r_[4 * often / often.mean(), np.ones(len(yes) - len(telling))] * len(other) / len(yes)
+        feared = set(strict)
+        balance = np.r_[balance, np.array([HARD if t in feared else 1.0 for t in other])]
+        w = support_vectors(marks.kernel(strings) @ to_z, y, balance)
+        model = Model(marks.slopes(to_z @ w[:-1]), float(w[-1]), 1.0, 0.0)
         margins = np.concatenate([model.margins(others[k : k + 4096]) for k in range(0, len(others), 4096)])
         hard = [others[k] for k in np.argsort(-margins)[:1500]]
         other = sorted({*other, *hard})
-        strict |= set(hard[:300])
+        strict = list(dict.fromkeys([*hard[:300], *strict]))
     best = dict(zip(others, margins.tolist(), strict=True))
     top_clean = np.array([max((best[t] for t in b), default=NOTHING) for b in clean])
     unseen = sorted({t for b in positive for t in b} - best.keys())
