@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,38 +16,39 @@ MIN_WORDS = 50
 #: A line fails if it has more symbols, in percent of its words, ...
 SYMBOL_PCT = 10
 #: ... or, with five words or more, as many marks of shouting or trailing off, ...
-SHOUTED = "!!|\\?\\?|[.]{4}"
-#: ... more words in capitals, ...
+SHOUTED = ("!!", "??", "....")
+#: ... more words in capitals (two next to each other, no small letter), ...
 CAPITAL_PCT = 50
 #: ... with four words or more, more separators of menus, ...
 MENU_PCT = 30
-SEPARATOR = "^[|»›•·>/]$"
+SEPARATORS = "|»›•·>/"
 #: ... or if it has one of these fixed phrases of sites, licences and scripts.
 BOILERPLATE = (
-    "(?i)(all rights reserved|copyright \\(c\\)|released under the |licensed under the |permission is hereby granted"
-    "|terms of (use|service)|privacy policy|cookie policy|accept (all )?cookies|click here to|sign up for our|subscribe to our"
-    "|enable javascript|lorem ipsum)"
-)
+    "all rights reserved", "copyright (c)", "released under the ", "licensed under the ", "permission is hereby granted",
+    "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "accept all cookies",
+    "click here to", "sign up for our", "subscribe to our", "enable javascript", "lorem ipsum",
+)
 #: A document is rejected if it loses more than this of its word characters, in percent.
 MAX_LOST_PCT = 30
 
 
-def scored_lines(lines: Column) -> Column:
-    """Per line: the line, its word characters, and why it fails (null: it stays)."""
+def scored_lines(lines: Column, n_symbols: Column) -> Column:
+    """Per line: the line, and why it fails (null: it stays). Cheap tests come first and spare most lines the rest."""
+    any_of = lambda line, marks: reduce(lambda x, y: x | y, (F.contains(line, F.lit(m)) for m in marks))
 
     def reason(line: Column) -> Column:
         w = words(line)
         n = F.size(w)
         symbols = F.regexp_count(line, F.lit(SYMBOLS))
-        shouted = F.regexp_count(line, F.lit(SHOUTED))
-        capitals = F.size(F.filter(w, lambda x: x.rlike("\\p{Lu}.*\\p{Lu}") & ~x.rlike("\\p{Ll}")))
-        menu = F.size(F.filter(w, lambda x: x.rlike(SEPARATOR)))
+        shouted = sum((F.regexp_count(line, F.lit(re.escape(m))) for m in SHOUTED), F.lit(0))
+        capitals = F.size(F.filter(w, lambda x: x.rlike("\\p{Lu}\\p{Lu}") & ~x.rlike("\\p{Ll}")))
+        menu = F.size(F.filter(w, lambda x: x.isin(*SEPARATORS)))
         return (
-            F.when(100 * symbols > SYMBOL_PCT * n, "symbols")
-            .when((n >= 5) & (100 * shouted > SYMBOL_PCT * n), "punctuation")
-            .when((n >= 5) & (100 * capitals > CAPITAL_PCT * n), "capitals")
-            .when((n >= 4) & (100 * menu > MENU_PCT * n), "navigation")
-            .when(line.rlike(BOILERPLATE), "boilerplate")
+            F.when((n_symbols > 0) & (100 * symbols > SYMBOL_PCT * n), "symbols")
+            .when(any_of(line, SHOUTED) & (n >= 5) & (100 * shouted > SYMBOL_PCT * n), "punctuation")
+            .when(line.rlike("\\p{Lu}\\p{Lu}") & (n >= 5) & (100 * capitals > CAPITAL_PCT * n), "capitals")
+            .when(any_of(line, SEPARATORS) & (n >= 4) & (100 * menu > MENU_PCT * n), "navigation")
+            .when(any_of(F.lower(line), BOILERPLATE), "boilerplate")
         )
 
     return F.transform(lines, lambda x: F.struct(x.alias("line"), reason(x).alias("reason")))
@@ -66,17 +70,15 @@ def clean(
     t = F.coalesce(col(text), F.lit(""))
     d = df.select(col(key).alias("key"), t.alias("t")).withColumn("w", words(F.col("t")))
     n = F.size("w")
-    w = d.withColumn(
-        "windows",
-        F.when(
-            n >= 3,
-            F.transform(
-                F.sequence(F.lit(1), n - 2),
-                lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1), F.element_at("w", i + 2)),
-            ),
-        ),
-    )
-    w = w.withColumn("some_repeat", F.coalesce(F.size(F.array_distinct("windows")) < F.size("windows"), F.lit(False)))
+    def windows(make) -> Column:
+        return F.transform(F.sequence(F.lit(0), n - 3), lambda i: make(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
+
+    # Windows whose hashes all differ are all different; only the others are compared as text.
+    hashes = F.when(n >= 3, windows(F.xxhash64))
+    w = d.withColumn("hashes", hashes)
+    w = w.withColumn("some_repeat", F.coalesce(F.size(F.array_distinct("hashes")) < F.size("hashes"), F.lit(False)))
+    blank = F.lit(" ")
+    w = w.withColumn("windows", F.when(F.col("some_repeat"), windows(lambda x, y, z: F.concat(x, blank, y, blank, z))))
     # Sorted with their places, equal windows are neighbours.
     placed = F.sort_array(F.transform("windows", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
     w = w.withColumn("placed", F.when(F.col("some_repeat"), placed))
@@ -98,10 +100,11 @@ def clean(
         F.coalesce(F.when(F.col("some_repeat"), covered), F.lit(0)).cast("long").alias("n_repeat_words"),
         lines.alias("lines"),
     )
-    w = w.withColumn("unique_lines", F.array_distinct("lines")).withColumn("judged", scored_lines(F.col("unique_lines")))
+    w = w.withColumn("unique_lines", F.array_distinct("lines")).withColumn("judged", scored_lines(F.col("unique_lines"), F.col("n_symbols")))
     w = w.withColumn("good", F.transform(F.filter("judged", lambda x: x["reason"].isNull()), lambda x: x["line"]))
     failed = F.transform(F.filter("judged", lambda x: x["reason"].isNotNull()), lambda x: x["reason"])
     left = F.length(F.regexp_replace(F.array_join("good", ""), "[\\x20\\x09-\\x0D]+", ""))
+    left = F.when(F.size("good") == F.size("lines"), F.col("word_chars")).otherwise(left)
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     w = w.select(
         "key",

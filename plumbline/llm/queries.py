@@ -134,10 +134,10 @@ line AS (SELECT rid, x FROM (SELECT rid, unnest(string_split(t, chr(10))) AS x F
 dup AS (SELECT rid, count(*) - count(DISTINCT x) AS n FROM line GROUP BY rid),
 parted AS (SELECT rid, x, regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+') AS w FROM (SELECT DISTINCT rid, x FROM line)),
 judged AS (SELECT rid, x, 100 * len(regexp_extract_all(x, '[#*$%&|<>]')) > 10 * len(w)
-    OR len(w) >= 5 AND 100 * len(regexp_extract_all(x, '!!|\\?\\?|[.]{4}')) > 10 * len(w)
-    OR len(w) >= 5 AND 100 * len(list_filter(w, lambda y: regexp_matches(y, '\\p{Lu}.*\\p{Lu}') AND NOT regexp_matches(y, '\\p{Ll}'))) > 50 * len(w)
+    OR len(w) >= 5 AND 100 * (len(regexp_extract_all(x, '!!')) + len(regexp_extract_all(x, '\\?\\?')) + len(regexp_extract_all(x, '[.]{4}'))) > 10 * len(w)
+    OR len(w) >= 5 AND 100 * len(list_filter(w, lambda y: regexp_matches(y, '\\p{Lu}\\p{Lu}') AND NOT regexp_matches(y, '\\p{Ll}'))) > 50 * len(w)
     OR len(w) >= 4 AND 100 * len(list_filter(w, lambda y: regexp_matches(y, '^[|»›•·>/]$'))) > 30 * len(w)
-    OR regexp_matches(x, '{boilerplate}') AS failed FROM parted),
+    OR {boilerplate} AS failed FROM parted),
 good AS (SELECT rid, coalesce(sum(length(regexp_replace(x, '[\\x20\\x09-\\x0D]+', '', 'g'))) FILTER (WHERE NOT failed), 0) AS chars,
     count(*) FILTER (WHERE failed) AS failed FROM judged GROUP BY rid),
 m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
@@ -149,7 +149,7 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
     n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
     NOT base_failed AND 100 * lost_chars <= 30 * word_chars AS kept,
     n_failed_lines::BIGINT AS n_failed_lines, lost_chars::BIGINT AS lost_chars FROM f
-""".replace("{boilerplate}", quality.BOILERPLATE)
+""".replace("{boilerplate}", " OR ".join(f"contains(lower(x), '{m}')" for m in quality.BOILERPLATE))
 
 
 @register("op4_line_first_cleaning", OP4_SQL)
