@@ -125,6 +125,15 @@ SOURCES: dict[str, tuple[dict[str, str], str]] = {
         " o_orderstatus, CAST(o_totalprice AS VARCHAR(20)) AS o_totalprice,"
         " CAST(CAST(o_orderdate AS DATE) AS VARCHAR(20)) AS o_orderdate, o_orderpriority FROM orders",
     ),
+    # A date layout per column.
+    "orders_dates": (
+        {"zoned": "string", "fraction": "string", "minutes": "string", "slashes": "string", "month": "string", "named": "string", "mixed": "string"},
+        "SELECT concat(d, 'T10:20:30+02:00') AS zoned, concat(d, 'T10:20:30.125') AS fraction, concat(d, ' 10:05') AS minutes,"
+        " concat(CAST(CAST(substr(d, 6, 2) AS INT) AS VARCHAR(2)), '/', CAST(CAST(substr(d, 9, 2) AS INT) AS VARCHAR(2)), '/', substr(d, 1, 4)) AS slashes,"
+        " substr(d, 1, 7) AS month, concat(substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(substr(d, 6, 2) AS INT) * 3 - 2, 3), ' ',"
+        " substr(d, 9, 2), ', ', substr(d, 1, 4)) AS named, CASE WHEN o_orderkey % 2 = 0 THEN d ELSE concat(d, ' 10:05') END AS mixed"
+        " FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR(20)) AS d FROM orders) x",
+    ),
     "status_priority": (
         {"o_orderstatus": "string", "o_orderpriority": "string"},
         "SELECT o_orderstatus, o_orderpriority FROM orders",

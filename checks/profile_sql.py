@@ -9,14 +9,24 @@ SPACE = (
 )
 NUMBER = rf"^{SPACE}*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?{SPACE}*$"
 
+MONTHS = (
+    "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?"
+    "|nov(?:ember)?|dec(?:ember)?"
+)
+# Shape, rewrite to ISO order, and what else the rewrite needs: a month by name, a zone.
 DATES = (
-    (r"^(\d{4})-(\d{2})-(\d{2})$", r"\1-\2-\3"),
-    (r"^(\d{4}-\d{2}-\d{2}) (\d{2}:\d{2}:\d{2}(\.\d{1,6})?)$", r"\1 \2"),
-    (r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2}:\d{2})$", r"\1 \2"),
-    (r"^(\d{2})/(\d{2})/(\d{4})$", r"\3-\1-\2"),
-    (r"^(\d{4})/(\d{2})/(\d{2})$", r"\1-\2-\3"),
-    (r"^(\d{4})(\d{2})(\d{2})$", r"\1-\2-\3"),
-    (r"^(\d{4})$", r"\1-01-01"),
+    (r"^(\d{4})-(\d{2})-(\d{2})$", r"\1-\2-\3", ""),
+    (r"^(\d{4}-\d{2}-\d{2}) (\d{2}:\d{2}:\d{2}(\.\d{1,6})?)$", r"\1 \2", ""),
+    (r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2}:\d{2}(\.\d{1,6})?)$", r"\1 \2", ""),
+    (r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?)(Z|[+-]\d{2}:\d{2})$", r"\1 \2\3", "zone"),
+    (r"^(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2})$", r"\1 \2:00", ""),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", r"\3-\1-\2", ""),
+    (r"^(\d{4})/(\d{2})/(\d{2})$", r"\1-\2-\3", ""),
+    (r"^(\d{4})(\d{2})(\d{2})$", r"\1-\2-\3", ""),
+    (r"^(\d{4})-(\d{2})$", r"\1-\2-01", ""),
+    (r"^(\d{4})$", r"\1-01-01", ""),
+    (rf"(?i)^({MONTHS}) (\d{{1,2}}),? (\d{{4}})$", r"\3-\1-\2", "month"),
+    (rf"(?i)^(\d{{1,2}})[ -]({MONTHS})[ -](\d{{4}})$", r"\3-\2-\1", "month"),
 )
 
 
@@ -37,8 +47,16 @@ def num(x: str) -> str:
 
 
 def date(x: str, i: int) -> str:
-    shape, iso = DATES[i]
-    ts = f"CASE WHEN regexp_matches({x}, '{shape}') THEN try_cast(regexp_replace({x}, '{shape}', '{iso}') AS TIMESTAMP) END"
+    shape, rewrite, extra = DATES[i]
+    iso = f"regexp_replace({x}, '{shape}', '{rewrite}')"
+    if extra == "month":
+        name = f"left(regexp_extract({iso}, '[A-Za-z]+'), 3)"
+        number = f"CAST((strpos('janfebmaraprmayjunjulaugsepoctnovdec', lower({name})) + 2) // 3 AS VARCHAR)"
+        iso = f"regexp_replace({iso}, '[A-Za-z]+', {number})"
+    parsed = f"try_cast({iso} AS TIMESTAMP)"
+    if extra == "zone":
+        parsed = f"make_timestamp(epoch_us(try_cast({iso} AS TIMESTAMPTZ)))"
+    ts = f"CASE WHEN regexp_matches({x}, '{shape}') THEN {parsed} END"
     return f"CASE WHEN year({ts}) BETWEEN 1678 AND 2261 THEN {ts} END"
 
 

@@ -87,8 +87,7 @@ def a4_sample_rows(spark, sf_dir):
 
 @register("a4_sample_rows_large", SAMPLE.format(n=5000))
 def a4_sample_rows_large(spark, sf_dir):
-    """The path that large samples take."""
-    return S.sample_rows(table(spark, sf_dir, "orders"), 5000, "o_orderkey", small=1000).select("o_orderkey")
+    return S.sample_rows(table(spark, sf_dir, "orders"), 5000, "o_orderkey").select("o_orderkey")
 
 
 @register("a5_preview", f"SELECT event_id, user_id, event_type, {rnd('value')} AS value FROM events ORDER BY event_id LIMIT 10")
@@ -96,6 +95,19 @@ def a5_preview(spark, sf_dir):
     return S.preview(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"), 10, "event_id")
 
 
+PREVIEW = "SELECT event_id, user_id, event_type, {value} FROM events ORDER BY event_id LIMIT {n}"
+
+
+@register("a5_preview_short", PREVIEW.format(value=rnd("value") + " AS value", n=3))
+def a5_preview_short(spark, sf_dir):
+    return S.preview(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"), 3, "event_id")
+
+
+@register("a5_preview_long", PREVIEW.format(value=rnd("value") + " AS value", n=2000))
+def a5_preview_long(spark, sf_dir):
+    return S.preview(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"), 2000, "event_id")
+
+
 DTYPES = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint", "quality": "int", "toxic": "int"}
 CASE_DTYPE = "CASE name " + " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in DTYPES.items()) + " END"
 
@@ -143,6 +155,13 @@ def b1_infer_types_text(spark, sf_dir):
     return T.infer_types(source(spark, sf_dir, "orders_text"))
 
 
+@register("b1_infer_types_dates", columns_sql("orders_dates", pick("ordinal", "name", "inferred_type", "min_date", "max_date", "coverage_days")))
+def b1_infer_types_dates(spark, sf_dir):
+    """A column per date layout, and one that mixes two."""
+    p = C.profile_columns(source(spark, sf_dir, "orders_dates"))
+    return p.select("ordinal", "name", "inferred_type", "min_date", "max_date", "coverage_days")
+
+
 # Number-like texts that engines disagree on when cast without a shape test.
 SPOILERS = ("'1d'", "'1_000'", "'1,000'", "'.5'", "'5.'", "'1e3'", "'+7'", "'abc'", "''", "'0x1F'", "'--1'", "'NaN'")
 
@@ -161,6 +180,9 @@ def b2_to_numeric(spark, sf_dir):
     return df.select("o_orderkey", to_numeric(F.col("raw")).alias("value"))
 
 
+MONTH_NO = "CAST(CAST(substr(d, 6, 2) AS INT) AS VARCHAR(2))"
+DAY_NO = "CAST(CAST(substr(d, 9, 2) AS INT) AS VARCHAR(2))"
+MONTH_NAME = "substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(substr(d, 6, 2) AS INT) * 3 - 2, 3)"
 LAYOUTS = (
     "substr(d, 1, 10)",
     "concat(substr(d, 1, 10), ' 10:20:30.5')",
@@ -172,6 +194,15 @@ LAYOUTS = (
     "concat(substr(d, 1, 8), '32')",
     "'899'",
     "'no date'",
+    "concat(substr(d, 1, 10), 'T10:20:30.125')",
+    "concat(substr(d, 1, 10), 'T10:20:30Z')",
+    "concat(substr(d, 1, 10), 'T01:20:30.5+02:30')",
+    "concat(substr(d, 1, 10), ' 10:05')",
+    f"concat({MONTH_NO}, '/', {DAY_NO}, '/', substr(d, 1, 4))",
+    "substr(d, 1, 7)",
+    f"concat({MONTH_NAME}, ' ', {DAY_NO}, ', ', substr(d, 1, 4))",
+    f"concat({DAY_NO}, '-', {MONTH_NAME}, '-', substr(d, 1, 4))",
+    "concat('Smarch 3, ', substr(d, 1, 4))",
 )
 DATED = (
     "SELECT o_orderkey, CASE "
@@ -309,7 +340,7 @@ def c10_no_numbers(spark, sf_dir):
 
 TOP = (
     " SELECT name, rank, value, cnt AS count, {pct} AS frequency_pct FROM (SELECT *, sum(cnt) OVER (PARTITION BY ordinal) AS total,"
-    " row_number() OVER (PARTITION BY ordinal ORDER BY cnt DESC, k0, k1, k2) AS rank FROM freq) WHERE rank <= 5"
+    " row_number() OVER (PARTITION BY ordinal ORDER BY cnt DESC, k0, value) AS rank FROM freq) WHERE rank <= 5"
 ).format(pct=rnd("cnt * 100.0 / total"))
 
 
@@ -319,6 +350,16 @@ def c11_top_values(spark, sf_dir):
     return Q.top_values(source(spark, sf_dir, "troubled"), 5, names)
 
 
+@register(
+    "c11_value_counts",
+    "SELECT 'text' AS name, text AS value, count(*) AS cnt FROM documents WHERE text IS NOT NULL GROUP BY text"
+    " UNION ALL SELECT 'lang', lang, count(*) FROM documents WHERE lang IS NOT NULL GROUP BY lang",
+)
+def c11_value_counts(spark, sf_dir):
+    """Whole values, however long."""
+    return Q.value_counts(table(spark, sf_dir, "documents"), ["text", "lang"])
+
+
 @register("c12_rare_values", with_columns("troubled") + " SELECT name, rare AS rare_values FROM raw")
 def c12_rare_values(spark, sf_dir):
     return Q.rare_values(source(spark, sf_dir, "troubled"))
@@ -420,8 +461,8 @@ def c23_describe(spark, sf_dir):
     "c24_category_summary",
     value_rows("documents", ("string",))
     + """, r AS (SELECT *, count(*) OVER (PARTITION BY ordinal) AS n_unique,
-      row_number() OVER (PARTITION BY ordinal ORDER BY cnt DESC, k1, k2) AS rank,
-      row_number() OVER (PARTITION BY ordinal ORDER BY cnt, k1 DESC, k2 DESC) AS back FROM freq)
+      row_number() OVER (PARTITION BY ordinal ORDER BY cnt DESC, value) AS rank,
+      row_number() OVER (PARTITION BY ordinal ORDER BY cnt, value DESC) AS back FROM freq)
       SELECT r.name, r.n_unique, m.value AS most_frequent, m.cnt AS most_frequent_count, l.value AS least_frequent,
       r.rank, r.value, r.cnt AS count FROM r JOIN r m ON m.ordinal = r.ordinal AND m.rank = 1
       JOIN r l ON l.ordinal = r.ordinal AND l.back = 1 WHERE r.rank <= 10""",
@@ -533,6 +574,21 @@ def d6_correlations(spark, sf_dir):
     return R.correlations(source(spark, sf_dir, "labelled"))
 
 
+@register(
+    "d6_correlations_by_segment",
+    " UNION ALL ".join(
+        f"SELECT lang, '{a}' AS column1, '{b}' AS column2, {rnd(f'corr({a}, {b})')} AS correlation FROM"
+        f" ({SOURCES['labelled'][1]}) WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY lang"
+        if "toxic" not in (a, b) and "quality" not in (a, b)
+        else f"SELECT lang, '{a}', '{b}', CASE WHEN min({a}) < max({a}) AND min({b}) < max({b}) THEN {rnd(f'corr({a}, {b})')} END FROM"
+        f" ({SOURCES['labelled'][1]}) WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY lang"
+        for a, b in (("doc_id", "n_chars"), ("doc_id", "quality"), ("doc_id", "toxic"), ("n_chars", "quality"), ("n_chars", "toxic"), ("quality", "toxic"))
+    ),
+)
+def d6_correlations_by_segment(spark, sf_dir):
+    return R.correlations(source(spark, sf_dir, "labelled"), by=["lang"]).select("lang", "column1", "column2", "correlation")
+
+
 @register("d7_high_correlations", pairs_sql("related") + f"SELECT column1, column2, {rnd('r')} AS correlation FROM pairs WHERE abs(r) > 0.7")
 def d7_high_correlations(spark, sf_dir):
     return R.high_correlations(R.correlations(source(spark, sf_dir, "related")))

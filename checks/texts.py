@@ -374,7 +374,7 @@ def blocks_sql(name: str) -> str:
     ]
     return (
         f"{with_columns(name)}, {freq}, {ISSUE_ROWS}, iss AS (SELECT ordinal, string_agg({LABELS}, ', ' ORDER BY pos) AS labels, count(*) AS flags FROM i GROUP BY ordinal),"
-        " top AS (SELECT * FROM freq QUALIFY row_number() OVER (PARTITION BY ordinal ORDER BY cnt DESC, k0, k1, k2) = 1),"
+        " top AS (SELECT * FROM freq QUALIFY row_number() OVER (PARTITION BY ordinal ORDER BY cnt DESC, k0, value) = 1),"
         f" blk AS (SELECT cp.ordinal, cp.name, coalesce(iss.flags, 0) AS flags, concat_ws(chr(10), {', '.join(lines)}) AS block"
         " FROM cp LEFT JOIN iss ON iss.ordinal = cp.ordinal LEFT JOIN top ON top.ordinal = cp.ordinal)"
     )

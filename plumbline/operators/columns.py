@@ -14,15 +14,16 @@ from .frequency import (
     SAMPLE_VALUES,
     TOP_VALUES,
     RARE_SHARE,
-    by_count,
     frequencies,
+    most_frequent,
     of_columns,
     ranked,
     restore,
     value_digest,
 )
-from .ranking import DISTINCT_IN_ONE_TASK, QUARTILES, quantiles_by_slice
-from .schema import Field, balance, fields, normalise, number_fields
+from ..session import settle
+from .ranking import QUARTILES, quantiles_by_slice
+from .schema import Field, fields, normalise, number_fields
 from .types import Facts, look, physical_type, string_type
 
 OUTLIER_REACH = 1.5
@@ -64,17 +65,22 @@ def signs(x: Column) -> dict[str, Column]:
     }
 
 
+# Sums of squares below this are rounding noise of a constant column.
+FLAT = 1e-14
+
+
 def skew(x: Column) -> Column:
     """Bias-adjusted skewness; 0 for fewer than three values or a constant."""
     n = F.count(x).cast("double")
-    return F.coalesce(F.when(n > 2, F.sqrt(n * (n - 1)) / (n - 2) * F.skewness(x)), F.lit(0.0))
+    varies = (n > 2) & (F.var_pop(x) * n >= FLAT)
+    return F.coalesce(F.when(varies, F.sqrt(n * (n - 1)) / (n - 2) * F.skewness(x)), F.lit(0.0))
 
 
 def excess_kurtosis(x: Column) -> Column:
     """Bias-adjusted excess kurtosis; 0 for fewer than four values or a constant."""
     n = F.count(x).cast("double")
     adjusted = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6)
-    return F.coalesce(F.when(n > 3, adjusted), F.lit(0.0))
+    return F.coalesce(F.when((n > 3) & (F.var_pop(x) * n >= FLAT), adjusted), F.lit(0.0))
 
 
 def iso(ts: Column) -> Column:
@@ -168,53 +174,50 @@ def empty_rate(df: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 def _numeric_counts(freq: DataFrame, facts: Sequence[Facts]) -> DataFrame:
     """Frequency table with ``v``, the value as double where its column can be numeric."""
-    parsed = [x.field.ordinal for x in facts if x.may_be_numeric or x.field.kind in ("decimal", "float")]
+    parsed = [x.field.ordinal for x in facts if x.may_be_numeric or x.field.kind == "decimal"]
     text = F.when(F.col("ordinal").isin(parsed), to_numeric(F.col("txt"))) if parsed else F.lit(None).cast("double")
-    return freq.withColumn("v", F.coalesce(F.col("lng").cast("double"), F.col("dbl"), text))
-
-
-def _wide(facts: Sequence[Facts]) -> list[Facts]:
-    """Number columns with too many values to count in one task."""
-    return [x for x in facts if (x.field.is_number or x.may_be_numeric) and x.distinct > DISTINCT_IN_ONE_TASK]
+    return freq.withColumn("v", F.coalesce(F.col("lng").cast("double"), F.col("dbl"), F.col("flt").cast("double"), text))
 
 
 def _quartiles(freq: DataFrame, facts: Sequence[Facts], by: Sequence[str], extra: dict[str, Column]) -> DataFrame:
-    """(by, ordinal, extra.., quartiles) from the frequency table."""
+    """(by, ordinal, extra.., quartiles) from the settled frequency table."""
     keys = [col(k) for k in by] + [F.col("ordinal")]
     counts = _numeric_counts(freq, facts)
-    wide = _wide(facts)
-    v = F.col("v")
-    if wide:
-        v = F.when(~F.col("ordinal").isin([x.field.ordinal for x in wide]), v)
-    exact = F.percentile(v, F.array(*(F.lit(p) for p in QUARTILES)), F.col("cnt"))
-    out = counts.groupBy(*keys).agg(*(e.alias(n) for n, e in extra.items()), exact.alias("quartiles"))
-    if not wide:
-        return out
-    large = counts.where(of_columns([x.field.ordinal for x in wide])).where("v IS NOT NULL")
-    large = quantiles_by_slice(large.select(*keys, "v", "cnt"), sum(x.distinct for x in wide), by)
-    large = large.withColumnRenamed("quartiles", "_q")
-    for k in [*by, "ordinal"]:
-        large = large.withColumnRenamed(k, f"_{k}")
+    found = quantiles_by_slice(counts.where("v IS NOT NULL").select(*keys, "v", "cnt"), by)
+    if not extra:
+        return found
+    return _attach(counts.groupBy(*keys).agg(*(e.alias(n) for n, e in extra.items())), found, by)
+
+
+# Parts into which the values of a column and segment are dealt for a join.
+SALTS = 32
+
+
+def _beside(freq: DataFrame, right: DataFrame, by: Sequence[str], on_column: bool = True) -> DataFrame:
+    """The frequency table, each row with what ``right`` has for its segment (and column).
+
+    Without segments that is one row per column of the schema, and broadcast. With
+    segments one of them may hold most values, so its rows are dealt to several keys.
+    """
+    names = [*by, "ordinal"] if on_column else list(by)
+    for k in names:
+        right = right.withColumnRenamed(k, f"_{k}")
     on = F.lit(True)
-    for k in [*by, "ordinal"]:
+    for k in names:
         on = on & col(k).eqNullSafe(col(f"_{k}"))
-    return (
-        out.join(large, on, "left")
-        .withColumn("quartiles", F.coalesce("quartiles", "_q"))
-        .drop("_q", *[f"_{k}" for k in [*by, "ordinal"]])
-    )
+    if not by:
+        return freq.join(F.broadcast(right), on).drop(*[f"_{k}" for k in names])
+    salted = freq.withColumn("_salt", F.pmod(F.xxhash64("ordinal", "lng", "dbl", "flt", "txt"), F.lit(SALTS)).cast("int"))
+    right = right.withColumn("_salt_no", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = salted.join(right, on & (F.col("_salt") == F.col("_salt_no")))
+    return joined.drop("_salt", "_salt_no", *[f"_{k}" for k in names])
 
 
 def _counts_with(
     freq: DataFrame, facts: Sequence[Facts], first: DataFrame, by: Sequence[str], names: Sequence[str]
 ) -> DataFrame:
     """The frequency table, each row with first-round statistics of its column."""
-    right = first.select(*[col(k).alias(f"_{k}") for k in by], F.col("ordinal").alias("_o"), *names)
-    on = F.col("ordinal") == F.col("_o")
-    for k in by:
-        on = on & col(k).eqNullSafe(col(f"_{k}"))
-    # Without segments there is one row per column of the schema.
-    return _numeric_counts(freq, facts).join(right if by else F.broadcast(right), on)
+    return _beside(_numeric_counts(freq, facts), first.select(*[col(k) for k in by], "ordinal", *names), by)
 
 
 def _outside(q1: Column, q3: Column) -> Column:
@@ -255,10 +258,6 @@ def _first_round() -> dict[str, Column]:
     }
 
 
-# Sums of squares below this are rounding noise of a constant column.
-FLAT = 1e-14
-
-
 def _second_round() -> dict[str, Column]:
     """Outliers and central moments, given the quartiles and the mean of the first round.
 
@@ -296,7 +295,7 @@ def quartiles(df: DataFrame, exact: bool = True, names: list[str] | None = None)
         ps = list(QUARTILES)
         out = by_column(df, fields(df), lambda f: {"quartiles": F.percentile_approx(f.number, ps, 10000)})
     else:
-        found = _quartiles(frequencies(df, facts), facts, (), {})
+        found = _quartiles(settle(frequencies(df, facts)), facts, (), {})
         out = by_column(df, fields(df), lambda f: {"non_null": F.count(f.value)}).join(
             F.broadcast(found), "ordinal", "left"
         )
@@ -307,7 +306,7 @@ def quartiles(df: DataFrame, exact: bool = True, names: list[str] | None = None)
 def iqr_outliers(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(name, n_rows, non_null, outliers_count, outliers_pct): share of the non-null values."""
     df, facts = _number_facts(df, names)
-    freq = frequencies(df, facts)
+    freq = settle(frequencies(df, facts))
     found = _outliers(freq, facts, _quartiles(freq, facts, (), {}), ())
     base = by_column(df, fields(df), lambda f: {"n_rows": F.count(F.lit(1)), "non_null": F.count(f.value)})
     n = F.coalesce("outliers_count", F.lit(0))
@@ -336,7 +335,7 @@ def describe(df: DataFrame, names: list[str] | None = None) -> DataFrame:
         },
     )
     q = F.col("quartiles")
-    found = _quartiles(frequencies(df, facts), facts, (), {})
+    found = _quartiles(settle(frequencies(df, facts)), facts, (), {})
     wide = base.join(F.broadcast(found), "ordinal", "left")
     order = [("count", F.col("count")), ("mean", F.col("mean")), ("std", F.col("std")), ("min", F.col("min"))]
     order += [("25%", q[0]), ("50%", q[1]), ("75%", q[2]), ("max", F.col("max"))]
@@ -398,7 +397,7 @@ def _attach(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
 def base_columns(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, ordinal, name, inferred_type, n_rows, non_null, n_unique) without the costlier statistics."""
     df = normalise(df)
-    facts = look(df, by, distinct=False)
+    facts = look(df, by)
     first = _pass_one(df, facts, by)
     distinct = (
         frequencies(df, facts, by).groupBy(*[col(k) for k in by], "ordinal").agg(F.count(F.lit(1)).alias("n_unique"))
@@ -444,26 +443,24 @@ def quality_flags(columns: DataFrame) -> DataFrame:
 def profile_columns(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per column (and segment): base counts, the block of its type, and quality flags.
 
-    Two scans feed it: one wide aggregate of cheap counts and one value-frequency
-    table, whose shuffle all other statistics share. Fields that do not apply to a
-    column's type are NULL. An empty table has no rows.
+    Three scans feed it: the facts that decide the plan, one wide aggregate of cheap
+    counts, and one value-frequency table, settled once, that all other statistics
+    read. Fields that do not apply to a column's type are NULL. A table without rows
+    or columns has no rows here.
     """
-    df, total = balance(normalise(df))
-    facts = look(df, by, rows=total)
+    df = normalise(df)
     keys = [col(k) for k in by]
-    first = _pass_one(df, facts, by).where("n_rows > 0")
-    freq = frequencies(df, facts, by)
+    facts = look(df, by)
+    if not facts:
+        return profile_columns(df.select(*keys, F.lit(None).cast("string").alias("none")).limit(0), by)
+    first = settle(_pass_one(df, facts, by).where("n_rows > 0"))
+    freq = settle(frequencies(df, facts, by))
 
+    sizes = first.groupBy(*keys).agg(F.max("n_rows").alias("_n"))
     if by:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        for k in by:
-            sizes = sizes.withColumnRenamed(k, f"_{k}")
-        on = F.lit(True)
-        for k in by:
-            on = on & col(k).eqNullSafe(col(f"_{k}"))
-        counted, n_rows = freq.join(sizes, on).drop(*[f"_{k}" for k in by]), F.col("_n")
+        counted, n_rows = _beside(freq, sizes, by, on_column=False), F.col("_n")
     else:
-        counted, n_rows = freq, F.lit(total)
+        counted, n_rows = freq, F.lit(sizes.first()["_n"] or 0)
     spread = _quartiles(
         counted,
         facts,
@@ -486,10 +483,10 @@ def profile_columns(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         x.field.ordinal
         for x in facts
         if x.field.kind == "bool"
-        or (x.field.kind == "string" and not x.surely_text and (by or not (x.may_be_numeric or x.formats)))
+        or (x.field.kind == "string" and (by or not (x.may_be_numeric or x.formats)))
     ]
     if listed:
-        top = restore(ranked(freq.where(of_columns(listed)), by_count(), TOP_VALUES, by), df, facts, by)
+        top = most_frequent(freq.where(of_columns(listed)), df, facts, TOP_VALUES, by)
         item = F.struct("value", F.col("cnt").alias("count"))
         out = _attach(out, _listed(top, by, item, "_top"), by)
     else:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import combinations
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .aggregate import EXPRESSIONS_PER_PASS, one_row
+from ..functions.values import col
+from .aggregate import one_row
 from .schema import Field, fields, normalise, number_fields
 
 PAIRS = "ordinal1 int, column1 string, ordinal2 int, column2 string, correlation double"
@@ -18,99 +18,79 @@ PAIRS = "ordinal1 int, column1 string, ordinal2 int, column2 string, correlation
 FLAT = 1e-13
 
 
-def _pairs(df: DataFrame, columns: list[tuple[Field, Column]]) -> DataFrame:
-    """(ordinal1, column1, ordinal2, column2, correlation) for every pair in table order; NULL beside a constant.
+def _pairs(df: DataFrame, columns: list[tuple[Field, Column]], by: Sequence[str] = ()) -> DataFrame:
+    """(by, ordinal1, column1, ordinal2, column2, correlation) for every pair in table order; NULL beside a constant.
 
-    A first scan finds means and gaps. Values are then summed relative to their
-    mean, which keeps plain sums accurate. Columns without gaps share their sums
-    among all pairs, so such a pair costs one expression; only pairs with gaps
-    need sums of their own over the rows where both are present. Each pass is one
-    scan over the columns of its own pairs.
+    A first scan finds means. Values are then summed relative to the mean of the whole
+    table, which keeps plain sums accurate. One more scan sums all pairs in long form: a
+    row gives its present pairs, and map-side sums leave one row per pair and task. The
+    plan and the number of scans stay the same however many columns there are.
     """
-    pairs = list(combinations(columns, 2))
-    if not pairs:
-        return df.sparkSession.createDataFrame([], PAIRS)
-    aggs = [F.count(F.lit(1)).alias("rows")]
+    keys = [col(k) for k in by]
+    if len(columns) < 2:
+        empty = df.select(*keys).limit(0)
+        return empty.select(*keys, F.inline(F.from_json(F.lit("[]"), f"array<struct<{PAIRS.replace(' ', ':').replace(',:', ',')}>>")))
+    aggs = []
     for f, x in columns:
-        aggs += [e.alias(f"{f.ordinal}_{n}") for n, e in (("n", F.count(x)), ("m", F.avg(x)), ("lo", F.min(x)), ("hi", F.max(x)))]
+        aggs += [e.alias(f"{f.ordinal}_{n}") for n, e in (("m", F.avg(x)), ("lo", F.min(x)), ("hi", F.max(x)))]
     got = one_row(df, aggs)
-    whole = {f.ordinal: got[f"{f.ordinal}_n"] == got["rows"] for f, _ in columns}
-    value = {}
-    for f, x in columns:
+
+    def shifted(f: Field, x: Column) -> Column:
         # A constant is shifted by itself: its mean may be off in the last digit.
         flat = got[f"{f.ordinal}_lo"] == got[f"{f.ordinal}_hi"]
-        value[f.ordinal] = x - F.lit(float(got[f"{f.ordinal}_lo" if flat else f"{f.ordinal}_m"] or 0.0))
-
-    def sums(i: int, j: int) -> dict[str, Column]:
-        x, y = value[i], value[j]
-        out = {f"xy_{i}_{j}": F.sum(x * y)}
-        if whole[i] and whole[j]:
-            for k, v in ((i, x), (j, y)):
-                out |= {f"s_{k}": F.sum(v), f"ss_{k}": F.sum(v * v)}
-            return out | {"n": F.count(F.lit(1))}
-        both = lambda e: F.when(x.isNotNull() & y.isNotNull(), e)
-        out[f"n_{i}_{j}"] = F.count(both(F.lit(1)))
-        for k, v in ((i, x), (j, y)):
-            out |= {f"s_{i}_{j}_{k}": F.sum(both(v)), f"ss_{i}_{j}_{k}": F.sum(both(v * v))}
-        return out
-
-    def r(i: int, j: int) -> Column:
-        shared = whole[i] and whole[j]
-        tag = "" if shared else f"_{i}_{j}"
-        n = F.col(f"n{tag}").cast("double")
-        s = lambda k: F.col(f"s{tag}_{k}")
-        ss = lambda k: F.col(f"ss{tag}_{k}")
-        around = lambda k: F.when(n > 0, ss(k) - F.try_divide(s(k) * s(k), n))
-        spread = lambda k: F.when(around(k) > ss(k) * FLAT, around(k))
-        together = F.col(f"xy_{i}_{j}") - F.try_divide(s(i) * s(j), n)
-        exact = F.try_divide(together, F.sqrt(spread(i)) * F.sqrt(spread(j)))
-        return F.when(exact > 1, 1.0).when(exact < -1, -1.0).otherwise(exact)
-
-    parts = []
-    batch: list[tuple[Field, Field]] = []
-    needed: dict[str, Column] = {}
-
-    def flush() -> None:
-        rows = [
-            F.struct(
-                F.lit(a.ordinal).alias("ordinal1"),
-                F.lit(a.name).alias("column1"),
-                F.lit(b.ordinal).alias("ordinal2"),
-                F.lit(b.name).alias("column2"),
-                r(a.ordinal, b.ordinal).alias("correlation"),
-            )
-            for a, b in batch
-        ]
-        parts.append(df.agg(*(e.alias(k) for k, e in needed.items())).select(F.inline(F.array(*rows))))
-        batch.clear()
-        needed.clear()
-
-    for (a, _), (b, _) in pairs:
-        more = sums(a.ordinal, b.ordinal)
-        if batch and len(needed | more) > EXPRESSIONS_PER_PASS:
-            flush()
-        batch.append((a, b))
-        needed |= more
-    flush()
-    return reduce(DataFrame.unionByName, parts)
-
-
-def correlations(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Correlation of every pair of number columns; empty for fewer than two."""
+        return x - F.lit(float(got[f"{f.ordinal}_lo" if flat else f"{f.ordinal}_m"] or 0.0))
+
+    values = df.select(*keys, F.array(*(shifted(f, x) for f, x in columns)).alias("_v"))
+    left = values.select(*keys, "_v", F.posexplode("_v").alias("i", "x")).where("x IS NOT NULL")
+    later = F.slice("_v", F.col("i") + 2, F.lit(len(columns)))
+    both = left.select(*keys, "i", "x", F.posexplode(later).alias("_p", "y")).where("y IS NOT NULL")
+    j = F.col("i") + F.col("_p") + 1
+    x, y = F.col("x"), F.col("y")
+    sums = both.groupBy(*keys, "i", j.alias("j")).agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        F.sum(x).alias("sx"),
+        F.sum(y).alias("sy"),
+        F.sum(x * x).alias("sxx"),
+        F.sum(y * y).alias("syy"),
+        F.sum(x * y).alias("sxy"),
+    )
+    around = lambda s, ss: F.col(ss) - F.col(s) * F.col(s) / F.col("n")
+    spread = lambda s, ss: F.when(around(s, ss) > F.col(ss) * FLAT, around(s, ss))
+    together = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
+    r = F.try_divide(together, F.sqrt(spread("sx", "sxx")) * F.sqrt(spread("sy", "syy")))
+    found = sums.select(*keys, "i", "j", F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r).alias("correlation"))
+
+    # One row per pair of the schema (and segment): also those that never meet in a row.
+    names = df.sparkSession.createDataFrame([(k, f.ordinal, f.name) for k, (f, _) in enumerate(columns)], "k int, ordinal int, name string")
+    a = names.select(F.col("k").alias("_i"), F.col("ordinal").alias("ordinal1"), F.col("name").alias("column1"))
+    b = names.select(F.col("k").alias("_j"), F.col("ordinal").alias("ordinal2"), F.col("name").alias("column2"))
+    every = F.broadcast(a).join(F.broadcast(b), F.col("_i") < F.col("_j"))
+    out = ["ordinal1", "column1", "ordinal2", "column2", "correlation"]
+    if not by:
+        found = F.broadcast(found)
+        return every.join(found, (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")), "left").select(*out)
+    return found.join(F.broadcast(every), (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j"))).select(*keys, *out)
+
+
+def correlations(df: DataFrame, names: list[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Correlation of every pair of number columns, whole or per segment; empty for fewer than two.
+
+    Per segment, pairs that are never both present have no row.
+    """
     df = normalise(df)
-    return _pairs(df, [(f, f.number) for f in number_fields(df, names)])
+    return _pairs(df, [(f, f.number) for f in number_fields(df, names) if f.name not in by], by)
 
 
-def semantic_correlations(df: DataFrame) -> DataFrame:
+def semantic_correlations(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The same over semantically numeric columns, numbers held as text included."""
     from .types import look
 
     df = normalise(df)
     found = []
-    for x in look(df, distinct=False):
-        if x.numeric_value is not None and not x.formats:
+    for x in look(df):
+        if x.numeric_value is not None and not x.formats and x.field.name not in by:
             found.append((x.field, x.numeric_value))
-    return _pairs(df, found)
+    return _pairs(df, found, by)
 
 
 def high_correlations(pairs: DataFrame, threshold: float = 0.7) -> DataFrame:

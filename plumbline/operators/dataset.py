@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +50,7 @@ def fingerprint(df: DataFrame, names: Sequence[str] | None = None) -> list[Colum
     Grouping by it moves 16 bytes per row instead of the row. The null mask is
     hashed too, because hashes skip NULLs.
     """
-    values = [f.value for f in fields(df) if names is None or f.name in names]
+    values = [f.value for f in fields(df) if names is None or f.name in names] or [F.lit(0)]
     nulls = [v.isNull() for v in values]
     return [
         F.xxhash64(*values, *nulls).alias("_h1"),
@@ -166,12 +166,15 @@ class Profile:
 
     dataset: DataFrame
     columns: DataFrame
-    source: DataFrame | None = None
+    source: DataFrame
+    by: tuple[str, ...] = ()
 
-    @property
-    def correlations(self) -> DataFrame | None:
-        """Pairs over the semantically numeric columns; only a whole table has them."""
-        return None if self.source is None else semantic_correlations(self.source)
+    @cached_property
+    def correlations(self) -> DataFrame:
+        """Pairs over the semantically numeric columns of each dataset; computed and settled at the first use."""
+        pairs = semantic_correlations(self.source, self.by)
+        named = pairs.withColumn("_d", F.concat_ws("/", *[F.coalesce(col(k).cast("string"), F.lit("null")) for k in self.by])) if self.by else pairs
+        return settle(named.withColumnRenamed("_d", "dataset").drop(*self.by) if self.by else named)
 
     @property
     def missing(self) -> DataFrame:
@@ -203,8 +206,8 @@ class Profile:
         return skewed_columns(self.columns)
 
     @property
-    def high_correlations(self) -> DataFrame | None:
-        return None if self.source is None else high_correlations(self.correlations)
+    def high_correlations(self) -> DataFrame:
+        return high_correlations(self.correlations)
 
 
 def quality_insights(columns: DataFrame) -> DataFrame:
@@ -241,7 +244,7 @@ def profile(df: DataFrame, dataset: str = "data", by: Sequence[str] = ()) -> Pro
     columns = settle(profile_columns(df, by))
     row = settle(dataset_row(columns, duplicate_rows(df, by), by))
     name = lambda t: t.withColumn("dataset", label).drop(*by)
-    return Profile(name(row), name(columns), None if by else df)
+    return Profile(name(row), name(columns), df, tuple(by))
 
 
 def dataset_profile(df: DataFrame, dataset: str = "data") -> DataFrame:

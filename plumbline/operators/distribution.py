@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import col
+from ..session import settle
 from .columns import _number_facts, _quartiles, iqr_bounds
 from .frequency import frequencies
 from .ranking import ROWS_PER_SLICE, global_rank
@@ -24,7 +25,7 @@ def _values(df: DataFrame, name: str) -> DataFrame:
 def _quartile_struct(df: DataFrame, name: str) -> Column:
     """Quartiles of one column as a scalar subquery (NULL without values)."""
     df, facts = _number_facts(df, [name])
-    return _quartiles(frequencies(df, facts), facts, (), {}).select("quartiles").scalar()
+    return _quartiles(settle(frequencies(df, facts)), facts, (), {}).select("quartiles").scalar()
 
 
 def bin_layout(df: DataFrame, name: str) -> DataFrame:
@@ -57,21 +58,34 @@ def bin_layout(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def histogram(df: DataFrame, name: str, bins: int | str = "auto") -> DataFrame:
-    """(bin, lo, hi, count) with empty bins; the last bin includes the maximum."""
-    layout = bin_layout(df, name)
-    if bins != "auto":
-        layout = layout.withColumn("bins", F.lit(int(bins)).cast("bigint")).withColumn(
-            "width", (F.col("hi") - F.col("lo")) / F.col("bins")
-        )
-    one = layout.select(F.struct("lo", "width", "bins")).scalar()
-    place = F.least(F.floor((F.col("x") - one["lo"]) / one["width"]), one["bins"] - 1)
+def _even_bins(df: DataFrame, name: str, bins: int) -> DataFrame:
+    """The same row for a given number of bins, without a look at the quartiles."""
+    s = _values(df, name).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    flat = F.col("lo") == F.col("hi")
+    s = s.where("n > 0").withColumn("bins", F.lit(bins).cast("bigint")).withColumn("flat", flat)
+    s = s.withColumn("lo", F.when(F.col("flat"), F.col("lo") - 0.5).otherwise(F.col("lo")))
+    s = s.withColumn("hi", F.when(F.col("flat"), F.col("hi") + 0.5).otherwise(F.col("hi")))
+    return s.select("n", "lo", "hi", ((F.col("hi") - F.col("lo")) / F.col("bins")).alias("width"), "bins")
+
+
+def histogram(df: DataFrame, name: str, bins: int | str = "auto", empty: bool = True) -> DataFrame:
+    """(bin, lo, hi, count); the last bin includes the maximum.
+
+    The automatic width suits the bulk of the values, so a heavy tail may ask for
+    very many bins, nearly all empty. ``empty=False`` returns those that hold values,
+    at most one per distinct value; empty ones come from a range that is dealt to all tasks.
+    """
+    layout = bin_layout(df, name) if bins == "auto" else _even_bins(df, name, int(bins))
+    one = layout.first()
+    if one is None:
+        return df.sparkSession.createDataFrame([], "bin bigint, lo double, hi double, count bigint")
+    lo, width = F.lit(one["lo"]), F.lit(one["width"])
+    place = F.least(F.floor((F.col("x") - lo) / width), F.lit(one["bins"] - 1))
     counts = _values(df, name).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    every = layout.select(
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bins") - 1)).alias("bin"), "lo", "width"
-    )
-    edge = lambda k: F.col("lo") + k * F.col("width")
-    return every.join(counts, "bin", "left").select(
+    if empty:
+        counts = df.sparkSession.range(one["bins"]).withColumnRenamed("id", "bin").join(counts, "bin", "left")
+    edge = lambda k: lo + k * width
+    return counts.select(
         "bin",
         edge(F.col("bin")).alias("lo"),
         edge(F.col("bin") + 1).alias("hi"),
@@ -79,12 +93,15 @@ def histogram(df: DataFrame, name: str, bins: int | str = "auto") -> DataFrame:
     )
 
 
-def kde(df: DataFrame, name: str, grid: int = 200) -> DataFrame:
+def kde(df: DataFrame, name: str, grid: int = 200, cells: int = KDE_POINTS) -> DataFrame:
     """(point, x, density): Gaussian density on a grid from minimum to maximum, bandwidth std * n^(-1/5).
 
-    Values are first gathered into at most KDE_POINTS equal cells, each standing
-    at its mean, so the work on the grid does not grow with the table.
+    Values are first gathered into ``cells`` equal cells, each standing at its mean, so
+    the work on the grid does not grow with the table. The mean takes away the first-order
+    error; what is left is below (cell / bandwidth)^2 / 8 of the curve's peak. A constant
+    has no bandwidth and gives no rows.
     """
+    n_cells = cells
     v = _values(df, name)
     s = v.agg(
         F.count(F.lit(1)).cast("double").alias("n"),
@@ -94,10 +111,10 @@ def kde(df: DataFrame, name: str, grid: int = 200) -> DataFrame:
     )
     one = s.select(F.struct("n", "lo", "hi", "sd")).scalar()
     span = one["hi"] - one["lo"]
-    cell = F.least(F.floor((F.col("x") - one["lo"]) / span * KDE_POINTS), F.lit(KDE_POINTS - 1))
+    cell = F.least(F.floor(F.try_divide(F.col("x") - one["lo"], span) * n_cells), F.lit(n_cells - 1))
     cells = v.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("w"), F.avg("x").alias("m"))
     h = one["sd"] * F.pow(one["n"], F.lit(-0.2))
-    # KDE_POINTS * grid rows at most.
+    # cells * grid rows at most.
     spread = cells.where(h > 0).select("w", "m", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
     at = one["lo"] + F.col("point") * (span / (grid - 1))
     z = (at - F.col("m")) / h
@@ -113,7 +130,7 @@ def outlier_bounds(df: DataFrame, name: str) -> DataFrame:
     df, facts = _number_facts(df, [name])
     q = F.col("quartiles")
     lo, hi = iqr_bounds(q[0], q[2])
-    found = _quartiles(frequencies(df, facts), facts, (), {})
+    found = _quartiles(settle(frequencies(df, facts)), facts, (), {})
     return found.select(q[0].alias("q1"), q[2].alias("q3"), lo.alias("lower_bound"), hi.alias("upper_bound"))
 
 
@@ -153,22 +170,23 @@ def category_counts(df: DataFrame, name: str, k: int = 10) -> DataFrame:
 def missing_raster(df: DataFrame, order_by: str, bands: int = 100) -> DataFrame:
     """(band, name, null_rate): share of missing cells in equal bands of the row order.
 
-    ``order_by`` must be unique. On a dense whole-number key the band is plain
-    arithmetic; other keys are ranked over range partitions.
+    ``order_by`` must be unique and present.
     """
     df = normalise(df)
     cols = fields(df)
     key = col(order_by)
-    s = df.agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    n = s["n"]
-    dense = kind_of(df.schema[order_by].dataType) == "integral" and n > 0 and s["hi"] - s["lo"] + 1 == n
+    n = df.count()
     nulls = [f.value.isNull().cast("int").alias(f"n{f.ordinal}") for f in cols]
-    if dense:
-        rows = df.select((key - F.lit(s["lo"])).cast("bigint").alias("place"), *nulls)
-    else:
-        rows = global_rank(df.select(key.alias("_k"), *nulls), [F.col("_k")], n // ROWS_PER_SLICE + 1)
-        rows = rows.withColumn("place", F.col("rank") - 1)
-    band = F.floor(F.col("place") * bands / F.lit(max(n, 1)))
+    # A band ends before the key whose rank begins the next one. Keys alone are ranked;
+    # rows then find their band among at most ``bands`` borders.
+    place = (F.col("rank") - 1) * bands
+    keys = global_rank(df.select(key.alias("_k")), [F.col("_k")], n // ROWS_PER_SLICE + 1)
+    borders = keys.select("_k", F.floor(place / F.lit(max(n, 1))).alias("band")).groupBy("band").agg(F.min("_k").alias("first"))
+    starts = sorted(borders.collect(), key=lambda r: r["band"])  # at most ``bands`` rows
+    kind = df.schema[order_by].dataType
+    firsts = F.array(*(F.lit(r["first"]).cast(kind) for r in starts))
+    band = F.get(F.array(*(F.lit(r["band"]) for r in starts)), F.size(F.filter(firsts, lambda b: b <= F.col("_k"))) - 1)
+    rows = df.select(key.alias("_k"), *nulls)
     cells = F.array(
         *(F.struct(F.lit(f.name).alias("name"), F.col(f"r{f.ordinal}").alias("null_rate")) for f in cols)
     )

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.values import col, percent
+from ..session import settle
 from .schema import Field, fields, normalise
 from .types import KEY_CHARS, Facts, look
 
 TOP_VALUES = 5
 SAMPLE_VALUES = 3
 RARE_SHARE = 0.01
+# Keys of at most 96 characters: more of them are joined by a shuffle.
+BROADCAST_ROWS = 20_000
 
 
 def text_key(c: Column) -> Column:
@@ -26,10 +30,11 @@ def text_key(c: Column) -> Column:
 
 
 def _channels(f: Field, long_values: bool) -> dict[str, Column]:
-    """Integers and doubles keep their own type, the rest is text; exactly one channel is set."""
+    """Integers, doubles and floats keep their own type, the rest is text; exactly one channel is set."""
     out = {
         "lng": F.lit(None).cast("bigint"),
         "dbl": F.lit(None).cast("double"),
+        "flt": F.lit(None).cast("float"),
         "txt": F.lit(None).cast("string"),
         "digest": F.lit(False),
     }
@@ -37,6 +42,8 @@ def _channels(f: Field, long_values: bool) -> dict[str, Column]:
         out["lng"] = f.value.cast("bigint")
     elif f.dtype == "double":
         out["dbl"] = f.value
+    elif f.dtype == "float":
+        out["flt"] = f.value
     elif long_values:
         out["txt"] = text_key(f.label)
         out["digest"] = F.coalesce(F.length(f.label) > KEY_CHARS, F.lit(False))
@@ -46,7 +53,7 @@ def _channels(f: Field, long_values: bool) -> dict[str, Column]:
 
 
 def frequencies(df: DataFrame, facts: Sequence[Facts], by: Sequence[str] = ()) -> DataFrame:
-    """(by, ordinal, lng, dbl, txt, digest, cnt): one row per distinct value of a column.
+    """(by, ordinal, lng, dbl, flt, txt, digest, cnt): one row per distinct value of a column.
 
     One shuffle for all columns, keyed by column and value, so that it spreads
     over the cluster; map-side counts absorb hot values.
@@ -61,15 +68,15 @@ def frequencies(df: DataFrame, facts: Sequence[Facts], by: Sequence[str] = ()) -
     ]
     return (
         df.select(*keys, F.inline(F.array(*cells)))
-        .where("lng IS NOT NULL OR dbl IS NOT NULL OR txt IS NOT NULL")
-        .groupBy(*keys, "ordinal", "lng", "dbl", "txt", "digest")
+        .where("lng IS NOT NULL OR dbl IS NOT NULL OR flt IS NOT NULL OR txt IS NOT NULL")
+        .groupBy(*keys, "ordinal", "lng", "dbl", "flt", "txt", "digest")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
 
 
 def value_text() -> Column:
     """The counted value as text (the key, for long values)."""
-    return F.coalesce(F.col("lng").cast("string"), F.col("dbl").cast("string"), F.col("txt"))
+    return F.coalesce(F.col("lng").cast("string"), F.col("dbl").cast("string"), F.col("flt").cast("string"), F.col("txt"))
 
 
 def value_digest() -> Column:
@@ -97,10 +104,22 @@ def ranked(freq: DataFrame, order: list[Column], k: int, by: Sequence[str] = ())
     return freq.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def by_count(descending: bool = True) -> list[Column]:
-    """Most (or least) frequent first; ties by value, long values by prefix and digest."""
-    first = F.desc("cnt") if descending else F.asc("cnt")
-    return [first, F.col("lng"), F.col("dbl"), F.left("txt", F.lit(KEY_CHARS)), value_digest()]
+def most_frequent(
+    freq: DataFrame, df: DataFrame, facts: Sequence[Facts], k: int, by: Sequence[str] = (), descending: bool = True
+) -> DataFrame:
+    """The k most (or least) frequent values per column with ``rank`` and ``value``; ties by value, rising (falling).
+
+    Long values are known by prefix and digest only. All that tie with the k-th by
+    count and prefix are restored first, then their texts decide.
+    """
+    way = F.desc if descending else F.asc
+    ends = F.asc if descending else F.desc
+    known = [way("cnt"), ends("lng"), ends("dbl"), ends("flt")]
+    prefix = freq.where("cnt > 0").withColumn("_p", F.left("txt", F.lit(KEY_CHARS)))
+    w = W.partitionBy(*[col(b) for b in by], "ordinal")
+    near = prefix.withColumn("rank", F.rank().over(w.orderBy(*known, ends("_p")))).where(F.col("rank") <= k)
+    full = restore(near.drop("_p"), df, facts, by)
+    return full.withColumn("rank", F.row_number().over(w.orderBy(*known, ends("value")))).where(F.col("rank") <= k)
 
 
 def restore(picked: DataFrame, df: DataFrame, facts: Sequence[Facts], by: Sequence[str] = ()) -> DataFrame:
@@ -119,12 +138,14 @@ def restore(picked: DataFrame, df: DataFrame, facts: Sequence[Facts], by: Sequen
         .where(F.length("_v") > KEY_CHARS)
         .withColumn("_t", text_key(F.col("_v")))
     )
+    picked = settle(picked)
     wanted = picked.where("digest").select(*[col(k) for k in by], "ordinal", "txt").distinct()
     on = (F.col("ordinal") == F.col("_o")) & (F.col("txt") == F.col("_t"))
     for k in by:
         on = on & col(k).eqNullSafe(col(f"_{k}"))
-    # Without segments the wanted side has at most a few rows per column of the schema.
-    small = wanted if by else F.broadcast(wanted)
+    # A few rows per column and segment, as a rule: then the texts are filtered where they are read.
+    n = picked.where("digest").count()
+    small = F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted
     full = (
         source.join(small, on)
         .groupBy(*[col(f"_{k}") for k in by], "_o", "_t")
@@ -134,7 +155,7 @@ def restore(picked: DataFrame, df: DataFrame, facts: Sequence[Facts], by: Sequen
     for k in by:
         back = back & col(k).eqNullSafe(col(f"_{k}"))
     return (
-        picked.join(full if by else F.broadcast(full), back, "left")
+        picked.join(full, back, "left")
         .withColumn("value", F.coalesce("_v", value_text()))
         .drop("_o", "_t", "_v", *[f"_{k}" for k in by])
     )
@@ -147,14 +168,15 @@ def _names(df: DataFrame, facts: Sequence[Facts]) -> Column:
 
 
 def value_counts(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """(name, value, cnt) for every distinct non-null value; long values keep prefix and digest."""
+    """(name, value, cnt) for every distinct non-null value, whole."""
     df = normalise(df)
-    facts = _chosen(df, names)
+    # All values are in the result, so long ones are grouped by themselves.
+    facts = [replace(x, long_values=False) for x in _chosen(df, names)]
     return frequencies(df, facts).select(_names(df, facts).alias("name"), value_text().alias("value"), "cnt")
 
 
 def _chosen(df: DataFrame, names: list[str] | None) -> list[Facts]:
-    return [x for x in look(df, distinct=False) if names is None or x.field.name in names]
+    return [x for x in look(df) if names is None or x.field.name in names]
 
 
 def n_unique(df: DataFrame, exact: bool = True, names: list[str] | None = None) -> DataFrame:
@@ -189,9 +211,9 @@ def top_values(df: DataFrame, k: int = TOP_VALUES, names: list[str] | None = Non
     """(name, rank, value, count, frequency_pct): the k most frequent values, share of non-nulls."""
     df = normalise(df)
     facts = _chosen(df, names)
-    freq = frequencies(df, facts)
+    freq = settle(frequencies(df, facts))
     totals = freq.groupBy("ordinal").agg(F.sum("cnt").alias("total"))
-    picked = restore(ranked(freq, by_count(), k), df, facts).join(F.broadcast(totals), "ordinal")
+    picked = most_frequent(freq, df, facts, k).join(F.broadcast(totals), "ordinal")
     return picked.select(
         _names(df, facts).alias("name"),
         "rank",
@@ -217,16 +239,15 @@ def category_summary(df: DataFrame, k: int = 10) -> DataFrame:
     Columns: name, n_unique, most_frequent, most_frequent_count, least_frequent, rank, value, count.
     """
     df = normalise(df)
-    facts = [x for x in look(df, distinct=False) if x.field.kind == "string"]
-    freq = frequencies(df, facts)
+    facts = [x for x in look(df) if x.field.kind == "string"]
+    freq = settle(frequencies(df, facts))
     size = freq.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n_unique"))
-    top = restore(ranked(freq, by_count(), k), df, facts)
+    top = settle(most_frequent(freq, df, facts, k))
     most = top.where("rank = 1").select(
         "ordinal", F.col("value").alias("most_frequent"), F.col("cnt").alias("most_frequent_count")
     )
     # The end of a list sorted by falling count, ties by rising value.
-    last = [F.asc("cnt"), F.desc("lng"), F.desc("dbl"), F.left("txt", F.lit(KEY_CHARS)).desc(), value_digest().desc()]
-    least = restore(ranked(freq, last, 1), df, facts).select("ordinal", F.col("value").alias("least_frequent"))
+    least = most_frequent(freq, df, facts, 1, descending=False).select("ordinal", F.col("value").alias("least_frequent"))
     out = top.select("ordinal", "rank", "value", F.col("cnt").alias("count"))
     for side in (size, most, least):
         out = out.join(F.broadcast(side), "ordinal")

@@ -13,8 +13,6 @@ from ..session import settle
 
 QUARTILES = (0.25, 0.5, 0.75)
 
-# Up to this many distinct values a column's counts fit one aggregation buffer.
-DISTINCT_IN_ONE_TASK = 1_000_000
 # Rows per slice of a range-partitioned table.
 ROWS_PER_SLICE = 250_000
 
@@ -23,8 +21,10 @@ def sliced(df: DataFrame, order: Sequence[Column], slices: int) -> DataFrame:
     """Range partition by ``order`` and record the slice number, frozen by a checkpoint.
 
     Slice borders come from sampling. Without the checkpoint a lost executor
-    could redraw them between two reads and shift ranks.
+    could redraw them between two reads and shift ranks. One slice has no borders.
     """
+    if slices <= 1:
+        return df.withColumn("slice", F.lit(0))
     return settle(df.repartitionByRange(max(1, slices), *order).withColumn("slice", F.spark_partition_id()))
 
 
@@ -33,27 +33,27 @@ def global_rank(df: DataFrame, order: Sequence[Column], slices: int) -> DataFram
     parts = sliced(df, order, slices)
     sizes = parts.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
     before = W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    # One row per slice: the window and the broadcast are bounded by the slice count.
+    # One row per slice.
     offsets = sizes.select("slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"))
     inside = F.row_number().over(W.partitionBy("slice").orderBy(*order))
     return (
         parts.withColumn("rank", inside)
-        .join(F.broadcast(offsets), "slice")
+        .join(offsets, "slice")
         .withColumn("rank", F.col("rank") + F.col("rows_before"))
         .drop("slice", "rows_before")
     )
 
 
 def quantiles_by_slice(
-    counts: DataFrame, distinct: int, by: Sequence[str], probabilities: Sequence[float] = QUARTILES
+    counts: DataFrame, by: Sequence[str], probabilities: Sequence[float] = QUARTILES
 ) -> DataFrame:
-    """Exact interpolated quantiles of (by, ordinal, v, cnt) for any number of distinct values.
+    """Exact interpolated quantiles of (by, ordinal, v, cnt) for any number of distinct values and segments.
 
     Cumulative counts per slice locate the slices that hold the wanted ranks;
     only those are sorted. Gives (by, ordinal, quartiles array).
     """
     keys = [col(k) for k in by] + [F.col("ordinal")]
-    parts = sliced(counts, [*keys, F.col("v")], distinct // ROWS_PER_SLICE + 1)
+    parts = sliced(counts, [*keys, F.col("v")], counts.count() // ROWS_PER_SLICE + 1)
     sizes = parts.groupBy(*keys, "slice").agg(F.sum("cnt").alias("n"))
     w = W.partitionBy(*keys).orderBy("slice")
     cumulative = sizes.select(

@@ -90,21 +90,3 @@ def normalise(df: DataFrame) -> DataFrame:
             c = c.cast("string").alias(f.name)
         out.append(c)
     return df.select(*out)
-
-
-# Tables of this many rows are worth spreading, and cheap enough to.
-SPREAD_ROWS = (50_000, 1_000_000)
-
-
-def balance(df: DataFrame) -> tuple[DataFrame, int]:
-    """The table and its row count; a small table that few tasks read is spread over the cores.
-
-    A file of one row group is one task, however many cores wait. Large tables
-    come in enough pieces and are never moved.
-    """
-    task = df.select(F.spark_partition_id().alias("task"))
-    s = task.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("task").alias("tasks")).first()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if SPREAD_ROWS[0] < s["n"] <= SPREAD_ROWS[1] and s["tasks"] * 2 <= cores:
-        return df.repartition(cores), s["n"]
-    return df, s["n"]

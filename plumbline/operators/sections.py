@@ -26,6 +26,7 @@ SECTION_ORDER = (
 APPENDED = ("column_profiles",)
 MERGED_BY_LINE = ("data_quality_summary", "data_quality_assessment")
 RAW = "ai_analysis"
+NO_REPORT = "\n## Error\n\nNo text of this report was usable and there is no profile to report on.\n"
 
 
 def extract_sections(df: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -140,8 +141,14 @@ def assemble_chunks(chunks: DataFrame, title: str, at: Column, key: str = "doc_i
 
 
 def choose_report(chunks: DataFrame, statistical: DataFrame, title: str, at: Column, key: str = "doc_id") -> DataFrame:
-    """(key, report, generated): the assembled report, or the statistical one where no chunk is usable."""
+    """(key, report, generated): the assembled report, or the statistical one where no chunk is usable.
+
+    Every key of either side has a row: one with neither gets a report that says so.
+    """
     made = assemble_chunks(chunks, title, at, key)
-    return statistical.select(col(key), F.col("report").alias("_s")).join(made, key, "full").select(
-        col(key), F.coalesce("report", "_s").alias("report"), F.col("report").isNotNull().alias("generated")
+    every = chunks.select(col(key)).union(statistical.select(col(key))).distinct()
+    nothing = F.concat(report_header(F.lit(title), at), F.lit(NO_REPORT))
+    found = every.join(made, key, "left").join(statistical.select(col(key), F.col("report").alias("_s")), key, "left")
+    return found.select(
+        col(key), F.coalesce("report", "_s", nothing).alias("report"), F.col("report").isNotNull().alias("generated")
     )

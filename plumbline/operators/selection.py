@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,9 +15,6 @@ from .aggregate import by_column
 from .schema import fields, normalise
 from .types import look
 
-# Samples up to this size are picked by a bounded heap per task and one merge.
-SMALL_SAMPLE = 100_000
-PREVIEW_ROWS = (5, 1000)
 PREFIX = 4
 
 
@@ -30,46 +27,37 @@ def select_columns(df: DataFrame, names: Sequence[str] | str) -> DataFrame:
     return df.select(*[col(n) for n in wanted])
 
 
-def sample_rows(
-    df: DataFrame, n: int, key: str | Sequence[str], seed: int = 42, small: int = SMALL_SAMPLE
-) -> DataFrame:
+def sample_rows(df: DataFrame, n: int, key: str | Sequence[str], seed: int = 42) -> DataFrame:
     """At most n rows, picked at random but repeatably: those with the smallest md5 of seed and unique key.
 
-    Small samples are a top-n. Large ones would funnel through one task, so the
-    cut is found by counting hash prefixes, and only the rows that share the
-    cut's prefix are ranked.
+    The cut is found over keys alone: counts of hash prefixes name the prefix in
+    which the n-th row falls, and only that prefix's keys are ranked. Rows are then
+    filtered by the cut and never moved.
     """
+    if n < 1:
+        raise ValueError("n must be at least 1")
     keys = [col(k) for k in ([key] if isinstance(key, str) else key)]
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))
-    if n <= small:
-        return df.orderBy(h, *keys).limit(n)
-    return _sample_by_prefix(df, n, h, keys)
-
-
-def _sample_by_prefix(df: DataFrame, n: int, h: Column, keys: list[Column]) -> DataFrame:
-    tagged = df.withColumn("_h", h).withColumn("_p", F.left("_h", F.lit(PREFIX)))
-    sizes = tagged.groupBy("_p").agg(F.count(F.lit(1)).alias("n"))
+    place = F.struct(h.alias("h"), *(k.alias(f"k{i}") for i, k in enumerate(keys)))
+    tagged = df.select(place.alias("place"), F.left(h, F.lit(PREFIX)).alias("p"))
+    sizes = tagged.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
     # One row per prefix, 16 ** PREFIX at most.
-    upto = F.sum("n").over(W.orderBy("_p"))
-    cut = sizes.select("_p", (upto - F.col("n")).alias("before"), upto.alias("upto"))
-    edge = cut.where(F.col("upto") > n).agg(F.min(F.struct("_p", "before")).alias("e")).scalar()
-    whole = tagged.where(F.coalesce(F.col("_p") < edge["_p"], F.lit(True)))
-    place = F.row_number().over(W.partitionBy("_p").orderBy("_h", *keys))
-    part = (
-        tagged.where(F.col("_p") == edge["_p"])
-        .withColumn("_r", place)
-        .where(F.col("_r") <= F.lit(n) - edge["before"])
-        .drop("_r")
-    )
-    return whole.unionByName(part).drop("_h", "_p")
+    upto = F.sum("n").over(W.orderBy("p"))
+    cut = sizes.select("p", (upto - F.col("n")).alias("before"), upto.alias("upto"))
+    edge = cut.where(F.col("upto") >= n).agg(F.min(F.struct("p", "before")).alias("e")).scalar()
+    rank = F.row_number().over(W.partitionBy("p").orderBy("place"))
+    inside = tagged.where(F.col("p") == edge["p"]).withColumn("r", rank)
+    last = inside.where(F.col("r") == F.lit(n) - edge["before"]).agg(F.min("place").alias("place")).scalar()
+    return df.where(F.coalesce(place <= last, F.lit(True)))
 
 
 def preview(df: DataFrame, n: int = 10, order_by: str | Sequence[str] = ()) -> DataFrame:
-    """First n rows by a key (rows have no order of their own); n is held within the preview limits."""
+    """First n rows by a key: rows have no order of their own."""
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
     if not keys:
         raise ValueError("preview needs an order key")
-    n = min(max(n, PREVIEW_ROWS[0]), PREVIEW_ROWS[1])
+    if n < 1:
+        raise ValueError("n must be at least 1")
     return df.orderBy(*[col(k) for k in keys]).limit(n)
 
 
@@ -77,7 +65,7 @@ def column_info(df: DataFrame) -> DataFrame:
     """(ordinal, name, dtype, non_null, null_count, n_unique)."""
     dtypes = {f.ordinal: f.dtype for f in fields(df)}
     df = normalise(df)
-    facts = look(df, distinct=False)
+    facts = look(df)
     n = F.count(F.lit(1))
     base = by_column(
         df, fields(df), lambda f: {"non_null": F.count(f.value), "null_count": n - F.count(f.value)}

@@ -22,19 +22,15 @@ CATEGORICAL_DISTINCT = 50
 # Strings up to this length travel whole; longer ones as this much prefix and a digest.
 KEY_CHARS = 64
 
-SKETCH_ROWS = 1_000_000
-
 
 @dataclass(frozen=True)
 class Facts:
     """What the plan must know about a column before it is built."""
 
     field: Field
-    distinct: int
     may_be_numeric: bool
     formats: tuple[DateFormat, ...]
     long_values: bool
-    surely_text: bool = False
 
     @property
     def numeric_value(self) -> Column | None:
@@ -44,21 +40,17 @@ class Facts:
         return to_numeric(self.field.value) if self.may_be_numeric else None
 
 
-def look(df: DataFrame, by: Sequence[str] = (), distinct: bool = True, rows: int | None = None) -> list[Facts]:
-    """Fetch one row of facts on a normalised table: parse counts, lengths, rough distinct counts.
+def look(df: DataFrame, by: Sequence[str] = ()) -> list[Facts]:
+    """Fetch one row of facts on a normalised table: parse counts and lengths.
 
     Over a whole table a string column is a number (date) candidate only if all
     its values parse. Under ``by`` each segment decides for itself, so one parsed
     value anywhere makes a candidate.
     """
     cols = [f for f in fields(df) if f.name not in by]
-    # No column has more distinct values than the table has rows, so small tables need no sketch.
-    distinct = distinct and (df.count() if rows is None else rows) > SKETCH_ROWS
     aggs: list[Column] = []
     for f in cols:
         i = f.ordinal
-        if distinct and (f.is_number or f.kind == "string"):
-            aggs.append(F.approx_count_distinct(f.value).alias(f"{i}_distinct"))
         if f.kind == "string":
             # Numbers and dates begin alike; one cheap test spares other values all the patterns.
             c = F.when(f.value.rlike(NUMBER_START), f.value)
@@ -71,10 +63,8 @@ def look(df: DataFrame, by: Sequence[str] = (), distinct: bool = True, rows: int
     def facts(f: Field) -> Facts:
         i = f.ordinal
         parsed = lambda k: got[f"{i}_{k}"] > 0 if by else got[f"{i}_{k}"] == got[f"{i}_n"]
-        rough = got.get(f"{i}_distinct") or 0
         return Facts(
             field=f,
-            distinct=rough,
             may_be_numeric=f.kind == "string" and parsed("numeric"),
             formats=tuple(
                 d
@@ -82,8 +72,6 @@ def look(df: DataFrame, by: Sequence[str] = (), distinct: bool = True, rows: int
                 if f.kind == "string" and got[f"{i}_n"] > 0 and parsed(f"date{j}")
             ),
             long_values=(got.get(f"{i}_length") or 0) > KEY_CHARS,
-            # Far beyond the sketch's error from either categorical limit.
-            surely_text=f.kind == "nested" or (f.kind == "string" and not by and rough > max(1000, got[f"{i}_n"] / 2)),
         )
 
     return [facts(f) for f in cols]

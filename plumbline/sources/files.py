@@ -23,15 +23,22 @@ TRUTH = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
 def read_csv(
-    spark: SparkSession, path: str | Sequence[str], null_tokens: Sequence[str] = NULL_TOKENS, infer: bool = True
+    spark: SparkSession,
+    path: str | Sequence[str],
+    null_tokens: Sequence[str] = NULL_TOKENS,
+    infer: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """A CSV table with header; null tokens are missing values; columns of numbers or booleans get their type.
 
     Values are read as text first: the reader's own inference knows one null
     token only and would leave a column with 'NA' in it as text.
+
+    A large file is split among tasks at line feeds. ``multi_line=True`` allows line
+    feeds inside quotes; each file is then read by one task, so give many files.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    raw = spark.read.csv(paths, header=True, inferSchema=False, multiLine=True, escape='"', quote='"', nullValue="")
+    raw = spark.read.csv(paths, header=True, inferSchema=False, multiLine=multi_line, escape='"', quote='"', nullValue="")
     raw = raw.select(*(F.when(~col(c).isin(*null_tokens), col(c)).alias(c) for c in raw.columns))
     if not infer or not raw.columns:
         return raw
@@ -70,5 +77,6 @@ def report_path(source: str) -> str:
 
 
 def write_report(reports: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write (dataset, markdown) as text, one folder per dataset."""
-    reports.select("dataset", F.col("markdown").alias("value")).write.mode(mode).partitionBy("dataset").text(path)
+    """Write (dataset, markdown) as text, one folder per dataset; folders of other datasets stay as they are."""
+    out = reports.select("dataset", F.col("markdown").alias("value")).write.mode(mode)
+    out.option("partitionOverwriteMode", "dynamic").partitionBy("dataset").text(path)

@@ -50,8 +50,8 @@ def test_report_sink(spark, people, tmp_path):
     assert out.endswith("people_report.md")
     back = "\n".join(r.value for r in spark.read.text(f"{out}/dataset=people").collect())
     assert back.startswith("# Data Quality Report\n\n*Generated on 06 May 2024 at 07:08")
-    assert "- **email** (categorical): 20.0% missing values" in back
-    assert "1. Address missing values in critical columns: email" in back
+    assert "- **email** (categorical): 20.0% empty" in back
+    assert "1. Fill or explain the gaps in: email" in back
 
 
 def test_chunks_and_limit(spark, people):

@@ -1,14 +1,19 @@
 """The paths that large tables take, forced on small ones, with one key holding a third of the rows."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import columns as C
 from plumbline.operators import selection as S
-from plumbline.operators import types as T
+from plumbline.operators.correlation import correlations
 from plumbline.operators.distribution import missing_raster
+from plumbline.operators.frequency import frequencies
 from plumbline.operators.ranking import global_rank
+from plumbline.operators.types import look
+from plumbline.plans.report import exploration_digest
 
 
 def skewed(spark, n=3000):
@@ -24,8 +29,6 @@ def skewed(spark, n=3000):
 
 @pytest.fixture()
 def large(monkeypatch):
-    monkeypatch.setattr(C, "DISTINCT_IN_ONE_TASK", 20)
-    monkeypatch.setattr(T, "SKETCH_ROWS", 10)
     monkeypatch.setattr("plumbline.operators.ranking.ROWS_PER_SLICE", 100)
 
 
@@ -40,8 +43,6 @@ def test_sliced_quartiles_equal_numpy(spark, large):
 def test_sliced_profile_equals_direct(spark, monkeypatch):
     df = skewed(spark)
     direct = {r.name: r for r in C.profile_columns(df).collect()}
-    monkeypatch.setattr(C, "DISTINCT_IN_ONE_TASK", 20)
-    monkeypatch.setattr(T, "SKETCH_ROWS", 10)
     monkeypatch.setattr("plumbline.operators.ranking.ROWS_PER_SLICE", 100)
     assert {r.name: r for r in C.profile_columns(df).collect()} == direct
 
@@ -65,12 +66,31 @@ def test_types_are_decided_per_segment(spark):
     assert got == {"n": ("numeric", 29.5, None), "d": ("datetime", None, 27), "t": ("text", None, None)}
 
 
-def test_large_sample_equals_small(spark):
+def test_sample_is_the_smallest_hashes(spark):
     df = spark.range(5000)
-    a = [r.id for r in S.sample_rows(df, 700, "id", small=10).collect()]
-    b = [r.id for r in S.sample_rows(df, 700, "id").collect()]
-    assert sorted(a) == sorted(b) and len(a) == 700
-    assert S.sample_rows(df, 9000, "id", small=10).count() == 5000
+    want = sorted(range(5000), key=lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest())
+    for n in (1, 3, 700, 5000, 9000):
+        assert sorted(r.id for r in S.sample_rows(df, n, "id").collect()) == sorted(want[:n])
+
+
+def test_hot_segment_is_spread_over_tasks(spark):
+    """One segment holds 90 % of the rows, all distinct: no task of the join gets more than a few shares of it."""
+    df = spark.range(40_000).select("id", F.when(F.col("id") % 10 > 0, "hot").otherwise("cold").alias("s"), (F.col("id") * 3).alias("v"))
+    facts = look(df, ["s"])
+    freq = frequencies(df, facts, ["s"])
+    right = df.groupBy("s").agg(F.lit(0).alias("ordinal"), F.max("v").alias("m"))
+    right = right.unionByName(right.withColumn("ordinal", F.lit(2)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.shuffle.partitions", 32)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        sizes = C._beside(freq, right, ["s"]).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", True)
+    assert sum(r["count"] for r in sizes) == 80_000
+    assert max(r["count"] for r in sizes) < 80_000 / 6
 
 
 def test_global_rank(spark):
@@ -87,16 +107,37 @@ def test_raster_of_sparse_key_equals_dense(spark):
     assert dense == sparse
 
 
-def test_profile_scans_the_values_twice(spark, tmp_path):
-    """One scan of cheap counts, one for the frequency table, whatever is derived from it."""
-    path = str(tmp_path / "t")
-    skewed(spark).write.parquet(path)
-    df = C.profile_columns(spark.read.parquet(path))
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    final = plan[plan.index("Final Plan") : plan.rindex("Initial Plan")]
-    assert "ReusedExchange" in final
-    assert not any("BroadcastNestedLoopJoin" in line or "CartesianProduct" in line for line in final.split("\n"))
+def counted(spark, df):
+    """The table, and a function that tells how often it has been read."""
+    seen, n = spark.sparkContext.accumulator(0), df.count()
+
+    def note(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    return df.mapInPandas(note, df.schema), lambda: seen.value / n
+
+
+def test_scans(spark):
+    """However much is derived, the table is read a few times only."""
+    df, scans = counted(spark, skewed(spark))
+    assert C.profile_columns(df).count() == 4
+    assert scans() <= 3
+    df, scans = counted(spark, skewed(spark))
+    assert "Correlated" in exploration_digest(df.withColumn("u", F.col("v") * 2)).first().digest
+    assert scans() < 8
+
+
+def test_many_columns_correlate_in_two_scans(spark):
+    wide = spark.range(200).select(*(((F.col("id") * (k + 3)) % (17 + k)).cast("double").alias(f"c{k}") for k in range(200)))
+    df, scans = counted(spark, wide.withColumn("c7", F.when(F.col("c0") > 3, F.col("c7"))))
+    got = {(r.column1, r.column2): r.correlation for r in correlations(df).collect()}
+    assert len(got) == 199 * 100 and scans() <= 8  # the means take a scan per 100 expressions
+    pdf = wide.toPandas()
+    assert np.isclose(got["c3", "c150"], pdf.c3.corr(pdf.c150))
+    pdf.loc[pdf.c0 <= 3, "c7"] = np.nan
+    assert np.isclose(got["c7", "c50"], pdf.c7.corr(pdf.c50))
 
 
 def test_scan_reads_only_wanted_columns(spark, tmp_path):
