@@ -84,7 +84,7 @@ def g1_low_quality_documents(spark, sf_dir):
 SHORT = (
     "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN concat('# h', repeat(concat(chr(10), '# h'), 8), repeat(' pad', 30)) "
     "WHEN doc_id % 6 = 1 THEN concat('Sadly it was unable to Generate this. ', text) WHEN doc_id % 6 = 2 THEN repeat('a b. ', 30) "
-    "WHEN doc_id % 6 = 3 THEN concat('the cat sat on. a the cat sat once, bathe cat sat on', substr(text, 1, 300), '. x. yes') ELSE substr(text, 1, 400) END AS text FROM documents"
+    "WHEN doc_id % 6 = 3 THEN concat('the cat sat on. a the cat sat once, bathe cat sat on', text, '. x. yes') ELSE concat(text, '. End') END AS text FROM documents"
 )
 
 
@@ -190,7 +190,7 @@ def collapsed_sql(texts: str) -> str:
   SELECT doc_id, CASE WHEN length({strip('x')}) < 100 THEN '**Unable to generate detailed analysis.** The model output was too brief or incomplete.' ELSE x END AS text FROM c"""
 
 
-MARKED = "SELECT doc_id, concat('Response: ', substr(text, 1, CASE WHEN doc_id % 3 = 0 THEN 80 ELSE 900000 END)) AS text FROM documents"
+MARKED = "SELECT doc_id, concat('Response: ', text, CASE WHEN doc_id % 3 = 0 THEN concat(chr(10), chr(10), 'End.', chr(10), 'End.') ELSE '' END) AS text FROM documents"
 
 
 @register("g7_collapse_lines", collapsed_sql(REPORTS))
@@ -508,9 +508,18 @@ def v1_extract_claims(spark, sf_dir):
     return V.extract_claims(reports(spark, sf_dir)).drop("context")
 
 
-@register("v1_extract_claims_documents", f"WITH {claims_sql('SELECT doc_id, text FROM documents')} SELECT doc_id, claim_no, type, text, start, context FROM claims")
+# Claims set into real texts: at their start, at their end, and before every line, numbers varying.
+CLAIMED = (
+    "SELECT doc_id, concat(CASE WHEN doc_id % 3 = 0 THEN concat(CAST(doc_id AS VARCHAR(20)), ' rows, ') ELSE '' END,"
+    " CASE WHEN doc_id % 4 = 1 THEN replace(text, chr(10), concat(chr(10), 'Range: 1.5 to ', CAST(n_chars AS VARCHAR(20)), ', 7,', CAST(100 + doc_id % 900 AS VARCHAR(3)), ' outliers, '))"
+    " ELSE text END, CASE WHEN doc_id % 5 = 2 THEN concat(' ', CAST(doc_id % 100 AS VARCHAR(3)), '% missing, mean ', CAST(doc_id % 7 AS VARCHAR(3)), '.25 and 3days') ELSE '' END) AS text FROM documents"
+)
+
+
+@register("v1_extract_claims_documents", f"WITH {claims_sql(CLAIMED)} SELECT doc_id, claim_no, type, text, start, context FROM claims")
 def v1_extract_claims_documents(spark, sf_dir):
-    return V.extract_claims(table(spark, sf_dir, "documents")).select("doc_id", "claim_no", "type", "text", "start", "context")
+    df = spark.sql(CLAIMED.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+    return V.extract_claims(df).select("doc_id", "claim_no", "type", "text", "start", "context")
 
 
 @register("v2_claim_context", f"WITH {claims_sql(DOCS)} SELECT doc_id, claim_no, context FROM claims")

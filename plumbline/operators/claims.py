@@ -11,6 +11,9 @@ from ..functions.arrays import at, let
 from ..functions.values import WHITESPACE, col, fixed, percent
 
 CONTEXT_CHARS = 50
+# No claim is shorter than this, such as "0day" or "1row".
+MATCH_CHARS = 4
+REACH = 2 * (CONTEXT_CHARS // MATCH_CHARS + 1)
 
 # Stands between the pieces of a text; texts that hold it are cut the slow way.
 MARK = "\u0001"
@@ -76,32 +79,38 @@ def _matches(t: Column, low: Column, kind: str, pattern: str) -> Column:
     number = lambda m, g: F.replace(F.regexp_extract(m, rx, g), F.lit(","), F.lit("")).try_cast("double")
     none = F.lit(None).cast("double")
 
-    def claim(m: Column, p: Column) -> Column:
-        n = F.length(m)
-        lo = F.greatest(p - CONTEXT_CHARS, F.lit(0))
-        before = F.substring(t, lo + 1, p - lo)
-        after = F.substring(t, p + n + 1, F.lit(CONTEXT_CHARS))
+    def claim(m: Column, p: Column, pieces: Column, i: Column) -> Column:
+        # Context comes from the neighbouring pieces: every second one is a match of MATCH_CHARS or
+        # more, so REACH pieces hold it, and no text is walked from its start.
+        first = F.greatest(i - REACH, F.lit(0))
+        before = F.right(F.array_join(F.slice(pieces, first + 1, i - first), ""), F.lit(CONTEXT_CHARS))
+        after = F.left(F.array_join(F.slice(pieces, i + 2, F.lit(REACH)), ""), F.lit(CONTEXT_CHARS))
         return F.struct(
             F.lit(kind).alias("type"),
             m.alias("text"),
             p.alias("start"),
-            (p + n).alias("end"),
+            (p + F.length(m)).alias("end"),
             F.concat(before, F.lit("**"), m, F.lit("**"), after).alias("context"),
             (none if kind == "range" else number(m, 1)).alias("value"),
             (number(m, 1) if kind == "range" else none).alias("min_value"),
             (number(m, 2) if kind == "range" else none).alias("max_value"),
         )
 
-    def found(pieces: Column) -> Column:
-        # Every second piece is a match; it starts where the pieces before it end.
-        lengths = F.transform(pieces, F.length)
+    def starts(pieces: Column) -> Column:
+        """Where each piece begins: one running sum."""
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        step = lambda a, x: F.struct(
+            (a["at"] + F.length(x)).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")
+        )
+        return F.aggregate(pieces, zero, step)["all"]
 
-        def one(ls: Column) -> Column:
-            start = lambda i: F.aggregate(F.slice(ls, F.lit(1), i), F.lit(0), lambda s, n: s + n)
-            every = F.transform(pieces, lambda m, i: F.when(i % 2 == 1, let(start(i), lambda p: claim(m, p))))
+    def found(pieces: Column) -> Column:
+        # Every second piece is a match.
+        def one(places: Column) -> Column:
+            every = F.transform(pieces, lambda m, i: F.when(i % 2 == 1, claim(m, at(places, i), pieces, i)))
             return F.filter(every, lambda c: c.isNotNull())
 
-        return F.when(F.size(pieces) > 1, let(lengths, one))
+        return F.when(F.size(pieces) > 1, let(starts(pieces), one))
 
     hinted = F.lit(False)
     for word in HINTS[kind]:

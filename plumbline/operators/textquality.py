@@ -28,36 +28,36 @@ def repetitive(text: Column) -> Column:
     Counts are of non-overlapping substrings, partial words at the ends included.
     Counting every phrase would be quadratic, so phrases are narrowed first: an
     occurrence shows up as a window whose last three words start with the
-    phrase's. After sorting these tails, one with three occurrences has another
-    that starts with it two places on, and only such phrases are counted.
+    phrase's. After sorting these tails with their places, one with three
+    occurrences has another that starts with it two places on, and only such
+    phrases are counted, until one is found.
     """
 
     def tail(w: Column, i: Column) -> Column:
         blank = F.lit(" ")
         return F.concat(at(w, i + 1), blank, at(w, i + 2), blank, at(w, i + 3))
 
-    def repeated(w: Column) -> Column:
-        return let(
-            F.sort_array(F.transform(w, lambda x, i: tail(w, i))),
-            lambda s: F.array_distinct(F.filter(s, lambda x, r: F.startswith(at(s, r + 2), x))),
-        )
+    def placed(w: Column) -> Column:
+        return F.sort_array(F.transform(w, lambda x, i: F.struct(tail(w, i).alias("t"), i.alias("i"))))
 
-    def phrases(w: Column, tails: Column) -> Column:
-        def phrase(x: Column, i: Column) -> Column:
+    def phrases(w: Column, s: Column) -> Column:
+        # Of equal tails, the last two have no third one behind them: their neighbours tell.
+        third = lambda r: F.startswith(at(s, r + 2)["t"], at(s, r)["t"])
+        same = lambda r, x: F.coalesce(at(s, r)["t"] == x["t"], F.lit(False))
+        hit = lambda r: F.coalesce(third(r), F.lit(False))
+
+        def phrase(x: Column, r: Column) -> Column:
             # The last phrases of a text are occurrences but not candidates.
-            listed = (i <= F.size(w) - 7) & F.array_contains(tails, tail(w, i))
-            return F.when(listed, F.concat(x, F.lit(" "), tail(w, i)))
+            listed = (x["i"] <= F.size(w) - 7) & (hit(r) | (same(r - 1, x) & hit(r - 1)) | (same(r - 2, x) & hit(r - 2)))
+            return F.when(listed, F.concat(at(w, x["i"]), F.lit(" "), x["t"]))
 
-        return F.array_distinct(F.filter(F.transform(w, phrase), lambda p: p.isNotNull()))
+        return F.array_distinct(F.filter(F.transform(s, phrase), lambda p: p.isNotNull()))
 
     def often(t: Column, p: Column) -> Column:
         return (F.length(t) - F.length(F.replace(t, p, F.lit("")))) > F.length(p) * 2
 
     def test(t: Column, w: Column) -> Column:
-        found = let(
-            repeated(w),
-            lambda q: F.when(F.size(q) > 0, F.exists(phrases(w, q), lambda p: often(t, p))).otherwise(False),
-        )
+        found = let(placed(w), lambda s: F.exists(phrases(w, s), lambda p: often(t, p)))
         return F.when(F.size(w) > 10, found).otherwise(False)
 
     return let(text, lambda t: let(words(t), lambda w: test(t, w)))
