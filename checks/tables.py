@@ -260,9 +260,13 @@ def c2_n_unique(spark, sf_dir):
     return Q.n_unique(source(spark, sf_dir, "lineitem"))
 
 
-@register("c2_n_unique_approx")
+@register("c2_n_unique_approx", f"SELECT name, n_unique, TRUE AS close FROM ({per_column('lineitem', ALL, 'count(DISTINCT {c}) AS n_unique')})")
 def c2_n_unique_approx(spark, sf_dir):
-    return Q.n_unique(source(spark, sf_dir, "lineitem"), exact=False)
+    """The sketch is within 15 % (three standard errors) of the exact count."""
+    df = source(spark, sf_dir, "lineitem")
+    rough = Q.n_unique(df, exact=False).withColumnRenamed("n_unique", "rough")
+    close = F.abs(F.col("rough") - F.col("n_unique")) <= 0.15 * F.col("n_unique")
+    return Q.n_unique(df).join(rough, "name").select("name", "n_unique", close.alias("close"))
 
 
 @register(
@@ -291,9 +295,16 @@ def c5_quartiles(spark, sf_dir):
     return C.quartiles(source(spark, sf_dir, "lineitem"))
 
 
-@register("c5_quartiles_approx")
+@register("c5_quartiles_approx", f"SELECT name, q1, median, q3, TRUE AS close FROM ({per_column('lineitem', NUMBERS, QUARTS)})")
 def c5_quartiles_approx(spark, sf_dir):
-    return C.quartiles(source(spark, sf_dir, "lineitem"), exact=False)
+    """The sketch is within 1 % of the range of the exact quartiles; it gives values, not points between whole numbers."""
+    df = source(spark, sf_dir, "lineitem")
+    rough = C.quartiles(df, exact=False).select("name", *(F.col(q).alias(f"_{q}") for q in ("q1", "median", "q3")))
+    whole = [n for n, t in df.dtypes if t in ("int", "bigint")]
+    allowed = 0.01 * (F.col("max") - F.col("min")) + F.when(F.col("name").isin(whole), 1.0).otherwise(0.0)
+    near = lambda q: F.abs(F.col(q) - F.col(f"_{q}")) <= allowed
+    joined = C.quartiles(df).join(rough, "name").join(C.numeric_moments(df).select("name", "min", "max"), "name")
+    return joined.select("name", "q1", "median", "q3", (near("q1") & near("median") & near("q3")).alias("close"))
 
 
 @register(
@@ -430,7 +441,12 @@ def c22_profile_top_values(spark, sf_dir):
     return item.select("name", (F.col("i") + 1).alias("rank"), "t.*")
 
 
-@register("c22_profile_nested")
+@register(
+    "c22_profile_nested",
+    "SELECT 'vec_id' AS name, 'numeric' AS inferred_type, count(DISTINCT vec_id) AS n_unique, count(vec_id) AS non_null FROM embeddings"
+    " UNION ALL SELECT 'embedding', 'text', count(DISTINCT embedding), count(embedding) FROM embeddings"
+    " UNION ALL SELECT 'label', 'numeric', count(DISTINCT label), count(label) FROM embeddings",
+)
 def c22_profile_nested(spark, sf_dir):
     """Arrays are profiled as JSON text."""
     return C.profile_columns(table(spark, sf_dir, "embeddings")).select("name", "inferred_type", "n_unique", "non_null")

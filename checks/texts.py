@@ -247,31 +247,127 @@ def _profile(spark, sf_dir, name: str) -> D.Profile:
     return D.profile(source(spark, sf_dir, name), name)
 
 
-@register("r1_statistical_report")
+AVERAGE = "avg(non_null_pct)"
+
+
+def first_names(where: str) -> str:
+    return f"(SELECT string_agg(name, ', ' ORDER BY ordinal) FROM (SELECT * FROM cp WHERE {where} ORDER BY ordinal LIMIT 3))"
+
+
+LABELS = "CASE issue " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.ISSUE_LABELS.items()) + " END"
+ISSUE_ROWS = "i AS (SELECT ordinal, name, unnest(string_split(quality_issues, ',')) AS issue, generate_subscripts(string_split(quality_issues, ','), 1) AS pos FROM cp WHERE quality_issues <> '')"
+
+
+def report_sql(name: str, title: str, size: str, n_cols: int) -> str:
+    """CTEs ending in rep(report), the whole report over one table."""
+    nl, f1, f2 = "chr(10)", (lambda x: fixed(x, 1)), (lambda x: fixed(x, 2))
+    num, cat, dat, txt = (f"inferred_type = '{t}'" for t in ("numeric", "categorical", "datetime", "text"))
+    freq = value_rows(name, ("string", "bool"))
+    freq = freq[len(f"WITH src AS ({SOURCES[name][1]}), ") :]
+    many = lambda x: f"format('{{:,}}', {x})"
+    block = " || ".join(
+        f"coalesce({x}, '')"
+        for x in (
+            f"'### ' || cp.name || {nl} || {nl} || '- Filled: ' || {f1('non_null_pct')} || '%, distinct values: ' || {many('n_unique')} || {nl}",
+            f"CASE WHEN {num} THEN '- From ' || {f2('min')} || ' to ' || {f2('max')} || ', mean ' || {f2('mean')} || {nl} END",
+            f"CASE WHEN {num} AND outliers_count > 0 THEN '- Unusual values: ' || outliers_count || {nl} END",
+            f"CASE WHEN {cat} THEN '- Most frequent: ''' || top.value || ''' (' || {f1('top.cnt * 100.0 / non_null')} || '%)' || {nl} END",
+            f"CASE WHEN {cat} AND rare_values > 0 THEN '- Rare values: ' || rare_values || {nl} END",
+            f"CASE WHEN {dat} THEN '- From ' || left(min_date, 10) || ' to ' || left(max_date, 10) || ', days: ' || coverage_days || {nl} END",
+            f"CASE WHEN {txt} THEN '- Mean length in characters: ' || {f1('avg_length')} || {nl} END",
+            f"CASE WHEN quality_issues <> '' THEN '- Flags: ' || replace(replace(quality_issues, ',', ', '), '_', ' ') || {nl} END",
+        )
+    )
+    listed = lambda lead, item, order, clear, rows: (
+        f"(SELECT CASE WHEN count(*) > 0 THEN {lead} || {nl} || string_agg({item}, {nl} ORDER BY {order}) ELSE '{clear}' END FROM {rows})"
+    )
+    gaps = listed(
+        "'- Columns with gaps: ' || count(*)", f"'  - **' || name || '** (' || inferred_type || '): ' || {f1('100 - non_null_pct')} || '% empty'",
+        "non_null_pct, ordinal", "- No column has notable gaps", "(SELECT * FROM cp WHERE non_null_pct < 95)",
+    )
+    odd = listed(
+        "'- Columns with values far outside the quartiles: ' || count(*)",
+        f"'  - **' || name || '**: ' || outliers_count || ' values, ' || {f1('outliers_count * 100.0 / n_rows')} || '% of the rows'",
+        "ordinal", "- No value lies far outside the quartiles", "(SELECT * FROM cp WHERE outliers_count > 0)",
+    )
+    flags = listed(
+        "'- Flags and the number of columns that have them:'", "'  - ' || replace(issue, '_', ' ') || ': ' || n", "issue",
+        "- No column is flagged", "(SELECT issue, count(*) AS n FROM i GROUP BY issue)",
+    )
+    types = "(SELECT string_agg(n || ' ' || inferred_type, ', ' ORDER BY inferred_type) FROM (SELECT inferred_type, count(*) AS n FROM cp GROUP BY 1))"
+    return f"""{with_columns(name)}, {freq}, {ISSUE_ROWS},
+      top AS (SELECT * FROM freq QUALIFY row_number() OVER (PARTITION BY ordinal ORDER BY cnt DESC, k0, value) = 1),
+      blk AS (SELECT cp.ordinal, inferred_type, {block} AS block, row_number() OVER (PARTITION BY inferred_type ORDER BY cp.ordinal) AS r
+        FROM cp LEFT JOIN top ON top.ordinal = cp.ordinal),
+      prof AS (SELECT string_agg(t, '' ORDER BY o) AS t FROM (SELECT min(ordinal) AS o, '**' || upper(left(inferred_type, 1)) || substr(inferred_type, 2) || ': ' || count(*)
+        || '**' || {nl} || {nl} || string_agg(block || {nl}, '' ORDER BY ordinal) FILTER (r <= 10) || CASE WHEN count(*) > 10 THEN '*' || (count(*) - 10)
+        || ' further ' || inferred_type || ' columns are not shown*' || {nl} || {nl} ELSE '' END AS t FROM blk GROUP BY inferred_type)),
+      dd AS (SELECT count(*) AS n, {size} AS mb, {DUPLICATE_PCT} AS dup, (SELECT {AVERAGE} FROM cp) AS filled FROM src),
+      a AS (SELECT 1 AS o, 'Drop repeated rows (' || {f1('dup')} || '% of all)' AS action FROM dd WHERE dup > 5
+        UNION ALL SELECT 2, 'Fill or explain the gaps in: ' || {first_names('non_null_pct < 90')}
+        UNION ALL SELECT 3, 'Look into unusual values in: ' || {first_names('outliers_count > 0')}),
+      b AS (SELECT * FROM a WHERE action IS NOT NULL UNION ALL SELECT 4, 'Nothing stands out; the table can be used as it is' WHERE NOT EXISTS (SELECT 1 FROM a WHERE action IS NOT NULL)),
+      rep AS (SELECT concat('# {title}', {nl}, {nl}, '*Generated on 06 May 2024 at 07:08 using Plumbline*', {nl}, {nl}, '---', {nl},
+        '## Dataset Overview', {nl}, {nl}, 'Rows: **', {many('n')}, '**', {nl}, 'Columns: **{n_cols}** (', {types}, ')', {nl}, 'Size: **', {f1('mb')}, ' MB**, ',
+        {f2('mb / n * 1024')}, ' KB a row', {nl}, 'Repeated rows: ', {f1('dup')}, '%', {nl}, 'Filled cells: ', {f1('filled')}, '%', {nl}, {nl},
+        '## Data Quality Assessment', {nl}, {nl}, '**Gaps**', {nl}, {gaps}, {nl}, {nl}, '**Unusual values and repeats**', {nl}, {odd}, {nl},
+        CASE WHEN dup > 0 THEN '- Rows that repeat another: ' || {f1('dup')} || '%' ELSE '- No row repeats another' END, {nl}, {nl}, '**Flags**', {nl}, {flags}, {nl},
+        {nl}, {nl}, '## Key Insights', {nl}, {nl}, '- **Size**: ', {many('n')}, ' rows, ',
+        CASE WHEN n > 10000 THEN 'enough for detail' WHEN n < 100 THEN 'too few for firm conclusions' ELSE 'enough for overall figures' END, {nl},
+        '- **Filled**: ', {f1('filled')}, '%, ', CASE WHEN filled > 95 THEN 'hardly any gaps' WHEN filled > 80 THEN 'some gaps' ELSE 'many gaps' END, {nl},
+        CASE WHEN (SELECT count(DISTINCT inferred_type) FROM cp) > 3 THEN '- **Variety**: columns of every type' || {nl} ELSE '' END,
+        (SELECT CASE WHEN count(*) > 0 THEN '- **To check**: unusual values in ' || count(*) || ' columns' || {nl} ELSE '' END FROM cp WHERE outliers_count > 0),
+        {nl}, {nl}, '## Column Profiles', {nl}, {nl}, prof.t, '## Recommendations', {nl}, {nl},
+        (SELECT string_agg(k || '. ' || action || {nl}, '' ORDER BY k) FROM (SELECT row_number() OVER (ORDER BY o) AS k, action FROM b)), '{R.CLOSING}') AS report FROM dd, prof)"""
+
+
+@register("r1_statistical_report", f"{report_sql('labelled', 'Data Quality Report', SIZE_MB, 7)} SELECT 'labelled' AS dataset, report AS markdown FROM rep")
 def r1_statistical_report(spark, sf_dir):
     p = _profile(spark, sf_dir, "labelled")
     return R.statistical_report(p.dataset, p.columns, "Data Quality Report", F.lit(WHEN).cast("timestamp"))
 
 
-@register("r1_statistical_report_by_segment")
+def _reports_by_lang() -> str:
+    """The report over the rows of each language, without that column."""
+    kinds = {c: k for c, k in SOURCES["labelled"][0].items() if c != "lang"}
+    size = SIZE_MB.replace(" + sum(strlen(lang))", "")
+    parts = []
+    for v in ("de", "en", "es", "fr"):
+        SOURCES["_segment"] = (kinds, f"SELECT {', '.join(kinds)} FROM ({SOURCES['labelled'][1]}) WHERE lang = '{v}'")
+        parts.append(f"SELECT '{v}' AS dataset, report AS markdown FROM ({report_sql('_segment', 'Data Quality Report', size, 6)} SELECT * FROM rep)")
+    del SOURCES["_segment"]
+    return " UNION ALL ".join(parts)
+
+
+@register("r1_statistical_report_by_segment", _reports_by_lang())
 def r1_statistical_report_by_segment(spark, sf_dir):
     """One report per language."""
     p = D.profile(source(spark, sf_dir, "labelled"), by=["lang"])
     return R.statistical_report(p.dataset, p.columns, "Data Quality Report", F.lit(WHEN).cast("timestamp"))
 
 
-@register("a6_write_report")
+ORDERS_MB = "(32 * count(*) + sum(strlen(o_orderstatus)) + sum(strlen(o_orderpriority))) / 1048576.0"
+
+
+@register(
+    "a6_write_report",
+    " UNION ALL ".join(
+        f"SELECT '{d}' AS dataset, unnest(string_split(report, chr(10))) AS value FROM ({report_sql(t, 'Orders', size, n)} SELECT * FROM rep)"
+        for d, t, size, n in (
+            ("orders", "orders", ORDERS_MB, 6),
+            ("status", "status_priority", "sum(strlen(o_orderstatus) + strlen(o_orderpriority)) / 1048576.0", 2),
+        )
+    ),
+)
 def a6_write_report(spark, sf_dir):
-    """Write the report as text and read it back, line by line."""
-    p = _profile(spark, sf_dir, "orders")
+    """Write two reports, one after the other, to one place as text, and read both back line by line."""
     path = f"{scratch(spark)}/{report_path('orders.csv')}"
-    write_report(R.statistical_report(p.dataset, p.columns, "Orders", F.lit(WHEN).cast("timestamp")), path)
+    for name, src in (("orders", "orders"), ("status", "status_priority")):
+        p = D.profile(source(spark, sf_dir, src), name)
+        write_report(R.statistical_report(p.dataset, p.columns, "Orders", F.lit(WHEN).cast("timestamp")), path)
     return spark.read.text(path)
 
 
-AVERAGE = "avg(non_null_pct)"
-
-
 @register(
     "r2_insight_tiers",
     f"{with_columns('labelled')} SELECT 'labelled' AS dataset, CASE WHEN max(n_rows) > 10000 THEN 'large' WHEN max(n_rows) < 100 THEN 'small' ELSE 'moderate' END AS volume,"
@@ -283,10 +379,6 @@ def r2_insight_tiers(spark, sf_dir):
     return R.insight_tiers(p.dataset, p.columns)
 
 
-def first_names(where: str) -> str:
-    return f"(SELECT string_agg(name, ', ' ORDER BY ordinal) FROM (SELECT * FROM cp WHERE {where} ORDER BY ordinal LIMIT 3))"
-
-
 @register(
     "r3_report_actions",
     f"{with_columns('labelled')}, a AS (SELECT 1 AS o, 'Drop repeated rows (' || {fixed('pct', 1)} || '% of all)' AS action"
@@ -315,10 +407,6 @@ def r4_columns_by_type(spark, sf_dir):
     return R.columns_by_type(_profile(spark, sf_dir, "troubled").columns, shown=2)
 
 
-LABELS = "CASE issue " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.ISSUE_LABELS.items()) + " END"
-ISSUE_ROWS = "i AS (SELECT ordinal, name, unnest(string_split(quality_issues, ',')) AS issue, generate_subscripts(string_split(quality_issues, ','), 1) AS pos FROM cp WHERE quality_issues <> '')"
-
-
 @register(
     "r5_issue_summary",
     f"{with_columns('troubled')}, {ISSUE_ROWS} SELECT 'troubled' AS dataset, issue, count(*) AS n_columns, {LABELS} AS label FROM i GROUP BY issue",

@@ -11,6 +11,7 @@ from plumbline.functions.values import strip, words
 from plumbline.operators import claims as V
 from plumbline.operators import sections as X
 from plumbline.operators.textquality import low_quality, repetitive
+from plumbline.plans.checked import checked_reports, contexts
 
 
 def texts(spark, values):
@@ -183,3 +184,27 @@ def test_notes_and_summary(spark, facts):
     s = V.verification_summary(v).first()
     assert (s.claims, s.failures, round(s.success_pct, 2), s.warning) == (3, 2, 33.33, True)
     assert V.verification_summary(v.where("false")).first().success_pct == 100.0
+
+
+def test_from_table_to_checked_reports(spark, tmp_path):
+    df = spark.createDataFrame([(s, i, float(i % 7)) for s in ("a", "b") for i in range(60)], "s string, k long, v double")
+    p, told = contexts(df, by=["s"])
+    assert {r.dataset for r in told.collect()} == {"a", "b"}
+    body = " ".join(f"Point{k} speaks{k} of item{k} with thing{k}." for k in "abcdefgh")
+    rows = [
+        ("a", 1, f"# Dataset Overview\nIt has 60 rows and 9 columns. {body}"),
+        ("a", 2, "cannot process"),
+        ("b", 1, "cannot process"),
+        ("c", 1, "cannot process"),
+    ]
+    texts = spark.createDataFrame(rows, "dataset string, chunk int, text string")
+    at = F.lit("2024-05-06 07:08:00").cast("timestamp")
+    out = checked_reports(p, texts, "Report", at, str(tmp_path / "out"))
+    reports = {r.dataset: r for r in out.reports.collect()}
+    assert {d: r.generated for d, r in reports.items()} == {"a": True, "b": False, "c": False}
+    assert "Verification Notes" in reports["a"].markdown and "actual value is 2.0" in reports["a"].markdown
+    assert "Rows: **60**" in reports["b"].markdown and "no profile" in reports["c"].markdown
+    a = {r.type: r.verified for r in out.claims.where("dataset = 'a'").collect()}
+    assert a == {"row_count": True, "column_count": False}
+    assert out.summary.where("dataset = 'a'").first().failures == 1
+    assert spark.read.text(str(tmp_path / "out")).where("dataset = 'a'").count() > 5
