@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import backoff, decontaminate, html, language, mixing, quality, sharding, simhash, toxicity
+from plumbline.llm import backoff, decontaminate, html, language, mixing, quality, repeats, sharding, simhash, toxicity
 from plumbline.llm.registry import register, table
 
 
@@ -182,3 +182,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = backoff.scored(table(spark, sf_dir, "documents"))
     per_word = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     return rows.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round(per_word, 4).alias("per_word"))
+
+
+@register("op9_sparse_suffix_repeats")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_passages(table(spark, sf_dir, "documents"))
