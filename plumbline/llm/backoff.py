@@ -21,36 +21,47 @@ PART_GRAMS = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_hashes(text: str | None, known: dict[bytes, int]) -> np.ndarray:
-    """64-bit hash of each word; ``known`` keeps those of the batch."""
-    # bytes.split() parts at exactly the six ASCII separators.
-    words = text.encode("utf-8", "replace").split() if text else []
-    for w in set(words):
-        if w not in known:
-            known[w] = xxhash.xxh64_intdigest(w, 29)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def grams(hashes: np.ndarray, order: int) -> list[np.ndarray]:
-    """Hashes of the n-grams that end at each word, for n from 1 to ``order``; the first n - 1 places are left out."""
-    out = [hashes]
-    with np.errstate(over="ignore"):
-        for n in range(2, order + 1):
-            left, right = out[-1][:-1], hashes[n - 1 :]
-            x = (left ^ (left >> np.uint64(29))) * MIX + right * np.uint64(2 * n + 1)
-            out.append(x ^ (x >> np.uint64(32)))
+class Grams:
+    """The words of a batch of texts as 64-bit hashes, one text after the other, and their n-grams."""
+
+    def __init__(self, texts: list[str | None], order: int):
+        known: dict[bytes, int] = {}
+        each = []
+        for text in texts:
+            # bytes.split() parts at exactly the six ASCII separators.
+            words = text.encode("utf-8", "replace").split() if text else []
+            for w in set(words).difference(known):
+                known[w] = xxhash.xxh64_intdigest(w, 29)
+            each.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+        self.lengths = np.array([len(e) for e in each], np.int64)
+        h = np.concatenate(each) if each else np.empty(0, np.uint64)
+        place = np.arange(len(h)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        #: Per n, where n-grams end, and their hashes.
+        self.ends, self.hashes = [np.arange(len(h))], [h]
+        with np.errstate(over="ignore"):
+            at_end = h
+            for n in range(2, order + 1):
+                left = np.r_[np.zeros(1, np.uint64), at_end[:-1]]
+                x = (left ^ (left >> np.uint64(29))) * MIX + h * np.uint64(2 * n + 1)
+                at_end = x ^ (x >> np.uint64(32))
+                self.ends.append(np.flatnonzero(place >= n - 1))
+                self.hashes.append(at_end[self.ends[-1]])
+
+    def all(self) -> np.ndarray:
+        return np.concatenate(self.hashes)
+
+
+def pack(counts: np.ndarray) -> bytes:
+    """A byte per count, and eight more for each from 255 on."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
+
+
+def unpack(data: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, np.int64, offset=n) if len(data) > n else 255
     return out
 
 
-def batch_grams(texts: list[str | None], order: int) -> tuple[list[list[np.ndarray]], np.ndarray, np.ndarray]:
-    """n-grams per text, and the distinct ones of the batch with their numbers."""
-    known: dict[bytes, int] = {}
-    each = [grams(word_hashes(t, known), order) for t in texts]
-    flat = [g for e in each for g in e if len(g)]
-    keys, counts = np.unique(np.concatenate(flat), return_counts=True) if flat else (np.empty(0, np.uint64), np.empty(0, np.int64))
-    return each, keys, counts
-
-
 def part_bounds(keys: np.ndarray, parts: int) -> np.ndarray:
     """Where the sorted keys of each part begin: parts are equal ranges of the hash."""
     edges = (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64)
@@ -61,7 +72,7 @@ def requests(order: int, parts: int):
     """Per batch, a row for each part that it has n-grams of: hashes in order, and how often each occurs."""
 
     def of(docs: pa.Table) -> pa.Table:
-        _, keys, counts = batch_grams(docs["text"].to_pylist(), order)
+        keys, counts = np.unique(Grams(docs["text"].to_pylist(), order).all(), return_counts=True)
         at = part_bounds(keys, parts)
         some = np.flatnonzero(np.diff(at))
         return pa.table(
@@ -69,7 +80,7 @@ def requests(order: int, parts: int):
                 "part": pa.array(some, pa.int64()),
                 "batch": pa.array([docs["batch"][0].as_py()] * len(some), pa.int64()),
                 "keys": pa.array([keys[at[p] : at[p + 1]].tobytes() for p in some], pa.binary()),
-                "counts": pa.array([counts[at[p] : at[p + 1]].astype(np.int32).tobytes() for p in some], pa.binary()),
+                "counts": pa.array([pack(counts[at[p] : at[p + 1]]) for p in some], pa.binary()),
             }
         )
 
@@ -79,47 +90,40 @@ def requests(order: int, parts: int):
 def answers(table: pa.Table) -> pa.Table:
     """One part of the count table: sums over all batches, given back to each batch in the order of its hashes."""
     keys = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
-    counts = [np.frombuffer(x, np.int32) for x in table["counts"].to_pylist()]
+    counts = [unpack(x, len(k)) for x, k in zip(table["counts"].to_pylist(), keys, strict=True)]
     every, where = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.zeros(len(every), np.int64)
-    np.add.at(total, where, np.concatenate(counts))
+    # Sums of whole numbers are exact up to 2^53.
+    total = np.bincount(where, np.concatenate(counts), len(every)).astype(np.int64)
     ends = np.cumsum([len(k) for k in keys])
-    given = [total[w].tobytes() for w in np.split(where, ends[:-1])]
+    given = [pack(total[w]) for w in np.split(where, ends[:-1])]
     return pa.table({"batch": table["batch"], "part": table["part"], "totals": pa.array(given, pa.binary())})
 
 
-def scores(order: int, min_count: int, backoff: float, corpus_words: int):
+def scores(order: int, parts: int, min_count: int, backoff: float, corpus_words: int):
     """Cogroups a batch of documents with its counts and sums over each document."""
 
-    def log_scores(each: list[np.ndarray], look) -> np.ndarray:
-        """ln S of each word: that of the longest n-gram seen often enough, with a factor for each step back."""
-        counts = [look(g) for g in each]
+    def of(docs: pa.Table, totals: pa.Table) -> pa.Table:
+        grams = Grams(docs["text"].to_pylist(), order)
+        keys, where = np.unique(grams.all(), return_inverse=True)
+        at = part_bounds(keys, parts)
+        total = np.zeros(len(keys), np.int64)
+        for p, data in zip(totals["part"].to_pylist(), totals["totals"].to_pylist(), strict=True):
+            total[at[p] : at[p + 1]] = unpack(data, at[p + 1] - at[p])
+        counts = np.split(total[where].astype(float), np.cumsum([len(h) for h in grams.hashes])[:-1])
+        # ln S of each word: that of the longest n-gram seen often enough, with a factor for each step back.
         best = np.log(counts[0] / corpus_words)
-        for c, context in zip(counts[1:], counts, strict=False):
-            here = best[len(best) - len(c) :]
+        context = counts[0]
+        for ends, c in zip(grams.ends[1:], counts[1:], strict=True):
             seen = c >= min_count
-            here += np.log(backoff)
-            here[seen] = np.log(c[seen] / context[: len(c)][seen])
-        return best
-
-    def of(docs: pa.Table, totals: pa.Table) -> pa.Table:
-        texts = docs["text"].to_pylist()
-        each, keys, _ = batch_grams(texts, order)
-        rows = sorted(zip(totals["part"].to_pylist(), totals["totals"].to_pylist(), strict=True))
-        counts = np.concatenate([np.frombuffer(x, np.int64) for _, x in rows]) if rows else np.empty(0, np.int64)
-        assert len(counts) == len(keys)
-
-        def look(g):
-            return counts[np.searchsorted(keys, g)].astype(float) if len(g) else np.empty(0)
-
-        sums = [float(log_scores(e, look).sum()) if len(e[0]) else 0.0 for e in each]
-        return pa.table(
-            {
-                "key": docs["key"],
-                "n_words": pa.array([len(e[0]) for e in each], pa.int64()),
-                "log_score": pa.array(sums, pa.float64()),
-            }
-        )
+            best[ends] += np.log(backoff)
+            best[ends[seen]] = np.log(c[seen] / context[ends[seen] - 1])
+            context = np.zeros(len(best))
+            context[ends] = c
+        some = grams.lengths > 0
+        sums = np.zeros(len(grams.lengths))
+        if some.any():
+            sums[some] = np.add.reduceat(best, (np.cumsum(grams.lengths) - grams.lengths)[some])
+        return pa.table({"key": docs["key"], "n_words": pa.array(grams.lengths), "log_score": pa.array(sums)})
 
     return of
 
@@ -146,21 +150,21 @@ def scored(
     Null and wordless texts have 0 words and score 0. Repeated rows count and score each. A table without any
     word scores 0 throughout; an empty table gives an empty result. Other columns only spread the rows.
     """
-    size, n_words, n_rows = df.agg(
+    size, n_words = df.agg(
         F.sum(F.octet_length(col(text)).cast("long")),
         F.sum(F.regexp_count(col(text), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")),
-        F.count("*"),
     ).first()
     batches = max(1, -(-(size or 0) // batch_bytes))
     parts = max(1, -(-(n_words or 0) * order // part_grams))
     k1, _ = row_key(df)
     rows = df.select(F.pmod(k1, F.lit(batches)).alias("batch"), col(key).alias("key"), col(text).alias("text"))
+    # Both uses read all three columns, so that one shuffle of the texts serves them.
     rows = rows.repartition("batch")
-    asked = rows.select("batch", "text").groupBy("batch").applyInArrow(
+    asked = rows.groupBy("batch").applyInArrow(
         requests(order, parts), "part long, batch long, keys binary, counts binary"
     )
     given = asked.groupBy("part").applyInArrow(answers, "batch long, part long, totals binary")
     kind = df.schema[key].dataType.simpleString()
     return rows.groupBy("batch").cogroup(given.groupBy("batch")).applyInArrow(
-        scores(order, min_count, backoff, max(1, n_words or 0)), f"key {kind}, n_words long, log_score double"
+        scores(order, parts, min_count, backoff, max(1, n_words or 0)), f"key {kind}, n_words long, log_score double"
     ).withColumnRenamed("key", key)
