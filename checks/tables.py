@@ -72,6 +72,25 @@ def a2_table_input(spark, sf_dir):
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("l_orderkey").alias("n_orders"))
 
 
+@register(
+    "a1_read_csv_multiline",
+    "SELECT o_orderkey, 'first line' || chr(10) || '\"' || o_orderstatus || '\", second; ' || o_orderpriority || chr(10) || 'end' AS note FROM orders",
+)
+def a1_read_csv_multiline(spark, sf_dir):
+    """Line feeds and quotes inside quoted fields."""
+    o = table(spark, sf_dir, "orders")
+    note = F.concat(F.lit('first line\n"'), "o_orderstatus", F.lit('", second; '), "o_orderpriority", F.lit("\nend"))
+    path = scratch(spark)
+    o.select("o_orderkey", note.alias("note")).write.csv(path, header=True, escape='"')
+    return read_csv(spark, path, multi_line=True)
+
+
+@register("a2_table_profile", columns_sql("lineitem", pick("name", "inferred_type", "n_rows", "non_null", "n_unique")))
+def a2_table_profile(spark, sf_dir):
+    p = D.profile(read_parquet(spark, f"{sf_dir}/lineitem.parquet"), "lineitem")
+    return p.columns.select("name", "inferred_type", "n_rows", "non_null", "n_unique")
+
+
 @register("a3_select_columns", f"SELECT o_orderkey, {rnd('o_totalprice')} AS o_totalprice FROM orders")
 def a3_select_columns(spark, sf_dir):
     return S.select_columns(table(spark, sf_dir, "orders"), "o_orderkey, o_totalprice")
@@ -452,6 +471,16 @@ def c22_profile_nested(spark, sf_dir):
     return C.profile_columns(table(spark, sf_dir, "embeddings")).select("name", "inferred_type", "n_unique", "non_null")
 
 
+# Single precision, with an infinity.
+SINGLE = "SELECT CASE WHEN l_linenumber = 1 AND l_orderkey % 50 = 1 THEN CAST('infinity' AS FLOAT) ELSE CAST(l_quantity AS FLOAT) END AS q FROM lineitem"
+
+
+@register("c22_profile_single", f"SELECT 'numeric' AS inferred_type, min(q)::DOUBLE AS min, max(q)::DOUBLE AS max, count(DISTINCT q) AS n_unique FROM ({SINGLE})")
+def c22_profile_single(spark, sf_dir):
+    df = spark.sql(SINGLE.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+    return C.profile_columns(df).select("inferred_type", "min", "max", "n_unique")
+
+
 DESCRIBED = (
     ("count", "CAST(count({c}) AS DOUBLE)"), ("mean", "avg({c})"), ("std", "stddev_samp({c})"), ("min", "min({c})"),
     ("25%", "quantile_cont(CAST({c} AS DOUBLE), 0.25)"), ("50%", "quantile_cont(CAST({c} AS DOUBLE), 0.5)"),
@@ -782,6 +811,27 @@ def e1_histogram_whole(spark, sf_dir):
     return E.histogram(table(spark, sf_dir, "lineitem"), "l_linenumber")
 
 
+TAILED = "(SELECT CASE WHEN event_id % 500 = 7 THEN value * 1e12 ELSE value END AS value FROM events) tailed"
+
+
+@register(
+    "e1_histogram_tail",
+    f"WITH {layout_sql(TAILED, 'value')}, h AS (SELECT least(floor((x - lo) / width), bins - 1) AS bin, count(*) AS c FROM v, b GROUP BY 1)"
+    f" SELECT {big('bin')} AS bin, c AS count FROM h",
+)
+def e1_histogram_tail(spark, sf_dir):
+    """Few values far out ask for very many bins; only those with values are returned."""
+    value = F.when(F.col("event_id") % 500 == 7, F.col("value") * 1e12).otherwise(F.col("value"))
+    return E.histogram(table(spark, sf_dir, "events").select(value.alias("value")), "value", empty=False).select("bin", "count")
+
+
+@register("e2_kde_constant", "SELECT CAST(0 AS BIGINT) AS n FROM events LIMIT 1")
+def e2_kde_constant(spark, sf_dir):
+    """A constant has no density curve."""
+    flat = table(spark, sf_dir, "events").select((F.col("value") * 0).alias("value"))
+    return E.kde(flat, "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register(
     "e2_kde",
     f"WITH {layout_sql('events', 'value')}, cells AS (SELECT count(*) AS w, avg(x) AS m FROM v, s"

@@ -5,7 +5,7 @@ import math
 
 import pytest
 
-from plumbline.operators.columns import profile_columns, quartiles
+from plumbline.operators.columns import profile_columns, quartiles, skewness
 from plumbline.operators.correlation import correlations
 from plumbline.operators.dataset import duplicate_rows, profile
 from plumbline.operators.frequency import n_unique, top_values
@@ -13,6 +13,23 @@ from plumbline.operators.selection import select_columns
 from plumbline.operators.types import infer_types
 
 
+def test_table_without_columns(spark):
+    p = profile(spark.createDataFrame([(1,)], "a int").select(), "none")
+    assert p.columns.collect() == [] and p.dataset.first().n_cols == 0
+    assert p.completeness.first().completeness_pct == 100.0 and p.correlations.collect() == []
+
+
+def test_profile_keeps_correlations_per_segment(spark):
+    rows = [(s, float(i), float(i * (1 if s == "a" else -1))) for s in "ab" for i in range(20)]
+    p = profile(spark.createDataFrame(rows, "s string, x double, y double"), by=["s"])
+    assert {(r.dataset, round(r.correlation, 6)) for r in p.correlations.collect()} == {("a", 1.0), ("b", -1.0)}
+
+
+def test_tiny_spreads_are_flat_everywhere(spark):
+    df = spark.createDataFrame([(v,) for v in (1e-9, 1e-9, 1e-9, 5e-9)], "x double")
+    assert skewness(df).first().skewness == profile_columns(df).first().skewness == 0.0
+
+
 def column(spark, values, kind):
     df = spark.createDataFrame([(v,) for v in values], f"x {kind}")
     return profile_columns(df).first()
