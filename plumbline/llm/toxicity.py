@@ -16,7 +16,7 @@ from plumbline.functions.values import col
 from plumbline.llm.common import held_out
 
 #: Labelled documents of each class that a model is fitted on.
-SAMPLE_PER_CLASS = 2500
+SAMPLE_PER_CLASS = 1500
 LANDMARKS = 300
 THRESHOLD = 0.3
 DECAY = 0.8
@@ -101,9 +101,9 @@ class Landmarks:
 
     def kernel(self, strings: list[str]) -> np.ndarray:
         out = np.empty((len(strings), self.grid.shape[1]))
-        for k in range(0, len(strings), 128):
-            code, weight = features(strings[k : k + 128])
-            out[k : k + 128] = np.einsum("np,npm->nm", weight.astype(np.float32), self.grid[self.row[code]])
+        for k in range(0, len(strings), 32):
+            code, weight = features(strings[k : k + 32])
+            out[k : k + 32] = np.einsum("np,npm->nm", weight.astype(np.float32), self.grid[self.row[code]])
         return out
 
     def slopes(self, coefficients: np.ndarray) -> np.ndarray:
@@ -247,7 +247,12 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, seed: in
     telling token, a clean text none. Witness tokens start as a cover of the toxic texts; each round
     then adds the clean tokens that score highest.
     """
-    bags = [({b for s in sentences(t) for x in tokens(s) for b in pieces(bare(x)) if len(b) > 1}, y) for t, y in zip(texts, toxic, strict=True)]
+    seen: dict[str, str] = {}  # one string per token, however many texts have it
+    bags = []
+    for t, y in zip(texts, toxic, strict=True):
+        found = (b for x in set().union(*map(tokens, sentences(t))) for b in pieces(bare(x)) if len(b) > 1)
+        bags.append(({seen.setdefault(b, b) for b in found}, y))
+    del seen
     positive, clean = [b for b, y in bags if y], [b for b, y in bags if not y]
     if not positive or not clean:
         return None
@@ -336,7 +341,7 @@ def train(
     for r in rows.toLocalIterator():
         if r.key_ not in found or r.text_ < found[r.key_][0]:
             found[r.key_] = (r.text_, r.y)
-    ordered = [found[k] for k in sorted(found)]
+    ordered = [found.pop(k) for k in sorted(found)]
     return fit([t for t, _ in ordered], [y for _, y in ordered], landmarks)
 
 
