@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,44 +19,53 @@ MIN_WORDS = 50
 GRAM_WORDS = 8
 #: A gram at more positions than this is not compared in one task.
 SPLIT_ABOVE = 50_000
-KNOWN = 400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0xD1342543DE82EF95)
 #: 1 / BASE modulo 2^64.
 BASE_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
+SEPARATOR = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: A number for each byte.
+BYTES = np.random.default_rng(9).integers(1, 2**63, 256, dtype=np.int64).view(np.uint64)
 PLACE = np.uint64((1 << 26) - 1)
 NO_DOC = np.iinfo(np.int64).max
 
 
-class Words:
-    """Hashes of words; those met before are remembered, up to a bound."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * MIX
+    return x ^ (x >> np.uint64(29))
+
+
+class Powers:
+    """Powers of the base and of its inverse, as many as were needed so far."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self.up = self.down = np.ones(1, np.uint64)
 
-    def hashes(self, text: str | None) -> np.ndarray:
-        # bytes.split() parts at exactly the six ASCII separators.
-        words = text.encode("utf-8", "replace").split() if text else []
-        if len(self.known) > KNOWN:
-            self.known = {}
-        for w in set(words).difference(self.known):
-            self.known[w] = xxhash.xxh64_intdigest(w, 31)
-        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = 1 << n.bit_length()
+            self.up, self.down = (
+                np.multiply.accumulate(np.r_[np.ones(1, np.uint64), np.full(size - 1, b)]) for b in (BASE, BASE_INVERSE)
+            )
+        return self.up[:n], self.down[:n]
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * MIX
-    return x ^ (x >> np.uint64(29))
+def word_hashes(text: str | None, powers: Powers) -> np.ndarray:
+    """A hash of each run of bytes between the six ASCII separators, from prefix sums of a polynomial."""
+    data = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
+    edges = np.flatnonzero(np.diff(np.r_[False, ~SEPARATOR[data], False].astype(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    up, down = powers(len(data) + 1)
+    sums = np.r_[np.zeros(1, np.uint64), np.add.accumulate(BYTES[data] * up[:-1])]
+    return mixed((sums[ends] - sums[starts]) * down[starts])
 
 
-def runs_hash(h: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each run of ``size`` words, from prefix sums of a polynomial."""
-    with np.errstate(over="ignore"):
-        powers = np.multiply.accumulate(np.r_[np.ones(1, np.uint64), np.full(len(h), BASE)])
-        back = np.multiply.accumulate(np.r_[np.ones(1, np.uint64), np.full(len(h), BASE_INVERSE)])
-        sums = np.r_[np.zeros(1, np.uint64), np.add.accumulate(h * powers[:-1])]
-        n = len(h) - size + 1
-        return mixed((sums[size:] - sums[:n]) * back[:n])
+def runs_hash(h: np.ndarray, size: int, powers: Powers) -> np.ndarray:
+    """A hash of each run of ``size`` words, in the same way."""
+    up, down = powers(len(h) + 1)
+    sums = np.r_[np.zeros(1, np.uint64), np.add.accumulate(h * up[:-1])]
+    n = len(h) - size + 1
+    return mixed((sums[size:] - sums[:n]) * down[:n])
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -70,12 +78,12 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backward[: n - width + 1], forward[width - 1 : n])
 
 
-def minimisers(h: np.ndarray, passage: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def minimisers(h: np.ndarray, passage: int, gram: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each gram, and for each window of ``passage`` words the place of its smallest gram (of equals, the last).
 
     The choice depends on the window's words alone, so equal windows choose alike.
     """
-    grams = runs_hash(h, gram)
+    grams = runs_hash(h, gram, powers)
     # The place stands in the low bits: the smallest key is unique.
     keys = (mixed(grams) & ~PLACE) | (PLACE - np.arange(len(grams), dtype=np.uint64) % (PLACE + np.uint64(1)))
     low = sliding_min(keys, passage - gram + 1)
@@ -94,15 +102,15 @@ def sampler(passage: int, gram: int):
     """(g, t1, t2, pos): each chosen place of each text."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        powers = Powers()
         for batch in batches:
             t1, t2 = batch.column("t1").to_numpy(), batch.column("t2").to_numpy()
             g, rows, places = [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
-                h = words.hashes(text)
+                h = word_hashes(text, powers)
                 if len(h) < passage:
                     continue
-                grams, chosen = minimisers(h, passage, gram)
+                grams, chosen = minimisers(h, passage, gram, powers)
                 at = chosen[np.r_[True, chosen[1:] != chosen[:-1]]]
                 g.append(grams[at])
                 places.append(at)
@@ -121,14 +129,14 @@ def window_lister(passage: int, gram: int):
     """(g, many, t1, t2, doc, start, windows): for the places asked for, the hashes of the windows that choose them."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        powers = Powers()
         for batch in batches:
             out: list[tuple] = []
             cols = [batch.column(c).to_pylist() for c in ("t1", "t2", "doc", "text", "places")]
             for t1, t2, doc, text, places in zip(*cols, strict=True):
-                h = words.hashes(text)
-                grams, chosen = minimisers(h, passage, gram)
-                windows = runs_hash(h, passage)
+                h = word_hashes(text, powers)
+                grams, chosen = minimisers(h, passage, gram, powers)
+                windows = runs_hash(h, passage, powers)
                 starts = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
                 ends = np.r_[starts[1:], len(chosen)]
                 many = {p["pos"]: p["many"] for p in places}
