@@ -76,12 +76,19 @@ def test_long_texts_and_default_size(make):
 def test_minimisers_depend_on_the_window_alone():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 40, 400).astype(np.uint64)
-    _, whole = repeats.minimisers(h, 20, 4)
+    _, whole = repeats.minimisers(h, 20, 4, repeats.Powers())
     for s in range(0, 380, 7):
-        _, one = repeats.minimisers(h[s : s + 20], 20, 4)
+        _, one = repeats.minimisers(h[s : s + 20], 20, 4, repeats.Powers())
         assert one[0] + s == whole[s]
 
 
 def test_empty_table(make):
     assert repeats.repeated_passages(make([])).collect() == []
     assert repeats.repeated_passages(make([(1, None), (2, "short")])).collect() == []
+
+
+def test_words_hash_alike_wherever_they_stand():
+    texts = ["a bé c  bé\n", "\x0b bé", "", " \t", "abc"]
+    got = [repeats.word_hashes(t, repeats.Powers()).tolist() for t in texts]
+    assert [len(g) for g in got] == [4, 1, 0, 0, 1]
+    assert got[0][1] == got[0][3] == got[1][0] and len({*got[0], *got[4]}) == 4
