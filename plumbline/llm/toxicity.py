@@ -17,7 +17,7 @@ from plumbline.llm.common import held_out
 
 #: Labelled documents of each class that a model is fitted on.
 SAMPLE_PER_CLASS = 1500
-LANDMARKS = 300
+LANDMARKS = 400
 THRESHOLD = 0.3
 DECAY = 0.8
 #: Places of the second and third character of a subsequence after its first: up to two gaps.
@@ -31,24 +31,25 @@ PART, STEP = 9, 2
 SYMBOLS = 64
 NUMBERS = SYMBOLS**3 + REMAINDERS
 CACHE = 400_000
+TEXTS_AT_ONCE = 64
 
 NO_LETTER = re.compile(r"[\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
 SPACED = re.compile(r"(?<!\w)\w(?:[\W_]{1,3}\w(?!\w)){3,}")
 
 
-def symbol(c: str) -> int:
-    """1 to 26 for a to z, 27 to 61 for all others; 62 and 63 mark both ends."""
-    n = ord(c)
-    return n - 96 if 97 <= n <= 122 else 27 + n * 31 % 35
+def symbols(text: str) -> np.ndarray:
+    """Per character 1 to 26 for a to z, 27 to 61 for all others; 62 and 63 mark the ends of a string."""
+    n = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.where((n >= 97) & (n <= 122), n - 96, 27 + n * 31 % 35).astype(np.int32)
 
 
 def tokens(text: str) -> set[str]:
-    """Distinct lower-case tokens; letters set apart by spaces or dots are read together too."""
+    """Distinct lower-case tokens; letters set apart (four or more, of three kinds at least) are read together too."""
     low = text.lower()
     found = set(low.split())
-    for m in SPACED.finditer(low):
-        found.add(m.group())
+    if sum(len(t) == 1 or (len(t) == 2 and not t.isalpha()) for t in found) > 2:
+        found.update([m.group() for m in SPACED.finditer(low)])
     return found
 
 
@@ -65,24 +66,26 @@ def features(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     A weight is the decay to the power of the gaps; rows have length 1, counting each place by itself.
     """
-    width = PIECE + 2
-    text = np.zeros((len(strings), width + 4), np.int64)
-    for k, s in enumerate(strings):
-        row = [62, *map(symbol, s[:PIECE]), 63]
-        text[k, : len(row)] = row
+    width = min(PIECE, max(map(len, strings), default=0)) + 2
+    text = np.zeros((len(strings), width + 4), np.int32)
+    sizes = np.minimum([len(s) for s in strings], PIECE)
+    row = np.repeat(np.arange(len(strings)), sizes)
+    text[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1] = symbols("".join([s[:PIECE] for s in strings]))
+    text[:, 0] = 62
+    text[np.arange(len(strings)), sizes + 1] = 63
     codes, weights = [], []
     a = text[:, :width]
     for i, j in OFFSETS:
         b, c = text[:, i : i + width], text[:, j : j + width]
         codes.append((a * SYMBOLS + b) * SYMBOLS + c)
-        weights.append(np.where(c > 0, DECAY ** (j - 2), 0.0))
+        weights.append((c > 0) * np.float32(DECAY ** (j - 2)))
     for i, j, k in OFFSETS_4:
         b, c, d = text[:, i : i + width], text[:, j : j + width], text[:, k : k + width]
         codes.append(SYMBOLS**3 + (((a * SYMBOLS + b) * SYMBOLS + c) * SYMBOLS + d) % REMAINDERS)
-        weights.append(np.where(d > 0, DECAY ** (k - 3), 0.0))
+        weights.append((d > 0) * np.float32(DECAY ** (k - 3)))
     code, weight = np.concatenate(codes, 1), np.concatenate(weights, 1)
     norm = np.sqrt((weight**2).sum(1, keepdims=True))
-    return code, weight / np.maximum(norm, 1e-9)
+    return code, weight / np.maximum(norm, np.float32(1e-9))
 
 
 class Landmarks:
@@ -112,11 +115,11 @@ class Landmarks:
         return out
 
 
-def support_vectors(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+def support_vectors(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float | None = None) -> np.ndarray:
     """Linear SVM with squared hinge loss, by Newton steps over the rows inside the margin."""
     x = np.c_[z, np.ones(len(z))]
     w = np.zeros(x.shape[1])
-    penalty = np.eye(len(w)) * ridge
+    penalty = np.eye(len(w)) * (RIDGE if ridge is None else ridge)
     penalty[-1, -1] = 1e-6
     for _ in range(30):
         inside = y * (x @ w) < 1
@@ -145,9 +148,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * margin + self.shift, -30, 30)))
 
 
+#: Share of toxic texts that scores are calibrated for.
+TOXIC_SHARE = 0.1
+#: Margin of a text without tokens.
 NOTHING = -1.5
 #: Weight of a clean token that scored among the highest.
-HARD = 1.5
+HARD = 3.0
+ROUNDS = 4
+RIDGE = 0.1
 
 
 class Scorer:
@@ -164,23 +172,25 @@ class Scorer:
                     strings.append(p)
                     owner.append(t)
         self.cache.update(dict.fromkeys(new, NOTHING))
-        for k in range(0, len(strings), 4096):
-            for t, m in zip(owner[k : k + 4096], self.model.margins(strings[k : k + 4096]).tolist(), strict=True):
-                if m > self.cache[t]:
-                    self.cache[t] = m
+        # Strings of like length together: a block is as wide as its longest.
+        order = sorted(range(len(strings)), key=lambda k: len(strings[k]))
+        for k in range(0, len(order), 2048):
+            some = order[k : k + 2048]
+            for j, m in zip(some, self.model.margins([strings[j] for j in some]).tolist(), strict=True):
+                if m > self.cache[owner[j]]:
+                    self.cache[owner[j]] = m
 
     def highest(self, texts) -> np.ndarray:
         out = np.full(len(texts), NOTHING)
-        for k, text in enumerate(texts):
-            if not text:
-                continue
+        for start in range(0, len(texts), TEXTS_AT_ONCE):
             if len(self.cache) > CACHE:
                 self.cache = {}
-            found = tokens(text)
-            new = [t for t in found if t not in self.cache]
+            found = [tokens(t) if t else set() for t in texts[start : start + TEXTS_AT_ONCE]]
+            new = set().union(*found).difference(self.cache)
             if new:
-                self.learn(new)
-            out[k] = max(map(self.cache.get, found), default=NOTHING)
+                self.learn(sorted(new))
+            for k, some in enumerate(found, start):
+                out[k] = max(map(self.cache.__getitem__, some), default=NOTHING)
         return out
 
 
@@ -267,7 +277,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, seed: in
     other = [others[k] for k in rng.choice(len(others), min(len(others), 4000), replace=False)]
     yes = telling + with_gaps(telling, rng)
     model, strict = None, []
-    for _ in range(3):
+    for _ in range(ROUNDS):
         # A third each: telling tokens, clean tokens that were taken for such, and any.
         third = landmarks // 3
         chosen = [*telling[:third], *strict[:third]]
@@ -300,7 +310,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and intercept by Newton steps, with smoothed targets."""
     n1, n0 = y.sum(), len(y) - y.sum()
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    weight = np.where(y > 0, 0.5 / n1, 0.5 / n0) * len(y)
+    weight = np.where(y > 0, TOXIC_SHARE / n1, (1 - TOXIC_SHARE) / n0) * len(y)
     a, b = 1.0, 0.0
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
