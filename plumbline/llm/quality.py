@@ -17,8 +17,10 @@ MIN_WORDS = 50
 SYMBOL_PCT = 10
 #: ... or, with five words or more, as many marks of shouting or trailing off, ...
 SHOUTED = ("!!", "??", "....")
-#: ... more words in capitals (two next to each other, no small letter), ...
+#: ... more words in capitals (two anywhere, no small letter), ...
 CAPITAL_PCT = 50
+#: (the first two capitals of such a word, with no small letter and no blank between them)
+CAPITALS = "\\p{Lu}[^\\p{Lu}\\p{Ll}\\x20\\x09-\\x0D]*\\p{Lu}"
 #: ... with four words or more, more separators of menus, ...
 MENU_PCT = 30
 SEPARATORS = "|»›•·>/"
@@ -41,12 +43,12 @@ def scored_lines(lines: Column, n_symbols: Column) -> Column:
         n = F.size(w)
         symbols = F.regexp_count(line, F.lit(SYMBOLS))
         shouted = sum((F.regexp_count(line, F.lit(re.escape(m))) for m in SHOUTED), F.lit(0))
-        capitals = F.size(F.filter(w, lambda x: x.rlike("\\p{Lu}\\p{Lu}") & ~x.rlike("\\p{Ll}")))
+        capitals = F.size(F.filter(w, lambda x: x.rlike(CAPITALS) & ~x.rlike("\\p{Ll}")))
         menu = F.size(F.filter(w, lambda x: x.isin(*SEPARATORS)))
         return (
             F.when((n_symbols > 0) & (100 * symbols > SYMBOL_PCT * n), "symbols")
             .when(any_of(line, SHOUTED) & (n >= 5) & (100 * shouted > SYMBOL_PCT * n), "punctuation")
-            .when(line.rlike("\\p{Lu}\\p{Lu}") & (n >= 5) & (100 * capitals > CAPITAL_PCT * n), "capitals")
+            .when(line.rlike(CAPITALS) & (n >= 5) & (100 * capitals > CAPITAL_PCT * n), "capitals")
             .when(any_of(line, SEPARATORS) & (n >= 4) & (100 * menu > MENU_PCT * n), "navigation")
             .when(any_of(F.lower(line), BOILERPLATE), "boilerplate")
         )

@@ -62,3 +62,16 @@ def test_odd_rows(make):
     got = quality.clean(make([(None, "a b"), (1, None), (1, None), (2, "")])).collect()
     assert [(r.n_words, r.cleaned, r.kept, r.lost_chars) for r in sorted(got, key=str) if r.doc_id is not None] == [(0, "", False, 0)] * 3
     assert quality.clean(make([])).collect() == []
+
+
+def test_capitals_anywhere_in_a_word(make):
+    good = "\n".join(sentence(k) for k in range(12))
+    shouted = ["F.R.E.E. G.I.F.T. N.O.W. C.A.L.L. U.S.", "B-U-Y T-H-I-S N-O-W O-R N-E-V-E-R", "D'O'N'T W'A'I'T C'A'L'L N'O'W O'K",
+               "F R E E G I F T N O"]
+    calm = ["Mr. A.b said Mc.Donald saw X.y and Z.a there", "A B C D E F"]
+    rows = [(k, good + "\n" + x) for k, x in enumerate(shouted + calm)]
+    got = {r.doc_id: r for r in quality.clean(make(rows)).collect()}
+    for k in range(len(shouted)):
+        assert (got[k].reasons, got[k].cleaned, got[k].lost_chars) == (["capitals"], good, len("".join(shouted[k].split(" ")))), k
+    for k in range(len(shouted), len(rows)):
+        assert (got[k].reasons, got[k].lost_chars) == ([], 0), k
