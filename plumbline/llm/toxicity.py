@@ -45,11 +45,10 @@ def symbols(text: str) -> np.ndarray:
 
 
 def tokens(text: str) -> set[str]:
-    """Distinct lower-case tokens; letters set apart (four or more, of three kinds at least) are read together too."""
+    """Distinct lower-case tokens; letters set apart (four or more) are read together too."""
     low = text.lower()
     found = set(low.split())
-    if sum(len(t) == 1 or (len(t) == 2 and not t.isalpha()) for t in found) > 2:
-        found.update([m.group() for m in SPACED.finditer(low)])
+    found.update([m.group() for m in SPACED.finditer(low)])
     return found
 
 

@@ -77,3 +77,10 @@ def test_without_labels_nothing_is_toxic(make, labels):
         kept = toxicity.without_toxic(df, labels(lab))
         assert kept.columns == df.columns and kept.count() == len(rows)
     assert toxicity.scored(make([]), labels(marks)).collect() == []
+
+
+@pytest.mark.parametrize("wrap", ["{}", "({})", "*{}*", "{}--", "{}."])
+def test_letters_set_apart_in_every_form(model, wrap):
+    assert top(model, "an er " + " ".join(map(wrap.format, "snarfel")) + " ti on") >= 0.3
+    spaced = " ".join(map(wrap.format, "poop"))
+    assert "poop" in {toxicity.bare(t) for t in toxicity.tokens(f"an er {spaced} ti on")}
