@@ -84,3 +84,7 @@ def test_letters_set_apart_in_every_form(model, wrap):
     assert top(model, "an er " + " ".join(map(wrap.format, "snarfel")) + " ti on") >= 0.3
     spaced = " ".join(map(wrap.format, "poop"))
     assert "poop" in {toxicity.bare(t) for t in toxicity.tokens(f"an er {spaced} ti on")}
+
+
+def test_sample_is_not_cut():
+    assert toxicity.SAMPLE_PER_CLASS >= 2500
