@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from plumbline.functions.values import col
 from plumbline.llm.common import row_key
 
-ORDER = 2
+ORDER = 3
 #: An n-gram of two or more words that occurs less often in the corpus counts as unseen.
-MIN_COUNT = 2
+MIN_COUNT = 1
 BACKOFF = 0.4
 #: Text bytes of a batch of documents, and n-grams of a part of the count tables, on average.
 BATCH_BYTES = 16 << 20

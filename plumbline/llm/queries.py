@@ -179,9 +179,37 @@ SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, round(coalesce(s, 0.0),
 
 @register("op6_stupid_backoff", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = backoff.scored(table(spark, sf_dir, "documents"))
-    per_word = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
-    return rows.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round(per_word, 4).alias("per_word"))
+    return per_word(backoff.scored(table(spark, sf_dir, "documents"), order=2, min_count=2))
+
+
+def per_word(rows: DataFrame) -> DataFrame:
+    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
+    return rows.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round(mean, 4).alias("per_word"))
+
+
+#: Order 3, every n-gram counted: each word has a longest n-gram that was seen at least here, in its own text.
+OP6_TRIGRAMS_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+tok AS (SELECT rid, w[i] AS x, CASE WHEN i > 1 THEN w[i - 1] END AS p, CASE WHEN i > 2 THEN w[i - 2] END AS q
+    FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+uni AS (SELECT x, count(*) AS c FROM tok GROUP BY x),
+bi AS (SELECT p, x, count(*) AS c FROM tok WHERE p IS NOT NULL GROUP BY p, x),
+tri AS (SELECT q, p, x, count(*) AS c FROM tok WHERE q IS NOT NULL GROUP BY q, p, x),
+every AS (SELECT count(*) AS n FROM tok),
+each AS (SELECT rid, CASE WHEN t.q IS NOT NULL THEN ln(tri.c / pair.c::DOUBLE)
+    WHEN t.p IS NOT NULL THEN ln(bi.c / ctx.c::DOUBLE) ELSE ln(uni.c / every.n::DOUBLE) END AS s
+    FROM tok t JOIN uni ON t.x = uni.x CROSS JOIN every
+    LEFT JOIN bi ON bi.p = t.p AND bi.x = t.x LEFT JOIN uni ctx ON ctx.x = t.p
+    LEFT JOIN tri ON tri.q = t.q AND tri.p = t.p AND tri.x = t.x LEFT JOIN bi pair ON pair.p = t.q AND pair.x = t.p),
+total AS (SELECT rid, count(*) AS n_words, sum(s) AS s FROM each GROUP BY rid)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, round(coalesce(s, 0.0), 3) AS log_score,
+    round(s / n_words, 4) AS per_word FROM d LEFT JOIN total USING (rid)
+"""
+
+
+@register("op6_stupid_backoff_trigrams", OP6_TRIGRAMS_SQL)
+def op6_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return per_word(backoff.scored(table(spark, sf_dir, "documents")))
 
 
 @register("op9_sparse_suffix_repeats")

@@ -42,3 +42,11 @@ def test_against_plain_counts(make, order, min_count, batch, part):
 def test_without_words(make):
     assert backoff.scored(make([])).collect() == []
     assert sorted(map(tuple, backoff.scored(make([(1, None), (2, "")])).collect())) == [(1, 0, 0.0), (2, 0, 0.0)]
+
+
+def test_trigrams_are_counted_unless_told_otherwise(make):
+    rows = [(1, "a b c a b d"), (2, "x b c"), (3, "a b"), (4, "a b c")]
+    got = sorted((r.doc_id, r.n_words, r.log_score) for r in backoff.scored(make(rows)).collect())
+    want = plain(rows, 3, 1)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-9)
