@@ -48,7 +48,7 @@ SCOPE = frozenset("ul ol dl table div section article main body html".split())
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*)(?:>|\Z)",
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -70,20 +70,21 @@ class Node:
 
 def marked(tag: str, attributes: str) -> str:
     """Why an element holds something else than article text: its tag or its attributes; empty if it doesn't."""
-    if tag in ASIDE:
+    if tag in ASIDE and tag != "form":
         return "tag"
+    why = "form" if tag == "form" else ""
     if not attributes or tag in HOLDERS:
-        return ""
+        return why
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id") and not MARKS.isdisjoint(x.lower() for x in NAME_PARTS.findall(value)):
-            return "attribute"
+            why = why or "name"
         value = value.strip().lower()
-        if name == "role" and value in ROLES or name == "aria-hidden" and value == "true":
+        if name == "role" and value in ROLES and value != tag or name == "aria-hidden" and value == "true":
             return "attribute"
         if name == "style" and "display:none" in value.replace(" ", ""):
             return "attribute"
-    return "attribute" if re.search(r"(?:^|\s)hidden(?:\s|/|$)", ATTRIBUTE.sub(" ", attributes)) else ""
+    return "attribute" if re.search(r"(?:^|\s)hidden(?:\s|/|$)", ATTRIBUTE.sub(" ", attributes)) else why
 
 
 def parse(page: str) -> Node:
@@ -111,6 +112,8 @@ def parse(page: str) -> Node:
             here.children.append("\n")
             continue
         if tag in RAW:
+            if tag == "svg" and attributes.endswith("/"):
+                continue
             end = RAW_END[tag].search(page, pos)
             pos = end.end() if end else n
             continue
@@ -139,7 +142,7 @@ def parse(page: str) -> Node:
             # A page's frame is not an aside, whatever it is called.
             at = here
             while at is not None:
-                at.hidden = "" if at.hidden == "attribute" else at.hidden
+                at.hidden = "" if at.hidden in ("attribute", "name") else at.hidden
                 at = at.parent
         if tag not in VOID and not (inline and attributes.endswith("/")):
             here = node
@@ -148,6 +151,21 @@ def parse(page: str) -> Node:
     return root
 
 
+def unhide(body: Node) -> None:
+    """Shows forms and elements with marked names that hold most of the body's text: they are its frame, not an aside."""
+    nodes, todo = [], [body]
+    while todo:
+        node = todo.pop()
+        nodes.append(node)
+        todo.extend(c for c in node.children if isinstance(c, Node) and c.hidden in ("", "name", "form"))
+    chars: dict[int, int] = {}
+    for node in reversed(nodes):
+        chars[id(node)] = sum(len("".join(c.split())) if isinstance(c, str) else chars.get(id(c), 0) for c in node.children)
+    for node in nodes:
+        if node.hidden and 2 * chars[id(node)] > chars[id(body)]:
+            node.hidden = ""
+
+
 def weigh(body: Node) -> list[Node]:
     """Densities and density sums of all nodes outside of marked elements, parents first."""
     nodes, todo = [], [body]
@@ -183,12 +201,13 @@ def weigh(body: Node) -> list[Node]:
 def article_nodes(root: Node) -> list[Node]:
     """The subtrees that hold the article.
 
-    Its core is the node of the highest density sum. If that lies in an article or main element, or around one,
-    the page says itself how far the article reaches. If not, the lowest density on the way from the body to the core is the
+    Its core is the node of the highest density sum. If that lies in an article or main element, or around one that
+    holds most of its text, the page says itself how far the article reaches. If not, the lowest density on the way from the body to the core is the
     threshold: beside that way, what is as dense, mostly no links and no mere notice (by its density sum) belongs
     to the article too, and so does a heading before it.
     """
     body = next((c for c in root.children if isinstance(c, Node) and c.tag == "body"), root)
+    unhide(body)
     nodes = weigh(body)
     if not body.chars:
         return []
@@ -202,7 +221,9 @@ def article_nodes(root: Node) -> list[Node]:
                 return [node]
         inside = [x for x in nodes if x.tag == holder and x.chars]
         if inside and core in outer(inside[0]):
-            return [max(inside, key=lambda x: x.density_sum)]
+            best = max(inside, key=lambda x: x.density_sum)
+            if 2 * best.chars > core.chars:
+                return [best]
     threshold = min(x.density for x in path)
     kept = [core]
     for inner, node in zip(path, path[1:], strict=False):

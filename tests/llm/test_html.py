@@ -79,3 +79,26 @@ def test_columns_and_rows(spark):
     assert out.columns == ["page_id", "url", "html", "blocks", "text"]
     assert sorted(str(r.text) for r in out.collect()) == ["", "a b", "a b"]
     assert html.extract(df.where(F.lit(False))).collect() == []
+
+
+LONG = "".join(f"<p>Paragraph {k} tells the whole story of the long article, with many plain words in a row and no link at all.</p>" for k in range(8))
+
+
+def test_teaser_beside_the_text_is_not_the_article():
+    page = f"<body><div class=content>{LONG}<article class=card>Read this teaser next</article></div></body>"
+    got = " ".join(html.main_text(page))
+    assert all(f"Paragraph {k} " in got for k in range(8))
+
+
+def test_marked_frames_of_the_whole_text():
+    for start, end in (("<div class=elementor-widget-text-editor>", "</div>"), ("<form action=x>", "</form>"), ('<div id="related"><form>', "</form></div>")):
+        got = " ".join(html.main_text(f"<body><div class=menu>Home News</div>{start}{LONG}{end}</body>"))
+        assert all(f"Paragraph {k} " in got for k in range(8)) and "Home" not in got, start
+    for tag in ("div", "form"):
+        hidden = f'<body><{tag} class=widget style="display: none">{LONG}</{tag}><p>Seen text of the page.</p></body>'
+        assert html.main_text(hidden) == ["Seen text of the page."]
+
+
+def test_tails_of_pages():
+    got = " ".join(html.main_text(f"<body><div><p>First <a title=don't href=x>link</a> of it.</p><svg width='5'/>{LONG}</div></body>"))
+    assert "First link of it." in got and all(f"Paragraph {k} " in got for k in range(8))
