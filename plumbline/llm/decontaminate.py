@@ -37,7 +37,7 @@ class Windows:
     ids: np.ndarray  # windows x window words, 0 after the end
     lengths: np.ndarray
     items: list[str]
-    item: np.ndarray  # per window, the place of its item
+    item: list[list[int]]  # per window, the places of its items
     shingle: np.ndarray  # windows x shingles per window, -1 after the end
     known: np.ndarray  # all shingles, sorted
 
@@ -57,15 +57,21 @@ def combined(ids: np.ndarray, q: int, base: int) -> np.ndarray:
 def windows_of(rows: list[tuple[str, list[bytes]]], window: int) -> Windows:
     vocabulary: dict[bytes, int] = {}
     ids, lengths, items, item = [], [], [], []
+    at: dict[tuple[int, ...], int] = {}
     for name, words in rows:
         if not words:
             continue
         numbers = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words]
         size = min(window, len(numbers))
         for k in range(len(numbers) - size + 1):
-            ids.append(numbers[k : k + size] + [0] * (window - size))
-            lengths.append(size)
-            item.append(len(items))
+            run = tuple(numbers[k : k + size])
+            place = at.setdefault(run, len(ids))
+            if place == len(ids):
+                ids.append([*run, *[0] * (window - size)])
+                lengths.append(size)
+                item.append([])
+            if len(items) not in item[place][-1:]:
+                item[place].append(len(items))
         items.append(name)
     matrix = np.array(ids, np.int64).reshape(-1, window)
     sizes = np.array(lengths, np.int64)
@@ -75,7 +81,7 @@ def windows_of(rows: list[tuple[str, list[bytes]]], window: int) -> Windows:
         found = combined(row[:size], min(SHINGLE_WORDS, size), base)
         shingle[k, : len(found)] = found
     known = np.unique(shingle[shingle >= 0])
-    return Windows(vocabulary, matrix, sizes, items, np.array(item, np.int64), shingle, known)
+    return Windows(vocabulary, matrix, sizes, items, item, shingle, known)
 
 
 def shingle_places(w: Windows, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +158,7 @@ def matcher(w: Windows, counts: np.ndarray):
         np.add.at(change, start + w.lengths[win], -1)
         hit = np.cumsum(change)[:n] > 0
         edges = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
-        return n, edges.tolist(), sorted({w.items[x] for x in np.unique(w.item[win])})
+        return n, edges.tolist(), sorted({w.items[x] for k in np.unique(win) for x in w.item[k]})
 
     @F.pandas_udf("n_words long, edges array<long>, items array<string>")
     def of(texts: pd.Series) -> pd.DataFrame:
@@ -196,11 +202,13 @@ def contamination(
     Null and wordless texts have no words and no hits; null and wordless items have no windows. A null
     item is named by the empty string; items that share a name count once. Other columns are not read.
     The benchmark is read in blocks of about ``block_words`` words, so what each task holds is bounded;
+    repeated rows of it are read once;
     documents are scanned twice per block and never shuffled.
     """
     sized = benchmark.select(
         F.coalesce(col(item).cast("string"), F.lit("")).alias("name"), F.coalesce(col(item_text), F.lit("")).alias("text")
     )
+    sized = sized.distinct()
     total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (6 * block_words)))
     sized = sized.withColumn("block", F.pmod(F.xxhash64("name", "text"), F.lit(blocks)))

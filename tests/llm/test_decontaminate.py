@@ -71,3 +71,19 @@ def test_empty_tables(spark, make):
     assert [(r.doc_id, r.n_words, r.spans, r["items"]) for r in sorted(got)] == [(1, 2, [], []), (2, 0, [], [])]
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontaminate.contaminated(make([]), items).collect() == []
+
+
+def test_repeated_items_add_no_windows():
+    words = [b"w%d" % k for k in range(30)]
+    w = decontaminate.windows_of([("a", words), ("b", words), ("c", words[:10] * 2)], 10)
+    assert len(w.ids) == 21 + 9 and w.item[0] == [0, 1, 2] and w.item[1] == [0, 1]
+
+
+def test_repeated_benchmark_rows_fill_no_block(spark, make, monkeypatch):
+    text = " ".join(f"w{k}" for k in range(30))
+    seen = []
+    whole = decontaminate.windows_of
+    monkeypatch.setattr(decontaminate, "windows_of", lambda rows, window: seen.append(len(rows)) or whole(rows, window))
+    benchmark = spark.createDataFrame([("a", text)] * 200 + [("b", text)], "item_id string, text string")
+    got = decontaminate.contaminated(make([(1, f"x {text} y")]), benchmark, block_words=1000).collect()
+    assert sum(seen) == 2 and [(r.spans[0].start, r.spans[0].end, r.items) for r in got] == [(1, 31, ["a", "b"])]
