@@ -6,7 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import backoff, decontaminate, html, language, mixing, quality, repeats, sharding, simhash, toxicity
+from plumbline.llm import (
+    backoff,
+    decontaminate,
+    divergence,
+    html,
+    infill,
+    language,
+    mixing,
+    quality,
+    repeats,
+    sharding,
+    simhash,
+    toxicity,
+)
 from plumbline.llm.registry import register, table
 
 
@@ -215,3 +228,61 @@ def op6_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_sparse_suffix_repeats")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS tok,
+    sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (SELECT doc_id, t, tok, CAST(len(tok) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+    CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+cut AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+    WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, array_to_string(tok[1:a], '') AS p, array_to_string(tok[a + 1:b], '') AS m, array_to_string(tok[b + 1:], '') AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+    sha256(t) AS restored_sha256 FROM parts
+"""
+
+
+@register("op13_fill_in_middle", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+tok AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+lt AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS cnt FROM tok GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+l AS (SELECT lang, sum(cnt) AS N, CAST(count(*) AS HUGEINT) AS V FROM lt GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+gt AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS cnt FROM tok SEMI JOIN lt USING (lang, term) GROUP BY lang, source, term),
+gn AS (SELECT lang, source, coalesce(sum(cnt), 0) AS N FROM g LEFT JOIN gt USING (lang, source) GROUP BY lang, source),
+p AS (SELECT lang, source, term, coalesce(gt.cnt, 0) AS cnt,
+    CAST(1 + 1000000000 * (coalesce(gt.cnt, 0) + 2) // (gn.N + 2 * l.V) AS HUGEINT) AS p,
+    CAST(1 + 1000000000 * (lt.cnt + 2) // (l.N + 2 * l.V) AS HUGEINT) AS q
+    FROM gn JOIN lt USING (lang) JOIN l USING (lang) LEFT JOIN gt USING (lang, source, term)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE cnt > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM every)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@register("op11_source_divergence", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
