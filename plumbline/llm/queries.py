@@ -14,6 +14,7 @@ from plumbline.llm import (
     infill,
     language,
     mixing,
+    partenum,
     quality,
     repeats,
     sharding,
@@ -286,3 +287,25 @@ SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank
 @register("op11_source_divergence", OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS sh FROM d),
+n AS MATERIALIZED (SELECT rid, doc_id, len(sh) AS n FROM s),
+x AS MATERIALIZED (SELECT rid, len(sh) AS n, unnest(sh) AS g FROM s),
+links AS MATERIALIZED (SELECT a.rid AS u, b.rid AS v FROM x a JOIN x b ON a.g = b.g AND a.rid <> b.rid
+    AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+    GROUP BY a.rid, b.rid, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT rid, rid AS seen FROM n UNION SELECT r.rid, l.v FROM reach r JOIN links l ON r.seen = l.u)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(m.doc_id) AS component_id
+FROM n JOIN reach r ON n.rid = r.rid JOIN n m ON m.rid = r.seen GROUP BY n.rid, n.doc_id, n.n
+"""
+
+
+@register("op12_partenum_jaccard", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_groups(table(spark, sf_dir, "documents"))
