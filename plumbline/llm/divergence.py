@@ -22,6 +22,8 @@ HELD_TERMS = 400_000
 #: Kept terms per block of a language on average, and sources per bucket: a task compares the bitmaps of two buckets in one block.
 BLOCK_TERMS = 1 << 13
 BUCKET_SOURCES = 24
+#: Tasks among which the counts of one language are dealt to meet its sources.
+SALTS = 16
 
 # ASCII letters become small, other ASCII characters part terms, all else stays.
 TERMS = bytes(c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -204,7 +206,7 @@ def divergence(
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("V"), F.sum("lang_cnt").alias("lang_N"))
     cells = settle(terms.drop("docs").join(placed(kept, n_kept, block_terms), ["lang", "term"]))
 
-    # Per group: number of its language (buckets), total, share of count zero.
+    # Per group: its number and the buckets of its language, totals, share of count zero.
     totals = cells.groupBy("lang", "source").agg(F.sum("cnt").alias("N"))
     zero = F.lit(0)
     numbered = Window.partitionBy("lang").orderBy("source")
@@ -213,21 +215,20 @@ def divergence(
         .join(sizes, "lang", "left")
         .select("lang", "source", *(F.coalesce(c, zero).alias(c) for c in ("N", "V", "lang_N")))
         .withColumn("no", F.row_number().over(numbered) - 1)
+        .withColumn("buckets", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("lang")) / bucket_sources).cast("int"))
         .withColumn("zero", share(zero, F.col("N"), F.col("V")))
     )
     known = settle(known)
 
-    of = known.select("lang", "source", "N", "V", "lang_N", "no", "zero")
     p = share(F.col("cnt"), F.col("N"), F.col("V"))
     levels = (
         cells.groupBy("lang", "source", "cnt", "block", "word")
         .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-        .join(of, ["lang", "source"])
-        .select("lang", "no", "cnt", "block", "word", "bits", "zero", p.alias("p"))
+        .join(known, ["lang", "source"])
+        .select("lang", "no", "buckets", "cnt", "block", "word", "bits", "zero", p.alias("p"))
     )
     levels = settle(levels)
-    buckets = known.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / bucket_sources).cast("int").alias("buckets"))
-    dealt = levels.join(buckets, "lang").withColumn("bucket", F.pmod("no", F.col("buckets")).cast("int"))
+    dealt = levels.withColumn("bucket", F.pmod("no", F.col("buckets")).cast("int"))
     each = F.transform(
         F.sequence(F.lit(0), F.col("buckets") - 1),
         lambda k: F.struct(F.least(k, F.col("bucket")).alias("b1"), F.greatest(k, F.col("bucket")).alias("b2")),
@@ -241,8 +242,9 @@ def divergence(
 
     # Margins: the terms of a count in one source, all set against count zero in the other.
     level_sizes = levels.groupBy("lang", "no", "p", "zero").agg(F.sum(F.bit_count("bits")).alias("size"))
-    other = known.select("lang", F.col("no").alias("o"), F.col("zero").alias("o_zero"))
-    margin = level_sizes.join(other, "lang").where("no != o")
+    other = known.select("lang", F.col("no").alias("o"), F.col("zero").alias("o_zero"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = level_sizes.withColumn("salt", F.pmod(F.xxhash64("no", "p"), F.lit(SALTS)).cast("int"))
+    margin = salted.join(other, ["lang", "salt"]).where("no != o")
     worth = F.col("size") * (gap(F.col("p"), F.col("o_zero")) - gap(F.col("zero"), F.col("o_zero")))
     margin = margin.select("lang", F.least("no", "o").alias("a"), F.greatest("no", "o").alias("b"), worth.alias("value"))
     left = known.select("lang", "V", F.col("no").alias("a"), F.col("source").alias("s1"), F.col("zero").alias("z1"))
@@ -258,7 +260,7 @@ def divergence(
     )
 
     above = (
-        cells.join(of, ["lang", "source"])
+        cells.join(known, ["lang", "source"])
         .select("lang", "source", "term", p.alias("p"), share(F.col("lang_cnt"), F.col("lang_N"), F.col("V")).alias("q"))
         .where("p > q")
         .select("lang", "source", F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
