@@ -219,14 +219,17 @@ def pair_finder(low: int, high: int, percent: int):
     return find
 
 
-def still_open(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    """(g, node, n, counts, label) of the groups whose members are not yet all of one component."""
-    if links is not None:
-        labels = components(links).select("node", F.col("label").alias("l_"))
-        members = members.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("l_", "node")).drop("l_")
-    members = members.select("g", "node", "n", "counts", "label")
-    apart = members.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members"))
-    return settle(members.join(apart.where("lo != hi").select("g", "members"), "g"))
+def still_open(members: DataFrame) -> DataFrame:
+    """(g, node, n, counts, label, members) of the groups whose members are not yet all of one component."""
+    group = Window.partitionBy("g")
+    apart = members.withColumn("lo", F.min("label").over(group)).withColumn("hi", F.max("label").over(group))
+    apart = apart.withColumn("members", F.count(F.lit(1)).over(group)).where("lo != hi")
+    return settle(apart.select("g", "node", "n", "counts", "label", "members"))
+
+
+def relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    labels = components(links).select("node", F.col("label").alias("l_"))
+    return members.drop("label", "members").join(labels, "node", "left").withColumn("label", F.coalesce("l_", "node")).drop("l_")
 
 
 def divided(members: DataFrame, sets: DataFrame, crowd: int, percent: int) -> DataFrame:
@@ -243,7 +246,7 @@ def divided(members: DataFrame, sets: DataFrame, crowd: int, percent: int) -> Da
     of = crowded.select("node").distinct().join(sets, "node").select("node", second("set").alias("sigs"))
     parted = crowded.join(of, "node").withColumn("s", F.explode("sigs")).withColumn("g", F.xxhash64("g", "s")).drop("s", "sigs", "members")
     rest = members.where(F.col("members") <= crowd)
-    return still_open(rest.drop("members").unionByName(parted), None)
+    return still_open(rest.drop("members").unionByName(parted))
 
 
 def similar_sets(df: DataFrame, key: str, text: str, shingle_words: int, percent: int, crowd: int) -> tuple[DataFrame, DataFrame]:
@@ -275,20 +278,24 @@ def similar_sets(df: DataFrame, key: str, text: str, shingle_words: int, percent
     tried = settle(star.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).where("u != v").distinct())
 
     # Sets of all members: their texts are read again, chosen by hash, so that other texts are not moved.
-    signs = signed.where("counts IS NOT NULL").select("id", "counts")
-    members = shared.select("g", "id").join(node_of, "id").join(numbered.select("id", "n").join(signs, "id"), "id")
-    members = members.select("g", "node", "n", "counts", F.col("node").alias("label")).dropDuplicates(["g", "node"])
-    members = still_open(members, None)
-    wanted = members.select("node").distinct().join(numbered.where("id = node"), "node")
+    wanted = tried.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(numbered.where("id = node"), "node")
     wanted = settle(wanted.select("node", "text_hash", "d1", "d2"))
     bucket = lambda c: F.pmod(c, F.lit(BUCKETS)).cast("int")
     chosen = wanted.select(bucket(F.col("text_hash")).alias("b")).distinct()
     texts = df.select(body.cast("binary").alias("text"), bucket(F.xxhash64(body)).alias("b")).join(F.broadcast(chosen), "b", "left_semi")
     read = texts.select("text").mapInArrow(set_reader(shingle_words), "d1 long, d2 long, set binary")
     sets = settle(read.join(wanted.select("node", "d1", "d2"), ["d1", "d2"]).select("node", "set").dropDuplicates(["node"]))
-
     links = settle(similar(tried, sets, percent))
-    members = still_open(members, links)
+
+    # Groups that are of one component now are done; only the others need sizes and counts.
+    labels = components(links).select("node", "label")
+    label_of = node_of.join(labels, "node", "left").select("id", F.coalesce("label", "node").alias("label"))
+    group = Window.partitionBy("g")
+    apart = shared.select("g", "id").join(label_of, "id")
+    apart = apart.withColumn("lo", F.min("label").over(group)).withColumn("hi", F.max("label").over(group))
+    apart = settle(apart.where("lo != hi").select("g", "id", "label"))
+    about = numbered.select("id", "node", "n").join(signed.where("counts IS NOT NULL").select("id", "counts"), "id")
+    members = still_open(apart.join(about, "id").dropDuplicates(["g", "node"]))
     members = divided(members, sets, crowd, percent)
     low = 1
     while True:
@@ -300,7 +307,7 @@ def similar_sets(df: DataFrame, key: str, text: str, shingle_words: int, percent
         near = settle(near.join(tried, ["u", "v"], "left_anti"))
         tried = tried.union(near)
         links = settle(links.union(similar(near, sets, percent)))
-        members = still_open(members.drop("members"), links)
+        members = still_open(relabelled(members, links))
         low *= STRIDE
 
 
