@@ -14,6 +14,7 @@ from .frequency import (
     SAMPLE_VALUES,
     TOP_VALUES,
     RARE_SHARE,
+    every_column,
     frequencies,
     most_frequent,
     of_columns,
@@ -22,7 +23,7 @@ from .frequency import (
     value_digest,
 )
 from ..session import settle
-from .ranking import QUARTILES, quantiles_by_slice
+from .quantiles import QUARTILES, beside, select_quantiles
 from .schema import Field, fields, normalise, number_fields
 from .types import Facts, look, physical_type, string_type
 
@@ -179,38 +180,19 @@ def _numeric_counts(freq: DataFrame, facts: Sequence[Facts]) -> DataFrame:
     return freq.withColumn("v", F.coalesce(F.col("lng").cast("double"), F.col("dbl"), F.col("flt").cast("double"), text))
 
 
-def _quartiles(freq: DataFrame, facts: Sequence[Facts], by: Sequence[str], extra: dict[str, Column]) -> DataFrame:
-    """(by, ordinal, extra.., quartiles) from the settled frequency table."""
-    keys = [col(k) for k in by] + [F.col("ordinal")]
-    counts = _numeric_counts(freq, facts)
-    found = quantiles_by_slice(counts.where("v IS NOT NULL").select(*keys, "v", "cnt"), by)
-    if not extra:
-        return found
-    return _attach(counts.groupBy(*keys).agg(*(e.alias(n) for n, e in extra.items())), found, by)
-
-
-# Parts into which the values of a column and segment are dealt for a join.
-SALTS = 32
+def _quartiles(df: DataFrame, facts: Sequence[Facts], by: Sequence[str] = ()) -> DataFrame:
+    """(by, ordinal, quartiles) of the columns that can be numeric, selected by scans of the table."""
+    cells = [
+        F.struct(F.lit(x.field.ordinal).alias("ordinal"), x.numeric_value.alias("v")) for x in facts if x.numeric_value is not None
+    ]
+    none = F.array().cast("array<struct<ordinal:int,v:double>>")
+    return select_quantiles(df.select(*[col(k) for k in by], F.inline(F.array(*cells) if cells else none)), by)
 
 
 def _beside(freq: DataFrame, right: DataFrame, by: Sequence[str], on_column: bool = True) -> DataFrame:
-    """The frequency table, each row with what ``right`` has for its segment (and column).
-
-    Without segments that is one row per column of the schema, and broadcast. With
-    segments one of them may hold most values, so its rows are dealt to several keys.
-    """
-    names = [*by, "ordinal"] if on_column else list(by)
-    for k in names:
-        right = right.withColumnRenamed(k, f"_{k}")
-    on = F.lit(True)
-    for k in names:
-        on = on & col(k).eqNullSafe(col(f"_{k}"))
-    if not by:
-        return freq.join(F.broadcast(right), on).drop(*[f"_{k}" for k in names])
-    salted = freq.withColumn("_salt", F.pmod(F.xxhash64("ordinal", "lng", "dbl", "flt", "txt"), F.lit(SALTS)).cast("int"))
-    right = right.withColumn("_salt_no", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = salted.join(right, on & (F.col("_salt") == F.col("_salt_no")))
-    return joined.drop("_salt", "_salt_no", *[f"_{k}" for k in names])
+    """The frequency table, each row with what ``right`` has for its segment (and column)."""
+    n_right = right.count() if by else None
+    return beside(freq, right, [*by, "ordinal"] if on_column else list(by), by, ["ordinal", "lng", "dbl", "flt", "txt"], n_right)
 
 
 def _counts_with(
@@ -227,13 +209,6 @@ def _outside(q1: Column, q3: Column) -> Column:
     return F.sum(F.when((v < lo) | (v > hi), F.col("cnt")).otherwise(0))
 
 
-def _outliers(freq: DataFrame, facts: Sequence[Facts], quartiles: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, ordinal, outliers_count)."""
-    q = F.col("quartiles")
-    joined = _counts_with(freq, facts, quartiles, by, ["quartiles"])
-    return joined.groupBy(*[col(k) for k in by], "ordinal").agg(_outside(q[0], q[2]).alias("outliers_count"))
-
-
 def _second_pass(freq: DataFrame, facts: Sequence[Facts], spread: DataFrame, by: Sequence[str]) -> DataFrame:
     """First-round statistics carried along with the second round, so that each is computed once."""
     names = [c for c in spread.columns if c not in by and c != "ordinal"]
@@ -295,10 +270,7 @@ def quartiles(df: DataFrame, exact: bool = True, names: list[str] | None = None)
         ps = list(QUARTILES)
         out = by_column(df, fields(df), lambda f: {"quartiles": F.percentile_approx(f.number, ps, 10000)})
     else:
-        found = _quartiles(settle(frequencies(df, facts)), facts, (), {})
-        out = by_column(df, fields(df), lambda f: {"non_null": F.count(f.value)}).join(
-            F.broadcast(found), "ordinal", "left"
-        )
+        out = every_column(df, facts, _quartiles(df, facts))
     q = F.col("quartiles")
     return out.select("name", *(F.coalesce(q[i], F.lit(0.0)).alias(n) for i, n in enumerate(("q1", "median", "q3"))))
 
@@ -306,16 +278,18 @@ def quartiles(df: DataFrame, exact: bool = True, names: list[str] | None = None)
 def iqr_outliers(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(name, n_rows, non_null, outliers_count, outliers_pct): share of the non-null values."""
     df, facts = _number_facts(df, names)
-    freq = settle(frequencies(df, facts))
-    found = _outliers(freq, facts, _quartiles(freq, facts, (), {}), ())
-    base = by_column(df, fields(df), lambda f: {"n_rows": F.count(F.lit(1)), "non_null": F.count(f.value)})
-    n = F.coalesce("outliers_count", F.lit(0))
-    return base.join(F.broadcast(found), "ordinal", "left").select(
-        "name",
-        "n_rows",
-        "non_null",
-        n.alias("outliers_count"),
-        percent(n, F.col("non_null")).alias("outliers_pct"),
+    # One row per column of the schema: the counts are one more scan.
+    found = {r["ordinal"]: r["quartiles"] for r in _quartiles(df, facts).collect()}
+
+    def build(f: Field) -> dict[str, Column]:
+        q1, _, q3 = (F.lit(q) for q in found.get(f.ordinal, (None, None, None)))
+        lo, hi = iqr_bounds(q1.cast("double"), q3.cast("double"))
+        outside = (f.number < lo) | (f.number > hi)
+        return {"n_rows": F.count(F.lit(1)), "non_null": F.count(f.value), "outliers_count": F.count_if(outside)}
+
+    out = by_column(df, fields(df), build)
+    return out.select(
+        "name", "n_rows", "non_null", "outliers_count", percent(F.col("outliers_count"), F.col("non_null")).alias("outliers_pct")
     )
 
 
@@ -335,7 +309,7 @@ def describe(df: DataFrame, names: list[str] | None = None) -> DataFrame:
         },
     )
     q = F.col("quartiles")
-    found = _quartiles(settle(frequencies(df, facts)), facts, (), {})
+    found = _quartiles(df, facts)
     wide = base.join(F.broadcast(found), "ordinal", "left")
     order = [("count", F.col("count")), ("mean", F.col("mean")), ("std", F.col("std")), ("min", F.col("min"))]
     order += [("25%", q[0]), ("50%", q[1]), ("75%", q[2]), ("max", F.col("max"))]
@@ -461,18 +435,14 @@ def profile_columns(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         counted, n_rows = _beside(freq, sizes, by, on_column=False), F.col("_n")
     else:
         counted, n_rows = freq, F.lit(sizes.first()["_n"] or 0)
-    spread = _quartiles(
-        counted,
-        facts,
-        by,
-        {
-            "n_unique": F.count(F.lit(1)),
-            "rare_values": F.count_if(F.col("cnt") < F.greatest(F.lit(1.0), n_rows * RARE_SHARE)),
-            **_first_round(),
-        },
+    rare = F.count_if(F.col("cnt") < F.greatest(F.lit(1.0), n_rows * RARE_SHARE))
+    spread = _numeric_counts(counted, facts).groupBy(*keys, "ordinal").agg(
+        F.count(F.lit(1)).alias("n_unique"), rare.alias("rare_values"), *(e.alias(n) for n, e in _first_round().items())
     )
     q = F.col("quartiles")
+    spread = _attach(spread, _quartiles(df, facts, by), by)
     spread = spread.select("*", q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3")).drop("quartiles")
+    spread = settle(spread)
     out = _attach(first, _second_pass(freq, facts, spread, by), by)
 
     sampled = restore(ranked(freq, [value_digest()], SAMPLE_VALUES, by), df, facts, by)

@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import col
-from ..session import settle
 from .columns import _number_facts, _quartiles, iqr_bounds
-from .frequency import frequencies
 from .ranking import ROWS_PER_SLICE, global_rank
 from .schema import fields, kind_of, normalise
 
@@ -25,7 +23,7 @@ def _values(df: DataFrame, name: str) -> DataFrame:
 def _quartile_struct(df: DataFrame, name: str) -> Column:
     """Quartiles of one column as a scalar subquery (NULL without values)."""
     df, facts = _number_facts(df, [name])
-    return _quartiles(settle(frequencies(df, facts)), facts, (), {}).select("quartiles").scalar()
+    return _quartiles(df, facts).select("quartiles").scalar()
 
 
 def bin_layout(df: DataFrame, name: str) -> DataFrame:
@@ -130,7 +128,7 @@ def outlier_bounds(df: DataFrame, name: str) -> DataFrame:
     df, facts = _number_facts(df, [name])
     q = F.col("quartiles")
     lo, hi = iqr_bounds(q[0], q[2])
-    found = _quartiles(settle(frequencies(df, facts)), facts, (), {})
+    found = _quartiles(df, facts)
     return found.select(q[0].alias("q1"), q[2].alias("q3"), lo.alias("lower_bound"), hi.alias("upper_bound"))
 
 

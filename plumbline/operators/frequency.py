@@ -189,10 +189,10 @@ def n_unique(df: DataFrame, exact: bool = True, names: list[str] | None = None)
         return by_column(df, cols, lambda f: {"n_unique": F.approx_count_distinct(f.value)}).select("name", "n_unique")
     facts = _chosen(df, names)
     found = frequencies(df, facts).groupBy("ordinal").agg(F.count(F.lit(1)).alias("n"))
-    return _every(df, facts, found).select("name", F.coalesce("n", F.lit(0)).alias("n_unique"))
+    return every_column(df, facts, found).select("name", F.coalesce("n", F.lit(0)).alias("n_unique"))
 
 
-def _every(df: DataFrame, facts: Sequence[Facts], found: DataFrame) -> DataFrame:
+def every_column(df: DataFrame, facts: Sequence[Facts], found: DataFrame) -> DataFrame:
     """One row per chosen column, also for columns without values."""
     rows = [(x.field.ordinal, x.field.name) for x in facts]
     base = df.sparkSession.createDataFrame(rows, "ordinal int, name string")
@@ -230,7 +230,7 @@ def rare_values(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     n_rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     rare = F.count_if(F.col("cnt") < F.greatest(F.lit(1.0), n_rows * RARE_SHARE))
     found = frequencies(df, facts).groupBy("ordinal").agg(rare.alias("n"))
-    return _every(df, facts, found).select("name", F.coalesce("n", F.lit(0)).alias("rare_values"))
+    return every_column(df, facts, found).select("name", F.coalesce("n", F.lit(0)).alias("rare_values"))
 
 
 def category_summary(df: DataFrame, k: int = 10) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Exact global ranks and quantiles without a single-task sort."""
+"""Exact global ranks without a single-task sort."""
 
 from __future__ import annotations
 
@@ -8,11 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.values import col
 from ..session import settle
 
-QUARTILES = (0.25, 0.5, 0.75)
-
 # Rows per slice of a range-partitioned table.
 ROWS_PER_SLICE = 250_000
 
@@ -42,58 +39,3 @@ def global_rank(df: DataFrame, order: Sequence[Column], slices: int) -> DataFram
         .withColumn("rank", F.col("rank") + F.col("rows_before"))
         .drop("slice", "rows_before")
     )
-
-
-def quantiles_by_slice(
-    counts: DataFrame, by: Sequence[str], probabilities: Sequence[float] = QUARTILES
-) -> DataFrame:
-    """Exact interpolated quantiles of (by, ordinal, v, cnt) for any number of distinct values and segments.
-
-    Cumulative counts per slice locate the slices that hold the wanted ranks;
-    only those are sorted. Gives (by, ordinal, quartiles array).
-    """
-    keys = [col(k) for k in by] + [F.col("ordinal")]
-    parts = sliced(counts, [*keys, F.col("v")], counts.count() // ROWS_PER_SLICE + 1)
-    sizes = parts.groupBy(*keys, "slice").agg(F.sum("cnt").alias("n"))
-    w = W.partitionBy(*keys).orderBy("slice")
-    cumulative = sizes.select(
-        *keys,
-        "slice",
-        (F.sum("n").over(w) - F.col("n")).alias("before"),
-        F.sum("n").over(w).alias("upto"),
-        F.sum("n").over(W.partitionBy(*keys)).alias("total"),
-    )
-    # pandas interpolates between the two values around position p * (n - 1).
-    spot = [F.lit(float(p)) * (F.col("total") - 1) for p in probabilities]
-    wanted = F.array(
-        *(
-            F.struct(F.lit(i).alias("p"), e.alias("spot"), r.cast("bigint").alias("k"))
-            for i, e in enumerate(spot)
-            for r in (F.floor(e), F.ceil(e))
-        )
-    )
-    holds = lambda t: (t["k"] >= F.col("before")) & (t["k"] < F.col("upto"))
-    targets = cumulative.select(*keys, "slice", "before", F.filter(wanted, holds).alias("targets")).where(
-        F.size("targets") > 0
-    )
-    # At most two slices per probability and group.
-    names = [*by, "ordinal", "slice"]
-    small = targets.select(*[col(k).alias(f"_{k}") for k in names], "before", "targets")
-    on = F.lit(True)
-    for k in names:
-        on = on & col(k).eqNullSafe(col(f"_{k}"))
-    inner = W.partitionBy(*keys, "slice").orderBy("v")
-    upto, cnt = F.col("upto"), F.col("cnt")
-    reached = F.filter("targets", lambda t: (t["k"] < upto) & (t["k"] >= upto - cnt))
-    hit = (
-        parts.join(small if by else F.broadcast(small), on)
-        .select(*keys, "v", "cnt", "targets", (F.sum("cnt").over(inner) + F.col("before")).alias("upto"))
-        .withColumn("t", F.explode(reached))
-    )
-    ends = hit.groupBy(*keys, F.col("t.p").alias("p"), F.col("t.spot").alias("spot")).agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi")
-    )
-    value = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("spot") - F.floor("spot"))
-    return ends.groupBy(*keys).agg(
-        *(F.max(F.when(F.col("p") == i, value)).alias(f"q{i}") for i in range(len(probabilities)))
-    ).select(*keys, F.array(*(F.col(f"q{i}") for i in range(len(probabilities)))).alias("quartiles"))
