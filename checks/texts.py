@@ -636,7 +636,7 @@ def verified_sql() -> str:
         FROM cl CROSS JOIN dd LEFT JOIN hit ON hit.doc_id = cl.doc_id AND hit.claim_no = cl.claim_no LEFT JOIN cp ON cp.name = hit.name),
       jud AS (SELECT *, coalesce(abs(a - value) <= CASE WHEN type = 'row_count' THEN greatest(1, a * 0.01) WHEN type = 'column_count' THEN 0
         WHEN type = 'memory_mb' THEN greatest(0.1, a * 0.1) WHEN {has('duplicate')} THEN 1.0 ELSE 2.0 END, false) AS verified FROM act),
-      ver AS (SELECT *, CASE WHEN NOT verified AND a IS NOT NULL THEN CASE WHEN type = 'percentage' THEN {fixed('abs(a - value)', 1)} || ' percentage points'
+      ver AS MATERIALIZED (SELECT *, CASE WHEN NOT verified AND a IS NOT NULL THEN CASE WHEN type = 'percentage' THEN {fixed('abs(a - value)', 1)} || ' percentage points'
         ELSE {fixed('abs(a - value) / a * 100', 1)} || '% difference' END END AS discrepancy,
         CASE WHEN type = 'percentage' AND NOT {has('duplicate')} AND a IS NOT NULL THEN hit_name END AS column_name FROM jud)"""
 
