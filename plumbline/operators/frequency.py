@@ -109,17 +109,87 @@ def most_frequent(
 ) -> DataFrame:
     """The k most (or least) frequent values per column with ``rank`` and ``value``; ties by value, rising (falling).
 
-    Long values are known by prefix and digest only. All that tie with the k-th by
-    count and prefix are restored first, then their texts decide.
+    Long values are known by prefix and digest only. Where the k-th place falls among values that tie by count and
+    prefix, longer prefixes decide; k rows per column are restored and sorted.
     """
-    way = F.desc if descending else F.asc
-    ends = F.asc if descending else F.desc
-    known = [way("cnt"), ends("lng"), ends("dbl"), ends("flt")]
-    prefix = freq.where("cnt > 0").withColumn("_p", F.left("txt", F.lit(KEY_CHARS)))
     w = W.partitionBy(*[col(b) for b in by], "ordinal")
-    near = prefix.withColumn("rank", F.rank().over(w.orderBy(*known, ends("_p")))).where(F.col("rank") <= k)
-    full = restore(near.drop("_p"), df, facts, by)
-    return full.withColumn("rank", F.row_number().over(w.orderBy(*known, ends("value")))).where(F.col("rank") <= k)
+    picked = _first_k(freq, df, facts, k, by, descending)
+    full = restore(picked, df, facts, by)
+    order = [*_known_order(descending), _ends(descending)("value")]
+    return full.withColumn("rank", F.row_number().over(w.orderBy(*order))).where(F.col("rank") <= k)
+
+
+def _ends(descending: bool):
+    return F.asc if descending else F.desc
+
+
+def _known_order(descending: bool) -> list[Column]:
+    way, ends = (F.desc, F.asc) if descending else (F.asc, F.desc)
+    return [way("cnt"), ends("lng"), ends("dbl"), ends("flt")]
+
+
+# The prefixes that decide a tie grow by this factor from round to round.
+PREFIX_GROWTH = 4
+
+
+def _first_k(freq: DataFrame, df: DataFrame, facts: Sequence[Facts], k: int, by: Sequence[str], descending: bool) -> DataFrame:
+    """At most k rows of the frequency table per column: the first by count and value.
+
+    k + 1 rows by count and prefix show whether the k-th place is tied. A tied class gives way to the
+    first of its members by a longer prefix, which one more scan of the long values counts, and so on until no
+    place is tied. No task sees more than k + 1 members of a class from each other task.
+    """
+    names = [*by, "ordinal"]
+    w = W.partitionBy(*[col(n) for n in names])
+    order = _known_order(descending)
+    near = freq.where("cnt > 0").withColumn("_p", F.left("txt", F.lit(KEY_CHARS))).withColumn("_need", F.lit(k))
+    decided, chars = None, KEY_CHARS
+    while True:
+        near = near.withColumn("rank", F.row_number().over(w.orderBy(*order, _ends(descending)("_p")))).where(F.col("rank") <= k + 1)
+        if decided is None and not any(x.long_values for x in facts):
+            return near.where(F.col("rank") <= k).drop("rank", "_p", "_need")
+        near = near.where(F.col("rank") <= F.col("_need") + 1)
+        whole = w.orderBy("rank").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        last = F.last(F.struct("cnt", "_p", "rank")).over(whole)
+        near = near.withColumn("_last", last).withColumn(
+            "_like_last", F.coalesce((F.col("cnt") == F.col("_last.cnt")) & (F.col("_p") == F.col("_last._p")), F.lit(False))
+        )
+        # The last of need + 1 rows drops out, unless it shares the class of the one before it: then the class is open.
+        first = F.min(F.when(F.col("_like_last"), F.col("rank"))).over(w)
+        near = settle(near.withColumn("_from", F.when(F.col("_last.rank") > F.col("_need"), first)))
+        is_open = F.coalesce(F.col("_like_last") & (F.col("_from") <= F.col("_need")), F.lit(False))
+        free = near.where(~is_open & (F.col("rank") <= F.col("_need"))).drop("rank", "_p", "_need", "_last", "_like_last", "_from")
+        decided = free if decided is None else decided.unionByName(free)
+        classes = near.where(is_open & (F.col("rank") == F.col("_from")))
+        classes = settle(classes.select(*[col(n) for n in names], "cnt", "_p", (F.col("_need") - F.col("_from") + 1).alias("_need")))
+        n = classes.count()
+        if not n:
+            return decided
+        near = _members(df, facts, by, classes, n, chars)
+        chars *= PREFIX_GROWTH
+
+
+def _members(df: DataFrame, facts: Sequence[Facts], by: Sequence[str], classes: DataFrame, n: int, chars: int) -> DataFrame:
+    """Rows of the frequency table for the members of tied classes (by, ordinal, cnt, _p, _need), with a longer prefix."""
+    names = [*by, "ordinal"]
+    cells = [F.struct(F.lit(x.field.ordinal).alias("ordinal"), x.field.label.alias("v")) for x in facts if x.long_values]
+    rows = df.select(*[col(b) for b in by], F.inline(F.array(*cells)))
+    on = F.left("v", F.lit(chars)) == F.col("_p")
+    for k in [*names, "cnt"]:
+        classes = classes.withColumnRenamed(k, f"_{k}")
+    for k in names:
+        on = on & col(k).eqNullSafe(col(f"_{k}"))
+    # One class per column and segment at most.
+    met = rows.join(F.broadcast(classes) if n <= BROADCAST_ROWS else classes, on)
+    longer = F.left("v", F.lit(chars * PREFIX_GROWTH)).alias("_longer")
+    counted = met.groupBy(*[col(k) for k in names], text_key(F.col("v")).alias("txt"), longer, "_cnt", "_need").agg(
+        F.count(F.lit(1)).alias("cnt"), F.max(F.length("v") > KEY_CHARS).alias("digest")
+    )
+    null = lambda t: F.lit(None).cast(t)
+    return counted.where("cnt = _cnt").select(
+        *[col(k) for k in names], null("bigint").alias("lng"), null("double").alias("dbl"), null("float").alias("flt"), "txt", "digest",
+        "cnt", F.col("_longer").alias("_p"), "_need",
+    )
 
 
 def restore(picked: DataFrame, df: DataFrame, facts: Sequence[Facts], by: Sequence[str] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import columns as C
+from plumbline.operators import frequency
 from plumbline.operators import selection as S
 from plumbline.operators.correlation import correlations
 from plumbline.operators.distribution import missing_raster
@@ -173,3 +174,26 @@ def test_scan_reads_only_wanted_columns(spark, tmp_path):
     skewed(spark).write.parquet(path)
     plan = C.numeric_moments(spark.read.parquet(path), ["v"])._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<v:double>" in plan
+
+
+def test_unique_values_with_a_long_common_prefix(spark, monkeypatch):
+    """10^5 different texts share 80 characters, others 400: longer prefixes decide, no task holds the texts of a class."""
+    start, deep = "https://example.org/" + "x" * 60, "y" * 400
+    n = 100_000
+    texts = F.when(F.col("id") < n, F.concat(F.lit(start), F.lpad((F.col("id") * 7919 % 1_000_003).cast("string"), 7, "0")))
+    df = spark.range(n + 40).select(
+        "id",
+        texts.otherwise(F.concat(F.lit(deep), (F.col("id") % 10).cast("string"))).alias("url"),
+        F.when(F.col("id") < n, F.lit(start[:64])).otherwise(F.lit(start)).alias("two"),
+    )
+    kept = []
+    monkeypatch.setattr(frequency, "settle", lambda d: kept.append(settle(d)) or kept[-1])
+    got = {(r.name, r["rank"]): (r.value, r["count"]) for r in frequency.top_values(df, 12, ["url", "two"]).collect()}
+    rest = sorted(start + f"{i * 7919 % 1_000_003:07d}" for i in range(n))[:2]
+    want = [(deep + str(d), 4) for d in range(10)] + [(v, 1) for v in rest]
+    assert [got["url", k + 1] for k in range(12)] == want
+    assert [got["two", k] for k in (1, 2)] == [(start[:64], n), (start, 40)]
+    # The frequency table comes first; of all that follows, nothing is longer than k + 1 rows per column.
+    assert all(d.count() <= 13 * 2 for d in kept[1:])
+    falling = frequency.most_frequent(kept[0], df, [x for x in look(df) if x.field.name != "id"], 3, descending=False)
+    assert [r.value for r in falling.where("ordinal = 1").orderBy("rank").collect()] == sorted((start + f"{i * 7919 % 1_000_003:07d}" for i in range(n)), reverse=True)[:3]
