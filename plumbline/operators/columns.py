@@ -15,12 +15,14 @@ from .frequency import (
     TOP_VALUES,
     RARE_SHARE,
     every_column,
+    first_k,
     frequencies,
-    most_frequent,
+    in_order,
     of_columns,
     ranked,
     restore,
     value_digest,
+    value_order,
 )
 from ..session import settle
 from .quantiles import QUARTILES, beside, select_quantiles
@@ -320,33 +322,69 @@ def describe(df: DataFrame, names: list[str] | None = None) -> DataFrame:
 # -- the column profile --------------------------------------------------------
 
 
+DATES = "array<struct<layout:string,n:bigint,first:timestamp,last:timestamp>>"
+
+
+def counts_of(x: Facts) -> dict[str, Column]:
+    """Counts, lengths, date ranges by layout and size of a column: few and cheap expressions, all of them additive."""
+    f = x.field
+    n = F.count(f.value)
+    zero = F.lit(0).cast("bigint")
+    out = {"n_rows": F.count(F.lit(1)), "non_null": n, "n_numeric": zero, "dates": F.array().cast(DATES)}
+    if x.may_be_numeric:
+        out["n_numeric"] = F.count(to_numeric(f.value))
+    dated = lambda name, ts: F.struct(F.lit(name).alias("layout"), F.count(ts).alias("n"), F.min(ts).alias("first"), F.max(ts).alias("last"))
+    if f.kind == "time":
+        out["dates"] = F.array(dated("", f.value.cast("timestamp")))
+    elif x.formats:
+        out["dates"] = F.array(*(dated(d.name, parse_date(f.value, d)) for d in x.formats))
+    out["dates"] = out["dates"].cast(DATES)
+    text = f.kind in ("string", "nested")
+    out["chars"] = F.coalesce(F.sum(F.length(f.value)).cast("bigint"), F.lit(0)) if text else F.lit(None).cast("bigint")
+    out["empty_count"] = F.count_if(f.value == "") if text else F.lit(None).cast("bigint")
+    out["bytes"] = F.coalesce(F.sum(width(f)).cast("bigint"), F.lit(0)) if text else n * _bytes(f)
+    return out
+
+
+ADDED = ("n_rows", "non_null", "n_numeric", "chars", "empty_count", "bytes")
+
+
+def merged_counts(parts: DataFrame, names: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
+    """The counts of ``counts_of``, added up over rows of equal ``names``."""
+    keys = [col(k) for k in names]
+    sums = parts.groupBy(*keys).agg(*(F.sum(c).cast("bigint").alias(c) for c in ADDED), *extra)
+    ranges = parts.select(*keys, F.inline("dates")).groupBy(*keys, "layout").agg(
+        F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")
+    )
+    # At most one entry per layout.
+    ranges = ranges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("layout", "n", "first", "last"))).alias("dates"))
+    for k in names:
+        ranges = ranges.withColumnRenamed(k, f"_{k}")
+    same = F.lit(True)
+    for k in names:
+        same = same & col(k).eqNullSafe(col(f"_{k}"))
+    joined = sums.join(ranges, same, "left").drop(*[f"_{k}" for k in names])
+    return joined.withColumn("dates", F.coalesce("dates", F.array().cast(DATES)))
+
+
+def read_counts(counts: DataFrame) -> DataFrame:
+    """What the counts say: n_dates, the largest number of values of one layout, and first and last if it covers all; avg_length."""
+    n = F.col("non_null")
+    whole = F.get(F.filter("dates", lambda d: d["n"] == n), F.lit(0))
+    most = F.array_max(F.transform("dates", lambda d: d["n"]))
+    return (
+        counts.withColumn("n_dates", F.coalesce(most, F.lit(0).cast("bigint")))
+        .withColumn("first", whole["first"])
+        .withColumn("last", whole["last"])
+        .withColumn("avg_length", F.try_divide(F.col("chars"), n))
+        .drop("dates", "chars")
+    )
+
+
 def _pass_one(df: DataFrame, facts: Sequence[Facts], by: Sequence[str]) -> DataFrame:
-    """Counts, lengths, date range and size of every column in one scan; few and cheap expressions."""
+    """The counts of every column in one scan."""
     by_name = {x.field.name: x for x in facts}
-
-    def build(f: Field) -> dict[str, Column]:
-        x = by_name[f.name]
-        n = F.count(f.value)
-        zero, none_t = F.lit(0).cast("bigint"), F.lit(None).cast("timestamp")
-        out = {"n_rows": F.count(F.lit(1)), "non_null": n, "n_numeric": zero}
-        if x.may_be_numeric:
-            out["n_numeric"] = F.count(to_numeric(f.value))
-        out |= {"n_dates": zero, "first": none_t, "last": none_t}
-        if f.kind == "time":
-            ts = f.value.cast("timestamp")
-            out |= {"n_dates": n, "first": F.min(ts), "last": F.max(ts)}
-        elif x.formats:
-            parsed = [parse_date(f.value, d) for d in x.formats]
-            whole = lambda agg: F.coalesce(*(F.when(F.count(p) == n, agg(p)) for p in parsed), none_t)
-            out["n_dates"] = F.greatest(*(F.count(p) for p in parsed), F.lit(0))
-            out |= {"first": whole(F.min), "last": whole(F.max)}
-        text = f.kind in ("string", "nested")
-        out["avg_length"] = F.avg(F.length(f.value)) if text else F.lit(None).cast("double")
-        out["empty_count"] = F.count_if(f.value == "") if text else F.lit(None).cast("bigint")
-        out["bytes"] = F.coalesce(F.sum(width(f)).cast("bigint"), F.lit(0)) if text else n * _bytes(f)
-        return out
-
-    return by_column(df, [x.field for x in facts], build, by)
+    return by_column(df, [x.field for x in facts], lambda f: counts_of(by_name[f.name]), by)
 
 
 def _listed(ranked_values: DataFrame, by: Sequence[str], element: Column, name: str) -> DataFrame:
@@ -372,7 +410,7 @@ def base_columns(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, ordinal, name, inferred_type, n_rows, non_null, n_unique) without the costlier statistics."""
     df = normalise(df)
     facts = look(df, by)
-    first = _pass_one(df, facts, by)
+    first = read_counts(_pass_one(df, facts, by))
     distinct = (
         frequencies(df, facts, by).groupBy(*[col(k) for k in by], "ordinal").agg(F.count(F.lit(1)).alias("n_unique"))
     )
@@ -414,22 +452,30 @@ def quality_flags(columns: DataFrame) -> DataFrame:
     return columns.withColumn("quality_issues", F.array_compact(F.array(*(F.when(c, F.lit(f)) for f, c in flags))))
 
 
-def profile_columns(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def profile_columns(df: DataFrame, by: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """One row per column (and segment): base counts, the block of its type, and quality flags.
 
-    Three scans feed it: the facts that decide the plan, one wide aggregate of cheap
-    counts, and one value-frequency table, settled once, that all other statistics
-    read. Fields that do not apply to a column's type are NULL. A table without rows
-    or columns has no rows here.
+    Fed by the facts that decide the plan, one wide aggregate of cheap counts, one value-frequency
+    table, settled once, and two scans that select the quartiles. Fields that do not apply to a column's type are NULL. A table without rows
+    or columns has no rows here. ``exact=False`` reads sketches instead: see ``state.profile_state``.
     """
+    if not exact:
+        from .state import profile_state, read_state
+
+        return read_state(profile_state(df, by), by)
     df = normalise(df)
-    keys = [col(k) for k in by]
     facts = look(df, by)
     if not facts:
+        keys = [col(k) for k in by]
         return profile_columns(df.select(*keys, F.lit(None).cast("string").alias("none")).limit(0), by)
-    first = settle(_pass_one(df, facts, by).where("n_rows > 0"))
-    freq = settle(frequencies(df, facts, by))
+    counts = settle(_pass_one(df, facts, by).where("n_rows > 0"))
+    return _profile(df, facts, by, counts, settle(frequencies(df, facts, by)))
 
+
+def _profile(df: DataFrame, facts: Sequence[Facts], by: Sequence[str], counts: DataFrame, freq: DataFrame) -> DataFrame:
+    """The profile from settled counts and frequencies."""
+    keys = [col(k) for k in by]
+    first = read_counts(counts)
     sizes = first.groupBy(*keys).agg(F.max("n_rows").alias("_n"))
     if by:
         counted, n_rows = _beside(freq, sizes, by, on_column=False), F.col("_n")
@@ -441,27 +487,24 @@ def profile_columns(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
     q = F.col("quartiles")
     spread = _attach(spread, _quartiles(df, facts, by), by)
-    spread = spread.select("*", q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3")).drop("quartiles")
-    spread = settle(spread)
-    out = _attach(first, _second_pass(freq, facts, spread, by), by)
-
-    sampled = restore(ranked(freq, [value_digest()], SAMPLE_VALUES, by), df, facts, by)
-    out = _attach(out, _listed(sampled, by, F.col("value"), "sample_values"), by)
+    spread = settle(spread.select("*", q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3")).drop("quartiles"))
 
-    # Text and number columns have no top list; skip sorting their values.
-    listed = [
-        x.field.ordinal
-        for x in facts
-        if x.field.kind == "bool"
-        or (x.field.kind == "string" and (by or not (x.may_be_numeric or x.formats)))
-    ]
+    # Types are known now: only categorical columns have a top list.
+    distinct = spread.select(*keys, "ordinal", "n_unique")
+    typed = _attach(first, distinct, by).withColumn("n_unique", F.coalesce("n_unique", F.lit(0))).withColumn("kind", _type(facts))
+    listed = [r["ordinal"] for r in typed.where("kind = 'categorical'").select("ordinal").distinct().collect()]  # bounded by the schema
+    picked = ranked(freq, [value_digest()], SAMPLE_VALUES, by).withColumn("list", F.lit("sample")).drop("rank")
     if listed:
-        top = most_frequent(freq.where(of_columns(listed)), df, facts, TOP_VALUES, by)
-        item = F.struct("value", F.col("cnt").alias("count"))
-        out = _attach(out, _listed(top, by, item, "_top"), by)
-    else:
-        out = out.withColumn("_top", F.lit(None).cast("array<struct<value:string,count:bigint>>"))
-
+        of_listed = [x for x in facts if x.field.ordinal in listed]
+        top = first_k(freq.where(of_columns(listed)), df, of_listed, TOP_VALUES, by)
+        picked = picked.unionByName(top.withColumn("list", F.lit("top")))
+    # One scan fetches the texts of both lists.
+    full = settle(restore(picked, df, facts, by))
+    out = _attach(first, _second_pass(freq, facts, spread, by), by)
+    samples = in_order(full.where("list = 'sample'").withColumn("_md5", F.md5("value")), [F.col("_md5")], by)
+    out = _attach(out, _listed(samples, by, F.col("value"), "sample_values"), by)
+    top = in_order(full.where("list = 'top'"), value_order(), by)
+    out = _attach(out, _listed(top, by, F.struct("value", F.col("cnt").alias("count")), "_top"), by)
     out = out.withColumn("n_unique", F.coalesce("n_unique", F.lit(0))).withColumn("inferred_type", _type(facts))
     return quality_flags(_by_type(out, by))
 
@@ -519,8 +562,27 @@ def _by_type(wide: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def profile_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The column profile of every segment, types included, in the same passes."""
+def profile_by(df: DataFrame, keys: Sequence[str], total: bool = False) -> DataFrame:
+    """The column profile of every segment, types included, in the same passes.
+
+    ``total=True`` adds the profile of the whole table, with NULL keys, and ``is_total`` to tell it from a segment of NULLs: counts, date ranges and
+    frequencies of the segments are added up, so neither is computed from the table again.
+    """
     if not keys:
         raise ValueError("profile_by needs at least one key")
-    return profile_columns(df, tuple(keys))
+    by = tuple(keys)
+    if not total:
+        return profile_columns(df, by)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    table = normalise(df)
+    facts = look(table, by)
+    if not facts:
+        return profile_columns(df, by).withColumn("is_total", F.lit(False))
+    counts = settle(_pass_one(table, facts, by).where("n_rows > 0"))
+    freq = settle(frequencies(table, facts, by))
+    value = ["ordinal", "lng", "dbl", "flt", "txt", "digest"]
+    freq_all = settle(freq.groupBy(*value).agg(F.sum("cnt").alias("cnt")))
+    counts_all = settle(merged_counts(counts, ["ordinal", "name"]))
+    parts = _profile(table, facts, by, counts, freq).withColumn("is_total", F.lit(False))
+    whole = _profile(table, facts, (), counts_all, freq_all).withColumn("is_total", F.lit(True))
+    return parts.unionByName(whole.select("*", *(F.lit(None).cast(kinds[k]).alias(k) for k in by)))

@@ -112,11 +112,17 @@ def most_frequent(
     Long values are known by prefix and digest only. Where the k-th place falls among values that tie by count and
     prefix, longer prefixes decide; k rows per column are restored and sorted.
     """
-    w = W.partitionBy(*[col(b) for b in by], "ordinal")
-    picked = _first_k(freq, df, facts, k, by, descending)
-    full = restore(picked, df, facts, by)
-    order = [*_known_order(descending), _ends(descending)("value")]
-    return full.withColumn("rank", F.row_number().over(w.orderBy(*order))).where(F.col("rank") <= k)
+    return in_order(restore(first_k(freq, df, facts, k, by, descending), df, facts, by), value_order(descending), by)
+
+
+def in_order(rows: DataFrame, order: list[Column], by: Sequence[str] = ()) -> DataFrame:
+    """Adds ``rank`` within column (and segment); ``rows`` has a few of each."""
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy(*[col(b) for b in by], "ordinal").orderBy(*order)))
+
+
+def value_order(descending: bool = True) -> list[Column]:
+    """Order of restored rows: by count, then by value as number or text."""
+    return [*_known_order(descending), _ends(descending)("value")]
 
 
 def _ends(descending: bool):
@@ -132,7 +138,9 @@ def _known_order(descending: bool) -> list[Column]:
 PREFIX_GROWTH = 4
 
 
-def _first_k(freq: DataFrame, df: DataFrame, facts: Sequence[Facts], k: int, by: Sequence[str], descending: bool) -> DataFrame:
+def first_k(
+    freq: DataFrame, df: DataFrame, facts: Sequence[Facts], k: int, by: Sequence[str] = (), descending: bool = True
+) -> DataFrame:
     """At most k rows of the frequency table per column: the first by count and value.
 
     k + 1 rows by count and prefix show whether the k-th place is tied. A tied class gives way to the

@@ -40,12 +40,12 @@ class Facts:
         return to_numeric(self.field.value) if self.may_be_numeric else None
 
 
-def look(df: DataFrame, by: Sequence[str] = ()) -> list[Facts]:
+def look(df: DataFrame, by: Sequence[str] = (), partial: bool = False) -> list[Facts]:
     """Fetch one row of facts on a normalised table: parse counts and lengths.
 
     Over a whole table a string column is a number (date) candidate only if all
-    its values parse. Under ``by`` each segment decides for itself, so one parsed
-    value anywhere makes a candidate.
+    its values parse. Under ``by``, or if the table is ``partial``, each segment or part decides
+    for itself, so one parsed value anywhere makes a candidate.
     """
     cols = [f for f in fields(df) if f.name not in by]
     aggs: list[Column] = []
@@ -62,7 +62,7 @@ def look(df: DataFrame, by: Sequence[str] = ()) -> list[Facts]:
 
     def facts(f: Field) -> Facts:
         i = f.ordinal
-        parsed = lambda k: got[f"{i}_{k}"] > 0 if by else got[f"{i}_{k}"] == got[f"{i}_n"]
+        parsed = lambda k: got[f"{i}_{k}"] > 0 if by or partial else got[f"{i}_{k}"] == got[f"{i}_n"]
         return Facts(
             field=f,
             may_be_numeric=f.kind == "string" and parsed("numeric"),
