@@ -227,9 +227,9 @@ def still_open(members: DataFrame) -> DataFrame:
     return settle(apart.select("g", "node", "n", "counts", "label", "members"))
 
 
-def relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    labels = components(links).select("node", F.col("label").alias("l_"))
-    return members.drop("label", "members").join(labels, "node", "left").withColumn("label", F.coalesce("l_", "node")).drop("l_")
+def relabelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    known = labels.select("node", F.col("label").alias("l_"))
+    return members.drop("label", "members").join(known, "node", "left").withColumn("label", F.coalesce("l_", "node")).drop("l_")
 
 
 def divided(members: DataFrame, sets: DataFrame, crowd: int, percent: int) -> DataFrame:
@@ -250,7 +250,7 @@ def divided(members: DataFrame, sets: DataFrame, crowd: int, percent: int) -> Da
 
 
 def similar_sets(df: DataFrame, key: str, text: str, shingle_words: int, percent: int, crowd: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``df`` as (key, n, node) and the links (u, v) that join all similar nodes; a node is a distinct set."""
+    """Rows of ``df`` as (key, n, node), and (node, label) of the nodes that are similar to others; a node is a distinct set."""
     body = F.coalesce(col(text), F.lit(""))
     kind = df.select(col(key).alias("key")).schema[0].dataType.simpleString()
     signed = df.select(col(key).alias("key"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("text")).mapInArrow(
@@ -288,7 +288,7 @@ def similar_sets(df: DataFrame, key: str, text: str, shingle_words: int, percent
     links = settle(similar(tried, sets, percent))
 
     # Groups that are of one component now are done; only the others need sizes and counts.
-    labels = components(links).select("node", "label")
+    labels = components(links)
     label_of = node_of.join(labels, "node", "left").select("id", F.coalesce("label", "node").alias("label"))
     group = Window.partitionBy("g")
     apart = shared.select("g", "id").join(label_of, "id")
@@ -297,18 +297,21 @@ def similar_sets(df: DataFrame, key: str, text: str, shingle_words: int, percent
     about = numbered.select("id", "node", "n").join(signed.where("counts IS NOT NULL").select("id", "counts"), "id")
     members = still_open(apart.join(about, "id").dropDuplicates(["g", "node"]))
     members = divided(members, sets, crowd, percent)
-    low = 1
-    while True:
-        most = members.agg(F.max("members")).first()[0] or 0
-        if low >= most:
-            return known, links
+    low, most = 1, members.agg(F.max("members")).first()[0] or 0
+    while low < most:
         sorted_ = members.select("g", "node", "label", "n", "counts").repartition("g").sortWithinPartitions("g", "node")
         near = sorted_.mapInArrow(pair_finder(low, low * STRIDE, percent), "u long, v long").distinct()
         near = settle(near.join(tried, ["u", "v"], "left_anti"))
         tried = tried.union(near)
-        links = settle(links.union(similar(near, sets, percent)))
-        members = still_open(relabelled(members, links))
+        found = settle(similar(near, sets, percent))
         low *= STRIDE
+        # Without new links all groups stay as they are.
+        if not found.isEmpty():
+            links = links.union(found)
+            labels = components(links)
+            members = still_open(relabelled(members, labels))
+            most = members.agg(F.max("members")).first()[0] or 0
+    return known, labels
 
 
 def jaccard_groups(
@@ -334,8 +337,8 @@ def jaccard_groups(
     """
     if not 50 <= percent <= 99:
         raise ValueError("percent must be from 50 to 99")
-    known, links = similar_sets(df, key, text, shingle_words, percent, crowd)
-    labels = components(links).select("node", F.col("label").alias("l_"))
+    known, labels = similar_sets(df, key, text, shingle_words, percent, crowd)
+    labels = labels.select("node", F.col("label").alias("l_"))
     per_node = known.groupBy("node").agg(F.min("key").alias("least"))
     named = settle(per_node.join(labels, "node", "left").select("node", "least", F.coalesce("l_", "node").alias("label")))
     of_label = named.groupBy("label").agg(F.min("least").alias("component_id"))
