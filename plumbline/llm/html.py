@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,6 +30,9 @@ MARKS = frozenset(
     " subscribe subscription signup popup modal overlay share sharing social related recommended comment comments"
     " disqus respond replies pagination pager toolbar widget login".split()
 )
+#: Those of them that stand on lists of links. Where prose bears such a name (related work, a share price), it is text.
+OF_LINKS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs share sharing social related recommended pagination pager toolbar widget".split())
+PROSE = re.compile(r"[.!?\u2026\u3002][\"'\u2019\u201d)\]]*(?:\s|\Z)")
 #: Elements that hold whole pages or articles, whatever their classes say.
 HOLDERS = frozenset("html body main article".split())
 #: Beside the core, text with less than this share of its density sum is a notice.
@@ -51,18 +55,25 @@ TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*)(?:>|\Z)",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+# A name is tried at its start only and taken whole, so that long runs without "=" are read once.
+ATTRIBUTE = re.compile(r"(?<![^\s\"'/])([^\s=/\"'>]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE) for t in RAW}
 
 
+def bit(tag: str) -> int:
+    return 1 << zlib.crc32(tag.encode("utf-8", "replace")) % 256
+
+
 class Node:
     """A block, a link or a marked element; other inline elements leave only their text."""
 
-    __slots__ = ("tag", "parent", "hidden", "children", "own", "chars", "tags", "link_chars", "link_tags", "density", "density_sum")
+    __slots__ = ("tag", "parent", "hidden", "open", "children", "own", "chars", "tags", "link_chars", "link_tags", "density", "density_sum")
 
     def __init__(self, tag: str, parent: Node | None, hidden: str = ""):
         self.tag, self.parent, self.hidden = tag, parent, hidden
+        # Which tags are open, as bits by hash: what is not is not searched for.
+        self.open = bit(tag) | (parent.open if parent else 0)
         self.children: list[Node | str] = []  # in page order
         self.own = self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.density_sum = 0.0
@@ -77,8 +88,8 @@ def marked(tag: str, attributes: str) -> str:
         return why
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and not MARKS.isdisjoint(x.lower() for x in NAME_PARTS.findall(value)):
-            why = why or "name"
+        if name in ("class", "id") and (said := MARKS.intersection(x.lower() for x in NAME_PARTS.findall(value))):
+            why = why if why in ("form", "name") else "links" if said <= OF_LINKS else "name"
         value = value.strip().lower()
         if name == "role" and value in ROLES and value != tag or name == "aria-hidden" and value == "true":
             return "attribute"
@@ -102,6 +113,8 @@ def parse(page: str) -> Node:
         tag, attributes = m[2].lower(), m[3]
         inline = tag in INLINE
         if m[1]:
+            if not here.open & bit(tag):
+                continue
             at = here
             while at.tag != tag and at.parent is not None and not (inline and at.tag not in INLINE):
                 at = at.parent
@@ -127,7 +140,7 @@ def parse(page: str) -> Node:
                 at = at.parent
             if at.tag == "p" or at.tag in HEADINGS and (tag in HEADINGS or tag == "p"):
                 here = at.parent
-            if tag in ENDS:
+            if tag in ENDS and any(here.open & bit(t) for t in ENDS[tag]):
                 at = here
                 while at.parent is not None and at.tag not in SCOPE and at.tag not in ENDS[tag]:
                     at = at.parent
@@ -142,8 +155,9 @@ def parse(page: str) -> Node:
             # A page's frame is not an aside, whatever it is called.
             at = here
             while at is not None:
-                at.hidden = "" if at.hidden in ("attribute", "name") else at.hidden
-                at = at.parent
+                at.hidden = "" if at.hidden in ("attribute", "name", "links") else at.hidden
+                # What is around an outer one has been shown with it.
+                at = None if at.tag in ("article", "main") else at.parent
         if tag not in VOID and not (inline and attributes.endswith("/")):
             here = node
     if pos < n:
@@ -152,17 +166,29 @@ def parse(page: str) -> Node:
 
 
 def unhide(body: Node) -> None:
-    """Shows forms and elements with marked names that hold most of the body's text: they are its frame, not an aside."""
+    """Shows elements that their names hide wrongly.
+
+    These are forms and named elements that hold most of the body's text, being its frame, and those with names of
+    link lists that hold sentences, less than a third of them links.
+    """
     nodes, todo = [], [body]
     while todo:
         node = todo.pop()
         nodes.append(node)
-        todo.extend(c for c in node.children if isinstance(c, Node) and c.hidden in ("", "name", "form"))
-    chars: dict[int, int] = {}
+        todo.extend(c for c in node.children if isinstance(c, Node) and c.hidden in ("", "name", "links", "form"))
+    chars: dict[int, tuple[int, int, bool]] = {}
     for node in reversed(nodes):
-        chars[id(node)] = sum(len("".join(c.split())) if isinstance(c, str) else chars.get(id(c), 0) for c in node.children)
+        n, links, prose = 0, 0, False
+        for c in node.children:
+            if isinstance(c, str):
+                n += len("".join(c.split()))
+                prose = prose or PROSE.search(c) is not None
+            elif id(c) in chars:
+                n, links, prose = (n + chars[id(c)][0], links + chars[id(c)][1], prose or chars[id(c)][2])
+        chars[id(node)] = (n, n if node.tag == "a" else links, prose)
     for node in nodes:
-        if node.hidden and 2 * chars[id(node)] > chars[id(body)]:
+        n, links, prose = chars[id(node)]
+        if node.hidden and 2 * n > chars[id(body)][0] or node.hidden == "links" and prose and 3 * links < n:
             node.hidden = ""
 
 
@@ -202,7 +228,7 @@ def article_nodes(root: Node) -> list[Node]:
     """The subtrees that hold the article.
 
     Its core is the node of the highest density sum. If that lies in an article or main element, or around one that
-    holds most of its text, the page says itself how far the article reaches. If not, the lowest density on the way from the body to the core is the
+    holds most of its text, alone or with others of like density beside it, the page says itself how far the article reaches. If not, the lowest density on the way from the body to the core is the
     threshold: beside that way, what is as dense, mostly no links and no mere notice (by its density sum) belongs
     to the article too, and so does a heading before it.
     """
@@ -222,8 +248,10 @@ def article_nodes(root: Node) -> list[Node]:
         inside = [x for x in nodes if x.tag == holder and x.chars]
         if inside and core in outer(inside[0]):
             best = max(inside, key=lambda x: x.density_sum)
-            if 2 * best.chars > core.chars:
-                return [best]
+            # Parts of the article side by side are as dense, and together most of the core.
+            parts = [x for x in inside if x.parent is best.parent and 2 * x.density >= best.density]
+            if 2 * sum(x.chars for x in parts) > core.chars:
+                return parts
     threshold = min(x.density for x in path)
     kept = [core]
     for inner, node in zip(path, path[1:], strict=False):

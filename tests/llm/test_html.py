@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -102,3 +103,76 @@ def test_marked_frames_of_the_whole_text():
 def test_tails_of_pages():
     got = " ".join(html.main_text(f"<body><div><p>First <a title=don't href=x>link</a> of it.</p><svg width='5'/>{LONG}</div></body>"))
     assert "First link of it." in got and all(f"Paragraph {k} " in got for k in range(8))
+
+
+PROSE = "Some long prose about the matter, which goes on and on. " * 20
+
+
+def test_names_of_link_lists_do_not_hide_prose():
+    page = (
+        f"<body><article><p>{PROSE}</p><section id='related-work'><p>Work of others is related to it.</p></section>"
+        "<p class='share-price'>The share price rose to 5.</p><div class='share-links'>Share: <a>Facebook</a> <a>Twitter</a></div>"
+        "<div class='related-posts'><a>Another story.</a> <a>One more story.</a></div><div class='cookie-notice'>We use cookies.</div></article></body>"
+    )
+    assert html.main_text(page) == [PROSE.strip(), "Work of others is related to it.", "The share price rose to 5."]
+
+
+def test_articles_side_by_side_are_parts_of_one():
+    page = f"<body><main><article><p>{PROSE}</p></article><article><p>{PROSE}</p><p>{PROSE}</p></article></main></body>"
+    assert html.main_text(page) == [PROSE.strip()] * 3
+    page = f"<body><div><article><p>{PROSE}</p><p>{PROSE}</p></article><article><a href=x>Teaser</a> <a href=y>Teaser</a></article></div></body>"
+    assert html.main_text(page) == [PROSE.strip()] * 2
+
+
+def test_cut_attributes_and_stray_end_tags_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    for page in (
+        '<p>x</p><img src="data:image/png;base64,' + "A" * 1_000_000,
+        "<p>x</p><img " + "A" * 1_000_000 + ">",
+        "<div>" * 16_000 + "x" + "</span></p></li></section>" * 16_000,
+        "<article>" * 16_000 + "x",
+    ):
+        assert html.main_text(page) == ["x"]
+    assert time.perf_counter() - start < 10
+
+
+def plain_density(node, body):
+    """Density of a node, counted anew from its whole subtree."""
+
+    def count(x, in_link):
+        if isinstance(x, str):
+            n = len("".join(x.split()))
+            return n, 0, n if in_link else 0, 0
+        parts = [count(c, in_link or x.tag == "a") for c in x.children if isinstance(c, str) or not c.hidden]
+        inner = [c for c in x.children if not isinstance(c, str) and not c.hidden]
+        chars, tags, links, link_tags = (sum(p[i] for p in parts) for i in range(4))
+        return chars, tags + len(inner), links, link_tags + sum(c.tag == "a" for c in inner)
+
+    c, t, lc, lt = count(node, False)
+    if not c:
+        return 0.0
+    bc, _, blc, _ = count(body, False)
+    base = math.log(c / max(c - lc, 1) * lc + blc / max(bc, 1) * c + math.e)
+    return max(0.0, c / max(t, 1) * math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1)) / base)
+
+
+def test_densities_and_core_by_counting_every_subtree():
+    rng = random.Random(5)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return "word " * rng.randrange(1, 40)
+        tag = rng.choice(["div", "p", "ul", "a", "section", "b"])
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(rng.randrange(1, 5))) + f"</{tag}>"
+
+    for _ in range(40):
+        root = html.parse(f"<body>{''.join(tree(5) for _ in range(4))}</body>")
+        body = next(c for c in root.children if not isinstance(c, str))
+        nodes = html.weigh(body)
+        for x in nodes:
+            assert math.isclose(x.density, plain_density(x, body), abs_tol=1e-9)
+            own = sum(len("".join(c.split())) for c in x.children if isinstance(c, str))
+            kids = [c for c in x.children if not isinstance(c, str) and not c.hidden]
+            assert math.isclose(x.density_sum, own + sum(plain_density(c, body) for c in kids), abs_tol=1e-9)
