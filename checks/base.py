@@ -134,6 +134,12 @@ SOURCES: dict[str, tuple[dict[str, str], str]] = {
         " substr(d, 9, 2), ', ', substr(d, 1, 4)) AS named, CASE WHEN o_orderkey % 2 = 0 THEN d ELSE concat(d, ' 10:05') END AS mixed"
         " FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR(20)) AS d FROM orders) x",
     ),
+    # Values that share more than their first 64 characters.
+    "linked": (
+        {"url": "string", "page": "string", "o_orderstatus": "string"},
+        f"SELECT concat('https://example.org/{'x' * 60}/', CAST(o_orderkey AS VARCHAR(20))) AS url,"
+        f" concat('{'y' * 300}', CAST(o_orderkey % 7 AS VARCHAR(20)), o_orderpriority) AS page, o_orderstatus FROM orders",
+    ),
     "status_priority": (
         {"o_orderstatus": "string", "o_orderpriority": "string"},
         "SELECT o_orderstatus, o_orderpriority FROM orders",

@@ -12,6 +12,7 @@ from plumbline.operators import distribution as E
 from plumbline.operators import frequency as Q
 from plumbline.operators import selection as S
 from plumbline.operators import types as T
+from plumbline.operators.state import merge_states, profile_state, read_state
 from plumbline.sources.files import read_csv, read_parquet
 
 from .base import SOURCES, register, scratch, source, table
@@ -380,6 +381,12 @@ def c11_top_values(spark, sf_dir):
     return Q.top_values(source(spark, sf_dir, "troubled"), 5, names)
 
 
+@register("c11_top_values_prefix", value_rows("linked", ("string",)) + TOP)
+def c11_top_values_prefix(spark, sf_dir):
+    """Unique values that share 81 characters, and frequent ones that share 300."""
+    return Q.top_values(source(spark, sf_dir, "linked"), 5)
+
+
 @register(
     "c11_value_counts",
     "SELECT 'text' AS name, text AS value, count(*) AS cnt FROM documents WHERE text IS NOT NULL GROUP BY text"
@@ -481,6 +488,48 @@ def c22_profile_single(spark, sf_dir):
     return C.profile_columns(df).select("inferred_type", "min", "max", "n_unique")
 
 
+#: What a merged state gives exactly.
+STATE = tuple(c for c in PROFILE if c not in ("ordinal", "n_unique", "q1", "median", "q3", "outliers_count", "outliers_pct", "rare_values", "quality_issues"))
+
+
+def _merged_state(spark, sf_dir, name, part):
+    """A table profiled in four parts, each by itself; the states merged, and how far estimates are off."""
+    df = source(spark, sf_dir, name)
+    p = merge_states(profile_state(df.withColumn("_part", part), ["_part"]))
+    p = read_state(p)
+    exact = Q.n_unique(df).select("name", F.col("n_unique").alias("n_exact"))
+    close = F.abs(F.col("n_unique") - F.col("n_exact")) <= F.greatest(F.lit(1.0), 0.06 * F.col("n_exact"))
+    return p.join(exact, "name").withColumn("distinct_close", close)
+
+
+@register("c22_profile_state", columns_sql("lineitem", pick(*STATE) + ", TRUE AS distinct_close"))
+def c22_profile_state(spark, sf_dir):
+    return _merged_state(spark, sf_dir, "lineitem", F.col("l_orderkey") % 4).select(*STATE, "distinct_close")
+
+
+@register("c22_profile_state_text", columns_sql("orders_text", pick(*STATE) + ", TRUE AS distinct_close"))
+def c22_profile_state_text(spark, sf_dir):
+    """Types, numbers and dates come from text; the parts lie apart in time."""
+    return _merged_state(spark, sf_dir, "orders_text", F.left("o_orderdate", F.lit(4))).select(*STATE, "distinct_close")
+
+
+@register("c22_profile_state_quartiles", per_column("lineitem", NUMBERS, "count({c}) > 0 AS q1_close, count({c}) > 0 AS median_close, count({c}) > 0 AS q3_close"))
+def c22_profile_state_quartiles(spark, sf_dir):
+    """Quartiles of the merged state lie within 1% of the wanted ranks."""
+    df = source(spark, sf_dir, "lineitem")
+    p = read_state(merge_states(profile_state(df.withColumn("_part", F.col("l_suppkey") % 5), ["_part"])))
+    q = {r["name"]: r for r in p.where("inferred_type = 'numeric'").select("ordinal", "name", "q1", "median", "q3").collect()}
+    share = lambda c, x: (F.avg((F.col(c) < x).cast("double")), F.avg((F.col(c) <= x).cast("double")))
+    cells = []
+    for r in q.values():
+        near = []
+        for n, at in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+            below, upto = share(r["name"], F.lit(r[n]))
+            near.append(((below - 0.01 <= at) & (upto + 0.01 >= at)).alias(f"{n}_close"))
+        cells.append(F.struct(F.lit(r["ordinal"]).alias("ordinal"), F.lit(r["name"]).alias("name"), *near))
+    return df.agg(F.array(*cells).alias("c")).select(F.inline("c"))
+
+
 DESCRIBED = (
     ("count", "CAST(count({c}) AS DOUBLE)"), ("mean", "avg({c})"), ("std", "stddev_samp({c})"), ("min", "min({c})"),
     ("25%", "quantile_cont(CAST({c} AS DOUBLE), 0.25)"), ("50%", "quantile_cont(CAST({c} AS DOUBLE), 0.5)"),
@@ -537,6 +586,30 @@ def c25_profile_by(spark, sf_dir):
     return C.profile_by(source(spark, sf_dir, "lineitem"), ["l_returnflag"]).select("l_returnflag", *SEGMENT)
 
 
+def _with_total(name: str, key: str, values: tuple[str, ...], select: str) -> str:
+    """The segments, and the same of the whole table without its key."""
+    kinds = {c: k for c, k in SOURCES[name][0].items() if c != key}
+    SOURCES["_whole"] = (kinds, f"SELECT {', '.join(kinds)} FROM ({SOURCES[name][1]})")
+    whole = columns_sql("_whole", select)
+    del SOURCES["_whole"]
+    parts = _by_segment(name, key, values, select)
+    return f"SELECT FALSE AS is_total, * FROM ({parts}) UNION ALL SELECT TRUE, NULL, * FROM ({whole})"
+
+
+@register("c25_profile_total", _with_total("lineitem", "l_returnflag", ("A", "N", "R"), pick(*SEGMENT)))
+def c25_profile_total(spark, sf_dir):
+    """Segments and whole table from one frequency table."""
+    p = C.profile_by(source(spark, sf_dir, "lineitem"), ["l_returnflag"], total=True)
+    return p.select("is_total", "l_returnflag", *SEGMENT)
+
+
+@register("c25_profile_total_text", _with_total("orders_text", "o_orderstatus", ("F", "O", "P"), pick(*SEGMENT)))
+def c25_profile_total_text(spark, sf_dir):
+    """The same where types, numbers and dates come from text."""
+    p = C.profile_by(source(spark, sf_dir, "orders_text"), ["o_orderstatus"], total=True)
+    return p.select("is_total", "o_orderstatus", *SEGMENT)
+
+
 @register("c25_profile_by_lang", _by_segment("troubled", "lang", ("de", "en", "es", "fr"), pick(*SEGMENT)))
 def c25_profile_by_lang(spark, sf_dir):
     return C.profile_by(source(spark, sf_dir, "troubled"), ["lang"]).select("lang", *SEGMENT)
