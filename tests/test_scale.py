@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import columns as C
+from plumbline.operators import correlation
 from plumbline.operators import frequency
 from plumbline.operators import selection as S
 from plumbline.operators.correlation import correlations
@@ -158,8 +159,8 @@ def test_scans(spark):
     assert scans() < 10
 
 
-def test_many_columns_correlate_in_two_scans(spark):
-    wide = spark.range(200).select(*(((F.col("id") * (k + 3)) % (17 + k)).cast("double").alias(f"c{k}") for k in range(200)))
+def test_many_columns_correlate_in_blocks(spark, monkeypatch):
+    wide = spark.range(0, 200, 1, 3).select(*(((F.col("id") * (k + 3)) % (17 + k)).cast("double").alias(f"c{k}") for k in range(200)))
     df, scans = counted(spark, wide.withColumn("c7", F.when(F.col("c0") > 3, F.col("c7"))))
     got = {(r.column1, r.column2): r.correlation for r in correlations(df).collect()}
     assert len(got) == 199 * 100 and scans() <= 8  # the means take a scan per 100 expressions
@@ -167,6 +168,37 @@ def test_many_columns_correlate_in_two_scans(spark):
     assert np.isclose(got["c3", "c150"], pdf.c3.corr(pdf.c150))
     pdf.loc[pdf.c0 <= 3, "c7"] = np.nan
     assert np.isclose(got["c7", "c50"], pdf.c7.corr(pdf.c50))
+    monkeypatch.setattr("plumbline.operators.correlation.BLOCK", 64)
+    blocks = {(r.column1, r.column2): r.correlation for r in correlations(df).collect()}
+    assert set(blocks) == set(got) and all(a == blocks[k] or np.isclose(a, blocks[k]) for k, a in got.items())
+
+
+def test_a_task_gives_one_row_per_pair_of_columns(spark):
+    df = spark.range(0, 5000, 1, 4).select(*((F.col("id") * (k + 3) % 101).cast("double").alias(f"c{k}") for k in range(500)))
+    sums = correlation._sums(df, [], [F.col(c) for c in df.columns])
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    parts = [df.select(*df.columns[:256]).mapInArrow(correlation._gram(0, 256, 0, 10**9), "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")]
+    assert parts[0].mapInPandas(note, parts[0].schema).count() == seen.value == 4 * 256 * 255 // 2
+    assert sums.count() == 500 * 499 // 2
+
+
+def test_correlations_per_segment_with_gaps_and_infinities(spark, monkeypatch):
+    monkeypatch.setattr("plumbline.operators.correlation.HELD_VALUES", 100)
+    df = skewed(spark).select("k", "v", "w", F.when(F.col("id") == 7, float("inf")).otherwise((F.col("id") % 13).cast("double")).alias("x"))
+    df = df.withColumn("w", F.when(F.col("x") != float("inf"), F.col("w")))
+    got = {(r.k, r.column1, r.column2): r.correlation for r in correlations(df, by=["k"]).collect()}
+    pdf = df.toPandas()
+    for k, part in pdf.groupby("k"):
+        for a, b in (("v", "w"), ("w", "x")):
+            both = part[[a, b]].dropna()
+            want = both[a].corr(both[b]) if both[a].nunique() > 1 and both[b].nunique() > 1 else None
+            assert got.get((k, a, b)) is None if want is None else np.isclose(got[k, a, b], want), (k, a, b)
 
 
 def test_scan_reads_only_wanted_columns(spark, tmp_path):
