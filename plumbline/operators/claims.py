@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +12,8 @@ from ..functions.arrays import at, let
 from ..functions.values import WHITESPACE, col, fixed, percent
 
 CONTEXT_CHARS = 50
-# No claim is shorter than this, such as "0day" or "1row".
-MATCH_CHARS = 4
+# No claim is shorter than this, such as "1mb".
+MATCH_CHARS = 3
 REACH = 2 * (CONTEXT_CHARS // MATCH_CHARS + 1)
 
 # Stands between the pieces of a text; texts that hold it are cut the slow way.
@@ -38,13 +39,10 @@ PATTERNS = (
 )
 COUNTS = ("row_count", "column_count", "unique_count", "outlier_count")
 
-CLAIM = (
-    "array<struct<type:string,text:string,start:int,end:int,context:string,"
-    "value:double,min_value:double,max_value:double>>"
-)
-
+# Kinds whose match begins with its word; the others end with it.
+LEADING = ("range", "min_value", "max_value", "mean_value")
 
-# Some word of these stands in every match: texts without it are spared the pattern.
+# Some word of these stands in every match of the kind.
 HINTS = {
     "percentage": ("%",),
     "range": ("range",),
@@ -59,6 +57,18 @@ HINTS = {
     "days_count": ("day",),
 }
 
+# Any stretch that can hold claims, found in one pass: a leading word, one or two numbers, a closing word, one of the words at
+# least. Each claim lies in one stretch, since no closing word begins another claim, and two that overlap share theirs ("min: 5 rows"). Numbers and
+# gaps are taken whole, so that long runs of digits or blanks are read once.
+_GAP, _DIGITS = WHITESPACE + "*+", r"\d++(?:[.,]\d++)*+"
+_ONE_OR_TWO = rf"{_DIGITS}(?:{_GAP}(?:to|-){_GAP}{_DIGITS})?"
+_LEAD = rf"(?:ranges?|min(?:imum)?|max(?:imum)?|mean|average){_GAP}:?{_GAP}"
+_CLOSE = (
+    rf"{_GAP}(?:%{_GAP}(?:missing|null|empty|complete|non-null|duplicate|zero)|rows?|records?|columns?"
+    rf"|(?:unique|distinct){_GAP}values?|outliers?|mb|megabytes?|days?)"
+)
+STRETCH = rf"(?i)(?:{_LEAD}{_ONE_OR_TWO}(?:{_CLOSE})?|(?<!\d)(?<!\d[.,]){_ONE_OR_TWO}{_CLOSE})"
+
 
 def _cut(t: Column, rx: str) -> Column:
     """The text cut at each match: gap, match, gap, ..., gap.
@@ -73,64 +83,86 @@ def _cut(t: Column, rx: str) -> Column:
     return F.when(F.contains(t, F.lit(MARK)), slow).otherwise(marked)
 
 
-def _matches(t: Column, low: Column, kind: str, pattern: str) -> Column:
-    """Claims of one pattern. No built-in gives match positions, but the pieces around matches do."""
-    rx = "(?i)" + pattern
-    number = lambda m, g: F.replace(F.regexp_extract(m, rx, g), F.lit(","), F.lit("")).try_cast("double")
-    none = F.lit(None).cast("double")
+def _starts(pieces: Column) -> Column:
+    """Where each piece begins: one running sum."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    step = lambda a, x: F.struct(
+        (a["at"] + F.length(x)).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")
+    )
+    return F.aggregate(pieces, zero, step)["all"]
 
-    def claim(m: Column, p: Column, pieces: Column, i: Column) -> Column:
-        # Context comes from the neighbouring pieces: every second one is a match of MATCH_CHARS or
-        # more, so REACH pieces hold it, and no text is walked from its start.
-        first = F.greatest(i - REACH, F.lit(0))
-        before = F.right(F.array_join(F.slice(pieces, first + 1, i - first), ""), F.lit(CONTEXT_CHARS))
-        after = F.left(F.array_join(F.slice(pieces, i + 2, F.lit(REACH)), ""), F.lit(CONTEXT_CHARS))
-        return F.struct(
-            F.lit(kind).alias("type"),
-            m.alias("text"),
-            p.alias("start"),
-            (p + F.length(m)).alias("end"),
-            F.concat(before, F.lit("**"), m, F.lit("**"), after).alias("context"),
-            (none if kind == "range" else number(m, 1)).alias("value"),
-            (number(m, 1) if kind == "range" else none).alias("min_value"),
-            (number(m, 2) if kind == "range" else none).alias("max_value"),
-        )
 
-    def starts(pieces: Column) -> Column:
-        """Where each piece begins: one running sum."""
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-        step = lambda a, x: F.struct(
-            (a["at"] + F.length(x)).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")
-        )
-        return F.aggregate(pieces, zero, step)["all"]
+def bound(f: Callable[..., Column], *first: object) -> Callable[[Column], Column]:
+    """A function of one column, with the arguments before it given."""
+    return lambda x: f(*first, x)
 
-    def found(pieces: Column) -> Column:
-        # Every second piece is a match.
-        def one(places: Column) -> Column:
-            every = F.transform(pieces, lambda m, i: F.when(i % 2 == 1, claim(m, at(places, i), pieces, i)))
-            return F.filter(every, lambda c: c.isNotNull())
 
-        return F.when(F.size(pieces) > 1, let(starts(pieces), one))
+def _of_stretch(m: Column, p: Column, before: Column, after: Column) -> Column:
+    """The claims of one stretch that begins at ``p``: at most one of each pattern, NULL for the others."""
+    none = F.lit(None).cast("double")
+
+    def claim(no: int, kind: str, rx: str, x: Column) -> Column:
+        number = lambda g: F.replace(F.regexp_extract(x, rx, g), F.lit(","), F.lit("")).try_cast("double")
+        skipped = F.lit(0) if kind in LEADING else F.length(m) - F.length(x)
+        rest = F.substring(m, skipped + F.length(x) + 1, F.length(m))
+        left = F.right(F.concat(before, F.left(m, skipped)), F.lit(CONTEXT_CHARS))
+        right = F.left(F.concat(rest, after), F.lit(CONTEXT_CHARS))
+        ranged = kind == "range"
+        return F.when(
+            x != "",
+            F.struct(
+                F.lit(no).alias("pattern"),
+                (p + skipped).alias("start"),
+                F.lit(kind).alias("type"),
+                x.alias("text"),
+                (p + skipped + F.length(x)).alias("end"),
+                F.concat(left, F.lit("**"), x, F.lit("**"), right).alias("context"),
+                (none if ranged else number(1)).alias("value"),
+                (number(1) if ranged else none).alias("min_value"),
+                (number(2) if ranged else none).alias("max_value"),
+            ),
+        )
+
+    def every(low: Column) -> Column:
+        found = []
+        for no, (kind, pattern) in enumerate(PATTERNS):
+            rx = "(?i)" + pattern
+            # The words of a stretch decide which patterns are tried.
+            hinted = reduce(Column.__or__, (F.contains(low, F.lit(w)) for w in HINTS[kind]))
+            found.append(F.when(hinted, let(F.regexp_extract(m, rx, 0), bound(claim, no, kind, rx))))
+        return F.array(*found)
 
-    hinted = F.lit(False)
-    for word in HINTS[kind]:
-        hinted = hinted | F.contains(low, F.lit(word))
-    return F.coalesce(F.when(hinted, let(_cut(t, rx), found)), F.array().cast(CLAIM))
+    return let(F.lower(m), every)
 
 
 def claims(text: Column) -> Column:
     """All claims of a text as one array, by pattern and position. Texts without a digit are passed over."""
 
-    def every(t: Column) -> Column:
-        return let(F.lower(t), lambda low: F.flatten(F.array(*(_matches(t, low, kind, p) for kind, p in PATTERNS))))
+    def every(pieces: Column) -> Column:
+        def one(places: Column) -> Column:
+            def at_piece(m: Column, i: Column) -> Column:
+                # Context comes from the neighbouring pieces: every second one is a stretch of MATCH_CHARS or
+                # more, so REACH pieces hold it, and no text is walked from its start.
+                first = F.greatest(i - REACH, F.lit(0))
+                before = F.right(F.array_join(F.slice(pieces, first + 1, i - first), ""), F.lit(CONTEXT_CHARS))
+                after = F.left(F.array_join(F.slice(pieces, i + 2, F.lit(REACH)), ""), F.lit(CONTEXT_CHARS))
+                inside = lambda b: let(after, lambda a: _of_stretch(m, at(places, i), b, a))
+                return F.when(i % 2 == 1, let(before, inside))
+
+            found = F.filter(F.transform(pieces, at_piece), lambda c: c.isNotNull())
+            return F.array_sort(F.filter(F.flatten(found), lambda c: c.isNotNull()))
+
+        # Every second piece is a stretch.
+        return F.when(F.size(pieces) > 1, let(_starts(pieces), one))
 
-    return F.when(text.rlike("[0-9]"), let(text, every))
+    return F.when(text.rlike("[0-9]"), let(text, lambda t: let(_cut(t, STRETCH), every)))
 
 
 def extract_claims(df: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """(keys, claim_no, type, text, start, end, context, value, min_value, max_value)."""
     found = df.select(*[col(k) for k in keys], F.posexplode(claims(col(text))).alias("_no", "_c"))
-    return found.select(*[col(k) for k in keys], (F.col("_no") + 1).alias("claim_no"), "_c.*")
+    fields = ("type", "text", "start", "end", "context", "value", "min_value", "max_value")
+    return found.select(*[col(k) for k in keys], (F.col("_no") + 1).alias("claim_no"), *(F.col(f"_c.{f}") for f in fields))
 
 
 def verify_claims(found: DataFrame, dataset: DataFrame, columns: DataFrame) -> DataFrame:

@@ -184,11 +184,7 @@ def _numeric_counts(freq: DataFrame, facts: Sequence[Facts]) -> DataFrame:
 
 def _quartiles(df: DataFrame, facts: Sequence[Facts], by: Sequence[str] = ()) -> DataFrame:
     """(by, ordinal, quartiles) of the columns that can be numeric, selected by scans of the table."""
-    cells = [
-        F.struct(F.lit(x.field.ordinal).alias("ordinal"), x.numeric_value.alias("v")) for x in facts if x.numeric_value is not None
-    ]
-    none = F.array().cast("array<struct<ordinal:int,v:double>>")
-    return select_quantiles(df.select(*[col(k) for k in by], F.inline(F.array(*cells) if cells else none)), by)
+    return select_quantiles(df, [(x.field.ordinal, x.numeric_value) for x in facts if x.numeric_value is not None], by)
 
 
 def _beside(freq: DataFrame, right: DataFrame, by: Sequence[str], on_column: bool = True) -> DataFrame:

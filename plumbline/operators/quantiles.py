@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,10 +14,14 @@ from ..session import settle
 
 QUARTILES = (0.25, 0.5, 0.75)
 
+Columns = Sequence[tuple[int, Column]]
+# Columns per scan: generated code for more stops compiling.
+WIDTH = 25
+
 # A sketch of this size (some 20 KB) misses a rank by about half the margin at most; a miss costs another scan, not the result.
 SKETCH_K = 800
 MARGIN = 0.008
-STEPS = 512
+STEPS = 128
 
 # Values around a rank that are sorted, by the sketch's estimate; more of them are narrowed down by another scan.
 SORTED_ROWS = 500_000
@@ -63,12 +68,19 @@ def _left_to_sort(n: Column, lo: Column, hi: Column) -> Column:
     return F.when(lo == hi, F.lit(1.0)).otherwise(n * (2 * (MARGIN + 1 / STEPS)))
 
 
-def _first_look(cells: DataFrame, keys: list[Column], ps: Sequence[float]) -> DataFrame:
+def _first_look(df: DataFrame, columns: Columns, by: Sequence[str], ps: Sequence[float]) -> DataFrame:
     """Per group: n, and per rank wanted the bounds proposed (lo, hi), those that are certain (olo, ohi), and the values to sort."""
-    v, n = F.col("v"), F.col("n")
-    seen = cells.groupBy(*keys).agg(
-        F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), F.kll_sketch_agg_double(v, F.lit(SKETCH_K)).alias("sketch")
-    )
+    look = lambda v: {
+        "n": F.count(v), "least": F.min(v), "most": F.max(v), "sketch": F.kll_sketch_agg_double(v, F.lit(SKETCH_K))
+    }
+    if by:
+        keys = [*(col(k) for k in by), F.col("ordinal")]
+        seen = _cells(df, columns, by).groupBy(*keys).agg(*(e.alias(n) for n, e in look(F.col("v")).items()))
+    else:
+        # Without segments columns are aggregated side by side, and no row is taken apart.
+        keys = [F.col("ordinal")]
+        seen = _wide(df, columns, lambda _, v: look(v)).where("n > 0")
+    n = F.col("n")
     seen = seen.withColumn("grid", _grid(F.col("sketch"), n)).drop("sketch")
     out = [*keys, n]
     for i, p in enumerate(ps):
@@ -79,6 +91,21 @@ def _first_look(cells: DataFrame, keys: list[Column], ps: Sequence[float]) -> Da
     return seen.select(*out)
 
 
+def _cells(df: DataFrame, columns: Columns, by: Sequence[str]) -> DataFrame:
+    """(by, ordinal, v): one row per value."""
+    cells = F.array(*(F.struct(F.lit(o).alias("ordinal"), v.alias("v")) for o, v in columns))
+    return df.select(*[col(k) for k in by], F.inline(cells)).where("v IS NOT NULL")
+
+
+def _wide(df: DataFrame, columns: Columns, build: Callable[[int, Column], dict[str, Column]]) -> DataFrame:
+    """(ordinal, ...): aggregates of every column in one scan, or in several if there are many."""
+    parts = []
+    for start in range(0, len(columns), WIDTH):
+        rows = [F.struct(F.lit(o).alias("ordinal"), *(e.alias(n) for n, e in build(o, v).items())) for o, v in columns[start : start + WIDTH]]
+        parts.append(df.agg(*(r.alias(f"r{i}") for i, r in enumerate(rows))).select(F.inline(F.array(*(F.col(f"r{i}") for i in range(len(rows)))))))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _spots(ps: Sequence[float]) -> list[tuple[Column, Column, Column]]:
     """pandas interpolates between the two values around position p * (n - 1)."""
     spots = [F.lit(float(p)) * (F.col("n") - 1) for p in ps]
@@ -122,11 +149,67 @@ def _narrowed(cells: DataFrame, state: DataFrame, names: Sequence[str], by: Sequ
     return known.select(*out)
 
 
-def _sorted_inside(cells: DataFrame, state: DataFrame, names: Sequence[str], by: Sequence[str], ps: Sequence[float], n_state: int) -> DataFrame:
-    """(keys, q0, q1, ..): one scan counts all values between the bounds by stretch, and those inside by value.
+def _sorted_inside(df: DataFrame, columns: Columns, state: DataFrame, ps: Sequence[float]) -> DataFrame:
+    """(ordinal, q0, q1, ..): one scan counts what lies below the bounds, another fetches what is inside, by value.
 
-    The counts in order give each value inside its exact ranks. NULL where a rank is not inside its bounds.
+    Their counts in order give the values inside their exact ranks. NULL where a rank is not inside its bounds.
     """
+    known = {r["ordinal"]: r for r in state.collect()}  # one row per column of the schema
+    columns = [(o, v) for o, v in columns if o in known]
+    n_ps = range(len(ps))
+
+    def place(o: int, v: Column) -> dict[str, Column]:
+        out = {}
+        for i in n_ps:
+            lo, hi = F.lit(known[o][f"lo{i}"]), F.lit(known[o][f"hi{i}"])
+            out |= {f"below{i}": F.count_if(v < lo), f"in{i}": F.count_if(v.between(lo, hi))}
+        return out
+
+    counted = state.join(F.broadcast(_wide(df, columns, place)), "ordinal")
+    parts = []
+    for start in range(0, len(columns), WIDTH):
+        cells = []
+        for o, v in columns[start : start + WIDTH]:
+            # Bounds that are one value need no values.
+            apart = [(known[o][f"lo{i}"], known[o][f"hi{i}"]) for i in n_ps if known[o][f"lo{i}"] != known[o][f"hi{i}"]]
+            if apart:
+                inside = reduce(Column.__or__, (v.between(F.lit(lo), F.lit(hi)) for lo, hi in apart))
+                cells.append(F.struct(F.lit(o).alias("ordinal"), F.when(inside, v).alias("x")))
+        if cells:
+            parts.append(df.select(F.inline(F.array(*cells))).where("x IS NOT NULL"))
+    none = "struct<x:double,cnt:bigint,upto:bigint>"
+    if parts:
+        counts = reduce(DataFrame.unionByName, parts).groupBy("ordinal", "x").agg(F.count(F.lit(1)).alias("cnt"))
+        upto = F.sum("cnt").over(W.partitionBy("ordinal").orderBy("x"))
+        values = counts.select("ordinal", F.struct("x", "cnt", upto.alias("upto")).alias("_v"))
+        placed = values.join(F.broadcast(counted), "ordinal", "right")
+    else:
+        placed = counted.withColumn("_v", F.lit(None).cast(none))
+    x, cnt = F.col("_v.x"), F.col("_v.cnt")
+    of_column = W.partitionBy("ordinal")
+    # All values from a lower bound on are here: ranks follow from what is below it.
+    for i in n_ps:
+        earlier = F.coalesce(F.sum(F.when(x < F.col(f"lo{i}"), cnt)).over(of_column), F.lit(0))
+        placed = placed.withColumn(f"_top{i}", F.col(f"below{i}") + F.col("_v.upto") - earlier)
+    ends = []
+    for i, (_, first, last) in enumerate(_spots(ps)):
+        lo, hi, below, top = F.col(f"lo{i}"), F.col(f"hi{i}"), F.col(f"below{i}"), F.col(f"_top{i}")
+
+        def at(k: Column) -> Column:
+            alone = F.when((lo == hi) & (k >= below) & (k < below + F.col(f"in{i}")), lo)  # noqa: B023
+            return F.max(F.coalesce(alone, F.when(x.between(lo, hi) & (k < top) & (k >= top - cnt), x)))  # noqa: B023
+
+        ends += [at(first).alias(f"a{i}"), at(last).alias(f"b{i}")]
+    return _interpolated(placed.groupBy("ordinal", "n").agg(*ends), ["ordinal"], ps)
+
+
+def _interpolated(found: DataFrame, names: Sequence[str], ps: Sequence[float]) -> DataFrame:
+    value = lambda i, s: F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (s - F.floor(s))
+    return found.select(*[col(k) for k in names], *(value(i, s).alias(f"q{i}") for i, (s, _, _) in enumerate(_spots(ps))))
+
+
+def _sorted_by_segment(cells: DataFrame, state: DataFrame, names: Sequence[str], by: Sequence[str], ps: Sequence[float], n_state: int) -> DataFrame:
+    """The same per segment: one scan counts all values between the bounds by stretch, and those inside by value."""
     v, many = F.col("v"), len(ps)
     keys = [col(k) for k in names]
     lows = [F.least(*(F.col(f"lo{j}") for j in range(i, many)), F.col(f"lo{many - 1}")) for i in range(many)]
@@ -138,43 +221,45 @@ def _sorted_inside(cells: DataFrame, state: DataFrame, names: Sequence[str], by:
     counts = met.groupBy(*keys, "stretch", inside.alias("x")).agg(F.count(F.lit(1)).alias("cnt"))
     upto = F.sum("cnt").over(W.partitionBy(*keys).orderBy("stretch", F.asc_nulls_first("x")))
     placed = counts.withColumn("upto", upto)
-    totals = state.select(*keys, "n")
     reached = lambda k: (k < F.col("upto")) & (k >= F.col("upto") - F.col("cnt"))
     ends = []
     for i, (_, first, last) in enumerate(_spots(ps)):
         ends += [F.max(F.when(reached(first), F.col("x"))).alias(f"a{i}"), F.max(F.when(reached(last), F.col("x"))).alias(f"b{i}")]
     # A few values per rank and group are left here.
-    found = beside(placed, totals, names, by, ["stretch", "x"], n_state).groupBy(*keys, "n").agg(*ends)
-    value = lambda i, s: F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (s - F.floor(s))
-    return found.select(*keys, *(value(i, s).alias(f"q{i}") for i, (s, _, _) in enumerate(_spots(ps))))
+    found = beside(placed, state.select(*keys, "n"), names, by, ["stretch", "x"], n_state).groupBy(*keys, "n").agg(*ends)
+    return _interpolated(found, names, ps)
 
 
 def select_quantiles(
-    cells: DataFrame, by: Sequence[str], probabilities: Sequence[float] = QUARTILES, sorted_rows: int | None = None
+    df: DataFrame, columns: Columns, by: Sequence[str] = (), probabilities: Sequence[float] = QUARTILES, sorted_rows: int | None = None
 ) -> DataFrame:
-    """(by, ordinal, quartiles array): exact interpolated quantiles of ``v`` in (by, ordinal, v), NULLs left out.
+    """(by, ordinal, quartiles array): exact interpolated quantiles of (ordinal, column) pairs of doubles, NULLs left out.
 
     The first scan sketches each column (and segment). Its bounds hold about 2% of the values around a rank. While that
-    is more than ``sorted_rows``, another scan narrows them down, fifty times each; the last scan fetches what is inside. So the table is
+    is more than ``sorted_rows``, another scan narrows them down, fifty times each; the last ones count and fetch what is inside. So the table is
     never sorted nor moved, and the number of tasks is that of the scans.
     """
     sorted_rows = SORTED_ROWS if sorted_rows is None else sorted_rows
     ps = sorted(probabilities)
     names = [*by, "ordinal"]
     keys = [col(k) for k in names]
-    cells = cells.where("v IS NOT NULL")
-    state = settle(_first_look(cells, keys, ps))
+    columns = list(columns)
+    if not columns:
+        return df.limit(0).select(*[col(k) for k in by], F.lit(0).alias("ordinal"), F.array().cast("array<double>").alias("quartiles"))
+    cells = _cells(df, columns, by)
+    state = settle(_first_look(df, columns, by, ps))
     while True:
         n_state = state.count()
         left = state.agg(F.max(F.greatest(*(F.col(f"left{i}") for i in range(len(ps))), F.lit(0.0)))).first()[0]
         if left is not None and left > sorted_rows:
             state = settle(_narrowed(cells, state, names, by, ps, n_state))
             continue
-        found = settle(_sorted_inside(cells, state, names, by, ps, n_state))
+        sorted_ = _sorted_by_segment(cells, state, names, by, ps, n_state) if by else _sorted_inside(df, columns, state, ps)
+        found = settle(sorted_)
         missed = F.lit(False)
         for i in range(len(ps)):
             missed = missed | F.col(f"q{i}").isNull()
-        if found.where(missed).isEmpty():
+        if found.count() == n_state and found.where(missed).isEmpty():
             order = [F.col(f"q{ps.index(p)}") for p in probabilities]
             return found.select(*keys, F.array(*order).alias("quartiles"))
         # The sketch has missed a rank: counts tell on which side.
