@@ -898,27 +898,45 @@ def e1_histogram_tail(spark, sf_dir):
     return E.histogram(table(spark, sf_dir, "events").select(value.alias("value")), "value", empty=False).select("bin", "count")
 
 
-@register("e2_kde_constant", "SELECT CAST(0 AS BIGINT) AS n FROM events LIMIT 1")
+@register(
+    "e2_kde_constant",
+    "SELECT 'constant' AS kind, CASE WHEN stddev_samp(value * 0) > 0 THEN 200 ELSE 0 END AS n FROM events"
+    " UNION ALL SELECT 'value', CASE WHEN stddev_samp(value) > 0 THEN 200 ELSE 0 END FROM events",
+)
 def e2_kde_constant(spark, sf_dir):
-    """A constant has no density curve."""
-    flat = table(spark, sf_dir, "events").select((F.col("value") * 0).alias("value"))
-    return E.kde(flat, "value").agg(F.count(F.lit(1)).alias("n"))
+    """A constant has no density curve, beside one that has."""
+    events = table(spark, sf_dir, "events")
+    n = lambda df, kind: E.kde(df, "value").agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"))
+    return n(events.select((F.col("value") * 0).alias("value")), "constant").union(n(events, "value"))
 
 
-@register(
-    "e2_kde",
-    f"WITH {layout_sql('events', 'value')}, cells AS (SELECT count(*) AS w, avg(x) AS m FROM v, s"
-    " GROUP BY least(floor((x - lo) / (hi - lo) * 4096), 4095)),"
-    " k AS (SELECT *, sd * pow(n, -0.2) AS h FROM s), g AS (SELECT unnest(generate_series(0, 199)) AS point)"
-    f" SELECT point, {rnd('lo + point * ((hi - lo) / 199)')} AS x,"
-    f" {rnd('sum(w * exp(-0.5 * pow((lo + point * ((hi - lo) / 199) - m) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())) * 1000')} AS density"
-    " FROM g, k, cells GROUP BY point, lo, hi",
-)
+def kde_sql(table_name: str) -> str:
+    """The density from every value, not from cells; scaled so that rounding keeps its digits."""
+    return (
+        f"WITH v AS (SELECT CAST(value AS DOUBLE) AS x FROM {table_name} WHERE value IS NOT NULL),"
+        " s AS (SELECT count(*) AS n, min(x) AS lo, max(x) AS hi, stddev_samp(x) AS sd FROM v),"
+        " k AS (SELECT *, sd * pow(n, -0.2) AS h FROM s), g AS (SELECT unnest(generate_series(0, 199)) AS point)"
+        f" SELECT point, {rnd('lo + point * ((hi - lo) / 199)')} AS x,"
+        f" {rnd('sum(exp(-0.5 * pow((lo + point * ((hi - lo) / 199) - x) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())) * 1000')} AS density"
+        " FROM g, k, v GROUP BY point, lo, hi"
+    )
+
+
+@register("e2_kde", kde_sql("events"))
 def e2_kde(spark, sf_dir):
-    # Scaled so that rounding keeps its digits.
     return E.kde(table(spark, sf_dir, "events"), "value").withColumn("density", F.col("density") * 1000)
 
 
+FAR = "(SELECT CASE WHEN event_id % 500 = 7 THEN value * 1000 ELSE value END AS value FROM events) far"
+
+
+@register("e2_kde_tail", kde_sql(FAR))
+def e2_kde_tail(spark, sf_dir):
+    """Few values far out: the bulk lies within a few hundredths of the range."""
+    value = F.when(F.col("event_id") % 500 == 7, F.col("value") * 1000).otherwise(F.col("value"))
+    return E.kde(table(spark, sf_dir, "events").select(value.alias("value")), "value").withColumn("density", F.col("density") * 1000)
+
+
 @register(
     "e3_outlier_bounds",
     f"WITH {layout_sql('events', 'value')} SELECT {rnd('q1')} AS q1, {rnd('q3')} AS q3,"

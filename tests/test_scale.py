@@ -232,3 +232,24 @@ def test_unique_values_with_a_long_common_prefix(spark, monkeypatch):
     assert all(d.count() <= 13 * 2 for d in kept[1:])
     falling = frequency.most_frequent(kept[0], df, [x for x in look(df) if x.field.name != "id"], 3, descending=False)
     assert [r.value for r in falling.where("ordinal = 1").orderBy("rank").collect()] == sorted((start + f"{i * 7919 % 1_000_003:07d}" for i in range(n)), reverse=True)[:3]
+
+
+@pytest.mark.parametrize("key", ["id", "id * 11 - 70000", "cast(id as double) * 0.37", "timestamp_seconds(id * 977)", "pow(1.01, id)", "concat('k', lpad(id, 6, '0'))"])
+def test_raster_borders_are_refined(spark, monkeypatch, key):
+    """Few keys may be ranked and few bins counted: pieces are divided again and again."""
+    monkeypatch.setattr("plumbline.operators.distribution.RANKED_KEYS", 20)
+    monkeypatch.setattr("plumbline.operators.distribution.BORDER_BINS", 60)
+    n = 1000
+    df = spark.range(n).select(F.expr(key).alias("k"), F.when(F.col("id") % 7 > 2, 1).alias("x"))
+    got = {(r.band, r.name): r.null_rate for r in missing_raster(df, "k", 13).collect()}
+    for band in range(13):
+        rows = [i for i in range(n) if i * 13 // n == band]
+        assert np.isclose(got[band, "x"], sum(i % 7 <= 2 for i in rows) / len(rows))
+    assert len(got) == 26
+
+
+def test_raster_of_few_rows(spark):
+    df = spark.range(3).select("id", F.when(F.col("id") > 0, 1).alias("x"))
+    assert sorted((r.band, r.name, r.null_rate) for r in missing_raster(df, "id", 100).collect()) == [
+        (0, "id", 0.0), (0, "x", 1.0), (33, "id", 0.0), (33, "x", 0.0), (66, "id", 0.0), (66, "x", 0.0),
+    ]
