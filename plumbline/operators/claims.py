@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import at, let
 from ..functions.values import WHITESPACE, col, fixed, percent
+from ..session import settle
 
 CONTEXT_CHARS = 50
 # No claim is shorter than this, such as "1mb".
@@ -165,6 +166,39 @@ def extract_claims(df: DataFrame, keys: Sequence[str] = ("doc_id",), text: str =
     return found.select(*[col(k) for k in keys], (F.col("_no") + 1).alias("claim_no"), *(F.col(f"_c.{f}") for f in fields))
 
 
+GRAM_CHARS = 3
+
+
+def _grams(c: Column, n: int) -> Column:
+    """All runs of n characters."""
+    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))
+
+
+def named_columns(found: DataFrame, columns: DataFrame) -> DataFrame:
+    """(dataset, context, column): the first column, in table order, whose name occurs in a context, as a struct.
+
+    An inverted index: each name is filed under its rarest run of three characters (a shorter name under itself), contexts look up
+    their own runs, and only the names found there are searched for. So a claim costs what its context says, however many columns there are. Each different context
+    is searched once.
+    """
+    low = F.lower("name")
+    about = F.struct("name", "inferred_type", "non_null_pct", "zeros_pct").alias("column")
+    names = columns.select("dataset", "ordinal", low.alias("low"), about)
+    size = F.least(F.length("low"), F.lit(GRAM_CHARS))
+    runs = F.transform(F.sequence(F.lit(1), F.length("low") - size + 1), lambda i: F.substring(F.col("low"), i, size))
+    filed = names.select("dataset", "ordinal", F.explode(F.array_distinct(F.when(F.col("low") == "", F.array(F.lit(""))).otherwise(runs))).alias("gram"))
+    common = filed.groupBy("dataset", "gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = filed.join(common, ["dataset", "gram"]).groupBy("dataset", "ordinal").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    index = settle(rarest.join(names, ["dataset", "ordinal"]))
+    sizes = [r[0] for r in index.select(F.length("gram")).distinct().collect()]  # 0 to 3
+    words = F.lower("context")
+    asked = [_grams(words, n) if n else F.array(F.lit("")) for n in sizes] or [F.array().cast("array<string>")]
+    contexts = found.select("dataset", "context").distinct()
+    looked_up = contexts.select("dataset", "context", F.explode(F.array_distinct(F.concat(*(F.coalesce(a, F.array().cast("array<string>")) for a in asked)))).alias("gram"))
+    met = looked_up.join(index, ["dataset", "gram"]).where(F.contains(F.lower("context"), F.col("low")))
+    return met.groupBy("dataset", "context").agg(F.min_by("column", "ordinal").alias("column"))
+
+
 def verify_claims(found: DataFrame, dataset: DataFrame, columns: DataFrame) -> DataFrame:
     """Check claims against the profile that their ``dataset`` names; adds verified, actual_value, discrepancy, column_name.
 
@@ -173,23 +207,19 @@ def verify_claims(found: DataFrame, dataset: DataFrame, columns: DataFrame) -> D
     column share is checked against the first column, in table order, whose name
     occurs in the context. Other kinds cannot be verified.
     """
-    # One array per dataset, as long as its schema: the name search needs no join on text.
-    named = columns.groupBy("dataset").agg(
-        F.array_sort(
-            F.collect_list(F.struct("ordinal", "name", F.lower("name").alias("low"), "inferred_type", "non_null_pct", "zeros_pct"))
-        ).alias("_columns")
-    )
-    facts = dataset.select("dataset", "n_rows", "n_cols", "size_mb", "duplicate_rows_pct").join(named, "dataset", "left")
-    facts = facts.select(F.col("dataset").alias("_dataset"), F.struct("n_rows", "n_cols", "size_mb", "duplicate_rows_pct").alias("_d"), "_columns")
-    joined = found.join(facts, F.col("dataset") == F.col("_dataset"), "left").drop("_dataset")
+    d = dataset.select(F.col("dataset").alias("_dataset"), F.struct("n_rows", "n_cols", "size_mb", "duplicate_rows_pct").alias("_d"))
+    joined = found.join(d, F.col("dataset") == F.col("_dataset"), "left").drop("_dataset")
+    named = named_columns(found.where(F.col("type") == "percentage"), columns)
+    named = named.select(F.col("dataset").alias("_dataset"), F.col("context").alias("_context"), F.col("column").alias("_hit"))
+    same = (F.col("dataset") == F.col("_dataset")) & (F.col("context") == F.col("_context")) & (F.col("type") == "percentage")
+    joined = joined.join(named, same, "left").drop("_dataset", "_context")
 
     low = F.lower("context")
     has = lambda w: F.contains(F.col("_low"), F.lit(w))
-    hit = at(F.filter("_columns", lambda c: F.contains(F.col("_low"), c["low"])), F.lit(0))
     d = lambda n: F.coalesce(F.col(f"_d.{n}").cast("double"), F.lit(0.0))
     kind, value = F.col("type"), F.col("value")
 
-    joined = joined.withColumn("_low", low).withColumn("_hit", F.when(kind == "percentage", hit))
+    joined = joined.withColumn("_low", low)
     share = F.col("_hit.non_null_pct")
     about_missing = has("missing") | has("null")
     of_column = (
@@ -226,7 +256,7 @@ def verify_claims(found: DataFrame, dataset: DataFrame, columns: DataFrame) -> D
         joined.withColumn("verified", verified)
         .withColumn("discrepancy", discrepancy)
         .withColumn("column_name", F.when(by_column & a.isNotNull(), F.col("_hit.name")))
-        .drop("_d", "_columns", "_low", "_hit")
+        .drop("_d", "_low", "_hit")
     )
 
 

@@ -208,3 +208,20 @@ def test_from_table_to_checked_reports(spark, tmp_path):
     assert a == {"row_count": True, "column_count": False}
     assert out.summary.where("dataset = 'a'").first().failures == 1
     assert spark.read.text(str(tmp_path / "out")).where("dataset = 'a'").count() > 5
+
+
+def test_columns_are_found_among_ten_thousand(spark):
+    """Names that contain each other, short and empty ones: the first in table order that the context holds."""
+    names = [f"measure_{k:05d}" for k in range(10_000)] + ["measure", "Age", "x", "id", "é"]
+    rows = [("a", k, n, "numeric", 90.0, 1.0) for k, n in enumerate(names)] + [("b", 0, "age", "numeric", 50.0, 0.0), ("c", 0, "", "numeric", 1.0, 0.0)]
+    columns = spark.createDataFrame(rows, "dataset string, ordinal int, name string, inferred_type string, non_null_pct double, zeros_pct double")
+    contexts = ["10% missing in measure_00420 and measure_00007", "the measure", "AGE of all", "no such", "an x", "x", "its id", "", "caf\u00c9", "measure_1"]
+    asked = [(d, c) for d in "abcd" for c in contexts] + [(None, "age")]
+    found = spark.createDataFrame(asked, "dataset string, context string")
+    got = {(r.dataset, r.context): r.column.name for r in V.named_columns(found, columns).collect()}
+    want = {}
+    for d, c in asked:
+        hit = [r[2] for r in rows if r[0] == d and r[2].lower() in c.lower()]
+        if hit:
+            want[d, c] = hit[0]
+    assert got == want
