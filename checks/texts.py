@@ -417,11 +417,11 @@ def r5_issue_summary(spark, sf_dir):
 
 def overview_sql(size: str, n_cols: int) -> str:
     """CTE ov(overview) over src."""
-    dup = f"CASE WHEN dup > 5 THEN '• NOTE: High duplicate percentage may indicate data quality issues' END"
+    dup = f"CASE WHEN dup > 5 THEN '• Many rows repeat others' END"
     return (
         f"dd AS (SELECT count(*) AS n, {size} AS mb, {DUPLICATE_PCT} AS dup FROM src), ov AS (SELECT concat_ws(chr(10), 'Dataset Overview:',"
-        f" '• ' || format('{{:,}}', n) || ' rows and {n_cols} columns', '• Memory usage: ' || {fixed('mb', 1)} || ' MB',"
-        f" '• Duplicate rows: ' || {fixed('dup', 1)} || '%', '• Average memory per row: ' || {fixed('mb / n * 1024', 2)} || ' KB', {dup}) AS overview FROM dd)"
+        f" '• ' || format('{{:,}}', n) || ' rows and {n_cols} columns', '• Logical size: ' || {fixed('mb', 1)} || ' MB',"
+        f" '• ' || {fixed('dup', 1)} || '% of the rows repeat an earlier one', '• ' || {fixed('mb / n * 1024', 2)} || ' KB a row', {dup}) AS overview FROM dd)"
     )
 
 
@@ -451,14 +451,14 @@ def blocks_sql(name: str) -> str:
         f"CASE WHEN {num} THEN '  Range: ' || {f2('min')} || ' to ' || {f2('max')} END",
         f"CASE WHEN {num} THEN '  Mean: ' || {f2('mean')} END",
         f"CASE WHEN {num} AND outliers_count > 0 THEN '  Outliers: ' || CAST(outliers_count AS VARCHAR) || ' values' END",
-        f"CASE WHEN {num} AND zeros_pct > 5 THEN '  Zero values: ' || {f1('zeros_pct')} || '%' END",
+        f"CASE WHEN {num} AND zeros_pct > 5 THEN '  Zeros: ' || {f1('zeros_pct')} || '%' END",
         f"CASE WHEN {cat} THEN '  Most common: ''' || top.value || ''' (' || {f1('top.cnt * 100.0 / non_null')} || '%)' END",
         f"CASE WHEN {cat} AND rare_values > 0 THEN '  Rare values: ' || CAST(rare_values AS VARCHAR) || ' categories' END",
         f"CASE WHEN {dat} THEN '  Date range: ' || left(min_date, 10) || ' to ' || left(max_date, 10) END",
         f"CASE WHEN {dat} THEN '  Coverage: ' || CAST(coverage_days AS VARCHAR) || ' days' END",
         f"CASE WHEN {txt} THEN '  Average length: ' || {f1('avg_length')} || ' characters' END",
-        f"CASE WHEN {txt} AND pct_empty > 5 THEN '  Empty strings: ' || {f1('pct_empty')} || '%' END",
-        "'  Issues: ' || iss.labels",
+        f"CASE WHEN {txt} AND pct_empty > 5 THEN '  Empty: ' || {f1('pct_empty')} || '%' END",
+        "'  Flags: ' || iss.labels",
     ]
     return (
         f"{with_columns(name)}, {freq}, {ISSUE_ROWS}, iss AS (SELECT ordinal, string_agg({LABELS}, ', ' ORDER BY pos) AS labels, count(*) AS flags FROM i GROUP BY ordinal),"
@@ -502,11 +502,11 @@ def r9_context_chunks(spark, sf_dir):
 
 @register(
     "r10_summary_context",
-    f"{blocks_sql('labelled')}, {overview_sql(SIZE_MB, 7)}, x AS (SELECT 1 AS o, 0 AS q, overview || chr(10) || chr(10) || 'Column Types:' AS line FROM ov"
+    f"{blocks_sql('labelled')}, {overview_sql(SIZE_MB, 7)}, x AS (SELECT 1 AS o, 0 AS q, overview || chr(10) || chr(10) || 'Columns by type:' AS line FROM ov"
     " UNION ALL SELECT 2, row_number() OVER (ORDER BY inferred_type), '• ' || CAST(count(*) AS VARCHAR) || ' ' || inferred_type || ' columns' FROM cp GROUP BY inferred_type"
-    " UNION ALL SELECT 3, 0, chr(10) || 'Data Quality Issues:'"
+    " UNION ALL SELECT 3, 0, chr(10) || 'Flags of the columns:'"
     f" UNION ALL SELECT 4, row_number() OVER (ORDER BY issue), '• ' || CAST(count(*) AS VARCHAR) || ' columns with ' || {LABELS} FROM i GROUP BY issue"
-    " UNION ALL SELECT 5, 0, chr(10) || 'Sample Column Details:'"
+    " UNION ALL SELECT 5, 0, chr(10) || 'Columns with the most flags:'"
     " UNION ALL SELECT 6, rk, block FROM (SELECT *, row_number() OVER (ORDER BY flags DESC, ordinal) AS rk FROM blk) WHERE rk <= 3)"
     " SELECT 'labelled' AS dataset, string_agg(line, chr(10) ORDER BY o, q) AS context FROM x",
 )
