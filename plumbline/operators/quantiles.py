@@ -244,12 +244,15 @@ def select_quantiles(
     names = [*by, "ordinal"]
     keys = [col(k) for k in names]
     columns = list(columns)
+    none = df.limit(0).select(*[col(k) for k in by], F.lit(0).alias("ordinal"), F.array().cast("array<double>").alias("quartiles"))
     if not columns:
-        return df.limit(0).select(*[col(k) for k in by], F.lit(0).alias("ordinal"), F.array().cast("array<double>").alias("quartiles"))
+        return none
     cells = _cells(df, columns, by)
     state = settle(_first_look(df, columns, by, ps))
     while True:
         n_state = state.count()
+        if not n_state:
+            return none
         left = state.agg(F.max(F.greatest(*(F.col(f"left{i}") for i in range(len(ps))), F.lit(0.0)))).first()[0]
         if left is not None and left > sorted_rows:
             state = settle(_narrowed(cells, state, names, by, ps, n_state))
