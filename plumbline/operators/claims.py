@@ -68,7 +68,7 @@ _CLOSE = (
     rf"{_GAP}(?:%{_GAP}(?:missing|null|empty|complete|non-null|duplicate|zero)|rows?|records?|columns?"
     rf"|(?:unique|distinct){_GAP}values?|outliers?|mb|megabytes?|days?)"
 )
-STRETCH = rf"(?i)(?:{_LEAD}{_ONE_OR_TWO}(?:{_CLOSE})?|(?<!\d)(?<!\d[.,]){_ONE_OR_TWO}{_CLOSE})"
+STRETCH = rf"(?i)(?:(?=[ram]){_LEAD}{_ONE_OR_TWO}(?:{_CLOSE})?|(?=\d)(?<!\d)(?<!\d[.,]){_ONE_OR_TWO}{_CLOSE})"
 
 
 def _cut(t: Column, rx: str) -> Column:
@@ -137,7 +137,7 @@ def _of_stretch(m: Column, p: Column, before: Column, after: Column) -> Column:
 
 
 def claims(text: Column) -> Column:
-    """All claims of a text as one array, by pattern and position. Texts without a digit are passed over."""
+    """All claims of a text as one array, by pattern and position. Texts without a digit, or without a word of any claim, are passed over."""
 
     def every(pieces: Column) -> Column:
         def one(places: Column) -> Column:
@@ -156,7 +156,9 @@ def claims(text: Column) -> Column:
         # Every second piece is a stretch.
         return F.when(F.size(pieces) > 1, let(_starts(pieces), one))
 
-    return F.when(text.rlike("[0-9]"), let(text, lambda t: let(_cut(t, STRETCH), every)))
+    words = sorted({w for kind in HINTS.values() for w in kind})
+    worded = lambda t: let(F.lower(t), lambda low: reduce(Column.__or__, (F.contains(low, F.lit(w)) for w in words)))
+    return F.when(text.rlike("[0-9]"), let(text, lambda t: F.when(worded(t), let(_cut(t, STRETCH), every))))
 
 
 def extract_claims(df: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
