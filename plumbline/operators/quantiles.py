@@ -235,8 +235,8 @@ def select_quantiles(
 ) -> DataFrame:
     """(by, ordinal, quartiles array): exact interpolated quantiles of (ordinal, column) pairs of doubles, NULLs left out.
 
-    The first scan sketches each column (and segment). Its bounds hold about 2% of the values around a rank. While that
-    is more than ``sorted_rows``, another scan narrows them down, fifty times each; the last ones count and fetch what is inside. So the table is
+    The first scan sketches each column (and segment). Its bounds hold about 3% of the values around a rank. While that
+    is more than ``sorted_rows``, another scan narrows them down, thirty times each; the last ones count and fetch what is inside. So the table is
     never sorted nor moved, and the number of tasks is that of the scans.
     """
     sorted_rows = SORTED_ROWS if sorted_rows is None else sorted_rows
