@@ -10,8 +10,10 @@ from plumbline.llm.common import row_key
 
 SHARDS = 8
 SEED = 11
-#: Text bytes that a bucket holds on average; a task holds one bucket, or the few that fall into its partition.
+#: Bytes that a bucket holds on average; a task holds one bucket, or the few that fall into its partition.
 BUCKET_BYTES = 8 << 20
+#: What a row counts besides its text, so that rows without text are dealt to many buckets too.
+ROW_BYTES = 128
 
 
 def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -36,13 +38,13 @@ def shard(
     shuffle). The buckets of a shard follow one another. A rerun over the same rows with the same number of
     buckets gives the same slots.
 
-    grown_shard is the shard with one more shard. A null key is one key. Null texts count no bytes. Rows equal
+    grown_shard is the shard with one more shard. A null key is one key. Null texts count as empty ones. Rows equal
     in all columns share a bucket. A column of ``df`` named as one of the three results is replaced. Columns must be
     comparable (no maps). An empty table gives an empty result.
     """
     results = ("shard", "slot", "grown_shard")
     kept = df.drop(*[c for c in df.columns if c.lower() in results])
-    size = df.agg(F.sum(F.octet_length(col(text)).cast("long"))).first()[0] or 0
+    size = df.agg(F.sum(F.coalesce(F.octet_length(col(text)), F.lit(0)).cast("long") + ROW_BYTES)).first()[0] or 0
     buckets = max(1, -(-size // (shards * bucket_bytes)))
     k1, k2 = row_key(df)
     rows = df.select(

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from plumbline.llm import sharding
 
 ROWS = [(k, f"text {k % 40} " * (k % 7)) for k in range(600)] + [(None, "a"), (None, None), (5, "twice"), (5, "twice"), (700, "long " * 50_000)]
@@ -46,3 +48,28 @@ def test_files(make, tmp_path):
     sharding.write_shards(sharded, str(tmp_path / "out"))
     back = make([]).sparkSession.read.parquet(str(tmp_path / "out"))
     assert sorted((r.shard, r.slot, str(r.doc_id)) for r in back.collect()) == sorted((g[0], g[1], str(g[2])) for g in result(make(ROWS)))
+
+
+def test_rows_without_text_are_dealt_to_many_buckets(spark, make):
+    # Buckets that fit a broadcast are not worth dealing; here none may be.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = sharding.shard(make([(k, None if k % 2 else "") for k in range(800)]), bucket_bytes=1024)
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == 800 and max(sizes) < 80
+
+
+def test_shards_by_plain_hashes(spark, make):
+    """Each row's shard and grown shard, from the hashes of its key one by one."""
+    ids = [*range(60), 2**40, -5]
+    got = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.shard(make([(k, f"text {k}") for k in ids])).collect()}
+    hashes = {}
+    for s in range(sharding.SHARDS + 1):
+        df = spark.createDataFrame([(k, str(k)) for k in ids], "k long, t string")
+        for r in df.select("k", F.xxhash64(F.lit(sharding.SEED), F.lit(s), "t").alias("h")).collect():
+            hashes.setdefault(r.k, []).append(r.h)
+    for k in ids:
+        h = hashes[k]
+        assert got[k] == (h.index(max(h[:-1])), h.index(max(h)))
