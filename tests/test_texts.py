@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,6 +211,52 @@ def test_from_table_to_checked_reports(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).where("dataset = 'a'").count() > 5
 
 
+def test_long_runs_take_linear_time():
+    start = time.perf_counter()
+    for t in ("1" * 200_000, "1." * 100_000, "1,2." * 50_000, "min " * 50_000, ("min" + " " * 100) * 2_000):
+        assert V.find_claims(t) == []
+    assert V.find_claims("1,234.5% missing, 1.2,3 rows, 1,2.3 days, range 1.5 - 2")[0][3:] == (234.5, None, None)
+    assert time.perf_counter() - start < 10
+
+
+def test_reports_of_one_row_group_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    """A table that one task reads is worked on by many."""
+    from checks import texts as Q
+
+    spark.range(900).select(F.col("id").alias("o_orderkey")).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(Q, "REPORTS_A_TASK", 100)
+    made = Q.reports(spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() == 10 and made.select("doc_id").distinct().count() == 900
+
+
+@pytest.mark.parametrize("few", [0, 200])
+def test_names_sent_or_looked_up_give_the_same_columns(spark, monkeypatch, few):
+    monkeypatch.setattr(V, "FEW_COLUMNS", few)
+    dataset = spark.createDataFrame([("d", 10, 2, 1.0, 0.0), ("e", 10, 1, 1.0, 0.0)], "dataset string, n_rows int, n_cols int, size_mb double, duplicate_rows_pct double")
+    columns = spark.createDataFrame(
+        [("d", 1, "age", "numeric", 90.0, 3.0), ("d", 0, "Page", "text", 80.0, None)],
+        "dataset string, ordinal int, name string, inferred_type string, non_null_pct double, zeros_pct double",
+    )
+    rows = [(0, "d", "20% missing in PAGE"), (1, "d", "10% missing of age"), (2, "d", "3% zero by age, 2 rows"), (3, "e", "5% missing in age"), (4, None, "5% null age")]
+    df = spark.createDataFrame(rows, "doc_id int, dataset string, text string")
+    v = V.verify_claims(V.extract_claims(df, ("doc_id", "dataset")), dataset, columns)
+    got = {r.doc_id: (r.column_name, r.verified) for r in v.where("type = 'percentage'").collect()}
+    assert got == {0: ("Page", True), 1: ("age", True), 2: ("age", True), 3: (None, False), 4: (None, False)}
+    if few:
+        # Claims stay where they are: no join moves them by their contexts.
+        assert "SortMergeJoin" not in v._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merging_reads_texts_twice_at_most(spark, tmp_path):
+    rows = [(1, 1, "# Key Findings\na\n# Column Profiles\nx\n# Data Quality Summary\nl\nm"), (1, 2, "# Column Profiles\ny\n# Data Quality Summary\nm\nn")]
+    spark.createDataFrame(rows, "doc_id long, chunk long, text string").write.parquet(str(tmp_path / "t"))
+    parts = X.extract_sections(spark.read.parquet(str(tmp_path / "t")), ("doc_id", "chunk"))
+    out = X.assemble(X.merge_sections(parts), "T", F.lit("2024-05-06 07:08:00").cast("timestamp"))
+    assert out._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 2
+    text = out.first().report
+    assert [text.index(x) for x in ("l\nm\nn", "## Key Findings\n\na", "x\n\ny")] == sorted(text.index(x) for x in ("l\nm\nn", "## Key Findings\n\na", "x\n\ny"))
+
+
 def test_columns_are_found_among_ten_thousand(spark):
     """Names that contain each other, short and empty ones: the first in table order that the context holds."""
     names = [f"measure_{k:05d}" for k in range(10_000)] + ["measure", "Age", "x", "id", "é"]
