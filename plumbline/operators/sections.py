@@ -56,13 +56,11 @@ def merge_sections(parts: DataFrame, key: str = "doc_id") -> DataFrame:
     appended = F.col("section").isin(*APPENDED)
 
     ordered = lambda item: F.array_sort(F.collect_list(item))
-    first = (
-        parts.where(~by_line & ~appended).groupBy(k, "section").agg(F.min_by("content", "chunk").alias("content"))
-    )
-    chained = (
-        parts.where(appended)
-        .groupBy(k, "section")
-        .agg(F.array_join(F.transform(ordered(F.struct("chunk", "content")), lambda p: p["content"]), "\n\n").alias("content"))
+    chain = ordered(F.when(appended, F.struct("chunk", "content")))
+    # One pass for the sections that stay and those that are appended; the lines of the others take a second.
+    found = parts.groupBy(k, "section").agg(
+        F.min_by(F.struct("chunk", "content"), F.when(~appended, F.col("chunk"))).alias("head"),
+        F.array_join(F.transform(chain, lambda p: p["content"]), "\n\n").alias("chain"),
     )
     # Repeats of a line within a chunk become one row with their places, then the first chunk is kept.
     seen = (
@@ -73,27 +71,21 @@ def merge_sections(parts: DataFrame, key: str = "doc_id") -> DataFrame:
         .groupBy(k, "section", "line")
         .agg(F.min_by(F.struct("chunk", "at"), "chunk").alias("f"))
     )
-    heads = parts.where(by_line).groupBy(k, "section").agg(F.min_by(F.struct("chunk", "content"), "chunk").alias("head"))
     later = seen.where(strip(F.col("line")) != "").select(
         k, "section", F.col("f.chunk").alias("chunk"), "line", F.explode("f.at").alias("pos")
     )
     added = later.groupBy(k, "section").agg(F.array_sort(F.collect_list(F.struct("chunk", "pos", "line"))).alias("rest"))
-    merged = heads.join(added, [key, "section"], "left").select(
-        k,
-        "section",
-        F.array_join(
-            F.concat(
-                F.array("head.content"),
-                F.transform(
-                    F.filter(F.coalesce("rest", F.array().cast("array<struct<chunk:bigint,pos:int,line:string>>")),
-                             lambda r: r["chunk"] > F.col("head.chunk")),
-                    lambda r: r["line"],
-                ),
-            ),
-            "\n",
-        ).alias("content"),
+    later_lines = F.transform(
+        F.filter(
+            F.coalesce("rest", F.array().cast("array<struct<chunk:bigint,pos:int,line:string>>")),
+            lambda r: r["chunk"] > F.col("head.chunk"),
+        ),
+        lambda r: r["line"],
+    )
+    joined = F.array_join(F.concat(F.array("head.content"), later_lines), "\n")
+    return found.join(added, [key, "section"], "left").select(
+        k, "section", F.when(appended, F.col("chain")).when(by_line, joined).otherwise(F.col("head.content")).alias("content")
     )
-    return first.unionByName(chained).unionByName(merged)
 
 
 def report_header(title: Column, at: Column) -> Column:
@@ -107,13 +99,14 @@ def assemble(merged: DataFrame, title: str, at: Column, key: str = "doc_id") ->
     place = F.create_map(*[F.lit(x) for i, (s, _) in enumerate(SECTION_ORDER) for x in (s, i)])
     name = F.create_map(*[F.lit(x) for s, t in SECTION_ORDER for x in (s, t)])
     content = F.when(F.col("section") == "column_profiles", format_profiles(F.col("content"))).otherwise(F.col("content"))
-    known = merged.where(F.col("section").isin([s for s, _ in SECTION_ORDER])).withColumn("content", content)
-    titled = F.when(F.startswith(strip(F.col("content")), F.lit("#")), F.col("content")).otherwise(
-        F.concat(F.lit("## "), name[F.col("section")], F.lit("\n\n"), F.col("content"))
+    known = F.col("section").isin([s for s, _ in SECTION_ORDER]) & col(key).isNotNull()
+    titled = F.when(F.startswith(strip(F.col("t")), F.lit("#")), F.col("t")).otherwise(
+        F.concat(F.lit("## "), name[F.col("section")], F.lit("\n\n"), F.col("t"))
     )
     # At most one row per known section and text.
-    parts = F.array_sort(F.collect_list(F.when(strip(F.col("content")) != "", F.struct(place[F.col("section")].alias("i"), titled.alias("t")))))
-    body = merged.select(key).distinct().join(known.groupBy(col(key)).agg(parts.alias("parts")), key, "left")
+    part = F.when(strip(F.col("t")) != "", F.struct(place[F.col("section")].alias("i"), titled.alias("t")))
+    shaped = merged.select(col(key), "section", F.when(known, content).alias("t"))
+    body = shaped.groupBy(col(key)).agg(F.array_sort(F.collect_list(part)).alias("parts"))
     texts = F.coalesce(F.transform("parts", lambda p: p["t"]), F.array().cast("array<string>"))
     full = F.array_join(F.concat(F.array(report_header(F.lit(title), at)), texts), "\n\n")
     return body.select(col(key), clean_markdown(full).alias("report"))
@@ -132,7 +125,7 @@ def assemble_chunks(chunks: DataFrame, title: str, at: Column, key: str = "doc_i
     merged = merge_sections(good.select(col(key), "chunk", F.inline("sections")), key)
     raw = (
         good.where(F.size("sections") == 0)
-        .join(merged.select(key).distinct(), key, "left_anti")
+        .join(good.where(F.size("sections") > 0).select(key).distinct(), key, "left_anti")
         .groupBy(col(key))
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda c: c["text"]), "\n\n").alias("content"))
         .withColumn("section", F.lit(RAW))
