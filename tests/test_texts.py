@@ -229,6 +229,11 @@ def test_reports_of_one_row_group_are_dealt_to_tasks(spark, tmp_path, monkeypatc
     assert made.rdd.getNumPartitions() == 10 and made.select("doc_id").distinct().count() == 900
 
 
+def test_claims_are_found_once(spark):
+    plan = V.extract_claims(spark.range(5).select(F.col("id").alias("doc_id"), F.concat(F.col("id"), F.lit(" rows")).alias("text")))
+    assert plan._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1 and plan.count() == 5
+
+
 @pytest.mark.parametrize("few", [0, 200])
 def test_names_sent_or_looked_up_give_the_same_columns(spark, monkeypatch, few):
     monkeypatch.setattr(V, "FEW_COLUMNS", few)
