@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions.coerce import DATE_START, to_datetime
 from plumbline.operators import columns as C
 from plumbline.operators import correlation
 from plumbline.operators import frequency
@@ -13,7 +14,7 @@ from plumbline.operators import selection as S
 from plumbline.operators.correlation import correlations
 from plumbline.operators.distribution import missing_raster
 from plumbline.operators.frequency import frequencies
-from plumbline.operators.quantiles import select_quantiles
+from plumbline.operators.quantiles import counted_quantiles, select_quantiles
 from plumbline.operators.ranking import global_rank
 from plumbline.operators.types import look
 from plumbline.plans.report import exploration_digest
@@ -253,3 +254,72 @@ def test_raster_of_few_rows(spark):
     assert sorted((r.band, r.name, r.null_rate) for r in missing_raster(df, "id", 100).collect()) == [
         (0, "id", 0.0), (0, "x", 1.0), (33, "id", 0.0), (33, "x", 0.0), (66, "id", 0.0), (66, "x", 0.0),
     ]
+
+
+def test_profile_selects_quartiles_from_counts(spark, monkeypatch):
+    """No scan of the table besides the counts: text is parsed once a value, whatever the ranks need."""
+    monkeypatch.setattr(C, "select_quantiles", lambda *a: pytest.fail("the table is scanned for quartiles"))
+    rng = np.random.default_rng(4)
+    v = np.round(rng.normal(50, 20, 900), 1)
+    df = spark.createDataFrame([("ab"[i % 2], str(x), float(x)) for i, x in enumerate(v)], "s string, t string, x double")
+    for r in C.profile_by(df, ["s"], total=True).collect():
+        want = np.quantile(v if r.is_total else v["ab".index(r.s) :: 2], (0.25, 0.5, 0.75)) if r.name != "s" else None
+        assert want is None or np.allclose([r.q1, r.median, r.q3], want)
+
+
+def test_long_numbers_keep_their_quartiles(spark):
+    """Of texts of more than 64 characters the counts know a digest only."""
+    df = spark.createDataFrame([("0" * 70 + str(k),) for k in range(9)] + [(None,)], "t string")
+    r = C.profile_columns(df).first()
+    assert (r.inferred_type, r.q1, r.median, r.q3) == ("numeric", 2.0, 4.0, 6.0)
+
+
+@pytest.mark.parametrize("limit", [0, 7, 100_000])
+@pytest.mark.filterwarnings("ignore:invalid value")
+def test_counted_quantiles(spark, limit):
+    """Outliers, magnitudes, infinities and skewed counts, told apart by buckets, by sorting or both; segments may be null."""
+    rng = np.random.default_rng(5)
+    big = 1.7976931348623157e308
+    groups = {
+        "a": rng.normal(size=200), None: np.exp(rng.normal(0, 100, 200)), "b": np.array([1.0] * 50 + [1e300, -1e300]), "c": np.array([7.0]),
+        "d": np.array([5e-324, 0.0, 1e-323, -5e-324]), "e": np.r_[rng.integers(0, 5, 60), 1e308, -1e308, big, -big].astype(float), "f": np.array([1.0, 2.0]),
+        "g": np.array([-np.inf, -1.0, 0.5, 2.0, np.inf]),
+    }
+    ps, rows, want = (0.5, 0.1, 0.9), [], {}
+    for s, x in groups.items():
+        n = rng.choice([1, 1, 2, 90], len(x))
+        rows += [(s, 0, float(v), int(k)) for v, k in zip(x, n)] + [(s, 1, float(x[0]), 3), (s, 2, None, 3)]
+        all_ = np.sort(np.repeat(x, n))
+        at = [p * (len(all_) - 1) for p in ps]
+        want[s, 0] = [all_[int(a)] + (all_[int(np.ceil(a))] - all_[int(a)]) * (a % 1) for a in at]
+        want[s, 1] = [x[0] + (x[0] - x[0])] * 3
+    df = spark.createDataFrame(rows, "s string, ordinal int, v double, cnt long")
+    got = {(r.s, r.ordinal): r.quartiles for r in counted_quantiles(df, ["s"], ps, limit).collect()}
+    assert got.keys() == want.keys()
+    for k, q in want.items():
+        assert np.allclose(got[k], q, rtol=1e-12, atol=0, equal_nan=True), k
+
+
+def test_samples_are_looked_for_among_small_digests(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id", "id % 2 AS few", "concat('t', id) AS t")
+    sizes = []
+    ranked = frequency.ranked
+    monkeypatch.setattr(frequency, "ranked", lambda freq, *a: sizes.append(freq.count()) or ranked(freq, *a))
+    want = [sorted(map(str, v), key=lambda x: hashlib.md5(x.encode()).hexdigest())[:3] for v in (range(3000), range(2), [f"t{k}" for k in range(3000)])]
+    take = lambda: [r.sample_values for r in C.profile_columns(df).orderBy("ordinal").collect()]
+    assert take() == want and len(sizes) == 1 and sizes[0] < 400
+    # Too few below the bound: all are sorted.
+    monkeypatch.setattr(frequency, "SAMPLED", 1e-9)
+    assert take() == want and len(sizes) == 3
+
+
+def test_dates_are_tried_where_they_may_be(spark):
+    """Days and years of the range keep their layouts; keys of eight digits are tried for none."""
+    dates = ["19990131", "2000", "1678", "2261", "Mar 3, 2001", "3 Mar 2001", "1/2/2003", "2003/01/02", "2003-01", "2003-01-02T03:04:05Z", "2003-01-02 03:04"]
+    others = ["19991331", "19990132", "19990100", "12345678", "1234567", "12.5", " 2000", "x", "123-"]
+    df = spark.createDataFrame([(v,) for v in dates + others], "v string")
+    for r in df.select("v", F.col("v").rlike(DATE_START).alias("tried"), to_datetime(F.col("v")).alias("ts")).collect():
+        assert (r.ts is not None) == (r.v in dates) and (r.tried or r.v in others), r
+        assert not r.tried or r.v in dates or r.v == "123-", r
+    for v in dates + others:
+        assert bool(look(spark.createDataFrame([(v,)], "v string"))[0].formats) == (v in dates), v
