@@ -24,7 +24,10 @@ CROWD = 4096
 BUCKETS = 1 << 20
 #: Each later round looks this many times as far inside a group.
 STRIDE = 16
-COUNTS = 64
+#: Fewest cells of a sketch.
+CELLS = 256
+#: Bytes of sketches that are compared at a time.
+COMPARED = 1 << 23
 #: Largest set that bands are laid out for.
 MOST = 1 << 40
 
@@ -92,6 +95,63 @@ def signatures(h: np.ndarray, bands: tuple[np.ndarray, np.ndarray], seed: int) -
     return np.concatenate(out) if out else np.empty(0, U)
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """A bit per cell of hashes, whether their number is odd, with half as many cells as hashes or more.
+
+    The bits of two sets differ in no more places than the sets have differing elements. Half of the cells, laid over the other, are the sketch in half
+    as many cells.
+    """
+    cells = CELLS
+    while 2 * cells < len(h):
+        cells *= 2
+    odd = np.bincount((h & U(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Sketches:
+    """Sketches of rows, in their own number of cells and in half of it: sets of like size have one of the two in common."""
+
+    def __init__(self, values: list[bytes]):
+        self.width = np.fromiter(map(len, values), np.int64, len(values))
+        self.bits, self.place = {}, {}
+        for w in np.unique(self.width):
+            rows = np.flatnonzero(self.width == w)
+            own = np.frombuffer(b"".join(values[r] for r in rows), U).reshape(len(rows), -1)
+            self._put(int(w), rows, own)
+            if w > CELLS // 8:
+                half = own.shape[1] // 2
+                self._put(int(w) // 2, rows, own[:, :half] ^ own[:, half:])
+
+    def _put(self, w: int, rows: np.ndarray, bits: np.ndarray) -> None:
+        if w not in self.bits:
+            self.bits[w], self.place[w] = bits[:0], np.full(len(self.width), -1)
+        self.place[w][rows] = len(self.bits[w]) + np.arange(len(rows))
+        self.bits[w] = np.concatenate([self.bits[w], bits])
+
+    def within(self, i: np.ndarray, j: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Whether rows i and j, of sizes that percent allows, differ in ``limit`` bits or fewer."""
+        width = np.minimum(self.width[i], self.width[j])
+        out = np.zeros(len(i), bool)
+        for w in np.unique(width):
+            bits, place = self.bits[int(w)], self.place[int(w)]
+            of = np.flatnonzero(width == w)
+            step = max(1, COMPARED // int(w))
+            for at in range(0, len(of), step):
+                k = of[at : at + step]
+                apart = np.bitwise_count(bits[place[i[k]]] ^ bits[place[j[k]]]).sum(axis=1, dtype=np.int64)
+                out[k] = apart <= limit[k]
+        return out
+
+
+def near_sizes(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+
+
+def most_apart(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Elements by which similar sets of these sizes may differ."""
+    return (n + m) * (100 - percent) // (100 + percent)
+
+
 def set_ids(h: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for a set."""
     x = xxhash.xxh3_128_intdigest(h.tobytes())
@@ -99,13 +159,13 @@ def set_ids(h: np.ndarray) -> tuple[int, int]:
 
 
 def signer(n: int, percent: int):
-    """key, text hash, text -> key, text hash, size, set id, counts, signatures (once per set and task)."""
+    """key, text hash, text -> key, text hash, size, set id, sketch, signatures (once per set and task)."""
     bands = size_bands(percent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            size, d1, d2, counts, sigs, ends = [], [], [], [], [], [0]
+            size, d1, d2, sketches, sigs, ends = [], [], [], [], [], [0]
             for text in batch.column(2):
                 h = shingle_set(text.as_py(), n)
                 a, b = set_ids(h)
@@ -117,18 +177,17 @@ def signer(n: int, percent: int):
                 if new:
                     seen.add((a, b))
                     sigs.append(signatures(h, bands, 0).view(np.int64))
-                    per_cell = np.bincount((h >> U(58)).astype(np.int64), minlength=COUNTS)
-                    counts.append(np.minimum(per_cell, 65535).astype("<u2").tobytes())
+                    sketches.append(sketch(h))
                 else:
-                    counts.append(None)
+                    sketches.append(None)
                 ends.append(ends[-1] + (len(sigs[-1]) if new else 0))
             values = np.concatenate(sigs) if sigs else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-                    pa.array(counts, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)),
+                    pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)),
                 ],
-                names=["key", "text_hash", "n", "d1", "d2", "counts", "sigs"],
+                names=["key", "text_hash", "n", "d1", "d2", "sketch", "sigs"],
             )
 
     return sign
@@ -172,30 +231,48 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").where(alike("left", "right")).select("u", "v")
 
 
+def possible(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that size and sketches allow."""
+
+    @F.pandas_udf("boolean")
+    def allowed(n: pd.Series, left: pd.Series, m: pd.Series, right: pd.Series) -> pd.Series:
+        n, m = n.to_numpy(), m.to_numpy()
+        out = near_sizes(n, m, percent)
+        i = np.flatnonzero(out)
+        if len(i):
+            rows = Sketches([left[k] for k in i] + [right[k] for k in i])
+            out[i] = rows.within(np.arange(len(i)), np.arange(len(i)) + len(i), most_apart(n, m, percent)[i])
+        return pd.Series(out)
+
+    left = about.select(F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("sketch").alias("left"))
+    right = about.select(F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("sketch").alias("right"))
+    return pairs.join(left, "u").join(right, "v").where(allowed("n_u", "left", "n_v", "right")).select("u", "v")
+
+
 def pair_finder(low: int, high: int, percent: int):
-    """Over rows sorted by group: pairs of members ``low`` to ``high`` - 1 places apart, of different labels, that size and counts allow.
+    """Over rows sorted by group: pairs of members ``low`` to ``high`` - 1 places apart, of different labels, that size and sketches allow.
 
-    The differences of the counts of hashes in 64 cells never exceed those of the sets. Holds back the last group of a batch until
-    it is complete.
+    Holds back the last group of a batch until it is complete. Groups that lie together have pairs in common, which are given once.
     """
 
     def found(parts):
         group, node, label, n = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        counts = np.concatenate([p[4] for p in parts])
+        sketches = Sketches([x for p in parts for x in p[4]])
+        pairs = []
         for d in range(low, min(high, len(group))):
-            i = np.flatnonzero((group[d:] == group[:-d]) & (label[d:] != label[:-d]))
-            if not len(i):
-                if not (group[d:] == group[:-d]).any():
-                    break
-                continue
-            i = i[100 * np.minimum(n[i], n[i + d]) >= percent * np.maximum(n[i], n[i + d])]
-            for at in range(0, len(i), 1 << 16):
-                j = i[at : at + (1 << 16)]
-                apart = np.abs(counts[j].astype(np.int32) - counts[j + d]).sum(axis=1)
-                j = j[apart <= (n[j] + n[j + d]) * (100 - percent) // (100 + percent)]
-                if len(j):
-                    a, b = node[j], node[j + d]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
+            same = group[d:] == group[:-d]
+            if not same.any():
+                break
+            i = np.flatnonzero(same & (label[d:] != label[:-d]))
+            i = i[near_sizes(n[i], n[i + d], percent)]
+            i = i[sketches.within(i, i + d, most_apart(n[i], n[i + d], percent))]
+            if len(i):
+                pairs.append(np.sort(np.stack([node[i], node[i + d]], axis=1), axis=1))
+        if pairs:
+            pairs = np.unique(np.concatenate(pairs), axis=0)
+            for at in range(0, len(pairs), 1 << 16):
+                some = pairs[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(some[:, 0].copy()), pa.array(some[:, 1].copy())], names=["u", "v"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -203,8 +280,7 @@ def pair_finder(low: int, high: int, percent: int):
             if not batch.num_rows:
                 continue
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            counts = np.stack([np.frombuffer(x.as_py(), "<u2") for x in batch.column(4)])
-            cols.append(counts)
+            cols.append(batch.column(4).to_pylist())
             group = cols[0]
             last = int(np.flatnonzero(group != group[-1])[-1] + 1) if group[0] != group[-1] else 0
             if held and (last or held[-1][0][-1] != group[0]):
@@ -220,11 +296,11 @@ def pair_finder(low: int, high: int, percent: int):
 
 
 def still_open(members: DataFrame) -> DataFrame:
-    """(g, node, n, counts, label, members) of the groups whose members are not yet all of one component."""
+    """(g, node, n, sketch, label, members) of the groups whose members are not yet all of one component."""
     group = Window.partitionBy("g")
     apart = members.withColumn("lo", F.min("label").over(group)).withColumn("hi", F.max("label").over(group))
     apart = apart.withColumn("members", F.count(F.lit(1)).over(group)).where("lo != hi")
-    return settle(apart.select("g", "node", "n", "counts", "label", "members"))
+    return settle(apart.select("g", "node", "n", "sketch", "label", "members"))
 
 
 def relabelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -232,7 +308,7 @@ def relabelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.drop("label", "members").join(known, "node", "left").withColumn("label", F.coalesce("l_", "node")).drop("l_")
 
 
-def divided(members: DataFrame, sets: DataFrame, crowd: int, percent: int) -> DataFrame:
+def divided(members: DataFrame, sets_of, crowd: int, percent: int) -> DataFrame:
     """Members of crowded groups meet only where a signature of a second, independent kind is equal too; similar sets share one."""
     crowded = members.where(F.col("members") > crowd)
     if crowded.isEmpty():
@@ -243,7 +319,7 @@ def divided(members: DataFrame, sets: DataFrame, crowd: int, percent: int) -> Da
     def second(values: pd.Series) -> pd.Series:
         return pd.Series([signatures(np.frombuffer(v, U), bands, 1).view(np.int64) for v in values])
 
-    of = crowded.select("node").distinct().join(sets, "node").select("node", second("set").alias("sigs"))
+    of = sets_of(crowded.select("node").distinct()).select("node", second("set").alias("sigs"))
     parted = crowded.join(of, "node").withColumn("s", F.explode("sigs")).withColumn("g", F.xxhash64("g", "s")).drop("s", "sigs", "members")
     rest = members.where(F.col("members") <= crowd)
     return still_open(rest.drop("members").unionByName(parted))
@@ -254,7 +330,7 @@ def similar_sets(df: DataFrame, key: str, text: str, shingle_words: int, percent
     body = F.coalesce(col(text), F.lit(""))
     kind = df.select(col(key).alias("key")).schema[0].dataType.simpleString()
     signed = df.select(col(key).alias("key"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("text")).mapInArrow(
-        signer(shingle_words, percent), f"key {kind}, text_hash long, n long, d1 long, d2 long, counts binary, sigs array<long>"
+        signer(shingle_words, percent), f"key {kind}, text_hash long, n long, d1 long, d2 long, sketch binary, sigs array<long>"
     )
     # Numbers of rows are frozen by the checkpoint.
     signed = settle(signed.withColumn("id", F.monotonically_increasing_id()))
@@ -275,36 +351,51 @@ def similar_sets(df: DataFrame, key: str, text: str, shingle_words: int, percent
     node_of = numbered.select("id", "node")
     first_of = numbered.select(F.col("id").alias("first"), F.col("node").alias("u"))
     star = shared.select("first", "id").where("first != id").distinct().join(first_of, "first").join(node_of, "id")
-    tried = settle(star.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).where("u != v").distinct())
+    star = star.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).where("u != v").distinct()
+    # The first row of a set has its sketch.
+    whole = numbered.where("id = node")
+    about = settle(whole.select("node", "n").join(signed.select(F.col("id").alias("node"), "sketch"), "node"))
+    tried = settle(possible(star, about, percent))
 
-    # Sets of all members: their texts are read again, chosen by hash, so that other texts are not moved.
-    wanted = tried.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(numbered.where("id = node"), "node")
-    wanted = settle(wanted.select("node", "text_hash", "d1", "d2"))
     bucket = lambda c: F.pmod(c, F.lit(BUCKETS)).cast("int")
-    chosen = wanted.select(bucket(F.col("text_hash")).alias("b")).distinct()
-    texts = df.select(body.cast("binary").alias("text"), bucket(F.xxhash64(body)).alias("b")).join(F.broadcast(chosen), "b", "left_semi")
-    read = texts.select("text").mapInArrow(set_reader(shingle_words), "d1 long, d2 long, set binary")
-    sets = settle(read.join(wanted.select("node", "d1", "d2"), ["d1", "d2"]).select("node", "set").dropDuplicates(["node"]))
-    links = settle(similar(tried, sets, percent))
 
-    # Groups that are of one component now are done; only the others need sizes and counts.
+    def sets_of(chosen: DataFrame) -> DataFrame:
+        """(node, set): their texts are read again, chosen by hash, so that other texts are not moved."""
+        wanted = settle(chosen.join(whole, "node").select("node", "text_hash", "d1", "d2"))
+        buckets = wanted.select(bucket(F.col("text_hash")).alias("b")).distinct()
+        texts = df.select(body.cast("binary").alias("text"), bucket(F.xxhash64(body)).alias("b")).join(F.broadcast(buckets), "b", "left_semi")
+        read = texts.select("text").mapInArrow(set_reader(shingle_words), "d1 long, d2 long, set binary")
+        # Rows of one set are dealt alike for both steps.
+        return settle(read.dropDuplicates(["d1", "d2"]).join(wanted.select("node", "d1", "d2"), ["d1", "d2"]).select("node", "set"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return settle(similar(pairs, sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()), percent))
+
+    links = linked(tried)
+
+    # Groups that are of one component now are done; only the others need sizes and sketches, those of the same members once.
     labels = components(links)
-    label_of = node_of.join(labels, "node", "left").select("id", F.coalesce("label", "node").alias("label"))
+    label_of = node_of.join(labels, "node", "left").select("id", "node", F.coalesce("label", "node").alias("label"))
     group = Window.partitionBy("g")
     apart = shared.select("g", "id").join(label_of, "id")
     apart = apart.withColumn("lo", F.min("label").over(group)).withColumn("hi", F.max("label").over(group))
-    apart = settle(apart.where("lo != hi").select("g", "id", "label"))
-    about = numbered.select("id", "node", "n").join(signed.where("counts IS NOT NULL").select("id", "counts"), "id")
-    members = still_open(apart.join(about, "id").dropDuplicates(["g", "node"]))
-    members = divided(members, sets, crowd, percent)
+    apart = settle(apart.where("lo != hi").dropDuplicates(["g", "node"]).select("g", "node", "label"))
+    made_of = apart.groupBy("g").agg(
+        F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x2"), F.count(F.lit(1)).alias("size")
+    )
+    kept = made_of.groupBy("x1", "x2", "size").agg(F.min("g").alias("g")).select("g")
+    members = still_open(apart.join(kept, "g", "left_semi").join(about, "node"))
+    members = divided(members, sets_of, crowd, percent)
     low, most = 1, members.agg(F.max("members")).first()[0] or 0
     while low < most:
-        sorted_ = members.select("g", "node", "label", "n", "counts").repartition("g").sortWithinPartitions("g", "node")
+        sorted_ = members.select("g", "node", "label", "n", "sketch").repartition("g").sortWithinPartitions("g", "node")
         near = sorted_.mapInArrow(pair_finder(low, low * STRIDE, percent), "u long, v long").distinct()
         near = settle(near.join(tried, ["u", "v"], "left_anti"))
-        tried = tried.union(near)
-        found = settle(similar(near, sets, percent))
         low *= STRIDE
+        if near.isEmpty():
+            continue
+        tried = tried.union(near)
+        found = linked(near)
         # Without new links all groups stay as they are.
         if not found.isEmpty():
             links = links.union(found)
@@ -328,7 +419,7 @@ def jaccard_groups(
     Shingles are known by 64 bits, sets by 128. Rows with the same set are one node. Nodes that share a PartEnum signature
     are first compared with the first node of the signature; where a group is not of one component then,
     its other pairs follow, nearest places first, until no two members of different components are left uncompared. Pairs that size or
-    counts of hashes rule out are not compared, all others are, element by element.
+    sketches rule out are not compared, all others are, element by element.
 
     A set has about a third as many signatures as shingles, so a text costs what its length says, however long
     it is. Groups of one signature with more than ``crowd`` members are divided by second signatures. Null and wordless texts have an empty set

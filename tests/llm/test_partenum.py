@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import partenum
@@ -104,3 +105,39 @@ def test_similar_sets_share_a_signature():
                 continue
             for seed in (0, 1):
                 assert np.intersect1d(partenum.signatures(a, bands, seed), partenum.signatures(b, bands, seed)).size
+
+
+def test_sketches_never_rule_out_similar_sets():
+    rng = np.random.default_rng(3)
+    draw = lambda k: rng.integers(0, 1 << 63, k).astype(np.uint64)
+    for percent in (50, 75, 90):
+        left, right = [], []
+        for n in (1, 3, 40, 250, 500, 520, 700, 1030, 2100, 9000):
+            for _ in range(20):
+                a = np.unique(draw(n))
+                drop = int(rng.integers(0, n * (100 - percent) // 100 + 1))
+                left.append(a)
+                right.append(np.unique(np.r_[rng.permutation(a)[drop:], draw(int(rng.integers(0, n // 10 + 1)))]))
+        n, m = (np.array([len(x) for x in side]) for side in (left, right))
+        both = np.array([len(np.intersect1d(a, b)) for a, b in zip(left, right)])
+        alike = (100 * both >= percent * (n + m - both)) & (m > 0)
+        i = np.flatnonzero(alike)
+        assert len(i) > 50 and partenum.near_sizes(n, m, percent)[i].all()
+        s = partenum.Sketches([partenum.sketch(left[k]) for k in i] + [partenum.sketch(right[k]) for k in i])
+        assert s.within(np.arange(len(i)), np.arange(len(i)) + len(i), partenum.most_apart(n, m, percent)[i]).all()
+
+
+def test_members_of_a_group_that_differ_make_no_pairs():
+    """Long texts that share most, not enough: pairs that are alike are given once a batch, others not at all, however large their groups."""
+    rng = np.random.default_rng(8)
+    shared = rng.integers(0, 1 << 63, 1700).astype(np.uint64)
+    sets = [np.unique(np.r_[shared, rng.integers(0, 1 << 63, 400).astype(np.uint64)]) for _ in range(40)]
+    sets.append(np.unique(np.r_[sets[0][5:], rng.integers(0, 1 << 63, 5).astype(np.uint64)]))
+    rows = [(g, k, k, len(x), partenum.sketch(x)) for g in (1, 2, 3) for k, x in enumerate(sets)]
+    columns = list(zip(*rows, strict=True))
+    batch = pa.RecordBatch.from_arrays(
+        [*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], names=["g", "node", "label", "n", "sketch"]
+    )
+    for batches in ([batch], [batch.slice(0, 50), batch.slice(50)]):
+        got = [tuple(r.values()) for b in partenum.pair_finder(1, 64, 90)(iter(batches)) for r in b.to_pylist()]
+        assert set(got) == {(0, 40)} and len(got) <= len(batches) + 1
