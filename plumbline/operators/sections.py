@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.markdown import clean_markdown, format_profiles, ranked_blocks, sections
 from ..functions.values import col, lines, strip
-from ..session import settle
-from .textquality import is_low
+from . import plaintext
 
 # Section keys and titles in report order.
 SECTION_ORDER = (
@@ -112,25 +115,165 @@ def assemble(merged: DataFrame, title: str, at: Column, key: str = "doc_id") ->
     return body.select(col(key), clean_markdown(full).alias("report"))
 
 
-def assemble_chunks(chunks: DataFrame, title: str, at: Column, key: str = "doc_id") -> DataFrame:
-    """(key, report) from (key, chunk, text): low-quality chunks dropped, the rest cleaned, cut, merged and ordered.
+def _texts(column: pa.Array) -> list[str | None]:
+    return [None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
+
+
+def _usable_of_batch(texts: pa.Array) -> pa.Array:
+    return pa.array([None if plaintext.is_low(t) else plaintext.clean_markdown(t) for t in _texts(texts)], pa.string())
+
 
-    A text without any section goes in whole as the analysis section. The good
-    chunks are checkpointed once, in ``spark.checkpoint.dir``.
+def usable_text(text: Column) -> Column:
+    """The text cleaned, or NULL if it is of low quality."""
+    return F.arrow_udf(_usable_of_batch, "string")(text)
+
+
+class _Merged:
+    """What the usable texts of one key come to; they are added chunk by chunk, in order.
+
+    The rules are those of ``merge_sections`` and ``assemble``. Only what may stand in the report is held.
     """
-    cleaned = chunks.where(~is_low(F.col("text"))).select(col(key), "chunk", clean_markdown(F.col("text")).alias("text"))
-    filled = F.filter(sections(F.col("text")), lambda p: strip(p["content"]) != "")
-    # The merge reads its input several times; filtering and cutting the texts is the costly part.
-    good = settle(cleaned.withColumn("sections", filled))
-    merged = merge_sections(good.select(col(key), "chunk", F.inline("sections")), key)
-    raw = (
-        good.where(F.size("sections") == 0)
-        .join(good.where(F.size("sections") > 0).select(key).distinct(), key, "left_anti")
-        .groupBy(col(key))
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda c: c["text"]), "\n\n").alias("content"))
-        .withColumn("section", F.lit(RAW))
-    )
-    return assemble(merged.unionByName(raw), title, at, key)
+
+    def __init__(self) -> None:
+        self.usable = self.cut = False
+        self.raw: list[str] = []
+        self.kept: dict[str, list[str]] = {}
+        self.seen: dict[str, set[str]] = {}
+
+    def add(self, chunk: object, texts: list[str]) -> None:
+        """All texts of one chunk: one, unless chunks are repeated."""
+        found: dict[str, list[str]] = {}
+        for text in sorted(texts):
+            self.usable = True
+            sections = plaintext.filled_sections(text)
+            if sections and not self.cut:
+                self.cut, self.raw = True, []
+            if not self.cut:
+                self.raw.append(text)
+            for section in sections.keys() & _KNOWN:
+                found.setdefault(section, []).append(sections[section])
+        for section, contents in found.items():
+            contents.sort()
+            if section in APPENDED:
+                self.kept.setdefault(section, []).extend(contents)
+            elif chunk is None:
+                continue
+            elif section not in self.kept:
+                self.kept[section] = contents[:1]
+                if section in MERGED_BY_LINE:
+                    self.seen[section] = {line for c in contents for line in c.split("\n")}
+            elif section in MERGED_BY_LINE:
+                seen = self.seen[section]
+                new = sorted((i, line) for c in contents for i, line in enumerate(c.split("\n")) if line not in seen and line.strip())
+                self.kept[section] += [line for _, line in new]
+                seen.update(line for _, line in new)
+
+    def report(self, header: str) -> str | None:
+        if not self.usable:
+            return None
+        parts = [header]
+        kept = self.kept if self.cut else {RAW: self.raw}
+        for section, title in SECTION_ORDER:
+            text = ("\n" if section in MERGED_BY_LINE else "\n\n").join(kept.get(section, ()))
+            if section == "column_profiles":
+                text = plaintext.format_profiles(text)
+            if start := text.strip():
+                parts.append(text if start.startswith("#") else f"## {title}\n\n{text}")
+        return plaintext.clean_markdown("\n\n".join(parts))
+
+
+_KNOWN = {section for section, _ in SECTION_ORDER}
+# A batch of reports ends at so many rows, or after the one that makes it so large.
+BATCH_ROWS, BATCH_BYTES = 10_000, 32 << 20
+
+
+def _comparable(column: pa.Array) -> list:
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        column = column.cast(pa.binary())
+    return ["nan" if x != x else x for x in column.to_pylist()]
+
+
+def _reports_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by key, each key's chunks in order before its other reports, to (key, report, other).
+
+    A key gives a row for each of its other reports, one at least, and a NULL key a single one without reports.
+    """
+    keys: list[pa.Array] = []
+    rows: list[tuple[bytes | None, bytes | None]] = []
+    size = 0
+
+    def put(key: pa.Array, report: bytes | None, other: bytes | None) -> Iterator[pa.RecordBatch]:
+        nonlocal size
+        keys.append(key)
+        rows.append((report, other))
+        size += len(report or b"") + len(other or b"")
+        if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+            yield full()
+
+    def full() -> pa.RecordBatch:
+        nonlocal size
+        texts = (pa.array(c, pa.binary()).view(pa.string()) for c in zip(*rows))
+        out = pa.RecordBatch.from_arrays([pa.concat_arrays(keys), *texts], ["_k", "_made", "_other"])
+        keys.clear()
+        rows.clear()
+        size = 0
+        return out
+
+    def made() -> bytes | None:
+        """The report of the key at hand, once all of its chunks are added."""
+        nonlocal merged
+        if isinstance(merged, _Merged):
+            if texts:
+                merged.add(chunk, texts)
+            report = merged.report(header)
+            merged = None if report is None else report.encode()
+        return merged
+
+    at, header, merged, chunk, texts, key, alone = None, "", None, None, [], None, False
+    for batch in batches:
+        column = dict(zip(batch.schema.names, batch.columns))
+        header = column["_head"][0].as_py() if batch.num_rows else header
+        others = column["_text"].cast(pa.binary()).to_pylist()
+        for i, (k, kind, c) in enumerate(zip(_comparable(column["_k"]), column["_kind"].to_pylist(), _comparable(column["_chunk"]))):
+            if at is None or k != key:
+                if alone:
+                    yield from put(at, None if key is None else made(), None)
+                at, key, merged, chunk, texts, alone = column["_k"].slice(i, 1), k, _Merged(), c, [], True
+            if kind:
+                if key is not None:
+                    yield from put(at, made(), others[i])
+                    alone = False
+            elif key is not None and others[i] is not None:
+                if c != chunk and texts:
+                    merged.add(chunk, texts)
+                    texts = []
+                chunk = c
+                texts.append(others[i].decode())
+    if alone:
+        yield from put(at, None if key is None else made(), None)
+    if rows:
+        yield full()
+
+
+def assemble_chunks(chunks: DataFrame, title: str, at: Column, key: str = "doc_id", others: DataFrame | None = None) -> DataFrame:
+    """(key, report, other) from (key, chunk, text): low-quality chunks dropped, the rest cleaned, cut, merged and ordered.
+
+    A text without any section goes in whole as the analysis section. A key without
+    usable chunks has no report, and ``other`` is its report in ``others`` (key, report).
+    Every key of either side has a row, two only if ``others`` has; the NULL key has one, without reports.
+
+    Each text is worked through once, where it lies, before any row moves; then a key's chunks pass
+    by in order and only what may stand in its report is held, so neither many chunks nor a common key has to fit in memory.
+    """
+    parts = chunks.select(col(key).alias("_k"), F.lit(0).alias("_kind"), F.col("chunk").alias("_chunk"), usable_text(F.col("text")).alias("_text"))
+    if others is not None:
+        kind = parts.schema["_chunk"].dataType
+        parts = parts.union(others.select(col(key), F.lit(1), F.lit(None).cast(kind), F.col("report").cast("string")))
+    dealt = parts.repartition("_k").sortWithinPartitions("_k", "_kind", "_chunk")
+    dealt = dealt.withColumn("_head", report_header(F.lit(title), at))
+    out = StructType([StructField("_k", parts.schema["_k"].dataType), StructField("_made", StringType()), StructField("_other", StringType())])
+    made = dealt.mapInArrow(_reports_of_batches, out)
+    return made.select(F.col("_k").alias(key), F.col("_made").alias("report"), F.col("_other").alias("other"))
 
 
 def choose_report(chunks: DataFrame, statistical: DataFrame, title: str, at: Column, key: str = "doc_id") -> DataFrame:
@@ -138,10 +281,6 @@ def choose_report(chunks: DataFrame, statistical: DataFrame, title: str, at: Col
 
     Every key of either side has a row: one with neither gets a report that says so.
     """
-    made = assemble_chunks(chunks, title, at, key)
-    every = chunks.select(col(key)).union(statistical.select(col(key))).distinct()
+    made = assemble_chunks(chunks, title, at, key, statistical)
     nothing = F.concat(report_header(F.lit(title), at), F.lit(NO_REPORT))
-    found = every.join(made, key, "left").join(statistical.select(col(key), F.col("report").alias("_s")), key, "left")
-    return found.select(
-        col(key), F.coalesce("report", "_s", nothing).alias("report"), F.col("report").isNotNull().alias("generated")
-    )
+    return made.select(col(key), F.coalesce("report", "other", nothing).alias("report"), F.col("report").isNotNull().alias("generated"))

@@ -107,13 +107,3 @@ def low_quality(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     for n in flags:
         any_of = any_of | F.col(n)
     return out.withColumn("is_low", any_of)
-
-
-def is_low(text: Column) -> Column:
-    """Any reason at all; the repetition test is costly and comes last, for texts that pass the others."""
-    flags = low_quality_flags(text)
-    costly = flags.pop("repetitive")
-    any_of = F.lit(False)
-    for c in flags.values():
-        any_of = any_of | c
-    return any_of | costly

@@ -4,14 +4,17 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from plumbline.functions.markdown import clean_markdown, collapse_lines, format_profiles
+from plumbline.functions.markdown import clean_markdown, collapse_lines, format_profiles, sections
 from plumbline.functions.values import strip, words
 from plumbline.operators import claims as V
+from plumbline.operators import plaintext
 from plumbline.operators import sections as X
-from plumbline.operators.textquality import low_quality, repetitive
+from plumbline.operators.textquality import low_quality, low_quality_flags, repetitive
 from plumbline.plans.checked import checked_reports, contexts
 
 
@@ -277,3 +280,111 @@ def test_columns_are_found_among_ten_thousand(spark):
         if hit:
             want[d, c] = hit[0]
     assert got == want
+
+
+def test_plain_rules_equal_column_rules(spark):
+    rng = random.Random(11)
+    bits = ["# ", "## ", "#", " #", "a b ", "a b c d ", "it. ", "one two three four. ", "End", ".", "\n", "\n\n", "\n \n\n", "\x1c", "\u3000", "\t", "é ", "İ", "Missing ", "rare",
+            "\n# A b\n", "\n# a B\n", "\n###  \n", "Analysis FAILED"]
+    made = ["".join(rng.choice(bits[: rng.randint(8, 24)]) for _ in range(rng.randint(0, 80))) for _ in range(600)]
+    words_ = ["w%d" % k for k in range(400)]
+    made += [". ".join(" ".join(rng.choice(words_[:k]) for _ in range(6)) for _ in range(12)) for k in (4, 6, 8, 12, 20, 400) for _ in range(15)]
+    made += ["x" * 120, "the cat sat on. a the cat sat once, bathe cat sat on" + " pad. more of. the rest" * 2 + "x" * 40]
+    low = F.lit(False)
+    for flag in low_quality_flags(F.col("text")).values():
+        low = low | flag
+    got = texts(spark, made).select(
+        "doc_id", low.alias("low"), repetitive(F.col("text")).alias("repeats"), clean_markdown(F.col("text")).alias("clean"),
+        sections(F.col("text")).alias("cut"), format_profiles(F.col("text")).alias("blocks"),
+    ).collect()
+    for r in got:
+        t = made[r.doc_id]
+        assert (plaintext.is_low(t), plaintext.repetitive(t), plaintext.clean_markdown(t)) == (r.low, r.repeats, r.clean), repr(t)
+        assert plaintext.filled_sections(t) == {p.section: p.content for p in r.cut if p.content}, repr(t)
+        assert plaintext.format_profiles(t) == r.blocks, repr(t)
+    assert plaintext.is_low(None) and {r.low for r in got} == {r.repeats for r in got} == {True, False}
+
+
+def chosen_as_tables(chunks, plain, title, at):
+    """The same by the operators that merge tables of sections."""
+    low = F.lit(False)
+    for flag in low_quality_flags(F.col("text")).values():
+        low = low | flag
+    good = chunks.where(~low).select("doc_id", "chunk", clean_markdown(F.col("text")).alias("text"))
+    good = good.withColumn("s", F.filter(sections(F.col("text")), lambda p: strip(p["content"]) != ""))
+    merged = X.merge_sections(good.select("doc_id", "chunk", F.inline("s")))
+    cut = good.where(F.size("s") > 0).select("doc_id").distinct()
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda c: c["text"]), "\n\n")
+    raw = good.join(cut, "doc_id", "left_anti").groupBy("doc_id").agg(whole.alias("content")).withColumn("section", F.lit(X.RAW))
+    made = X.assemble(merged.unionByName(raw), title, at)
+    every = chunks.select("doc_id").union(plain.select("doc_id")).distinct()
+    found = every.join(made, "doc_id", "left").join(plain.select("doc_id", F.col("report").alias("_s")), "doc_id", "left")
+    nothing = F.concat(X.report_header(F.lit(title), at), F.lit(X.NO_REPORT))
+    return found.select("doc_id", F.coalesce("report", "_s", nothing).alias("report"), F.col("report").isNotNull().alias("generated"))
+
+
+@pytest.mark.parametrize("batch", [10_000, 3])
+def test_chunks_that_pass_by_equal_merged_tables(spark, batch):
+    """Repeated and missing chunks, keys on one side only, repeated and missing keys, batches that end within a key."""
+    rng = random.Random(13)
+    heads = ["# Dataset Overview", "## Key Findings", "# Data Quality Summary", "# Data quality assessment", "## Column Profiles", "# Other things", "# AI Analysis", "#", "# Recommendations"]
+    lines_ = ["", " ", "- a line", "- b line", "c line", "## not a known one", "### n_chars", "skewed outlier. x", "fine"]
+    sure = lambda: ". ".join(f"Point{rng.random()} speaks of item{rng.random()} here" for _ in range(5)) + "."
+
+    def text():
+        if rng.random() < 0.2:
+            return rng.choice([None, "short", "cannot process " + sure()])
+        if rng.random() < 0.3:
+            return sure()
+        return "\n".join([sure(), *(x for _ in range(rng.randint(1, 5)) for x in (rng.choice(heads), *(rng.choice(lines_) for _ in range(rng.randint(0, 4)))))])
+
+    rows = [(k, c, text()) for k in [None, *range(60)] for c in rng.sample([None, 0, 1, 2, 3, 10], rng.randint(1, 6))]
+    rows += rng.sample(rows, 40)
+    rng.shuffle(rows)
+    chunks = spark.createDataFrame(rows, "doc_id int, chunk bigint, text string").repartition(5)
+    plain = spark.createDataFrame([(k, f"s{k}") for k in [None, None, *range(0, 80, 2), 4, 4, 70]] + [(6, None), (8, None)], "doc_id int, report string")
+    at = F.lit("2024-01-02 03:04:00").cast("timestamp")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = X.choose_report(chunks, plain, "T", at)
+        want = chosen_as_tables(chunks, plain, "T", at)
+        assert got.schema.names == want.schema.names and got.schema["doc_id"].dataType == want.schema["doc_id"].dataType
+        order = lambda df: sorted(map(repr, df.collect()))
+        assert order(got) == order(want)
+        assert {r.generated for r in got.collect()} == {True, False}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    none = X.choose_report(chunks.where("false"), plain.where("false"), "T", at)
+    assert none.count() == 0
+
+
+def test_texts_are_judged_once_and_by_the_tasks_they_are_dealt_to(spark):
+    """A filter ahead of the dealing made each text again for every reason, in the one task that reads the table."""
+    asked = [spark.sparkContext.accumulator(0) for _ in range(6)]
+
+    @F.udf("string")
+    def told(k):
+        asked[TaskContext.get().partitionId()].add(1)
+        return f"Point{k} speaks of item{k} here. It has more to say of thing{k}. Then it ends after some{k} words that nobody counts."
+
+    keys = spark.range(0, 300, 1, 1).repartition(6)
+    chunks = keys.select((F.col("id") % 100).alias("doc_id"), F.col("id").alias("chunk"), told("id").alias("text"))
+    plain = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("none").alias("report"))
+    out = X.choose_report(chunks, plain, "T", F.lit("2024-01-02 03:04:00").cast("timestamp"))
+    assert out.where("generated").count() == 100
+    assert sum(a.value for a in asked) == 300 and all(a.value for a in asked)
+
+
+def test_reports_stream_in_batches_of_any_size(monkeypatch):
+    body = "Point speaks of item. More is said of it here. "
+    rows = [(k, 0, c, f"{body}\n# Key Findings\n{k} of {c}\n# Column Profiles\np{c}", "H") for k in "abcdefg" for c in range(3)]
+    rows = sorted(rows + [(k, 1, None, f"other {k}", "H") for k in "aagh"], key=lambda r: r[:2])
+    table = pa.Table.from_pylist([dict(zip(("_k", "_kind", "_chunk", "_text", "_head"), r)) for r in rows])
+    whole = pa.Table.from_batches(X._reports_of_batches(iter(table.to_batches()))).to_pylist()
+    assert [(r["_k"], r["_other"]) for r in whole] == [*[("a", "other a")] * 2, *[(k, None) for k in "bcdef"], ("g", "other g"), ("h", "other h")]
+    assert whole[2]["_made"] == "H\n\n## Key Findings\n\nb of 0\n\n## Column Profiles\n\np0\n\np1\n\np2" and whole[-1]["_made"] is None
+    monkeypatch.setattr(X, "BATCH_ROWS", 2)
+    out = list(X._reports_of_batches(iter(table.to_batches(max_chunksize=4))))
+    assert pa.Table.from_batches(out).to_pylist() == whole and [b.num_rows for b in out] == [2, 2, 2, 2, 1]
+    monkeypatch.setattr(X, "BATCH_BYTES", 1)
+    assert {b.num_rows for b in X._reports_of_batches(iter(table.to_batches()))} == {1}
