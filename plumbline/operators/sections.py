@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -129,68 +129,89 @@ def usable_text(text: Column) -> Column:
 
 
 class _Merged:
-    """What the usable texts of one key come to; they are added chunk by chunk, in order.
+    """What the usable texts of one key come to; they are added in order of their chunks.
 
     The rules are those of ``merge_sections`` and ``assemble``. Only what may stand in the report is held.
     """
 
     def __init__(self) -> None:
         self.usable = self.cut = False
+        self.chunk: object = None
         self.raw: list[str] = []
         self.kept: dict[str, list[str]] = {}
+        self.first: dict[str, object] = {}  # chunk that a section stands in first
         self.seen: dict[str, set[str]] = {}
-
-    def add(self, chunk: object, texts: list[str]) -> None:
-        """All texts of one chunk: one, unless chunks are repeated."""
-        found: dict[str, list[str]] = {}
-        for text in sorted(texts):
-            self.usable = True
-            sections = plaintext.filled_sections(text)
-            if sections and not self.cut:
-                self.cut, self.raw = True, []
-            if not self.cut:
-                self.raw.append(text)
-            for section in sections.keys() & _KNOWN:
-                found.setdefault(section, []).append(sections[section])
-        for section, contents in found.items():
-            contents.sort()
+        self.new: dict[str, list] = {}  # what the chunk at hand adds; several texts may call themselves the same chunk
+
+    def add(self, chunk: object, text: str) -> None:
+        if _differs(chunk, self.chunk):
+            self.end_chunk()
+            self.chunk = chunk
+        self.usable = True
+        sections = plaintext.filled_sections(text)
+        if sections and not self.cut:
+            self.cut, self.raw = True, []
+        if not self.cut:
+            self.raw.append(text)
+        for section, content in sections.items():
             if section in APPENDED:
-                self.kept.setdefault(section, []).extend(contents)
-            elif chunk is None:
+                self.new.setdefault(section, []).append(content)
+            elif section not in _JOINED or chunk is None:
                 continue
-            elif section not in self.kept:
-                self.kept[section] = contents[:1]
+            elif self.first.setdefault(section, chunk) == chunk:
+                self.kept[section] = [min(content, *self.kept.get(section, [content]))]
                 if section in MERGED_BY_LINE:
-                    self.seen[section] = {line for c in contents for line in c.split("\n")}
+                    self.seen.setdefault(section, set()).update(content.split("\n"))
             elif section in MERGED_BY_LINE:
                 seen = self.seen[section]
-                new = sorted((i, line) for c in contents for i, line in enumerate(c.split("\n")) if line not in seen and line.strip())
-                self.kept[section] += [line for _, line in new]
-                seen.update(line for _, line in new)
+                found = [(i, line) for i, line in enumerate(content.split("\n")) if line not in seen and line.strip()]
+                self.new.setdefault(section, []).extend(found)
+
+    def end_chunk(self) -> None:
+        for section, new in self.new.items():
+            new.sort()
+            if section in APPENDED:
+                self.kept.setdefault(section, []).extend(new)
+            else:
+                lines = [line for _, line in new]
+                self.kept[section] += lines
+                self.seen[section].update(lines)
+        self.new = {}
 
     def report(self, header: str) -> str | None:
         if not self.usable:
             return None
+        self.end_chunk()
         parts = [header]
         kept = self.kept if self.cut else {RAW: self.raw}
         for section, title in SECTION_ORDER:
-            text = ("\n" if section in MERGED_BY_LINE else "\n\n").join(kept.get(section, ()))
-            if section == "column_profiles":
-                text = plaintext.format_profiles(text)
-            if start := text.strip():
-                parts.append(text if start.startswith("#") else f"## {title}\n\n{text}")
+            if section in kept:
+                text = _JOINED[section].join(kept[section])
+                if section == "column_profiles":
+                    text = plaintext.format_profiles(text)
+                if start := text.strip():
+                    parts.append(text if start.startswith("#") else f"## {title}\n\n{text}")
         return plaintext.clean_markdown("\n\n".join(parts))
 
 
-_KNOWN = {section for section, _ in SECTION_ORDER}
+# What stands between the pieces of a section that the report knows.
+_JOINED = {section: "\n" if section in MERGED_BY_LINE else "\n\n" for section, _ in SECTION_ORDER}
 # A batch of reports ends at so many rows, or after the one that makes it so large.
 BATCH_ROWS, BATCH_BYTES = 10_000, 32 << 20
 
 
-def _comparable(column: pa.Array) -> list:
-    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
-        column = column.cast(pa.binary())
-    return ["nan" if x != x else x for x in column.to_pylist()]
+def _values(column: pa.Array) -> list:
+    """Strings as bytes, so that any goes in and out."""
+    return (column.cast(pa.binary()) if pa.types.is_string(column.type) else column).to_pylist()
+
+
+def _array(values: Sequence, kind: pa.DataType) -> pa.Array:
+    return pa.array(values, pa.binary()).view(kind) if pa.types.is_string(kind) else pa.array(values, kind)
+
+
+def _differs(a: object, b: object) -> bool:
+    """Not the same key; NaN is one."""
+    return a != b and (a == a or b == b)
 
 
 def _reports_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,59 +219,48 @@ def _reports_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
     A key gives a row for each of its other reports, one at least, and a NULL key a single one without reports.
     """
-    keys: list[pa.Array] = []
-    rows: list[tuple[bytes | None, bytes | None]] = []
+    rows: list[tuple] = []
     size = 0
+    key = merged = kind = None
+    report, header, alone = None, "", False  # alone: the key has no row yet
 
-    def put(key: pa.Array, report: bytes | None, other: bytes | None) -> Iterator[pa.RecordBatch]:
+    def full() -> pa.RecordBatch:
         nonlocal size
-        keys.append(key)
-        rows.append((report, other))
+        keys, *texts = zip(*rows)
+        rows.clear()
+        size = 0
+        return pa.RecordBatch.from_arrays([_array(keys, kind), *(_array(t, pa.string()) for t in texts)], ["_k", "_made", "_other"])
+
+    def put(other: bytes | None) -> Iterator[pa.RecordBatch]:
+        nonlocal size, merged, report, alone
+        if merged is not None:
+            made, merged = merged.report(header), None
+            report = None if made is None else made.encode()
+        alone = False
+        rows.append((key, report, other))
         size += len(report or b"") + len(other or b"")
         if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
             yield full()
 
-    def full() -> pa.RecordBatch:
-        nonlocal size
-        texts = (pa.array(c, pa.binary()).view(pa.string()) for c in zip(*rows))
-        out = pa.RecordBatch.from_arrays([pa.concat_arrays(keys), *texts], ["_k", "_made", "_other"])
-        keys.clear()
-        rows.clear()
-        size = 0
-        return out
-
-    def made() -> bytes | None:
-        """The report of the key at hand, once all of its chunks are added."""
-        nonlocal merged
-        if isinstance(merged, _Merged):
-            if texts:
-                merged.add(chunk, texts)
-            report = merged.report(header)
-            merged = None if report is None else report.encode()
-        return merged
-
-    at, header, merged, chunk, texts, key, alone = None, "", None, None, [], None, False
+    begun = False
     for batch in batches:
+        if not batch.num_rows:
+            continue
         column = dict(zip(batch.schema.names, batch.columns))
-        header = column["_head"][0].as_py() if batch.num_rows else header
-        others = column["_text"].cast(pa.binary()).to_pylist()
-        for i, (k, kind, c) in enumerate(zip(_comparable(column["_k"]), column["_kind"].to_pylist(), _comparable(column["_chunk"]))):
-            if at is None or k != key:
+        header, kind = column["_head"][0].as_py(), column["_k"].type
+        for k, other, chunk, text in zip(*(_values(column[c]) for c in ("_k", "_kind", "_chunk", "_text"))):
+            if not begun or _differs(k, key):
                 if alone:
-                    yield from put(at, None if key is None else made(), None)
-                at, key, merged, chunk, texts, alone = column["_k"].slice(i, 1), k, _Merged(), c, [], True
-            if kind:
-                if key is not None:
-                    yield from put(at, made(), others[i])
-                    alone = False
-            elif key is not None and others[i] is not None:
-                if c != chunk and texts:
-                    merged.add(chunk, texts)
-                    texts = []
-                chunk = c
-                texts.append(others[i].decode())
+                    yield from put(None)
+                begun, key, merged, alone = True, k, _Merged(), True
+            if key is None:
+                continue
+            if other:
+                yield from put(text)
+            elif text is not None:
+                merged.add(chunk, text.decode())
     if alone:
-        yield from put(at, None if key is None else made(), None)
+        yield from put(None)
     if rows:
         yield full()
 
@@ -262,14 +272,14 @@ def assemble_chunks(chunks: DataFrame, title: str, at: Column, key: str = "doc_i
     usable chunks has no report, and ``other`` is its report in ``others`` (key, report).
     Every key of either side has a row, two only if ``others`` has; the NULL key has one, without reports.
 
-    Each text is worked through once, where it lies, before any row moves; then a key's chunks pass
-    by in order and only what may stand in its report is held, so neither many chunks nor a common key has to fit in memory.
+    Each text is worked through once, where it lies, before any row moves. Then a key's chunks pass by in order,
+    and of them only what may stand in the report is held: many chunks of one key need no more memory than their report.
     """
     parts = chunks.select(col(key).alias("_k"), F.lit(0).alias("_kind"), F.col("chunk").alias("_chunk"), usable_text(F.col("text")).alias("_text"))
     if others is not None:
         kind = parts.schema["_chunk"].dataType
         parts = parts.union(others.select(col(key), F.lit(1), F.lit(None).cast(kind), F.col("report").cast("string")))
-    dealt = parts.repartition("_k").sortWithinPartitions("_k", "_kind", "_chunk")
+    dealt = parts.repartition("_k").sortWithinPartitions("_k", "_kind", "_chunk", "_text")
     dealt = dealt.withColumn("_head", report_header(F.lit(title), at))
     out = StructType([StructField("_k", parts.schema["_k"].dataType), StructField("_made", StringType()), StructField("_other", StringType())])
     made = dealt.mapInArrow(_reports_of_batches, out)
